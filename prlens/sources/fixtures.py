@@ -1,0 +1,401 @@
+"""Adapter views: code-review domain tables derived from the driver tables.
+
+The driver tables hold no pull requests, so every registered query reads
+these DataFrames (see FIXTURES.md §3 for the same views as SQL).  They are
+plain DataFrame transformations of the parquet tables, so their size grows
+with the scale factor.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from prlens.sources.tables import table
+
+NL = "\n"
+
+# Fixed values for the webhook fixture: the shared secret and the HMAC block size.
+WEBHOOK_SECRET = "fixture-webhook-secret"
+HMAC_BLOCK = 64
+
+
+def s(c: Column) -> Column:
+    return c.cast("string")
+
+
+def path_of_partkey(pk: Column) -> Column:
+    k = s(pk % 40)
+    m = pk % 6
+    return (
+        F.when(m == 0, F.concat(F.lit("src/mod_"), k, F.lit(".py")))
+        .when(m == 1, F.concat(F.lit("web/app_"), k, F.lit(".ts")))
+        .when(m == 2, F.concat(F.lit("docs/page_"), k, F.lit(".md")))
+        .when(m == 3, F.concat(F.lit("tests/test_mod_"), k, F.lit(".py")))
+        .when(m == 4, F.concat(F.lit("src/pkg/mod_"), k, F.lit(".py")))
+        .otherwise(F.lit("requirements.txt"))
+    )
+
+
+def fx_pr(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        F.concat(F.lit("org/repo"), s(o.o_custkey % 20)).alias("repo_name"),
+        o.o_orderkey.alias("pr_number"),
+        F.concat(F.lit("dev"), s(o.o_custkey % 25)).alias("author"),
+        o.o_orderdate.alias("created_at"),
+    )
+
+
+def fx_pr_file(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    # Aggregate line items per (order, file) first, then attach the repo: the
+    # repo is a function of the order, so the join never multiplies rows.
+    per_file = (
+        li.select(
+            li.l_orderkey.alias("pr_number"),
+            path_of_partkey(li.l_partkey).alias("filename"),
+            li.l_quantity.cast("bigint").alias("q"),
+            li.l_linenumber.cast("bigint").alias("ln"),
+            li.l_partkey,
+        )
+        .groupBy("pr_number", "filename")
+        .agg(
+            (F.sum("q") * 4).alias("additions"),
+            (F.sum("ln") * 9).alias("deletions"),
+            F.min("l_partkey").alias("pk"),
+        )
+    )
+    pr = fx_pr(spark, d).select("repo_name", "pr_number")
+    w = Window.partitionBy("pr_number").orderBy("filename")
+    return per_file.join(pr, "pr_number").select(
+        "repo_name",
+        "pr_number",
+        F.row_number().over(w).cast("int").alias("file_pos"),
+        "filename",
+        "additions",
+        "deletions",
+        "pk",
+    )
+
+
+def fx_commit(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    pr = fx_pr(spark, d).select("repo_name", "pr_number")
+    c = li.join(pr, li.l_orderkey == pr.pr_number)
+    return c.select(
+        "repo_name",
+        path_of_partkey(c.l_partkey).alias("path"),
+        F.concat_ws("-", s(c.l_orderkey), s(c.l_linenumber), s(c.l_partkey), s(c.l_suppkey)).alias("sha"),
+        F.when(c.l_suppkey % 17 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("dev"), s(c.l_suppkey % 25)))
+        .alias("author"),
+        F.when(c.l_returnflag == "R", F.lit("Fix broken import"))
+        .when(c.l_partkey % 11 == 0, F.lit("add prefix option"))
+        .otherwise(F.lit("add feature"))
+        .alias("message"),
+        c.l_shipdate.alias("ts"),
+    )
+
+
+def _patch_body(pk: Column, additions: Column) -> Column:
+    k = s(pk % 50)
+    v = additions % 5
+    return (
+        F.when(v == 0, F.concat(F.lit("-def fn_"), k, F.lit("(a, b):" + NL + "+def fn_"), k, F.lit("(a, b, c=None):")))
+        .when(v == 1, F.concat(F.lit("-def fn_"), k, F.lit("(a):" + NL + "+x = 1")))
+        .when(v == 2, F.concat(F.lit("-class C_"), k, F.lit(":" + NL + "+class C_"), k, F.lit(":")))
+        .when(
+            v == 3,
+            F.concat(F.lit('-@app.get("/api/'), k, F.lit('")' + NL + '+@app.get("/api/v2/'), k, F.lit('")')),
+        )
+        .otherwise(
+            F.concat(
+                F.lit('+DB_PASSWORD = "hunter'),
+                k,
+                F.lit(
+                    '"' + NL + '+    query = f"SELECT * FROM t WHERE id = {uid}"' + NL
+                    + '-    v = d.get("val")' + NL + "+    # TODO tidy"
+                ),
+            )
+        )
+    )
+
+
+def fx_files(spark: SparkSession, d: str) -> DataFrame:
+    """fx_pr_file with its patch attached (fx_patch plus the size columns)."""
+    f = fx_pr_file(spark, d)
+    patch = F.when(f.pk % 13 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("@@ -1,3 +1,3 @@" + NL), _patch_body(f.pk, f.additions))
+    )
+    return f.select("repo_name", "pr_number", "file_pos", "filename", "additions", "deletions", "pk",
+                    patch.alias("patch"))
+
+
+def fx_patch(spark: SparkSession, d: str) -> DataFrame:
+    return fx_files(spark, d).select("repo_name", "pr_number", "file_pos", "filename", "patch")
+
+
+def fx_tool_report(spark: SparkSession, d: str) -> DataFrame:
+    f = fx_pr_file(spark, d)
+    py = f.filter(f.filename.endswith(".py"))
+    ruff_code = (
+        F.when(f.pk % 4 == 0, F.lit("F821")).when(f.pk % 4 == 1, F.lit("E501"))
+        .when(f.pk % 4 == 2, F.lit("F401")).otherwise(F.lit("E902"))
+    )
+    ruff = py.select(
+        "repo_name", "pr_number", F.lit("ruff").alias("tool"),
+        F.concat(
+            F.lit('[{"code":"'), ruff_code, F.lit('","message":"m'), s(f.pk % 9),
+            F.lit('","filename":"'), f.filename, F.lit('","location":{"row":'), s(f.additions),
+            F.lit('},"fix":null}]'),
+        ).alias("report"),
+    )
+    radon = py.select(
+        "repo_name", "pr_number", F.lit("radon").alias("tool"),
+        F.concat(
+            F.lit('{"'), f.filename, F.lit('":[{"name":"f","complexity":'), s(f.additions % 30),
+            F.lit(',"rank":"C","lineno":'), s(f.deletions), F.lit("}]}"),
+        ).alias("report"),
+    )
+    eslint = f.filter(f.filename.endswith(".ts")).select(
+        "repo_name", "pr_number", F.lit("eslint").alias("tool"),
+        F.concat(
+            F.lit('[{"filePath":"'), f.filename, F.lit('","messages":[{"severity":'), s(1 + f.pk % 2),
+            F.lit(',"ruleId":"eqeqeq","line":'), s(f.deletions), F.lit(',"message":"use ==="}]}]'),
+        ).alias("report"),
+    )
+    bandit = f.filter(f.filename.startswith("src/") & f.filename.endswith(".py")).select(
+        "repo_name", "pr_number", F.lit("bandit").alias("tool"),
+        F.concat(
+            F.lit('{"results":[{"filename":"'), f.filename, F.lit('","line_number":'), s(f.deletions),
+            F.lit(',"issue_severity":"'), F.when(f.pk % 2 == 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+            F.lit('","issue_text":"sql","issue_cwe":{"id":89},"test_id":"B608"}]}'),
+        ).alias("report"),
+    )
+    audit = f.filter(f.filename == "requirements.txt").select(
+        "repo_name", "pr_number", F.lit("pip-audit").alias("tool"),
+        F.concat(
+            F.lit('{"dependencies":[{"name":"jinja2","version":"2.11.'), s(f.pk % 4),
+            F.lit('","vulns":[{"id":"CVE-'), s(f.pk % 3),
+            F.lit('","description":"d","fix_versions":["3.1.'), s(f.pk % 5), F.lit('"]}]}]}'),
+        ).alias("report"),
+    )
+    return ruff.unionByName(radon).unionByName(eslint).unionByName(bandit).unionByName(audit)
+
+
+# The six specialist agents, their order, and each one's
+# "nothing found" sentinel line.
+AGENTS = [
+    ("correctness", 0, "NO CRITICAL ISSUES FOUND"),
+    ("security", 1, "NO SECURITY VULNERABILITIES FOUND"),
+    ("performance", 2, "NO PERFORMANCE ISSUES FOUND"),
+    ("maintainability", 3, "CODE IS WELL-STRUCTURED"),
+    ("dependency", 4, "NO DEPENDENCY ISSUES FOUND"),
+    ("test", 5, "TEST COVERAGE LOOKS GOOD"),
+]
+
+
+def fx_agent(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(AGENTS, "agent string, agent_pos int, sentinel string")
+
+
+def fx_review(spark: SparkSession, d: str) -> DataFrame:
+    p = fx_pr(spark, d)
+    fixed = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(i).alias("agent_pos"), F.lit(t).alias("sentinel"))
+                      for a, i, t in AGENTS])
+    r = p.select("*", F.explode(fixed).alias("_a")).select("*", "_a.*").drop("_a")
+    v = (r.pr_number + r.agent_pos) % 5
+    review = (
+        F.when(v == 0, r.sentinel)
+        .when(v == 1, F.concat(F.lit("Unable to complete "), r.agent, F.lit(" review due to service error. Manual review recommended.")))
+        .when(v == 2, F.concat(
+            F.lit("ISSUE: SQL injection in query loop" + NL + "LINE: src/mod_1.py:"), s(r.pr_number % 90),
+            F.lit(NL + "SEVERITY: CRITICAL" + NL + "FIX: bind parameters")))
+        .when(v == 3, F.concat(
+            F.lit("ISSUE: Hardcoded password" + NL + "LINE: src/mod_2.py:"), s(r.pr_number % 7),
+            F.lit(NL + "SEVERITY: HIGH" + NL + "FIX: use a vault" + NL + NL + "ISSUE: Unclear naming" + NL
+                  + "LINE: src/mod_3.py:4" + NL + "SEVERITY: LOW" + NL + "FIX: rename")))
+        .otherwise(F.lit("ISSUE: Unbounded cache hurts performance" + NL + "LINE: src/mod_4.py:9" + NL
+                         + "SEVERITY: MEDIUM" + NL + "FIX: evict"))
+    )
+    return r.select("repo_name", "pr_number", "agent", "agent_pos", "created_at", review.alias("review"))
+
+
+def fx_verdict(spark: SparkSession, d: str) -> DataFrame:
+    p = fx_pr(spark, d)
+    m3 = p.pr_number % 3
+    review = F.concat(
+        F.lit("## Review" + NL + "### Verdict: "),
+        F.when(m3 == 0, F.lit("BLOCK MERGE")).when(m3 == 1, F.lit("APPROVE WITH CHANGES")).otherwise(F.lit("APPROVE")),
+        F.lit(NL + "### Must Fix Before Merge" + NL),
+        F.when(m3 == 0, F.lit("- **SQL injection** (src/mod_1.py:3): auth bypass")).otherwise(F.lit("None")),
+        F.lit(NL + "### Should Fix" + NL),
+        F.when(p.pr_number % 4 == 0, F.lit("- **Slow loop** (src/mod_2.py:9): query in loop, performance")).otherwise(F.lit("None.")),
+    )
+    m6 = p.pr_number % 6
+    raw = (
+        F.when(m6 == 0, F.lit("8")).when(m6 == 1, F.lit("10")).when(m6 == 2, F.lit(" 7 "))
+        .when(m6 == 3, F.lit("8/10")).when(m6 == 4, F.lit("3")).otherwise(F.lit(""))
+    )
+    return p.select("repo_name", "pr_number", "created_at", review.alias("final_review"), raw.alias("raw_score"))
+
+
+def fx_requirement(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    m = p.p_size % 4
+    suffix = (
+        F.when(m == 0, F.lit(""))
+        .when(m == 1, F.concat(F.lit(">=1."), s(p.p_size)))
+        .otherwise(F.concat(F.lit("==2."), s(p.p_size), F.lit(".0")))
+    )
+    return p.select(
+        F.concat(F.lit("org/repo"), s(p.p_partkey % 20)).alias("repo_name"),
+        p.p_partkey.alias("line_no"),
+        F.concat(F.regexp_replace(p.p_name, " ", "-"), suffix).alias("line"),
+    )
+
+
+def fx_code_file(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    emb = table(spark, d, "embeddings")
+    j = docs.join(emb, emb.vec_id == docs.doc_id, "left")
+    return j.select(
+        F.concat(F.lit("org/repo"), s(j.doc_id % 20)).alias("repo_name"),
+        F.concat(F.lit("src/doc_"), s(j.doc_id), F.lit(".py")).alias("path"),
+        j.text.alias("content"),
+        j.embedding,
+    )
+
+
+def fx_webhook_body(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    action = (
+        F.when(e.event_type == "signup", F.lit("opened"))
+        .when(e.event_type == "purchase", F.lit("synchronize"))
+        .when(e.event_type == "error", F.lit("closed"))
+        .otherwise(e.event_type)
+    )
+    body = F.concat(
+        F.lit('{"action":"'), action, F.lit('","pull_request":{"number":'), s(e.event_id),
+        F.lit('},"repository":{"full_name":"org/repo'), s(e.user_id % 20), F.lit('"}}'),
+    )
+    return e.select(e.event_id.alias("delivery_id"), "ts", body.alias("body"))
+
+
+def hmac_pads(secret: str) -> tuple[str, str]:
+    """Driver-side HMAC key pads (hex) for a secret; the digest itself runs in Spark."""
+    key = secret.encode("utf-8")
+    if len(key) > HMAC_BLOCK:
+        key = hashlib.sha256(key).digest()
+    key = key.ljust(HMAC_BLOCK, b"\0")
+    ipad = bytes(b ^ 0x36 for b in key).hex().upper()
+    opad = bytes(b ^ 0x5C for b in key).hex().upper()
+    return ipad, opad
+
+
+def hmac_sha256_hex(body: Column, secret: str) -> Column:
+    ipad, opad = hmac_pads(secret)
+    inner = F.sha2(F.concat(F.unhex(F.lit(ipad)), F.encode(body, "UTF-8")), 256)
+    return F.sha2(F.concat(F.unhex(F.lit(opad)), F.unhex(inner)), 256)
+
+
+def fx_webhook(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with a signature header: 2 in 5 carry a correct one."""
+    b = fx_webhook_body(spark, d)
+    m = b.delivery_id % 5
+    good = F.concat(F.lit("sha256="), hmac_sha256_hex(b.body, WEBHOOK_SECRET))
+    sig = (
+        F.when(m == 0, F.lit(None).cast("string"))
+        .when(m == 1, F.concat(F.lit("sha1="), F.sha1(F.encode(b.body, "UTF-8"))))
+        .when(m == 2, F.lit("sha256=" + "0" * 64))
+        .otherwise(good)
+    )
+    return b.select("delivery_id", "ts", "body", sig.alias("signature"))
+
+
+def fx_config_override(spark: SparkSession, d: str) -> DataFrame:
+    """Per-repo config files (already parsed from YAML into rows).
+
+    One row per (repo, file); repos cycle through: no file, a ``.yml``, both
+    ``.yml`` and ``.yaml``, a ``.yaml`` only, and an unparsable ``.yml``.
+    """
+    repos = fx_pr(spark, d).select("repo_name").distinct()
+    k = F.substring(repos.repo_name, 9, 10).cast("int") % 5
+    empty_b = F.create_map().cast("map<string,boolean>")
+    empty_l = F.create_map().cast("map<string,bigint>")
+    rows = F.when(k == 1, F.array(F.struct(
+        F.lit(".ai-reviewer.yml").alias("file_name"), F.lit(True).alias("parse_ok"),
+        F.create_map(F.lit("autofix"), F.lit(False), F.lit("test"), F.lit(False)).alias("agents"),
+        F.lit("MEDIUM").alias("severity_threshold"),
+        F.array(F.lit("docs/*"), F.lit("*.md")).alias("ignore"),
+        F.create_map(F.lit("max_lines"), F.lit(800).cast("bigint")).alias("pr_size"),
+    ))).when(k == 2, F.array(
+        F.struct(
+            F.lit(".ai-reviewer.yml").alias("file_name"), F.lit(True).alias("parse_ok"),
+            F.lit(None).cast("map<string,boolean>").alias("agents"),
+            F.lit(None).cast("string").alias("severity_threshold"),
+            F.array(F.lit("tests/*")).alias("ignore"),
+            F.create_map(F.lit("max_files"), F.lit(5).cast("bigint")).alias("pr_size"),
+        ),
+        F.struct(
+            F.lit(".ai-reviewer.yaml").alias("file_name"), F.lit(True).alias("parse_ok"),
+            F.lit(None).cast("map<string,boolean>").alias("agents"),
+            F.lit("HIGH").alias("severity_threshold"),
+            F.lit(None).cast("array<string>").alias("ignore"),
+            F.lit(None).cast("map<string,bigint>").alias("pr_size"),
+        ),
+    )).when(k == 3, F.array(F.struct(
+        F.lit(".ai-reviewer.yaml").alias("file_name"), F.lit(True).alias("parse_ok"),
+        F.create_map(F.lit("security"), F.lit(False)).alias("agents"),
+        F.lit(None).cast("string").alias("severity_threshold"),
+        F.array(F.lit("web/app_1?.ts"), F.lit("src/mod_[0-4].py"), F.lit("src/pkg/*")).alias("ignore"),
+        F.lit(None).cast("map<string,bigint>").alias("pr_size"),
+    ))).when(k == 4, F.array(F.struct(
+        F.lit(".ai-reviewer.yml").alias("file_name"), F.lit(False).alias("parse_ok"),
+        empty_b.alias("agents"),
+        F.lit(None).cast("string").alias("severity_threshold"),
+        F.lit(None).cast("array<string>").alias("ignore"),
+        empty_l.alias("pr_size"),
+    )))
+    return repos.select("repo_name", F.explode(rows).alias("o")).select("repo_name", "o.*")
+
+
+def fx_autofix(spark: SparkSession, d: str) -> DataFrame:
+    """Auto-fix agent output per PR: one fix block per secret line in its patches,
+    or the no-fix sentinel when there is none."""
+    p = fx_patch(spark, d)
+    lines = p.select(
+        "repo_name", "pr_number", "file_pos", "filename",
+        F.posexplode(F.split(p.patch, NL, -1)).alias("pos", "line"),
+    ).filter(F.col("line").startswith("+DB_PASSWORD"))
+    block = F.concat(
+        F.lit("### Fix: Move secret out of code" + NL + "**File:** `"), F.col("filename"),
+        F.lit("`  |  **Line:** "), (F.col("pos") + 1).cast("string"),
+        F.lit(NL + NL + "Original code:" + NL + "```" + NL), F.substring(F.col("line"), 2, 1 << 20),
+        F.lit(NL + "```" + NL + NL + "Suggested fix:" + NL + "```suggestion" + NL
+              + 'DB_PASSWORD = os.environ["DB_PASSWORD"]' + NL + "```" + NL + NL
+              + "**Why:** a literal password in source leaks with the repository." + NL + NL + "---"),
+    )
+    fixes = lines.groupBy("repo_name", "pr_number").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_pos", "pos", block.alias("b")))),
+                                 lambda x: x["b"]), NL + NL).alias("fixes")
+    )
+    pr = fx_pr(spark, d).select("repo_name", "pr_number")
+    none = ("### No Auto-Fixes Available" + NL + "All identified issues require design-level changes "
+            "that cannot be expressed as line-level patches.")
+    return pr.join(fixes, ["repo_name", "pr_number"], "left").select(
+        "repo_name", "pr_number", F.coalesce("fixes", F.lit(none)).alias("autofix")
+    )
+
+
+def fx_manager(spark: SparkSession, d: str) -> DataFrame:
+    """Manager output per PR; every seventh PR's manager call failed (NULL)."""
+    v = fx_verdict(spark, d)
+    return v.select(
+        "repo_name", "pr_number", "created_at",
+        F.when(v.pr_number % 7 == 0, F.lit(None).cast("string")).otherwise(v.final_review).alias("final_review"),
+        "raw_score",
+    )
