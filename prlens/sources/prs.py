@@ -93,6 +93,11 @@ def load_tool_reports(reports: DataFrame) -> DataFrame:
     out = reports.withColumn("report", rep)
     root = F.when(F.col("report").startswith("["), F.lit("array")).when(
         F.col("report").startswith("{"), F.lit("object")).otherwise(F.lit("invalid"))
-    ok = F.when(root == "array", F.get_json_object("report", "$[0]").isNotNull() | (F.col("report").rlike(r"^\[\s*\]$"))) \
-        .when(root == "object", F.json_object_keys("report").isNotNull()).otherwise(F.lit(False))
-    return out.withColumn("root", root).withColumn("parse_ok", ok)
+    return out.withColumn("root", root).withColumn("parse_ok", json_ok(F.col("report")))
+
+
+def json_ok(rep) -> F.Column:
+    """True when the text parses as a JSON array or object."""
+    return (F.when(F.ltrim(rep).startswith("["), F.from_json(rep, "array<string>").isNotNull())
+            .when(F.ltrim(rep).startswith("{"), F.from_json(rep, "map<string,string>").isNotNull())
+            .otherwise(F.lit(False)))
