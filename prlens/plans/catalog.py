@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prlens.plans import changes, findings, history, intake  # noqa: F401
+from prlens.plans import changes, findings, history, intake, reviews  # noqa: F401
 from prlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "flagship"]
