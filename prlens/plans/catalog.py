@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from prlens.plans import changes, findings, history, intake, reviews  # noqa: F401
+from prlens.plans import (  # noqa: F401
+    changes, findings, history, intake, manifests, report, retrieval, reviews, streams,
+)
 from prlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["pr_size_check"](spark, sf_dir)
+    """The per-PR risk report."""
+    return QUERIES["pr_risk_report"](spark, sf_dir)

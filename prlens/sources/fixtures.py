@@ -270,8 +270,8 @@ def fx_code_file(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fx_webhook_body(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+def webhook_body_of(e: DataFrame) -> DataFrame:
+    """Delivery bodies from event rows (works on a batch or a streaming frame)."""
     action = (
         F.when(e.event_type == "signup", F.lit("opened"))
         .when(e.event_type == "purchase", F.lit("synchronize"))
@@ -285,6 +285,10 @@ def fx_webhook_body(spark: SparkSession, d: str) -> DataFrame:
     return e.select(e.event_id.alias("delivery_id"), "ts", body.alias("body"))
 
 
+def fx_webhook_body(spark: SparkSession, d: str) -> DataFrame:
+    return webhook_body_of(table(spark, d, "events"))
+
+
 def hmac_pads(secret: str) -> tuple[str, str]:
     """Driver-side HMAC key pads (hex) for a secret; the digest itself runs in Spark."""
     key = secret.encode("utf-8")
@@ -302,9 +306,8 @@ def hmac_sha256_hex(body: Column, secret: str) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit(opad)), F.unhex(inner)), 256)
 
 
-def fx_webhook(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries with a signature header: 2 in 5 carry a correct one."""
-    b = fx_webhook_body(spark, d)
+def signed_of(b: DataFrame) -> DataFrame:
+    """Attach a signature header: 2 in 5 deliveries carry a correct one."""
     m = b.delivery_id % 5
     good = F.concat(F.lit("sha256="), hmac_sha256_hex(b.body, WEBHOOK_SECRET))
     sig = (
@@ -316,6 +319,11 @@ def fx_webhook(spark: SparkSession, d: str) -> DataFrame:
     return b.select("delivery_id", "ts", "body", sig.alias("signature"))
 
 
+def fx_webhook(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with a signature header."""
+    return signed_of(fx_webhook_body(spark, d))
+
+
 def fx_config_override(spark: SparkSession, d: str) -> DataFrame:
     """Per-repo config files (already parsed from YAML into rows).
 
