@@ -1,13 +1,14 @@
 """Breaking-change detection over patches (B1-B7) and caller lookup.
 
-A patch is exploded once into lines (B1); definitions are recognised per
-line with an ordered CASE of anchored regexes (B2); everything after that is
-joins and aggregations keyed by (repo, PR, file, name).
+A patch is parsed once into line records (B1) and definitions are
+recognised per line with an ordered CASE of anchored regexes (B2), both as
+higher-order functions over the patch's line array; everything after that
+is one shuffle keyed by (repo, PR, name) and window aggregates over it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prlens.functions import py_strip
@@ -31,99 +32,152 @@ MSG_SIGNATURE = "Function signature changed in `{file}`: `{old}` → `{new}` —
 KIND_ORDER = ["function", "class", "endpoint", "signature"]
 
 
+def _sign_strip(line: Column) -> Column:
+    """``code`` of a changed line: stripped, leading sign characters removed, stripped again."""
+    stripped = py_strip(line)
+    return F.when(line.startswith("-"), py_strip(F.regexp_replace(stripped, r"^-+", ""))).otherwise(
+        py_strip(F.regexp_replace(stripped, r"^\++", "")))
+
+
+def _side(line: Column) -> Column:
+    return F.when(line.startswith("-") & ~line.startswith("---"), F.lit("removed")).when(
+        line.startswith("+") & ~line.startswith("+++"), F.lit("added"))
+
+
+def line_records(text: Column, keep_context: bool = False) -> Column:
+    """Array of (line_no, side, code, raw) for a patch text, built with
+    higher-order functions so each line is parsed exactly once."""
+    recs = F.transform(F.split(text, "\n", -1), lambda l, i: F.struct(
+        i.alias("line_no"), _side(l).alias("side"), F.when(_side(l).isNotNull(), _sign_strip(l)).alias("code"),
+        F.substring(l, 2, 1 << 30).alias("raw")))
+    return recs if keep_context else F.filter(recs, lambda r: r["side"].isNotNull())
+
+
+def classify(recs: Column, strict: bool = False) -> Column:
+    """B2 on an array of line records: keep the lines that define something.
+
+    Every pattern is matched once per line (a first transform stores the
+    match flags, a second derives kind/name/signature from them), so no
+    regex is evaluated twice and no filter is pushed under the parse.
+    """
+    route_rx = STRICT_ROUTE_RX if strict else ROUTE_RX
+    flags = F.transform(recs, lambda r: F.struct(
+        r["line_no"].alias("line_no"), r["side"].alias("side"), r["code"].alias("code"),
+        F.regexp_extract(r["code"], DEF_RX, 1).alias("dname"), r["code"].rlike(DEF_RX).alias("m_def"),
+        r["code"].rlike(CLASS_RX).alias("m_class"), r["code"].rlike(EXPORT_RX).alias("m_export"),
+        r["code"].rlike(DECORATOR_RX).alias("m_deco"), r["code"].rlike(route_rx).alias("m_route")))
+
+    def one(f: Column) -> Column:
+        is_def = f["m_def"] & ~f["dname"].startswith("_")
+        kind = (F.when(is_def, F.lit("function")).when(f["m_class"], F.lit("class"))
+                .when(f["m_export"], F.lit("export")).when(f["m_deco"] | f["m_route"], F.lit("endpoint")))
+        name = (F.when(is_def, f["dname"]).when(f["m_class"], F.regexp_extract(f["code"], CLASS_RX, 1))
+                .when(f["m_export"], F.regexp_extract(f["code"], EXPORT_RX, 1)))
+        sig = F.when(is_def, F.concat(F.lit("def "), f["dname"], F.lit("("),
+                                      F.regexp_extract(f["code"], DEF_RX, 2), F.lit(")")))
+        is_ep = ~is_def & ~f["m_class"] & ~f["m_export"]
+        method = F.when(is_ep & f["m_deco"], F.upper(F.regexp_extract(f["code"], DECORATOR_RX, 1))).when(
+            is_ep & f["m_route"], F.upper(F.regexp_extract(f["code"], route_rx, 1)))
+        path = F.when(is_ep & f["m_deco"], F.regexp_extract(f["code"], DECORATOR_RX, 2)).when(
+            is_ep & f["m_route"], F.regexp_extract(f["code"], route_rx, 2))
+        return F.struct(f["line_no"].alias("line_no"), f["side"].alias("side"), f["code"].alias("code"),
+                        kind.alias("kind"), name.alias("name"), sig.alias("sig"), method.alias("method"),
+                        path.alias("path"))
+
+    return F.filter(F.transform(flags, one), lambda d: d["kind"].isNotNull())
+
+
 def patch_lines(files: DataFrame, keep_context: bool = False) -> DataFrame:
-    """B1: one row per patch line with its 0-based position.
+    """B1: one row per changed patch line with its 0-based position.
 
     ``side`` is ``removed`` for ``-`` lines (not ``---``) and ``added`` for
     ``+`` lines (not ``+++``); ``code`` is the line stripped, with all leading
     sign characters removed, stripped again.  ``raw`` keeps the text after
     the sign with its indentation.  Files without a patch yield no rows.
     """
-    base = files.filter(F.col("patch").isNotNull())
     cols = [c for c in files.columns if c != "patch"]
-    lines = base.select(*cols, F.posexplode(F.split("patch", "\n", -1)).alias("line_no", "line"))
-    line = F.col("line")
-    side = F.when(line.startswith("-") & ~line.startswith("---"), F.lit("removed")).when(
-        line.startswith("+") & ~line.startswith("+++"), F.lit("added"))
-    stripped = py_strip(line)
-    code = F.when(side == "removed", py_strip(F.regexp_replace(stripped, r"^-+", ""))).otherwise(
-        py_strip(F.regexp_replace(stripped, r"^\++", "")))
-    out = lines.select(*cols, "line_no", side.alias("side"), code.alias("code"),
-                       F.substring(line, 2, 1 << 30).alias("raw"))
-    return out if keep_context else out.filter(F.col("side").isNotNull())
+    return files.filter(F.col("patch").isNotNull()).select(*cols, F.inline(line_records(F.col("patch"), keep_context)))
 
 
 def extract_definitions(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """B2: classify each changed line; rows that define nothing are dropped.
+    """B2 on a line table: classify each changed line; rows that define nothing are dropped.
 
     kind: ``function`` (public ``def``, carries ``sig``), ``export`` (JS/TS
     export; counts as a function, no signature), ``class``, ``endpoint``
     (decorator route first, then any ``.get/post/...("...")`` call).
     A private ``def`` falls through to the later patterns.
     """
-    code = F.col("code")
-    dname = F.regexp_extract(code, DEF_RX, 1)
-    is_def = code.rlike(DEF_RX) & ~dname.startswith("_")
-    is_class = code.rlike(CLASS_RX)
-    is_export = code.rlike(EXPORT_RX)
-    is_deco = code.rlike(DECORATOR_RX)
-    route_rx = STRICT_ROUTE_RX if strict else ROUTE_RX
-    is_route = code.rlike(route_rx)
-    kind = (F.when(is_def, F.lit("function")).when(is_class, F.lit("class")).when(is_export, F.lit("export"))
-            .when(is_deco | is_route, F.lit("endpoint")))
-    name = (F.when(is_def, dname).when(is_class, F.regexp_extract(code, CLASS_RX, 1))
-            .when(is_export, F.regexp_extract(code, EXPORT_RX, 1)))
-    sig = F.when(is_def, F.concat(F.lit("def "), dname, F.lit("("), F.regexp_extract(code, DEF_RX, 2), F.lit(")")))
-    method = F.when(is_deco, F.upper(F.regexp_extract(code, DECORATOR_RX, 1))).when(
-        is_route, F.upper(F.regexp_extract(code, route_rx, 1)))
-    path = F.when(is_deco, F.regexp_extract(code, DECORATOR_RX, 2)).when(is_route, F.regexp_extract(code, route_rx, 2))
-    out = lines.select("*", kind.alias("kind"), name.alias("name"), sig.alias("sig"), method.alias("method"),
-                       path.alias("path"))
-    return out.filter(F.col("kind").isNotNull())
-
-
-def _last_sig(defs: DataFrame, side: str) -> DataFrame:
-    d = defs.filter((F.col("side") == side) & (F.col("kind") == "function"))
-    return d.groupBy(*KEYS, "file_pos", "filename", "name").agg(
-        F.max_by("sig", "line_no").alias("sig"), F.min("line_no").alias("first_line"))
-
-
-def changed_signatures(defs: DataFrame) -> DataFrame:
+    cols = [c for c in lines.columns if c not in ("line_no", "side", "code", "raw")]
+    one = F.array(F.struct("line_no", "side", "code"))
+    return lines.select(*cols, F.inline(classify(one, strict)))
+
+
+def patch_definitions(files: DataFrame, strict: bool = False) -> DataFrame:
+    """B1 + B2 fused: definitions straight from the patches (one parse per line)."""
+    cols = [c for c in files.columns if c != "patch"]
+    return files.filter(F.col("patch").isNotNull()).select(
+        *cols, F.inline(classify(line_records(F.col("patch")), strict)))
+
+
+def annotate_definitions(defs: DataFrame) -> DataFrame:
+    """Per-definition facts for B3-B7, computed in one shuffle.
+
+    The rows are hash-partitioned once on (repo, PR, name); the per-file
+    window (last removed / last added signature of a name in a file) and
+    the per-PR window (was the name's signature changed in any file) are
+    both satisfied by that partitioning, so no further exchange is needed
+    and no branch re-reads the patches.
+    """
+    d = defs.repartition(*KEYS, "name")
+    fn = F.col("kind") == "function"
+    rem = F.col("side") == "removed"
+    add = F.col("side") == "added"
+    w_file = Window.partitionBy(*KEYS, "name", "filename")
+    w_pr = Window.partitionBy(*KEYS, "name")
+    d = d.select(
+        "*",
+        F.max_by(F.when(fn & rem, F.col("sig")), F.when(fn & rem, F.col("line_no"))).over(w_file).alias("old"),
+        F.max_by(F.when(fn & add, F.col("sig")), F.when(fn & add, F.col("line_no"))).over(w_file).alias("new"),
+        F.min(F.when(fn & rem, F.col("line_no"))).over(w_file).alias("first_removed"),
+    )
+    changed_file = F.coalesce(F.col("old") != F.col("new"), F.lit(False))
+    d = d.withColumn("changed_file", changed_file)
+    d = d.withColumn("changed_in_pr", F.bool_or("changed_file").over(w_pr))
+    return d.withColumn("is_signature_row", fn & rem & F.col("changed_file") & (F.col("line_no") == F.col("first_removed")))
+
+
+def changed_signatures(ann: DataFrame) -> DataFrame:
     """Per file, a public def removed and added with a different signature.
 
     Duplicate names within a side: the last line wins (dict assignment); the
-    row is ordered by the name's first removed line (dict insertion order).
+    row sits at the name's first removed line (dict insertion order).
     """
-    old = _last_sig(defs, "removed").withColumnRenamed("sig", "old")
-    new = _last_sig(defs, "added").select(*KEYS, "filename", "name", F.col("sig").alias("new"))
-    j = old.join(new, [*KEYS, "filename", "name"])
-    return j.filter(F.col("old") != F.col("new")).select(
-        *KEYS, "file_pos", "filename", "name", "old", "new", F.col("first_line").alias("line_no"))
+    return ann.filter("is_signature_row").select(*KEYS, "file_pos", "filename", "name", "old", "new", "line_no")
 
 
-def removed_functions(defs: DataFrame, changed: DataFrame, strict: bool = False) -> DataFrame:
+def removed_functions(ann: DataFrame, strict: bool = False) -> DataFrame:
     """Removed defs/exports whose name is not a changed signature anywhere in the PR.
 
-    ``strict=True`` also drops a function re-added unchanged in the same file.
+    ``strict=True`` also drops a function re-added (any signature) in the same file.
     """
-    rem = defs.filter((F.col("side") == "removed") & F.col("kind").isin("function", "export"))
-    out = rem.join(changed.select(*KEYS, "name").distinct(), [*KEYS, "name"], "left_anti")
+    cond = (F.col("side") == "removed") & F.col("kind").isin("function", "export") & ~F.col("changed_in_pr")
     if strict:
-        readded = defs.filter((F.col("side") == "added") & F.col("kind").isin("function", "export")).select(
-            *KEYS, "filename", "name").distinct()
-        out = out.join(readded, [*KEYS, "filename", "name"], "left_anti")
-    return out.select(*KEYS, "file_pos", "filename", "line_no", "name")
+        w_file = Window.partitionBy(*KEYS, "name", "filename")
+        readded = F.bool_or((F.col("side") == "added") & F.col("kind").isin("function", "export")).over(w_file)
+        ann = ann.withColumn("_readded", readded)
+        cond = cond & ~F.col("_readded")
+    return ann.filter(cond).select(*KEYS, "file_pos", "filename", "line_no", "name")
 
 
-def removed_classes(defs: DataFrame) -> DataFrame:
+def removed_classes(ann: DataFrame) -> DataFrame:
     """Every removed class line."""
-    return defs.filter((F.col("side") == "removed") & (F.col("kind") == "class")).select(
+    return ann.filter((F.col("side") == "removed") & (F.col("kind") == "class")).select(
         *KEYS, "file_pos", "filename", "line_no", "name")
 
 
-def removed_endpoints(defs: DataFrame) -> DataFrame:
+def removed_endpoints(ann: DataFrame) -> DataFrame:
     """Every removed route, method upper-cased."""
-    return defs.filter((F.col("side") == "removed") & (F.col("kind") == "endpoint")).select(
+    return ann.filter((F.col("side") == "removed") & (F.col("kind") == "endpoint")).select(
         *KEYS, "file_pos", "filename", "line_no", "method", "path")
 
 
@@ -139,26 +193,28 @@ def _msg(template: str, **cols) -> F.Column:
 
 def breaking_changes(files: DataFrame, strict: bool = False) -> DataFrame:
     """All breaking findings of each PR, in the reference's report order
-    (functions, classes, endpoints, signatures; then file and line order)."""
-    defs = extract_definitions(patch_lines(files), strict=strict)
-    changed = changed_signatures(defs)
-    parts = [
-        removed_functions(defs, changed, strict).select(
-            *KEYS, F.lit(0).alias("kind_pos"), F.lit("function").alias("kind"), "file_pos", "filename", "line_no",
-            "name", _msg(MSG_FUNCTION, file="filename").alias("message")),
-        removed_classes(defs).select(
-            *KEYS, F.lit(1).alias("kind_pos"), F.lit("class").alias("kind"), "file_pos", "filename", "line_no",
-            "name", _msg(MSG_CLASS, file="filename").alias("message")),
-        removed_endpoints(defs).select(
-            *KEYS, F.lit(2).alias("kind_pos"), F.lit("endpoint").alias("kind"), "file_pos", "filename", "line_no",
-            F.lit(None).cast("string").alias("name"), _msg(MSG_ENDPOINT, file="filename").alias("message")),
-        changed.select(
-            *KEYS, F.lit(3).alias("kind_pos"), F.lit("signature").alias("kind"), "file_pos", "filename", "line_no",
-            "name", _msg(MSG_SIGNATURE, file="filename").alias("message")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    (functions, classes, endpoints, signatures; then file and line order).
+
+    Each annotated definition yields at most one finding, so the four kinds
+    are a single CASE over one pass, not a union of four re-reads.
+    """
+    ann = annotate_definitions(patch_definitions(files, strict))
+    rem = F.col("side") == "removed"
+    k = F.col("kind")
+    fn_cond = rem & k.isin("function", "export") & ~F.col("changed_in_pr")
+    if strict:
+        w_file = Window.partitionBy(*KEYS, "name", "filename")
+        ann = ann.withColumn("_readded", F.bool_or((F.col("side") == "added") & k.isin("function", "export")).over(w_file))
+        fn_cond = fn_cond & ~F.col("_readded")
+    kind_pos = (F.when(fn_cond, F.lit(0)).when(rem & (k == "class"), F.lit(1)).when(rem & (k == "endpoint"), F.lit(2))
+                .when(F.col("is_signature_row"), F.lit(3)))
+    out = ann.withColumn("kind_pos", kind_pos).filter(F.col("kind_pos").isNotNull())
+    kp = F.col("kind_pos")
+    message = (F.when(kp == 0, _msg(MSG_FUNCTION, file="filename")).when(kp == 1, _msg(MSG_CLASS, file="filename"))
+               .when(kp == 2, _msg(MSG_ENDPOINT, file="filename")).otherwise(_msg(MSG_SIGNATURE, file="filename")))
+    out = out.select(*KEYS, "kind_pos", F.element_at(F.array(*[F.lit(x) for x in KIND_ORDER]), kp + 1).alias("kind"),
+                     "file_pos", "filename", "line_no", F.when(kp != 2, F.col("name")).alias("name"),
+                     message.alias("message"))
     w = Window.partitionBy(*KEYS).orderBy("kind_pos", "file_pos", "line_no")
     return out.withColumn("finding_pos", F.row_number().over(w))
 

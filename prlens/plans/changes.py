@@ -78,7 +78,11 @@ breaking AS (SELECT *, row_number() OVER (PARTITION BY repo_name, pr_number ORDE
 
 
 def _defs(spark, d):
-    return bk.extract_definitions(bk.patch_lines(fx.fx_patch(spark, d)))
+    return bk.patch_definitions(fx.fx_patch(spark, d))
+
+
+def _ann(spark, d):
+    return bk.annotate_definitions(_defs(spark, d))
 
 
 def _i(c):
@@ -106,7 +110,7 @@ def q_extract_definitions(spark, d):
 SELECT repo_name, pr_number, filename, name, old, new, CAST(line_no AS BIGINT) AS line_no FROM changed
 """)
 def q_changed_signatures(spark, d):
-    c = bk.changed_signatures(_defs(spark, d))
+    c = bk.changed_signatures(_ann(spark, d))
     return c.select("repo_name", "pr_number", "filename", "name", "old", "new", _i("line_no"))
 
 
@@ -116,8 +120,7 @@ WHERE side = 'removed' AND kind IN ('function', 'export')
   AND NOT EXISTS (SELECT 1 FROM changed c WHERE c.repo_name = d.repo_name AND c.pr_number = d.pr_number AND c.name = d.name)
 """)
 def q_removed_functions(spark, d):
-    defs = _defs(spark, d)
-    r = bk.removed_functions(defs, bk.changed_signatures(defs))
+    r = bk.removed_functions(_ann(spark, d))
     return r.select("repo_name", "pr_number", "filename", _i("line_no"), "name")
 
 
@@ -126,7 +129,7 @@ SELECT repo_name, pr_number, filename, CAST(line_no AS BIGINT) AS line_no, name
 WHERE side = 'removed' AND kind = 'class'
 """)
 def q_removed_classes(spark, d):
-    return bk.removed_classes(_defs(spark, d)).select("repo_name", "pr_number", "filename", _i("line_no"), "name")
+    return bk.removed_classes(_ann(spark, d)).select("repo_name", "pr_number", "filename", _i("line_no"), "name")
 
 
 @register("removed_endpoints", "WITH " + DEFS_SQL + """
@@ -134,7 +137,7 @@ SELECT repo_name, pr_number, filename, CAST(line_no AS BIGINT) AS line_no, metho
 WHERE side = 'removed' AND kind = 'endpoint'
 """)
 def q_removed_endpoints(spark, d):
-    return bk.removed_endpoints(_defs(spark, d)).select("repo_name", "pr_number", "filename", _i("line_no"),
+    return bk.removed_endpoints(_ann(spark, d)).select("repo_name", "pr_number", "filename", _i("line_no"),
                                                         "method", "path")
 
 
