@@ -233,38 +233,39 @@ def _vocab_ok(agent: Column, sev: Column) -> Column:
     return out
 
 
+_WS = r"[ \t\x0B\f\r]"
+_MARK = "\u0001"
+# A block starts at a DIMENSION: line, or at an ISSUE: line whose previous
+# line is not a DIMENSION: line; the marker is inserted at those line starts.
+_BLOCK_START_RX = (r"(?md)^(?=" + _WS + r"*DIMENSION:)|^(?<!^" + _WS + r"{0,64}DIMENSION:[^\n]{0,65536}\n)(?="
+                   + _WS + r"*ISSUE:)")
+
+
+def _key_value(block: Column, keys: list[str]) -> Column:
+    """First ``KEY: value`` line of the block for any of ``keys`` (NULL when absent)."""
+    rx = r"(?md)^" + _WS + r"*(?:" + "|".join(keys) + r"):" + _WS + r"*(.*?)" + _WS + r"*$"
+    return F.when(block.rlike(rx), F.regexp_extract(block, rx, 1))
+
+
 def parse_issue_blocks(reviews: DataFrame) -> DataFrame:
     """Split each review into finding blocks and read their ``KEY: value`` lines.
 
     A block starts at a ``DIMENSION:`` line, or at an ``ISSUE:`` line not
-    directly under a ``DIMENSION:`` line.  Block numbers are a running sum
-    over the review's lines (one review per window partition).
+    directly under a ``DIMENSION:`` line; within a block the first value of
+    each key wins.  The split is one ``regexp_replace`` that marks block
+    starts plus a ``split`` -- a pure map over reviews: no shuffle, no
+    window, and every step stays in generated code.
     """
-    lines = reviews.select(*KEYS, "agent", F.posexplode(F.split(F.coalesce("review", F.lit("")), "\n", -1))
-                           .alias("ln", "line"))
-    t = py_strip(F.col("line"))
-    key_rx = r"^(" + "|".join(BLOCK_KEYS) + r"):\s*(.*)$"
-    lines = lines.select(*KEYS, "agent", "ln", F.regexp_extract(t, key_rx, 1).alias("k"),
-                         py_strip(F.regexp_extract(t, key_rx, 2)).alias("v"))
-    w = Window.partitionBy(*KEYS, "agent").orderBy("ln")
-    prev = F.lag("k").over(w)
-    start = (F.col("k") == "DIMENSION") | ((F.col("k") == "ISSUE") & (F.coalesce(prev, F.lit("")) != "DIMENSION"))
-    lines = lines.withColumn("start", start.cast("int"))
-    lines = lines.withColumn("block_no", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kv = lines.filter((F.col("block_no") > 0) & (F.col("k") != ""))
-
-    def val(k: str) -> Column:
-        return F.max_by(F.when(F.col("k") == k, F.col("v")), F.when(F.col("k") == k, -F.col("ln")))
-
-    g = kv.groupBy(*KEYS, "agent", "block_no").agg(
-        val("DIMENSION").alias("dimension"), val("ISSUE").alias("issue"), val("LINE").alias("line_ref"),
-        val("SEVERITY").alias("severity_raw"), val("FIX").alias("fix"),
-        F.max_by(F.when(F.col("k").isin(DETAIL_KEYS), F.col("v")),
-                 F.when(F.col("k").isin(DETAIL_KEYS), -F.col("ln"))).alias("detail"),
-    )
-    sev = F.upper(F.col("severity_raw"))
-    return g.select(*KEYS, "agent", "block_no", "dimension", "issue", "line_ref", sev.alias("severity"), "fix",
-                    "detail", F.coalesce(_vocab_ok(F.col("agent"), sev), F.lit(False)).alias("severity_valid"))
+    marked = F.regexp_replace(F.coalesce("review", F.lit("")), _BLOCK_START_RX, _MARK)
+    b = reviews.select(*KEYS, "agent", F.posexplode(F.split(marked, _MARK, -1)).alias("block_no", "blk"))
+    b = b.filter(F.col("block_no") >= 1)
+    blk = F.col("blk")
+    sev = F.upper(_key_value(blk, ["SEVERITY"]))
+    return b.select(*KEYS, "agent", "block_no", _key_value(blk, ["DIMENSION"]).alias("dimension"),
+                    _key_value(blk, ["ISSUE"]).alias("issue"), _key_value(blk, ["LINE"]).alias("line_ref"),
+                    sev.alias("severity"), _key_value(blk, ["FIX"]).alias("fix"),
+                    _key_value(blk, DETAIL_KEYS).alias("detail"),
+                    F.coalesce(_vocab_ok(F.col("agent"), sev), F.lit(False)).alias("severity_valid"))
 
 
 def dedupe_findings(blocks: DataFrame) -> DataFrame:
@@ -324,33 +325,43 @@ BULLET_RX = r"^- \*\*(.+?)\*\*(?: \(([^)]*)\))?:?\s*(.*)$"
 def parse_review_sections(reviews: DataFrame, col: str = "final_review") -> DataFrame:
     """Must-fix / should-fix / consider bullets: title, location, text.
 
-    The current section of each line is the last ``### `` header above it
-    (``last(..., ignorenulls)`` over the review's lines)."""
-    lines = reviews.select(*KEYS, F.posexplode(F.split(F.coalesce(col, F.lit("")), "\n", -1)).alias("ln", "line"))
-    t = py_strip(F.col("line"))
-    sec = F.lit(None).cast("string")
-    for needle, name in reversed(SECTIONS):
-        sec = F.when(t.contains(needle), F.lit(name)).otherwise(sec)
-    hdr = F.when(t.startswith("### "), F.coalesce(sec, F.lit("other")))
-    w = Window.partitionBy(*KEYS).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("t", t).withColumn("section", F.last(hdr, ignorenulls=True).over(w))
-    b = lines.filter(F.col("section").isin([n for _, n in SECTIONS]) & F.col("t").startswith("- **"))
-    wi = Window.partitionBy(*KEYS, "section").orderBy("ln")
-    return b.select(*KEYS, "section", F.row_number().over(wi).alias("item_pos"),
-                    F.regexp_extract("t", BULLET_RX, 1).alias("title"),
-                    F.regexp_extract("t", BULLET_RX, 2).alias("location"),
-                    F.regexp_extract("t", BULLET_RX, 3).alias("text"))
+    The section of each line is the last ``### `` header above it; both the
+    section tracking and the per-section numbering are array functions over
+    the review's lines (no shuffle)."""
+    t = F.transform(F.split(F.coalesce(col, F.lit("")), "\n", -1), lambda l: py_strip(l))
+    df = reviews.select(*KEYS, t.alias("t"))
+    tc = F.col("t")
+
+    def sec_of(x: Column) -> Column:
+        name = F.lit("other")
+        for needle, n in reversed(SECTIONS):
+            name = F.when(x.contains(needle), F.lit(n)).otherwise(name)
+        return F.when(x.startswith("### "), name)
+
+    hdr = F.transform(tc, sec_of)
+    df = df.withColumn("hdr", hdr)
+    hc = F.col("hdr")
+    lines = F.transform(tc, lambda x, i: F.struct(
+        x.alias("t"), F.try_element_at(F.filter(F.slice(hc, 1, i + 1), lambda h: h.isNotNull()), F.lit(-1)).alias("section")))
+    bullets = F.filter(lines, lambda r: r["section"].isin([n for _, n in SECTIONS]) & r["t"].startswith("- **"))
+    df = df.select(*KEYS, bullets.alias("bl"))
+    bl = F.col("bl")
+    numbered = F.transform(bl, lambda r, i: F.struct(
+        r["section"].alias("section"),
+        F.size(F.filter(F.slice(bl, 1, i + 1), lambda y: y["section"] == r["section"])).alias("item_pos"),
+        F.regexp_extract(r["t"], BULLET_RX, 1).alias("title"), F.regexp_extract(r["t"], BULLET_RX, 2).alias("location"),
+        F.regexp_extract(r["t"], BULLET_RX, 3).alias("text")))
+    return df.select(*KEYS, F.inline(numbered))
 
 
 def parse_summary_table(reviews: DataFrame, col: str = "final_review") -> DataFrame:
     """The six dimension rows of the summary table (status, key finding)."""
-    lines = reviews.select(*KEYS, F.posexplode(F.split(F.coalesce(col, F.lit("")), "\n", -1)).alias("ln", "line"))
-    t = py_strip(F.col("line"))
-    rows = lines.filter(t.startswith("|") & ~t.rlike(r"^\|\s*-") & ~t.rlike(r"^\|\s*Dimension\s*\|"))
-    cells = F.split(F.regexp_replace(py_strip(F.col("line")), r"^\||\|$", ""), r"\|", -1)
-    return rows.select(*KEYS, "ln", cells.alias("c")).select(
-        *KEYS, F.row_number().over(Window.partitionBy(*KEYS).orderBy("ln")).alias("row_pos"),
-        py_strip(F.col("c")[0]).alias("dimension"), py_strip(F.col("c")[1]).alias("status"),
+    t = F.transform(F.split(F.coalesce(col, F.lit("")), "\n", -1), lambda l: py_strip(l))
+    rows = F.filter(t, lambda x: x.startswith("|") & ~x.rlike(r"^\|\s*-") & ~x.rlike(r"^\|\s*Dimension\s*\|"))
+    df = reviews.select(*KEYS, F.posexplode(rows).alias("p", "line"))
+    cells = F.split(F.regexp_replace(F.col("line"), r"^\||\|$", ""), r"\|", -1)
+    return df.select(*KEYS, (F.col("p") + 1).alias("row_pos"), cells.alias("c")).select(
+        *KEYS, "row_pos", py_strip(F.col("c")[0]).alias("dimension"), py_strip(F.col("c")[1]).alias("status"),
         py_strip(F.col("c")[2]).alias("key_finding"))
 
 
