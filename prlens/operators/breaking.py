@@ -233,11 +233,22 @@ def code_tokens(code: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def backward_compat_report(breaking: DataFrame, tokens: DataFrame) -> DataFrame:
-    """For each broken function/class, the other files of the repo that
-    mention its name (count of caller files)."""
+    """For each broken function/class, how many *other* files of the repo
+    mention its name.
+
+    No finding-by-file pairs are formed: caller files are counted once per
+    (repo, name) with a hash aggregate (after a semi-join keeps only the
+    names that broke), and the finding's own file is subtracted with one
+    equi-join lookup.  A name mentioned in millions of files costs one
+    counter, not millions of joined rows.
+    """
     b = breaking.filter(F.col("name").isNotNull()).select(*KEYS, "finding_pos", "kind", "name", "filename")
     names = b.select("repo_name", F.col("name").alias("token")).distinct()
     t = tokens.join(names, ["repo_name", "token"], "left_semi")
-    j = b.join(t, (b.repo_name == t.repo_name) & (b.name == t.token) & (b.filename != t.path), "left")
-    return j.groupBy(b.repo_name, b.pr_number, b.finding_pos, b.kind, b.name, b.filename).agg(
-        F.count(t.path).alias("n_caller_files"))
+    counts = t.groupBy("repo_name", "token").agg(F.count(F.lit(1)).alias("n_files"))
+    own = t.select("repo_name", F.col("path").alias("filename"), F.col("token").alias("name"),
+                   F.lit(1).alias("own"))
+    j = (b.join(counts.withColumnRenamed("token", "name"), ["repo_name", "name"], "left")
+         .join(own, ["repo_name", "filename", "name"], "left"))
+    n = F.coalesce(F.col("n_files"), F.lit(0)) - F.coalesce(F.col("own"), F.lit(0))
+    return j.select(*KEYS, "finding_pos", "kind", "name", "filename", n.cast("bigint").alias("n_caller_files"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prlens.functions import contains_any
+
 KEYS = ["repo_name", "pr_number"]
 
 # The planted-issue checklist (category, issue, keywords).
@@ -42,20 +44,21 @@ PREVIEW_CHARS = 2000
 EMPTY_PREVIEW = "(empty)"
 
 
-def checks_array() -> F.Column:
-    return F.array(*[
-        F.struct(F.lit(i + 1).alias("check_pos"), F.lit(c).alias("category"), F.lit(issue).alias("issue"),
-                 F.array(*[F.lit(k.lower()) for k in kws]).alias("keywords"))
-        for i, (c, issue, kws) in enumerate(CHECKS)])
-
-
 def keyword_recall(wide: DataFrame, include_all: bool = False) -> DataFrame:
-    """Per (PR, check): detected when any keyword is in the searched text."""
+    """Per (PR, check): detected when any keyword is in the searched text.
+
+    The lower-cased text is built once per PR; each check is a disjunction of
+    literal ``contains`` tests (generated code), and the 19 results are
+    exploded in place (no join against the check table).
+    """
     fields = SEARCHED + (EXTRA if include_all else [])
     text = F.lower(F.concat(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))
-    r = wide.select(*KEYS, text.alias("_text"), F.explode(checks_array()).alias("c"))
-    hit = F.exists(F.col("c.keywords"), lambda k: F.col("_text").contains(k))
-    return r.select(*KEYS, "c.check_pos", "c.category", "c.issue", hit.alias("detected"))
+    t = wide.select(*KEYS, text.alias("_text"))
+    checks = F.array(*[
+        F.struct(F.lit(i + 1).alias("check_pos"), F.lit(c).alias("category"), F.lit(issue).alias("issue"),
+                 contains_any(F.col("_text"), [k.lower() for k in kws]).alias("detected"))
+        for i, (c, issue, kws) in enumerate(CHECKS)])
+    return t.select(*KEYS, F.inline(checks))
 
 
 def recall_summary(hits: DataFrame) -> DataFrame:

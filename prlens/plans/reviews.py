@@ -370,7 +370,12 @@ hits AS (SELECT repo_name, pr_number, check_pos, category, issue,
 
 
 def hits(spark, d):
-    return ev.keyword_recall(wide(spark, d))
+    """Recall inputs: the five searched fields only (no autofix/score joins)."""
+    w = rv.wide_reviews(fx.fx_review(spark, d))
+    for a in A:
+        w = w.withColumnRenamed(a, f"{a}_review")
+    w = w.join(fx.fx_verdict(spark, d).select("repo_name", "pr_number", "final_review"), ["repo_name", "pr_number"], "left")
+    return ev.keyword_recall(w)
 
 
 @register("keyword_recall", f"""WITH {WIDE_FULL_SQL}
