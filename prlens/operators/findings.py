@@ -179,17 +179,22 @@ def all_tool_findings(reports: DataFrame, secrets: DataFrame | None = None, root
     return out.withColumn("tool_pos", pos)
 
 
-def tool_status(routes: DataFrame, reports: DataFrame, findings: DataFrame,
+def tool_status(routes: DataFrame, reports: DataFrame, findings: DataFrame | None,
                 targets: DataFrame | None = None) -> DataFrame:
     """Per routed (PR, tool): success, finding count (0 when failed), summary, error.
 
     Every count is pre-aggregated per (PR, tool) before the joins, so route
     rows never multiply.  ``targets`` (optional) counts scanned files per
-    (PR, tool) for bandit's summary.
+    (PR, tool) for bandit's summary.  With ``findings=None`` only success and
+    error are produced (no pass over the findings).
     """
     fails = report_failures(reports)
+    j = routes.join(fails, [*KEYS, "tool"], "left")
+    if findings is None:
+        return j.select(*KEYS, "tool", "tool_pos", F.col("error").isNull().alias("success"),
+                        F.coalesce("error", F.lit("")).alias("error"))
     counts = findings.groupBy(*KEYS, "tool").agg(F.count(F.lit(1)).alias("n_raw"))
-    j = routes.join(fails, [*KEYS, "tool"], "left").join(counts, [*KEYS, "tool"], "left")
+    j = j.join(counts, [*KEYS, "tool"], "left")
     if targets is not None:
         t = targets.groupBy(*KEYS, "tool").agg(F.count(F.lit(1)).alias("n_targets"))
         j = j.join(t, [*KEYS, "tool"], "left")
@@ -217,9 +222,13 @@ def tool_status(routes: DataFrame, reports: DataFrame, findings: DataFrame,
 
 def unified_findings(status: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings of successful, routed tools, in tool order; the comment
-    text carries a ``[tool]`` prefix."""
+    text carries a ``[tool]`` prefix.  ``status`` needs only ``success``
+    (``tool_status(..., findings=None)``), so the findings are read once."""
     ok = status.filter("success").select(*KEYS, "tool")
-    u = findings.join(ok, [*KEYS, "tool"], "left_semi")
+    # An inner join on the (unique) ok keys, not a semi-join: Catalyst pushes a
+    # semi-join into every branch of the findings union, re-deriving the
+    # status once per tool; the inner join keeps one status plan.
+    u = findings.join(ok, [*KEYS, "tool"], "inner")
     return u.withColumn("tagged_message", F.concat(F.lit("["), F.col("tool"), F.lit("] "), F.col("message")))
 
 
@@ -228,6 +237,8 @@ def tool_prompt_text(status: DataFrame, findings: DataFrame) -> DataFrame:
 
     Lines are collected per (PR, tool) -- a group bounded by one tool's
     findings on one PR -- and ordered by file, then position in the report.
+    The finding count is the size of that list, so ``status`` needs only
+    success/error and the findings are read once.
     """
     line = F.concat(F.lit("  - ["), F.col("severity"), F.lit("] "), F.col("file"), F.lit(":"),
                     F.col("line").cast("string"), F.lit(" — "), F.col("message"),
@@ -235,11 +246,12 @@ def tool_prompt_text(status: DataFrame, findings: DataFrame) -> DataFrame:
                     .otherwise(F.lit("")))
     lines = findings.groupBy(*KEYS, "tool").agg(
         F.array_sort(F.collect_list(F.struct("file", "ord", line.alias("t")))).alias("ls"))
-    j = status.join(lines, [*KEYS, "tool"], "left")
+    j = status.select(*KEYS, "tool", "tool_pos", "success", "error").join(lines, [*KEYS, "tool"], "left")
+    j = j.withColumn("_n", F.when(F.col("ls").isNull(), F.lit(0)).otherwise(F.size("ls")))
     head = F.concat(F.lit("["), F.col("tool"), F.lit("] "))
     text = (F.when(~F.col("success"), F.concat(head, F.lit("Not available: "), F.col("error")))
-            .when(F.col("n_findings") == 0, F.concat(head, F.lit("No issues found.")))
-            .otherwise(F.concat(head, F.col("n_findings").cast("string"), F.lit(" issue(s):\n"),
+            .when(F.col("_n") == 0, F.concat(head, F.lit("No issues found.")))
+            .otherwise(F.concat(head, F.col("_n").cast("string"), F.lit(" issue(s):\n"),
                                 F.array_join(F.transform("ls", lambda x: x["t"]), "\n"))))
     return j.select(*KEYS, "tool", "tool_pos", text.alias("text"))
 

@@ -168,9 +168,13 @@ def _status(spark, d, found=None):
     return fd.tool_status(routes, _reports(spark, d), found if found is not None else _all_findings(spark, d), targets)
 
 
+def _routes(spark, d):
+    return filters.route_tools(fx.fx_pr(spark, d), kept_files(spark, d))
+
+
 def _unified(spark, d):
-    found = _all_findings(spark, d)
-    return fd.unified_findings(_status(spark, d, found), found)
+    ok = fd.tool_status(_routes(spark, d), _reports(spark, d), None)
+    return fd.unified_findings(ok, _all_findings(spark, d))
 
 
 def _fcols(df):
@@ -261,7 +265,7 @@ FROM status s LEFT JOIN (
 """)
 def q_tool_prompt_text(spark, d):
     found = _all_findings(spark, d)
-    t = fd.tool_prompt_text(_status(spark, d, found), found)
+    t = fd.tool_prompt_text(fd.tool_status(_routes(spark, d), _reports(spark, d), None), found)
     return t.select("repo_name", "pr_number", "tool", F.col("tool_pos").cast("bigint").alias("tool_pos"), "text")
 
 

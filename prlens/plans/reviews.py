@@ -53,8 +53,8 @@ DIFF_SQL = """diff AS (
 
 
 def tool_texts(spark, d):
-    found = _all_findings(spark, d)
-    return fd.tool_prompt_text(_status(spark, d, found), found)
+    from prlens.plans.findings import _reports, _routes
+    return fd.tool_prompt_text(fd.tool_status(_routes(spark, d), _reports(spark, d), None), _all_findings(spark, d))
 
 
 def diffs(spark, d):
