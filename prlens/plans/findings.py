@@ -91,7 +91,7 @@ eslint AS (
               SELECT repo_name, pr_number, unnest(j) AS fr, generate_subscripts(j, 1) AS fpos
               FROM (SELECT *, from_json(report, {ESLINT_T}) AS j FROM fx_tool_report WHERE tool = 'eslint') a) b) c) d),
 audit AS (
-  SELECT repo_name, pr_number, 'pip-audit' AS tool, dpos * 100000 + vpos AS ord, 'requirements.txt' AS file, 0 AS line,
+  SELECT repo_name, pr_number, 'pip-audit' AS tool, dpos * 100000 + vpos AS ord, 'requirements.txt' AS file, CAST(0 AS BIGINT) AS line,
          'HIGH' AS severity,
          dep.name || '==' || coalesce(dep.version, '?') || ': ' || coalesce(v.id, 'Unknown CVE') || ' — '
            || substring(coalesce(v.description, ''), 1, 200) AS message,

@@ -47,7 +47,8 @@ def agent_sql(a: str) -> str:
 
 
 @register("load_pr_files", """
-SELECT p.repo_name, p.pr_number, p.author, CAST(f.file_pos AS BIGINT) AS file_pos, f.filename, f.additions, f.deletions,
+SELECT p.repo_name, p.pr_number, p.author, CAST(f.file_pos AS BIGINT) AS file_pos, f.filename,
+       CAST(f.additions AS BIGINT) AS additions, CAST(f.deletions AS BIGINT) AS deletions,
        coalesce(x.patch, 'Binary file or no changes') AS patch
 FROM fx_pr_file f JOIN fx_patch x ON x.pr_number = f.pr_number AND x.file_pos = f.file_pos
 JOIN fx_pr p ON p.pr_number = f.pr_number

@@ -367,6 +367,7 @@ def fx_webhook(spark: SparkSession, d: str) -> DataFrame:
     return signed_of(fx_webhook_body(spark, d))
 
 
+@stored("fx_config_override")
 def fx_config_override(spark: SparkSession, d: str) -> DataFrame:
     """Per-repo config files (already parsed from YAML into rows).
 
