@@ -230,3 +230,19 @@ def test_manager_fallback_table(spark):
     assert len(t) == 6 and t[0]["dimension"] == "Correctness" and t[5]["dimension"] == "Test Coverage"
     v = rv.parse_verdict(rv.manager_fallback(df)).collect()[0]
     assert v["verdict"] == "APPROVE WITH CHANGES"
+
+
+def test_similar_code_blocks_equal_single_block(spark):
+    import random
+
+    from prlens.operators import retrieval as rt
+    rnd = random.Random(7)
+    rows = [(f"r{i % 2}", f"p{i}", "text", [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(40)]
+    files = spark.createDataFrame(rows, "repo_name string, path string, content string, embedding array<float>")
+    index = rt.index_rows(files)
+    queries = files.select("repo_name", F.col("path").alias("query_id"), "embedding")
+    def top(block):
+        return sorted((r["query_id"], r["hit_rank"], r["id"]) for r in
+                      rt.similar_code(queries, index, k=3, block_rows=block).collect())
+    small = top(4)
+    assert small == top(10_000) and len(small) == 40 * 3
