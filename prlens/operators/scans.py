@@ -232,3 +232,60 @@ def license_flags(docs: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     permissive; the first matching class per line."""
     s = scan_lines(text_lines(docs, text_col, keys), LICENSE_RULES, text_col="line", first_only=True)
     return s.select(*keys, "line_no", F.col("rule_id").alias("license"), F.col("message").alias("license_class"))
+
+
+# Fixed values (ours): near-duplicate detection -- 5-word shingles, 16 MinHash
+# functions in 4 bands of 4 (candidates above roughly 0.7 Jaccard similarity).
+NEAR_SHINGLE_WORDS = 5
+MINHASHES = 16
+BANDS = 4
+
+
+def minhash_signatures(code: DataFrame, content_col: str = "content", n: int = NEAR_SHINGLE_WORDS,
+                       hashes: int = MINHASHES) -> DataFrame:
+    """MinHash signature per (repo, path) over whole-text word shingles.
+
+    Each signature slot is ``min(xxhash64(seed, shingle))`` -- a partial +
+    final hash aggregate, so a huge document is reduced map-side and never
+    collected."""
+    words = F.split(py_strip(F.col(content_col)), r"\s+")
+    sh = code.select("repo_name", "path", words.alias("w")).select(
+        "repo_name", "path", F.explode(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))),
+            lambda i: F.array_join(F.slice("w", i, n), " "))).alias("shingle"))
+    return sh.groupBy("repo_name", "path").agg(
+        *[F.min(F.xxhash64(F.lit(i), F.col("shingle"))).alias(f"h{i}") for i in range(hashes)])
+
+
+def near_duplicate_groups(code: DataFrame, content_col: str = "content", bands: int = BANDS,
+                          hashes: int = MINHASHES) -> DataFrame:
+    """A7 (near): documents whose MinHash signatures agree on a whole band
+    fall in the same bucket; report every bucket with two or more documents.
+
+    No document pairs are formed: each document contributes one row per band
+    and buckets are counted with a hash aggregate (a bucket holding a third
+    of all documents is one combined counter)."""
+    sig = minhash_signatures(code, content_col, hashes=hashes)
+    r = hashes // bands
+    band_rows = F.array(*[F.struct(F.lit(b).alias("band"),
+                                   F.xxhash64(*[F.col(f"h{b * r + j}") for j in range(r)]).alias("bucket"))
+                          for b in range(bands)])
+    bk = sig.select("repo_name", "path", F.inline(band_rows))
+    return bk.groupBy("repo_name", "band", "bucket").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.min("path").alias("first_path")).filter(
+        F.col("n_docs") >= 2)
+
+
+def near_duplicate_files(code: DataFrame, content_col: str = "content", bands: int = BANDS,
+                         hashes: int = MINHASHES) -> DataFrame:
+    """Per document: the largest near-duplicate bucket it belongs to (>= 2 docs)."""
+    sig = minhash_signatures(code, content_col, hashes=hashes)
+    r = hashes // bands
+    band_rows = F.array(*[F.struct(F.lit(b).alias("band"),
+                                   F.xxhash64(*[F.col(f"h{b * r + j}") for j in range(r)]).alias("bucket"))
+                          for b in range(bands)])
+    bk = sig.select("repo_name", "path", F.inline(band_rows))
+    sizes = bk.groupBy("repo_name", "band", "bucket").agg(F.count(F.lit(1)).alias("n_docs"))
+    j = bk.join(sizes.filter(F.col("n_docs") >= 2), ["repo_name", "band", "bucket"])
+    return j.groupBy("repo_name", "path").agg(F.max("n_docs").cast("bigint").alias("max_group"),
+                                             F.count(F.lit(1)).cast("bigint").alias("bands_shared"))

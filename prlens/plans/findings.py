@@ -408,3 +408,15 @@ SELECT repo_name, path, CAST(line_no AS BIGINT) AS line_no, rule_id AS license,
 def q_license_flags(spark, d):
     s = scans.license_flags(fx.fx_code_file(spark, d), "content", ["repo_name", "path"])
     return s.select("repo_name", "path", F.col("line_no").cast("bigint").alias("line_no"), "license", "license_class")
+
+
+@register("near_duplicate_groups")
+def q_near_duplicate_groups(spark, d):
+    """A7 near-duplicates (MinHash banding, rows-only check)."""
+    return scans.near_duplicate_groups(fx.fx_code_file(spark, d))
+
+
+@register("near_duplicate_files")
+def q_near_duplicate_files(spark, d):
+    """A7 near-duplicates per document (rows-only check)."""
+    return scans.near_duplicate_files(fx.fx_code_file(spark, d))

@@ -246,3 +246,16 @@ def test_similar_code_blocks_equal_single_block(spark):
                       rt.similar_code(queries, index, k=3, block_rows=block).collect())
     small = top(4)
     assert small == top(10_000) and len(small) == 40 * 3
+
+
+def test_near_duplicates_group_copies_not_strangers(spark):
+    from prlens.operators import scans
+    base = " ".join(f"w{i}" for i in range(120))
+    near = base.replace("w60 ", "changed ")
+    other = " ".join(f"z{i}" for i in range(120))
+    docs = spark.createDataFrame([("r", "a.py", base), ("r", "b.py", near), ("r", "c.py", other)],
+                                 "repo_name string, path string, content string")
+    g = scans.near_duplicate_groups(docs).collect()
+    assert g and all(x["n_docs"] == 2 and x["first_path"] == "a.py" for x in g)
+    f = {x["path"] for x in scans.near_duplicate_files(docs).collect()}
+    assert f == {"a.py", "b.py"}
