@@ -305,10 +305,11 @@ def merge_decision(blocks: DataFrame, flags: DataFrame) -> DataFrame:
         F.count_if((a.isin(CHANGE_AGENTS) & (rank >= 2)) | (a.isin(MEDIUM_BLOCKERS) & (rank == 2)))
         .cast("bigint").alias("n_changes"),
     )
-    j = flags.select(*KEYS, "has_breaking").join(agg, KEYS, "left").fillna(0, ["n_blocking", "n_changes"])
+    carry = [c for c in ("n_breaking",) if c in flags.columns]
+    j = flags.select(*KEYS, "has_breaking", *carry).join(agg, KEYS, "left").fillna(0, ["n_blocking", "n_changes"])
     dec = (F.when((F.col("n_blocking") > 0) | F.col("has_breaking"), F.lit(DECISIONS[0]))
            .when(F.col("n_changes") > 0, F.lit(DECISIONS[1])).otherwise(F.lit(DECISIONS[2])))
-    return j.select(*KEYS, dec.alias("decision"), "n_blocking", "n_changes", "has_breaking")
+    return j.select(*KEYS, dec.alias("decision"), "n_blocking", "n_changes", "has_breaking", *carry)
 
 
 def parse_verdict(reviews: DataFrame, col: str = "final_review") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prlens.operators import breaking as bk
 from prlens.plans.registry import register
+from prlens.session import cut_lineage
 from prlens.sources import fixtures as fx
 
 LINES_SQL = r"""lines AS (
@@ -175,6 +176,9 @@ WHERE b.name IS NOT NULL
 GROUP BY b.repo_name, b.pr_number, b.finding_pos, b.kind, b.name, b.filename
 """)
 def q_backward_compat_report(spark, d):
-    b = bk.breaking_changes(fx.fx_patch(spark, d))
+    # The findings feed three consumers (the name filter, the counts, the
+    # own-file lookup); a reliable checkpoint in the shared folder makes the
+    # patch parse run once instead of once per consumer.
+    b = cut_lineage(bk.breaking_changes(fx.fx_patch(spark, d)))
     r = bk.backward_compat_report(b, repo_code_tokens(spark, d))
     return r.select("repo_name", "pr_number", _i("finding_pos"), "kind", "name", "filename", _i("n_caller_files"))

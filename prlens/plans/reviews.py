@@ -269,7 +269,8 @@ FROM flags f LEFT JOIN agg a USING (repo_name, pr_number)
 """)
 def q_merge_decision(spark, d):
     flags = bk.breaking_flags(fx.fx_pr(spark, d), bk.breaking_changes(fx.fx_patch(spark, d)))
-    return rv.merge_decision(blocks(spark, d), flags)
+    return rv.merge_decision(blocks(spark, d), flags).select(
+        "repo_name", "pr_number", "decision", "n_blocking", "n_changes", "has_breaking")
 
 
 # ---- P7-P14 ----
