@@ -22,6 +22,11 @@ _LOCK = threading.RLock()
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    app = spark.conf.get("spark.app.id", None)
+    return app or spark.sparkContext.applicationId
+
+
 def stored(name: str):
     """Materialise an adapter once per application as a parquet table in the
     shared checkpoint folder, then serve it from there.
@@ -32,7 +37,7 @@ def stored(name: str):
     """
     def deco(build):
         def get(spark: SparkSession, d: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, os.path.abspath(d), name)
+            key = (_app_id(spark), os.path.abspath(d), name)
             with _LOCK:
                 path = _STORED.get(key)
                 if path is None:

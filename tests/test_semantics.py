@@ -259,3 +259,15 @@ def test_near_duplicates_group_copies_not_strangers(spark):
     assert g and all(x["n_docs"] == 2 and x["first_path"] == "a.py" for x in g)
     f = {x["path"] for x in scans.near_duplicate_files(docs).collect()}
     assert f == {"a.py", "b.py"}
+
+
+def test_index_versions(spark, tmp_path):
+    from prlens.operators import retrieval as rt
+    files = spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", "")], "repo_name string, path string, content string")
+    base = str(tmp_path / "index")
+    rt.publish_index(rt.index_rows(files), base, 1)
+    newer = spark.createDataFrame([("r", "a.py", "y"), ("s", "c.py", "z")], "repo_name string, path string, content string")
+    rt.publish_index(rt.index_upsert(rt.read_index(spark, base), newer), base, 2)
+    cur = {(r["path"], r["content"]) for r in rt.read_index(spark, base).collect()}
+    assert cur == {("a.py", "y"), ("c.py", "z")}
+    assert {r["repo_name"] for r in rt.index_clear(rt.read_index(spark, base), "s").collect()} == {"r"}
