@@ -161,17 +161,34 @@ def _indent(raw: F.Column) -> F.Column:
     return F.length(F.regexp_extract(raw, r"^[ \t]*", 0))
 
 
-def performance_pattern_scan(lines: DataFrame) -> DataFrame:
+def _added_records(files: DataFrame) -> DataFrame:
+    """Per file: the array of its added lines (line_no, code, indent, is_for),
+    parsed once from the patch (no explode, no shuffle)."""
+    from prlens.operators.breaking import line_records
+
+    recs = F.filter(line_records(F.col("patch")), lambda r: r["side"] == "added")
+    aug = F.transform(recs, lambda r: F.struct(
+        r["line_no"].alias("line_no"), r["code"].alias("code"),
+        F.length(F.regexp_extract(r["raw"], r"^[ \t]*", 0)).alias("indent"), r["code"].rlike(LOOP_RX).alias("is_for")))
+    return files.filter(F.col("patch").isNotNull()).select(*KEYS, "filename", aug.alias("a"))
+
+
+def performance_pattern_scan(files: DataFrame) -> DataFrame:
     """A4: query/HTTP call or a ``for`` within 5 added lines below a
     shallower ``for``; ``SELECT *``; a module-level ``cache = {}``.
 
-    The look-back is a bounded rows frame (5 preceding added lines) per file,
-    so no line ever sees more than five neighbours.
+    The look-back reads the 5 preceding added lines of the same patch from
+    the patch's own line array (``slice`` by position), so it needs neither a
+    window nor a shuffle of the lines; no line ever sees more than five
+    neighbours.
     """
-    a = added_lines(lines).withColumn("indent", _indent(F.col("raw")))
-    a = a.withColumn("is_for", F.col("code").rlike(LOOP_RX))
-    w = Window.partitionBy(*KEYS, "filename").orderBy("line_no").rowsBetween(-LOOKBACK, -1)
-    a = a.withColumn("loop_indent", F.min(F.when(F.col("is_for"), F.col("indent"))).over(w))
+    a = _added_records(files)
+    arr = F.col("a")
+    look = F.transform(arr, lambda x, i: F.struct(
+        x["line_no"].alias("line_no"), x["code"].alias("code"), x["indent"].alias("indent"), x["is_for"].alias("is_for"),
+        F.array_min(F.transform(F.filter(F.slice(arr, F.greatest(i - (LOOKBACK - 1), F.lit(1)), F.least(i, F.lit(LOOKBACK))),
+                                         lambda p: p["is_for"]), lambda p: p["indent"])).alias("loop_indent")))
+    rows = a.select(*KEYS, "filename", F.inline(look))
     in_loop = F.coalesce(F.col("loop_indent") < F.col("indent"), F.lit(False))
     hits = F.filter(F.array(
         F.when(in_loop & F.col("code").rlike(CALL_RX), F.struct(
@@ -187,23 +204,26 @@ def performance_pattern_scan(lines: DataFrame) -> DataFrame:
             F.lit("unbounded-cache").alias("rule_id"), F.lit("MEDIUM").alias("severity"),
             F.lit("Module-level cache without a bound").alias("message"))),
     ), lambda x: x.isNotNull())
-    return a.select(*KEYS, "filename", "line_no", F.explode(hits).alias("_r")).select(
+    return rows.select(*KEYS, "filename", "line_no", F.explode(hits).alias("_r")).select(
         *KEYS, "filename", "line_no", "_r.*")
 
 
-def function_length(lines: DataFrame) -> DataFrame:
-    """Length of each added ``def`` in added lines, up to the next added
-    ``def`` or the end of the file's added lines; >30 MEDIUM, >50 HIGH."""
-    a = added_lines(lines)
-    wf = Window.partitionBy(*KEYS, "filename")
-    a = a.withColumn("rn", F.row_number().over(wf.orderBy("line_no"))).withColumn(
-        "n_added", F.count(F.lit(1)).over(wf))
-    defs = a.filter(F.col("code").rlike(r"^def\s+\w+"))
-    nxt = F.lead("rn").over(wf.orderBy("rn"))
-    defs = defs.withColumn("length", F.coalesce(nxt, F.col("n_added") + 1) - F.col("rn"))
+def function_length(files: DataFrame) -> DataFrame:
+    """Length of each added ``def``: added lines up to the next added
+    ``def`` or the end of the file's added lines; >30 MEDIUM, >50 HIGH.
+    Computed on the patch's own line array (positions of the defs), no shuffle."""
+    a = _added_records(files)
+    arr = F.col("a")
+    pos = F.filter(F.transform(arr, lambda x, i: F.when(x["code"].rlike(r"^def\s+\w+"), i)), lambda i: i.isNotNull())
+    a = a.select(*KEYS, "filename", "a", pos.alias("p"))
+    pc = F.col("p")
+    defs = F.transform(pc, lambda i, k: F.struct(
+        F.element_at(arr, i + 1)["line_no"].alias("line_no"),
+        F.regexp_extract(F.element_at(arr, i + 1)["code"], r"^def\s+(\w+)", 1).alias("name"),
+        (F.coalesce(F.try_element_at(pc, k + 2), F.size(arr)) - i).cast("bigint").alias("length")))
+    d = a.select(*KEYS, "filename", F.inline(defs))
     sev = F.when(F.col("length") > FUNC_HIGH, F.lit("HIGH")).when(F.col("length") > FUNC_MEDIUM, F.lit("MEDIUM"))
-    return defs.select(*KEYS, "filename", "line_no", F.regexp_extract("code", r"^def\s+(\w+)", 1).alias("name"),
-                       F.col("length").cast("bigint").alias("length"), sev.alias("severity"))
+    return d.select(*KEYS, "filename", "line_no", "name", "length", sev.alias("severity"))
 
 
 def duplicate_blocks(code: DataFrame, n: int = 5, content_col: str = "content") -> DataFrame:

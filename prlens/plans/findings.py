@@ -358,7 +358,7 @@ UNION ALL SELECT repo_name, pr_number, filename, line_no, 'unbounded-cache', 'ME
   FROM c WHERE indent = 0 AND regexp_matches(code, {q(scans.CACHE_RX)})
 """)
 def q_performance_pattern_scan(spark, d):
-    return _scan_cols(scans.performance_pattern_scan(_lines(spark, d)))
+    return _scan_cols(scans.performance_pattern_scan(fx.fx_patch(spark, d)))
 
 
 @register("function_length", "WITH " + LINES_SQL + """,
@@ -370,7 +370,7 @@ SELECT repo_name, pr_number, filename, CAST(line_no AS BIGINT) AS line_no, regex
        CAST(length AS BIGINT) AS length, CASE WHEN length > 50 THEN 'HIGH' WHEN length > 30 THEN 'MEDIUM' END AS severity FROM d
 """)
 def q_function_length(spark, d):
-    f = scans.function_length(_lines(spark, d))
+    f = scans.function_length(fx.fx_patch(spark, d))
     return f.select("repo_name", "pr_number", "filename", F.col("line_no").cast("bigint").alias("line_no"), "name",
                     "length", "severity")
 

@@ -62,7 +62,7 @@ def test_scans(spark):
     assert ("app/user_service.py", "bare-except") in f
     http = [x for x in f if x[1] == "http-without-timeout"]
     assert http == [("app/payment_handler.py", "http-without-timeout")]  # the call with timeout= is not flagged
-    p = {r for _, r in rows(scans.performance_pattern_scan(lines), "filename", "rule_id")}
+    p = {r for _, r in rows(scans.performance_pattern_scan(files_df(spark)), "filename", "rule_id")}
     assert {"query-in-loop", "select-star", "unbounded-cache"} <= p
     m = {r for _, r in rows(scans.maintainability_scan(lines), "filename", "rule_id")}
     assert {"todo-without-ticket", "vague-name", "and-in-function-name"} <= m

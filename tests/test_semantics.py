@@ -271,3 +271,14 @@ def test_index_versions(spark, tmp_path):
     cur = {(r["path"], r["content"]) for r in rt.read_index(spark, base).collect()}
     assert cur == {("a.py", "y"), ("c.py", "z")}
     assert {r["repo_name"] for r in rt.index_clear(rt.read_index(spark, base), "s").collect()} == {"r"}
+
+
+def test_function_length_and_nested_loops(spark):
+    from prlens.operators import scans
+    body = ["+def big(a):"] + [f"+    x{i} = {i}" for i in range(35)] + ["+def small():", "+    return 1"]
+    loops = ["+def f(rows):", "+    for r in rows:", "+        for c in r:", "+            db.execute(c)"]
+    f = files(spark, ("a.py", "\n".join(body)), ("b.py", "\n".join(loops)))
+    fl = {(r["filename"], r["name"]): (r["length"], r["severity"]) for r in scans.function_length(f).collect()}
+    assert fl[("a.py", "big")] == (36, "MEDIUM") and fl[("a.py", "small")] == (2, None)
+    hits = {(r["line_no"], r["rule_id"]) for r in scans.performance_pattern_scan(f).collect() if r["filename"] == "b.py"}
+    assert hits == {(2, "nested-loop"), (3, "query-in-loop")}
