@@ -122,13 +122,13 @@ def patch_definitions(files: DataFrame, strict: bool = False) -> DataFrame:
 def annotate_definitions(defs: DataFrame) -> DataFrame:
     """Per-definition facts for B3-B7, computed in one shuffle.
 
-    The rows are hash-partitioned once on (repo, PR, name); the per-file
-    window (last removed / last added signature of a name in a file) and
-    the per-PR window (was the name's signature changed in any file) are
-    both satisfied by that partitioning, so no further exchange is needed
-    and no branch re-reads the patches.
+    The rows are hash-partitioned once on (repo, PR); the per-file window
+    (last removed / last added signature of a name in a file), the per-name
+    window (was the name's signature changed in any file of the PR) and the
+    final per-PR finding numbering are all satisfied by that partitioning,
+    so the plan has one exchange and no branch re-reads the patches.
     """
-    d = defs.repartition(*KEYS, "name")
+    d = defs.repartition(*KEYS)
     fn = F.col("kind") == "function"
     rem = F.col("side") == "removed"
     add = F.col("side") == "added"
