@@ -101,7 +101,7 @@ def q_stream_issue_counts(spark, d):
 
 
 @register("error_comment", f"""WITH {REQUESTS_SQL}
-SELECT DISTINCT r.repo_name, r.pr_number, '⚠️ AI Code Reviewer encountered an error: PR #' || CAST(r.pr_number AS VARCHAR)
+SELECT DISTINCT r.repo_name, r.pr_number, '⚠️ Automated review failed: PR #' || CAST(r.pr_number AS VARCHAR)
        || ' not found in ' || r.repo_name AS body
 FROM requests r WHERE NOT EXISTS (SELECT 1 FROM fx_pr p WHERE p.repo_name = r.repo_name AND p.pr_number = r.pr_number)""")
 def q_error_comment(spark, d):
@@ -133,7 +133,7 @@ summ AS (SELECT v.repo_name, v.pr_number, coalesce(v.final_review, '')
           ELSE '' END
   || CASE WHEN coalesce(r.reviewer_text, '') <> '' THEN chr(10) || chr(10) || '---' || chr(10) || r.reviewer_text ELSE '' END AS body
   FROM fx_verdict v LEFT JOIN fx_autofix a USING (repo_name, pr_number) LEFT JOIN rev_text r USING (repo_name, pr_number)),
-errs AS (SELECT DISTINCT r.repo_name, r.pr_number, '⚠️ AI Code Reviewer encountered an error: PR #' || CAST(r.pr_number AS VARCHAR)
+errs AS (SELECT DISTINCT r.repo_name, r.pr_number, '⚠️ Automated review failed: PR #' || CAST(r.pr_number AS VARCHAR)
        || ' not found in ' || r.repo_name AS body
   FROM requests r WHERE NOT EXISTS (SELECT 1 FROM fx_pr p WHERE p.repo_name = r.repo_name AND p.pr_number = r.pr_number))
 SELECT repo_name, pr_number, 'size_warning' AS kind, NULL::VARCHAR AS path, NULL::BIGINT AS line, body FROM size_c
