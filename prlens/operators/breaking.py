@@ -122,13 +122,14 @@ def patch_definitions(files: DataFrame, strict: bool = False) -> DataFrame:
 def annotate_definitions(defs: DataFrame) -> DataFrame:
     """Per-definition facts for B3-B7, computed in one shuffle.
 
-    The rows are hash-partitioned once on (repo, PR); the per-file window
-    (last removed / last added signature of a name in a file), the per-name
-    window (was the name's signature changed in any file of the PR) and the
-    final per-PR finding numbering are all satisfied by that partitioning,
-    so the plan has one exchange and no branch re-reads the patches.
+    The rows are hash-partitioned once on (repo, PR, name); the per-file
+    window (last removed / last added signature of a name in a file) and the
+    per-name window (was the name's signature changed in any file of the PR)
+    are both satisfied by that partitioning, so no branch re-reads the
+    patches, and a PR with a huge share of the definitions is spread over
+    its names.
     """
-    d = defs.repartition(*KEYS)
+    d = defs.repartition(*KEYS, "name")
     fn = F.col("kind") == "function"
     rem = F.col("side") == "removed"
     add = F.col("side") == "added"
@@ -215,6 +216,8 @@ def breaking_changes(files: DataFrame, strict: bool = False) -> DataFrame:
     out = out.select(*KEYS, "kind_pos", F.element_at(F.array(*[F.lit(x) for x in KIND_ORDER]), kp + 1).alias("kind"),
                      "file_pos", "filename", "line_no", F.when(kp != 2, F.col("name")).alias("name"),
                      message.alias("message"))
+    # Numbering needs the PR's findings together: a second, small exchange of
+    # findings only (the definition lines themselves stay spread by name).
     w = Window.partitionBy(*KEYS).orderBy("kind_pos", "file_pos", "line_no")
     return out.withColumn("finding_pos", F.row_number().over(w))
 

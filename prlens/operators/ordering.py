@@ -1,0 +1,36 @@
+"""Ordinals within a group without sending the whole group to one task.
+
+``row_number() OVER (PARTITION BY keys ORDER BY coarse..., fine...)`` puts
+every row of a group on one reducer.  When a group can hold a large share of
+all rows, the same numbers come from two smaller steps:
+
+1. count the rows per (keys, coarse) -- a partial + final hash aggregate,
+   tiny compared with the rows;
+2. turn the counts into starting offsets with a running sum over each
+   group's (small) list of coarse buckets;
+3. number the rows inside each (keys, coarse) bucket, which is partitioned
+   by the finer key and so spreads a hot group over many tasks;
+4. add offset and local number (an equi-join with the small offsets table).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def ordinal(df: DataFrame, keys: list[str], coarse: list[Column | str], fine: list[Column | str],
+            name: str = "ordinal") -> DataFrame:
+    """Add ``name`` = 1-based position of each row within ``keys`` when
+    ordered by ``coarse`` then ``fine`` (``coarse`` entries must be plain
+    column names or expressions that can be grouped on)."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in coarse]
+    cnames = [f"_c{i}" for i in range(len(cols))]
+    d = df.select("*", *[c.alias(n) for c, n in zip(cols, cnames)])
+    counts = d.groupBy(*keys, *cnames).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*keys).orderBy(*cnames).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, *cnames, F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*keys, *cnames).orderBy(*fine))
+    d = d.withColumn("_local", local)
+    return d.join(offsets, [*keys, *cnames]).withColumn(name, F.col("_off") + F.col("_local")).drop(
+        *cnames, "_local", "_off")
