@@ -236,9 +236,11 @@ def _vocab_ok(agent: Column, sev: Column) -> Column:
 _WS = r"[ \t\x0B\f\r]"
 _MARK = "\u0001"
 # A block starts at a DIMENSION: line, or at an ISSUE: line whose previous
-# line is not a DIMENSION: line; the marker is inserted at those line starts.
-_BLOCK_START_RX = (r"(?md)^(?=" + _WS + r"*DIMENSION:)|^(?<!^" + _WS + r"{0,64}DIMENSION:[^\n]{0,65536}\n)(?="
-                   + _WS + r"*ISSUE:)")
+# line is not a DIMENSION: line.  Both kinds of line start are marked first;
+# a second forward pass removes the mark of an ISSUE: line that directly
+# follows a DIMENSION: line (no look-behind, linear in the text).
+_MARK_ALL_RX = r"(?md)^(?=" + _WS + r"*(?:DIMENSION|ISSUE):)"
+_UNMARK_RX = r"(?md)(^" + _MARK + _WS + r"*DIMENSION:[^\n]*\n)" + _MARK + r"(?=" + _WS + r"*ISSUE:)"
 
 
 def _key_value(block: Column, keys: list[str]) -> Column:
@@ -252,11 +254,11 @@ def parse_issue_blocks(reviews: DataFrame) -> DataFrame:
 
     A block starts at a ``DIMENSION:`` line, or at an ``ISSUE:`` line not
     directly under a ``DIMENSION:`` line; within a block the first value of
-    each key wins.  The split is one ``regexp_replace`` that marks block
-    starts plus a ``split`` -- a pure map over reviews: no shuffle, no
+    each key wins.  The split is two forward ``regexp_replace`` passes that
+    mark block starts plus a ``split`` -- a pure map over reviews: no shuffle, no
     window, and every step stays in generated code.
     """
-    marked = F.regexp_replace(F.coalesce("review", F.lit("")), _BLOCK_START_RX, _MARK)
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce("review", F.lit("")), _MARK_ALL_RX, _MARK), _UNMARK_RX, "$1")
     b = reviews.select(*KEYS, "agent", F.posexplode(F.split(marked, _MARK, -1)).alias("block_no", "blk"))
     b = b.filter(F.col("block_no") >= 1)
     blk = F.col("blk")
