@@ -294,3 +294,27 @@ def test_two_phase_ordinal_equals_row_number(spark):
     w = Window.partitionBy("g").orderBy("a", "b", "c")
     want = {(r["g"], r["c"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_pr_dump_intake(spark, tmp_path):
+    import json
+
+    from prlens.sources import prs
+    dump = [{"repo_name": "o/r", "pr_number": 7, "title": "t", "body": None, "author": "ann", "head_sha": "abc",
+             "total_additions": 3, "total_deletions": 1,
+             "files": [{"filename": "a.py", "patch": "+x", "additions": 1, "deletions": 0, "status": "modified"},
+                       {"filename": "img.png", "patch": None, "additions": 0, "deletions": 0, "status": "added"}]}]
+    p = tmp_path / "prs.json"
+    p.write_text("\n".join(json.dumps(d) for d in dump))
+    rows = prs.load_pr_files(prs.read_pr_dump(spark, str(p))).orderBy("file_pos").collect()
+    assert [(r["file_pos"], r["filename"], r["patch"], r["body"]) for r in rows] == [
+        (1, "a.py", "+x", ""), (2, "img.png", prs.NO_PATCH, "")]
+
+
+def test_tool_report_intake(spark):
+    from prlens.sources import prs
+    df = spark.createDataFrame([("r", 1, "ruff", ""), ("r", 1, "bandit", None), ("r", 1, "pip-audit", " {\"dependencies\": []} "),
+                                ("r", 1, "eslint", "oops")], "repo_name string, pr_number bigint, tool string, report string")
+    got = {r["tool"]: (r["report"], r["root"], r["parse_ok"]) for r in prs.load_tool_reports(df).collect()}
+    assert got == {"ruff": ("[]", "array", True), "bandit": ("{}", "object", True),
+                   "pip-audit": ('{"dependencies": []}', "object", True), "eslint": ("oops", "invalid", False)}
