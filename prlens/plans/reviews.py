@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prlens.operators import breaking as bk, evaluation as ev, findings as fd, reviews as rv
 from prlens.plans.changes import BREAKING_SQL, LINES_SQL
-from prlens.plans.findings import ALL_SQL, _all_findings, _status, q
+from prlens.plans.findings import ALL_SQL, _all_findings, q
 from prlens.plans.history import MEMCTX_SQL, REVIEWER_TEXT_SQL, REVIEWERS_SQL, memory_context, reviewers
 from prlens.plans.registry import register
 from prlens.operators import history as hs
