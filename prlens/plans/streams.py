@@ -69,6 +69,17 @@ def q_stream_review_requests(spark, d):
     return spark.read.parquet(sink).select(*REQ_COLS)
 
 
+@register("webhook_source", """
+SELECT delivery_id, CAST(ts AS VARCHAR) AS ts, body, signature FROM fx_webhook""")
+def q_webhook_source(spark, d):
+    """Deliveries dropped as parquet files are read back as a stream with
+    the fixed delivery schema and drained to a sink."""
+    drop = os.path.join(checkpoint_dir(spark), f"deliveries-{uuid.uuid4().hex}")
+    fx.fx_webhook(spark, d).write.parquet(drop)
+    sink = wh.run_to_parquet(spark, wh.webhook_source(spark, drop))
+    return spark.read.parquet(sink).select("delivery_id", F.col("ts").cast("string").alias("ts"), "body", "signature")
+
+
 @register("stream_pr_pipeline")
 def q_stream_pr_pipeline(spark, d):
     """Each micro-batch of review requests runs the size report for its PRs
