@@ -45,7 +45,10 @@ AGENT_TOOLS = {
     "maintainability": ["ruff", "eslint"],
     "dependency": ["pip-audit"],
     "test": [],
+    "style": ["ruff"],
 }
+# The optional seventh reviewer (style) is not part of the default fan-out.
+OPTIONAL_AGENTS = ["style"]
 BLOCK_KEYS = ["DIMENSION", "ISSUE", "ATTACK", "SCALE", "LINE", "SEVERITY", "IMPACT", "FIX", "PACKAGE", "UNTESTED CODE"]
 DETAIL_KEYS = ["ATTACK", "SCALE", "IMPACT", "PACKAGE", "UNTESTED CODE"]
 VERDICTS_RX = r"Verdict:\s*(BLOCK MERGE|APPROVE WITH CHANGES|APPROVE)"
@@ -101,22 +104,25 @@ AGENT_BRIEF = {
     "maintainability": "Review the diff for unclear names, oversized functions, duplication and missing tickets on TODOs.",
     "dependency": "Review the dependency changes for unpinned, vulnerable, deprecated or look-alike packages and licences.",
     "test": "Review whether the new and changed code paths are covered by tests.",
+    "style": "Review naming, formatting and consistency with the existing code of this repository.",
 }
 BLOCK_FORMAT = "Report each finding as lines `ISSUE:`, `LINE:`, `SEVERITY:` ({vocab}) and `FIX:`."
 NO_TOOLS = {"security": "No automated scan available.", "dependency": "No automated scan available."}
 
 
-def route_tool_text(texts: DataFrame) -> DataFrame:
+def route_tool_text(texts: DataFrame, include_style: bool = False) -> DataFrame:
     """Per (PR, agent) the tool texts that agent sees, newline-joined, empties dropped.
 
     One pivot-like aggregate per PR (six tool columns), then a fixed
-    per-agent projection -- no join against a mapping table.
+    per-agent projection -- no join against a mapping table.  The optional
+    style reviewer (a seventh row per PR) sees the ruff output.
     """
+    agents = AGENT_ORDER + (OPTIONAL_AGENTS if include_style else [])
     tools = sorted({t for ts in AGENT_TOOLS.values() for t in ts})
     per = texts.groupBy(*KEYS).agg(*[
         F.max(F.when(F.col("tool") == t, F.nullif(F.col("text"), F.lit("")))).alias(f"t_{t}") for t in tools])
     rows = []
-    for pos, agent in enumerate(AGENT_ORDER):
+    for pos, agent in enumerate(agents):
         cols = [F.col(f"`t_{t}`") for t in AGENT_TOOLS[agent]]
         txt = F.concat_ws("\n", *cols) if cols else F.lit("")
         rows.append(F.struct(F.lit(agent).alias("agent"), F.lit(pos).alias("agent_pos"), txt.alias("tool_text")))
@@ -149,7 +155,7 @@ def build_prompts(ctx: DataFrame) -> DataFrame:
     fmt = F.lit("")
     sentinel = F.lit("")
     no_tool = F.lit("")
-    for a in AGENT_ORDER:
+    for a in AGENT_ORDER + OPTIONAL_AGENTS:
         brief = F.when(F.col("agent") == a, F.lit(AGENT_BRIEF[a])).otherwise(brief)
         fmt = F.when(F.col("agent") == a, F.lit(BLOCK_FORMAT.format(vocab=" / ".join(SEVERITY_VOCAB[a])))).otherwise(fmt)
         sentinel = F.when(F.col("agent") == a, F.lit(SENTINELS[a])).otherwise(sentinel)
@@ -161,7 +167,7 @@ def build_prompts(ctx: DataFrame) -> DataFrame:
         F.when(has_tool, F.concat(F.lit("Static analysis results:\n"), F.col("tool_text"), F.lit("\n\n"))).otherwise(no_tool),
         sec(F.coalesce(F.col("memory_context"), F.lit("")) != "",
             F.lit("Team history:\n"), F.col("memory_context"), F.lit("\n\n")),
-        sec((F.col("agent") == "maintainability") & (F.coalesce(F.col("context"), F.lit("")) != ""),
+        sec(F.col("agent").isin("maintainability", "style") & (F.coalesce(F.col("context"), F.lit("")) != ""),
             F.lit("Existing code in this repository:\n"), F.col("context"), F.lit("\n\n")),
         F.lit("Diff:\n"), F.col("diff"), F.lit("\n\n"), fmt,
         F.lit("\nIf there is nothing to report, answer exactly: "), sentinel,

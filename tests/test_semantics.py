@@ -318,3 +318,15 @@ def test_tool_report_intake(spark):
     got = {r["tool"]: (r["report"], r["root"], r["parse_ok"]) for r in prs.load_tool_reports(df).collect()}
     assert got == {"ruff": ("[]", "array", True), "bandit": ("{}", "object", True),
                    "pip-audit": ('{"dependencies": []}', "object", True), "eslint": ("oops", "invalid", False)}
+
+
+def test_optional_style_agent_prompt(spark):
+    texts = spark.createDataFrame([("r", 1, "ruff", "[ruff] No issues found."), ("r", 1, "bandit", "")],
+                                  "repo_name string, pr_number bigint, tool string, text string")
+    routed = rv.route_tool_text(texts, include_style=True)
+    got = {r["agent"]: r["tool_text"] for r in routed.collect()}
+    assert len(got) == 7 and got["style"] == "[ruff] No issues found." and got["security"] == ""
+    ctx = routed.withColumn("diff", F.lit("[]")).withColumn("memory_context", F.lit("")).withColumn("context", F.lit("x = 1"))
+    p = {r["agent"]: r["prompt"] for r in rv.build_prompts(ctx).collect()}
+    assert p["style"].endswith("answer exactly: NO STYLE ISSUES FOUND") and "Existing code in this repository:\nx = 1" in p["style"]
+    assert p["security"].startswith(rv.AGENT_BRIEF["security"] + "\n\nNo automated scan available.")
