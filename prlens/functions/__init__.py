@@ -64,17 +64,3 @@ def glob_to_regex(pattern: str | Column) -> Column:
     p = F.regexp_replace(p, r"\?", ".")
     p = F.regexp_replace(p, r"\[!", "[^")
     return F.concat(F.lit("(?s)^"), p, F.lit("$"))
-
-
-def regex_flags(rows: list[tuple]) -> Column:
-    """Helper: build ``array(when(cond, struct)...)`` with nulls removed."""
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
-
-
-def nonempty(c: str | Column) -> Column:
-    c = col_(c)
-    return c.isNotNull() & (c != "")
-
-
-def first_n_chars(c: str | Column, n: int) -> Column:
-    return F.substring(col_(c), 1, n)

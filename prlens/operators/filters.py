@@ -59,6 +59,7 @@ def route_tools(prs: DataFrame, files: DataFrame) -> DataFrame:
         elif t in JS_TOOLS:
             cond = F.coalesce("has_js", F.lit(False))
         else:
+            assert t in ALWAYS_TOOLS
             cond = F.lit(True)
         chosen.append(F.when(cond, F.struct(F.lit(t).alias("tool"), F.lit(tool_pos(t)).alias("tool_pos"))))
     return j.select("repo_name", "pr_number", F.explode(F.array_compact(F.array(*chosen))).alias("t")).select(

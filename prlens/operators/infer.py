@@ -86,7 +86,3 @@ def flaky(prompt: str) -> str:
 def length_scorer(prompt: str) -> str:
     """Scores a review 1-10 from its length (a stub judge)."""
     return str(1 + len(prompt) % 10)
-
-
-def response_stats(df: DataFrame) -> DataFrame:
-    return df.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"))

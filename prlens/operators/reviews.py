@@ -408,7 +408,8 @@ def score_gate(df: DataFrame, col: str = "raw_score") -> DataFrame:
     score = F.when(s.rlike(r"^[0-9]+$"), s).otherwise(F.lit(DEFAULT_SCORE))
     digits = F.regexp_replace(score, r"^0+(?=[0-9])", "")  # no leading zeros, so length orders values
     passed = (F.length(digits) > 1) | (digits >= F.lit(str(PASS_SCORE)))
-    desc = F.substring(F.concat(F.lit("AI review score: "), score, F.lit("/10")), 1, STATUS_CHARS)
+    pre, post = STATUS_DESCRIPTION.split("{score}")
+    desc = F.substring(F.concat(F.lit(pre), score, F.lit(post)), 1, STATUS_CHARS)
     return df.select(*KEYS, score.alias("score"),
                      F.when(passed, F.lit("success")).otherwise(F.lit("failure")).alias("state"),
                      desc.alias("description"))

@@ -157,10 +157,6 @@ def maintainability_scan(lines: DataFrame) -> DataFrame:
     return s.select(*KEYS, "filename", "line_no", "rule_id", "severity", "message")
 
 
-def _indent(raw: F.Column) -> F.Column:
-    return F.length(F.regexp_extract(raw, r"^[ \t]*", 0))
-
-
 def _added_records(files: DataFrame) -> DataFrame:
     """Per file: the array of its added lines (line_no, code, indent, is_for),
     parsed once from the patch (no explode, no shuffle)."""
