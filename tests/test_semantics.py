@@ -330,3 +330,20 @@ def test_optional_style_agent_prompt(spark):
     p = {r["agent"]: r["prompt"] for r in rv.build_prompts(ctx).collect()}
     assert p["style"].endswith("answer exactly: NO STYLE ISSUES FOUND") and "Existing code in this repository:\nx = 1" in p["style"]
     assert p["security"].startswith(rv.AGENT_BRIEF["security"] + "\n\nNo automated scan available.")
+
+
+def test_sinks_append_partitioned(spark, tmp_path):
+    from prlens.operators import memory as mm2, report
+    rev = spark.createDataFrame([("o/r", 1, "SQL injection here " + "x" * 600, dt.datetime(2024, 1, 1))],
+                                "repo_name string, pr_number bigint, final_review string, created_at timestamp_ntz")
+    rows = mm2.memory_rows(rev)
+    base = str(tmp_path / "memory")
+    mm2.store_review(rows, base)
+    mm2.store_review(rows, base)
+    back = spark.read.parquet(base).collect()
+    assert len(back) == 2 and len(back[0]["review_summary"]) == 500 and list(back[0]["issue_types"]) == ["sql_injection"]
+    ob = spark.createDataFrame([("o/r", 1, "summary", None, None, "body")],
+                               "repo_name string, pr_number bigint, kind string, path string, line bigint, body string")
+    out = str(tmp_path / "outbox")
+    report.write_outbox(ob, out)
+    assert spark.read.parquet(out).filter("kind = 'summary'").count() == 1
