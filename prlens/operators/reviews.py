@@ -249,10 +249,6 @@ _MARK_ALL_RX = r"(?md)^(?=" + _WS + r"*(?:DIMENSION|ISSUE):)"
 _UNMARK_RX = r"(?md)(^" + _MARK + _WS + r"*DIMENSION:[^\n]*\n)" + _MARK + r"(?=" + _WS + r"*ISSUE:)"
 
 
-def _key_value(block: Column, keys: list[str]) -> Column:
-    """First ``KEY: value`` line of the block for any of ``keys`` (NULL when absent)."""
-    rx = r"(?md)^" + _WS + r"*(?:" + "|".join(keys) + r"):" + _WS + r"*(.*?)" + _WS + r"*$"
-    return F.when(block.rlike(rx), F.regexp_extract(block, rx, 1))
 
 
 def parse_issue_blocks(reviews: DataFrame) -> DataFrame:
@@ -267,12 +263,21 @@ def parse_issue_blocks(reviews: DataFrame) -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace(F.coalesce("review", F.lit("")), _MARK_ALL_RX, _MARK), _UNMARK_RX, "$1")
     b = reviews.select(*KEYS, "agent", F.posexplode(F.split(marked, _MARK, -1)).alias("block_no", "blk"))
     b = b.filter(F.col("block_no") >= 1)
-    blk = F.col("blk")
-    sev = F.upper(_key_value(blk, ["SEVERITY"]))
-    return b.select(*KEYS, "agent", "block_no", _key_value(blk, ["DIMENSION"]).alias("dimension"),
-                    _key_value(blk, ["ISSUE"]).alias("issue"), _key_value(blk, ["LINE"]).alias("line_ref"),
-                    sev.alias("severity"), _key_value(blk, ["FIX"]).alias("fix"),
-                    _key_value(blk, DETAIL_KEYS).alias("detail"),
+    # One pass over the block for all ``KEY: value`` lines (keys and values in
+    # line order); each field is the value at its key's first position.
+    kv_rx = F.lit(r"(?md)^" + _WS + r"*(" + "|".join(BLOCK_KEYS) + r"):" + _WS + r"*(.*?)" + _WS + r"*$")
+    b = b.select(*KEYS, "agent", "block_no", F.regexp_extract_all("blk", kv_rx, F.lit(1)).alias("ks"),
+                 F.regexp_extract_all("blk", kv_rx, F.lit(2)).alias("vs"))
+
+    def first(keys: list[str]) -> Column:
+        pos = F.array_position(F.col("ks"), keys[0]) if len(keys) == 1 else F.array_position(
+            F.transform("ks", lambda k: k.isin(keys)), True)
+        return F.when(pos > 0, F.element_at(F.col("vs"), pos.cast("int")))
+
+    sev = F.upper(first(["SEVERITY"]))
+    return b.select(*KEYS, "agent", "block_no", first(["DIMENSION"]).alias("dimension"),
+                    first(["ISSUE"]).alias("issue"), first(["LINE"]).alias("line_ref"),
+                    sev.alias("severity"), first(["FIX"]).alias("fix"), first(DETAIL_KEYS).alias("detail"),
                     F.coalesce(_vocab_ok(F.col("agent"), sev), F.lit(False)).alias("severity_valid"))
 
 
