@@ -264,11 +264,12 @@ def minhash_signatures(code: DataFrame, content_col: str = "content", n: int = N
     Each signature slot is ``min(xxhash64(seed, shingle))`` -- a partial +
     final hash aggregate, so a huge document is reduced map-side and never
     collected."""
-    words = F.split(py_strip(F.col(content_col)), r"\s+")
-    sh = code.select("repo_name", "path", words.alias("w")).select(
-        "repo_name", "path", F.explode(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))),
-            lambda i: F.array_join(F.slice("w", i, n), " "))).alias("shingle"))
+    from pyspark.ml.feature import NGram
+
+    words = code.select("repo_name", "path", F.split(py_strip(F.col(content_col)), r"\s+").alias("w"))
+    grams = NGram(n=n, inputCol="w", outputCol="g").transform(words)  # JVM-side n-grams
+    shingles = F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(F.col("g"))
+    sh = grams.select("repo_name", "path", F.explode(shingles).alias("shingle"))
     return sh.groupBy("repo_name", "path").agg(
         *[F.min(F.xxhash64(F.lit(i), F.col("shingle"))).alias(f"h{i}") for i in range(hashes)])
 
