@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prlens.functions import py_strip
@@ -226,18 +226,19 @@ def duplicate_blocks(code: DataFrame, n: int = 5, content_col: str = "content")
     """Identical ``n``-line shingles (stripped, non-blank lines) that occur
     in at least two places of a repo.
 
-    Shingles are built with ``lead`` (no list collection), keyed by md5 of
-    their text; the count per (repo, shingle) is a partial+final hash
-    aggregate, so a hot shingle is combined map-side before the shuffle.
+    Shingles are cut from each text's own line array (``slice`` by
+    position), so the lines are never shuffled to rebuild their order; they
+    are keyed by md5 of their text and counted per (repo, shingle) with a
+    partial + final hash aggregate, so a shingle repeated in a third of all
+    files is combined map-side before the shuffle.
     """
-    lines = code.select("repo_name", "path", F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("t", py_strip("line")).filter(F.col("t") != "")
-    w = Window.partitionBy("repo_name", "path").orderBy("pos")
-    nxt = [F.lead("t", k).over(w) for k in range(1, n)]
-    sh = lines.select("repo_name", "path", "pos", F.concat_ws("\n", F.col("t"), *nxt).alias("shingle"),
-                      nxt[-1].isNotNull().alias("full"))
-    sh = sh.filter("full").select("repo_name", "path", F.md5("shingle").alias("shingle_id"))
-    return sh.groupBy("repo_name", "shingle_id").agg(
+    lines = F.filter(F.transform(F.split(F.col(content_col), "\n", -1), lambda l: py_strip(l)), lambda t: t != "")
+    d = code.select("repo_name", "path", lines.alias("t"))
+    t = F.col("t")
+    sh = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),
+                                            lambda i: F.md5(F.array_join(F.slice(t, i, n), "\n"))))
+    ids = d.select("repo_name", "path", F.explode(sh).alias("shingle_id"))
+    return ids.groupBy("repo_name", "shingle_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_places"),
         F.countDistinct("path").cast("bigint").alias("n_files"),
     ).filter(F.col("n_places") >= 2)
