@@ -244,10 +244,6 @@ AGENTS = [
 ]
 
 
-def fx_agent(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(AGENTS, "agent string, agent_pos int, sentinel string")
-
-
 @stored("fx_review")
 def fx_review(spark: SparkSession, d: str) -> DataFrame:
     p = fx_pr(spark, d)
