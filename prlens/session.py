@@ -40,10 +40,45 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "prle
 
 
 def apply_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL options we rely on (safe on an existing session)."""
+    """Set the runtime SQL options we rely on (safe on an existing session)
+    and make the package importable by the executors' Python workers."""
     for k, v in SESSION_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors once per application.
+
+    The Arrow-batched operators (``mapInPandas``/``applyInPandas``) run
+    functions of this package inside Python workers, which import it; the
+    package is zipped into the shared checkpoint folder and added with
+    ``addPyFile`` (what ``--py-files`` does at submit time).
+    """
+    import zipfile
+
+    app = spark.conf.get("spark.app.id", None) or "app"
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(checkpoint_dir(spark), "pyfiles", app)
+    os.makedirs(out, exist_ok=True)
+    path = os.path.join(out, "prlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # noqa: BLE001 -- Spark Connect sessions ship artifacts instead
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
