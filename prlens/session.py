@@ -55,9 +55,10 @@ def ship_package(spark: SparkSession) -> None:
     """Distribute this package to the executors once per application.
 
     The Arrow-batched operators (``mapInPandas``/``applyInPandas``) run
-    functions of this package inside Python workers, which import it; the
-    package is zipped into the shared checkpoint folder and added with
-    ``addPyFile`` (what ``--py-files`` does at submit time).
+    functions of this package inside Python workers, which import it.  The
+    package is zipped into a folder of the driver and handed to ``addPyFile``
+    (what ``--py-files`` does at submit time): Spark itself copies it to the
+    executors, so the shared folder may be any URI.
     """
     import zipfile
 
@@ -65,9 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(checkpoint_dir(spark), "pyfiles", app)
-    os.makedirs(out, exist_ok=True)
-    path = os.path.join(out, "prlens.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="prlens-pyfiles-"), "prlens.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
@@ -82,22 +81,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder (a path or URI) for checkpoints and intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset -- local runs and tests -- do we
-    create a private folder and register it.
+    file system).  Only when it is unset and the master is local -- tests, a
+    laptop -- do we create a private folder and register it; a cluster without
+    a shared folder is an error, since each executor would write to its own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
         d = tempfile.mkdtemp(prefix="prlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
