@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from prlens.llm import decontaminate, exact_dedup  # noqa: F401
+from prlens.llm import (  # noqa: F401
+    chat, decontaminate, exact_dedup, language_id, license_scan, materialise, near_dedup, packing, sharding,
+)
 from prlens.llm.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
