@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from prlens.llm import (  # noqa: F401
-    chat, decontaminate, exact_dedup, language_id, license_scan, materialise, near_dedup, packing, sharding,
+    chat, class_lm, decontaminate, exact_dedup, language_id, license_scan, materialise, near_dedup, packing, sharding,
 )
 from prlens.llm.registry import ORACLE, QUERIES
 

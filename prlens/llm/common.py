@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prlens.session import apply_conf, checkpoint_dir
 from prlens.sources.tables import table
 
-__all__ = ["documents", "lower_az", "map_batches", "prepare", "stored", "table"]
+__all__ = ["documents", "lower_az", "map_batches", "prepare", "stored", "table", "text_hash", "without"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,6 +41,19 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """Hash that tells rows with the same (or no) doc_id apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` with all columns but without the rows whose (doc_id, text_hash)
+    are in ``lost``; the names of extra columns do not matter."""
+    gone = lost.select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__lost_id")) & (text_hash(docs) == F.col("__lost_text"))
+    return docs.join(gone, same, "left_anti")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back:
     cuts the lineage, survives lost executors, fixes every value once."""

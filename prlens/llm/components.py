@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # Written, so that both sides of the join are plain exchanges and a hub's rows can be split.
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"))
+                     .select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "minima")
         large = (both.join(low, both.u == low.w).filter("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm.common import documents, map_batches, stored, table
+from prlens.llm.common import documents, map_batches, stored, table, text_hash, without
 from prlens.llm.registry import register
 from prlens.llm.words import alnum_bytes, char_offsets, word_spans
 
@@ -116,7 +116,7 @@ def _scan(shared, key, first: bool, last: bool):
                     b = char_offsets(text, end[[r[1] for r in runs]])
                     found += [{"first": r[0], "last": r[1], "start": int(x), "end": int(y), "item": items[r[2]][0]}
                               for r, x, y in zip(runs, a, b, strict=True)]
-            cols = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text")})
+            cols = {c: batch.column(c) for c in ("doc_id", "text_hash", *(() if last else ("text",)))}
             yield pa.RecordBatch.from_pydict(cols | {"_hits": pa.array(hits, _KIND),
                                                      "n_words": pa.array(n_words, pa.int64())})
     return run
@@ -139,19 +139,19 @@ def _parts(benchmark: DataFrame):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (first and last word, start
+    """One row per document: doc_id, text_hash, n_words, spans (first and last word, start
     and end character, item of every run found)."""
-    spark, rows = docs.sparkSession, documents(docs)
+    spark, rows = docs.sparkSession, documents(docs, text_hash(docs).alias("text_hash"))
     parts = _parts(benchmark)
     part, k = next(parts), 0
     while part is not None:
         after = next(parts, None)
         scan = _scan(spark.sparkContext.broadcast(part), hash(pickle.dumps(part)), k == 0, after is None)
-        rows = map_batches(rows, scan, "doc_id long, " + ("" if after is None else "text string, ") + HITS)
+        rows = map_batches(rows, scan, "doc_id long, text_hash long, " + ("" if after is None else "text string, ") + HITS)
         if after is not None:
             rows = stored(rows, f"leaks-{k}")
         part, k = after, k + 1
-    return rows.select("doc_id", "n_words", F.col("_hits").alias("spans"))
+    return rows.select("doc_id", "text_hash", "n_words", F.col("_hits").alias("spans"))
 
 
 def _n_hit(spans):
@@ -166,19 +166,18 @@ def _n_hit(spans):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (sorted), contaminated, spans."""
+    """doc_id, text_hash, n_words, n_hit, n_items, item_ids (sorted), contaminated, spans."""
     leaks = find_leaks(docs, benchmark)
     ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
     return (leaks.withColumn("item_ids", ids).withColumn("n_hit", _n_hit(F.col("spans")))
-            .select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+            .select("doc_id", "text_hash", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
                     (F.col("n_hit") > 0).alias("contaminated"), "spans"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with all their columns."""
-    lost = (stored(decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__lost_id")),
-                   "contaminated").distinct())
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__lost_id")), "left_anti")
+    lost = decontaminate(docs, benchmark).filter("contaminated").select("doc_id", "text_hash")
+    return without(docs, stored(lost, "contaminated"))
 
 
 def _words_sql(col: str) -> str:

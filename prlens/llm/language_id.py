@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm.common import map_batches, stored, table
+from prlens.llm.common import map_batches, stored, table, text_hash, without
 from prlens.llm.registry import register
 from prlens.llm.words import alnum_bytes
 
@@ -168,7 +168,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], wanted: list[
 def document_rows(docs: DataFrame) -> DataFrame:
     """Documents as evidence rows: the lang column is the declaration, the source the host."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"))
+                       text_hash(docs).alias("text_hash"), F.col("lang").cast("string").alias("declared"),
+                       F.col("source").cast("string").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -191,15 +192,14 @@ def labelled(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """The documents whose language is identified (and wanted), with all their columns."""
     found = identify(document_rows(docs), fit(labelled(docs)), wanted)
-    lost = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__lost_id")), "left_anti")
+    return without(docs, found.filter(~F.col("kept")))
 
 
 @register("op10_language_id")
 def q_language_id(spark, sf_dir):
     """Operator 10 over all documents and all pages (a row for each of either)."""
     docs = table(spark, sf_dir, "documents")
-    rows = (document_rows(docs).withColumn("page_id", F.lit(None).cast("long"))
+    rows = (document_rows(docs).drop("text_hash").withColumn("page_id", F.lit(None).cast("long"))
             .unionByName(page_rows(table(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long"))))
     return identify(rows, fit(labelled(docs))).select(
         "doc_id", "page_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared",
