@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prlens.functions import py_strip
+from prlens.functions import fill, py_strip
 
 KEYS = ["repo_name", "pr_number"]
 
 # Definition patterns, tried in this order; the first match wins.
-DEF_RX = r"^def\s+(\w+)\s*\(([^)]*)\)"
-CLASS_RX = r"^class\s+(\w+)"
-EXPORT_RX = r"^export\s+(?:default\s+)?(?:function|const|class|let|var)\s+(\w+)"
-DECORATOR_RX = r"""@\w+\.(get|post|put|delete|patch)\s*\(\s*["']([^"']+)"""
-ROUTE_RX = r"""\.(get|post|put|delete|patch)\s*\(\s*["']([^"']+)"""
+# ``(?U)``: names may hold any letter or digit, not only ASCII ones.
+DEF_RX = r"(?U)^def\s+(\w+)\s*\(([^)]*)\)"
+CLASS_RX = r"(?U)^class\s+(\w+)"
+EXPORT_RX = r"(?U)^export\s+(?:default\s+)?(?:function|const|class|let|var)\s+(\w+)"
+DECORATOR_RX = r"""(?U)@\w+\.(get|post|put|delete|patch)\s*\(\s*["']([^"']+)"""
+ROUTE_RX = r"""(?U)\.(get|post|put|delete|patch)\s*\(\s*["']([^"']+)"""
 # Stricter variant (strict=True): the route path must start with "/".
-STRICT_ROUTE_RX = r"""\.(get|post|put|delete|patch)\s*\(\s*["'](/[^"']*)"""
+STRICT_ROUTE_RX = r"""(?U)\.(get|post|put|delete|patch)\s*\(\s*["'](/[^"']*)"""
 
 # Finding texts per kind, in report order.
 MSG_FUNCTION = "Public function `{name}` removed from `{file}` — existing callers will break"
@@ -49,7 +50,7 @@ def line_records(text: Column, keep_context: bool = False) -> Column:
     higher-order functions so each line is parsed exactly once."""
     recs = F.transform(F.split(text, "\n", -1), lambda l, i: F.struct(
         i.alias("line_no"), _side(l).alias("side"), F.when(_side(l).isNotNull(), _sign_strip(l)).alias("code"),
-        F.substring(l, 2, 1 << 30).alias("raw")))
+        F.substr(l, F.lit(2)).alias("raw")))
     return recs if keep_context else F.filter(recs, lambda r: r["side"].isNotNull())
 
 
@@ -170,28 +171,18 @@ def removed_functions(ann: DataFrame, strict: bool = False) -> DataFrame:
     return ann.filter(cond).select(*KEYS, "file_pos", "filename", "line_no", "name")
 
 
-def removed_classes(ann: DataFrame) -> DataFrame:
-    """Every removed class line."""
-    return ann.filter((F.col("side") == "removed") & (F.col("kind") == "class")).select(
+def removed_classes(defs: DataFrame) -> DataFrame:
+    """Every removed class line (a filter on the definitions, no shuffle)."""
+    return defs.filter((F.col("side") == "removed") & (F.col("kind") == "class")).select(
         *KEYS, "file_pos", "filename", "line_no", "name")
 
 
-def removed_endpoints(ann: DataFrame) -> DataFrame:
-    """Every removed route, method upper-cased."""
-    return ann.filter((F.col("side") == "removed") & (F.col("kind") == "endpoint")).select(
+def removed_endpoints(defs: DataFrame) -> DataFrame:
+    """Every removed route, method upper-cased (a filter, no shuffle)."""
+    return defs.filter((F.col("side") == "removed") & (F.col("kind") == "endpoint")).select(
         *KEYS, "file_pos", "filename", "line_no", "method", "path")
 
 
-def _msg(template: str, **cols) -> F.Column:
-    parts, rest = [], template
-    while "{" in rest:
-        pre, rest = rest.split("{", 1)
-        key, rest = rest.split("}", 1)
-        parts += [F.lit(pre), F.col(cols.get(key, key))]
-    parts.append(F.lit(rest))
-    return F.concat(*parts)
-
-
 def breaking_changes(files: DataFrame, strict: bool = False) -> DataFrame:
     """All breaking findings of each PR, in the reference's report order
     (functions, classes, endpoints, signatures; then file and line order).
@@ -211,13 +202,14 @@ def breaking_changes(files: DataFrame, strict: bool = False) -> DataFrame:
                 .when(F.col("is_signature_row"), F.lit(3)))
     out = ann.withColumn("kind_pos", kind_pos).filter(F.col("kind_pos").isNotNull())
     kp = F.col("kind_pos")
-    message = (F.when(kp == 0, _msg(MSG_FUNCTION, file="filename")).when(kp == 1, _msg(MSG_CLASS, file="filename"))
-               .when(kp == 2, _msg(MSG_ENDPOINT, file="filename")).otherwise(_msg(MSG_SIGNATURE, file="filename")))
+    message = (F.when(kp == 0, fill(MSG_FUNCTION, file=F.col("filename"))).when(kp == 1, fill(MSG_CLASS, file=F.col("filename")))
+               .when(kp == 2, fill(MSG_ENDPOINT, file=F.col("filename"))).otherwise(fill(MSG_SIGNATURE, file=F.col("filename"))))
     out = out.select(*KEYS, "kind_pos", F.element_at(F.array(*[F.lit(x) for x in KIND_ORDER]), kp + 1).alias("kind"),
                      "file_pos", "filename", "line_no", F.when(kp != 2, F.col("name")).alias("name"),
                      message.alias("message"))
     # Numbering needs the PR's findings together: a second, small exchange of
     # findings only (the definition lines themselves stay spread by name).
+    # A PR's findings are sorted in one task, on disk where they do not fit.
     w = Window.partitionBy(*KEYS).orderBy("kind_pos", "file_pos", "line_no")
     return out.withColumn("finding_pos", F.row_number().over(w))
 
@@ -230,9 +222,11 @@ def breaking_flags(prs: DataFrame, breaking: DataFrame) -> DataFrame:
 
 
 def code_tokens(code: DataFrame, content_col: str = "content") -> DataFrame:
-    """Distinct identifier tokens per (repo, path) -- whole texts, all tokens."""
-    t = code.select("repo_name", "path", F.explode(F.split(F.col(content_col), r"[^A-Za-z0-9_]+")).alias("token"))
-    return t.filter(F.col("token") != "").distinct()
+    """Identifier tokens per text, each once a text -- whole texts, all tokens
+    (a path with several texts may repeat a token)."""
+    words = F.array_distinct(F.split(F.col(content_col), r"[^\p{L}\p{N}_]+"))
+    t = code.select("repo_name", "path", F.explode(words).alias("token"))
+    return t.filter(F.col("token") != "")
 
 
 def backward_compat_report(breaking: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -247,7 +241,8 @@ def backward_compat_report(breaking: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     b = breaking.filter(F.col("name").isNotNull()).select(*KEYS, "finding_pos", "kind", "name", "filename")
     names = b.select("repo_name", F.col("name").alias("token")).distinct()
-    t = tokens.join(names, ["repo_name", "token"], "left_semi")
+    # Only tokens that name something broken go on; what is left is made distinct.
+    t = tokens.join(names, ["repo_name", "token"], "left_semi").distinct()
     counts = t.groupBy("repo_name", "token").agg(F.count(F.lit(1)).alias("n_files"))
     own = t.select("repo_name", F.col("path").alias("filename"), F.col("token").alias("name"),
                    F.lit(1).alias("own"))

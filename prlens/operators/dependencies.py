@@ -87,7 +87,7 @@ def vulnerable_dependencies(reqs: DataFrame, adv: DataFrame) -> DataFrame:
 
     The advisory table is fixed and small; it is broadcast (its size is
     bounded by the code, not the data)."""
-    a = F.broadcast(adv.select(norm_name(F.col("package")).alias("package"), "introduced", "fixed", "advisory_id"))
+    a = adv.select(norm_name(F.col("package")).alias("package"), "introduced", "fixed", "advisory_id")
     pinned = reqs.filter(F.col("op") == "==").withColumn("_v", version_key(F.col("version")))
     j = pinned.join(a, "package")
     return j.filter((F.col("_v") >= version_key(F.col("introduced"))) & (F.col("_v") < version_key(F.col("fixed")))).drop("_v")

@@ -31,14 +31,15 @@ def ends_with_any(c, suffixes) -> F.Column:
 def ignore_filter(files: DataFrame, cfg: DataFrame, name_col: str = "filename") -> DataFrame:
     """drop files whose full name matches any of the repo's ignore globs.
 
-    The config side has one row per repo; Spark (AQE) broadcasts it when it
-    is small and falls back to a shuffle join otherwise.
+    Globs are translated once per repo, on the config side; only repos with
+    globs join.  Spark (AQE) broadcasts that side when it is small and falls
+    back to a shuffle join otherwise.
     """
-    c = cfg.select("repo_name", F.col("ignore").alias("_ignore"))
-    j = files.join(c, "repo_name", "left")
-    hit = F.exists(F.coalesce("_ignore", F.array().cast("array<string>")),
-                   lambda p: F.regexp_like(F.col(name_col), glob_to_regex(p)))
-    return j.filter(~hit).drop("_ignore")
+    c = cfg.select(F.col("repo_name").alias("_repo"), F.transform("ignore", glob_to_regex).alias("_ignore"))
+    c = c.filter(F.size("_ignore") > 0)
+    hit = F.exists(F.col("_ignore"), lambda p: F.regexp_like(F.col(name_col), p))
+    j = files.join(c, F.col("repo_name") == F.col("_repo"), "left")
+    return j.filter(~F.coalesce(hit, F.lit(False))).drop("_repo", "_ignore")
 
 
 def route_tools(prs: DataFrame, files: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def language_files(files: DataFrame) -> DataFrame:
     return py_rows.unionByName(js_rows)
 
 
-def cap_changed_files(files: DataFrame, n: int = 10) -> DataFrame:
-    """F8: history analyses look at the first ``n`` files of the unfiltered list."""
-    return files.filter(F.col("file_pos") <= n)
+def cap_changed_files(files: DataFrame, n: int | None = 10) -> DataFrame:
+    """F8: history analyses look at the first ``n`` files of the unfiltered list (``None``: all)."""
+    return files if n is None else files.filter(F.col("file_pos") <= n)
 
 
 def existing_targets(files: DataFrame, snapshot: DataFrame) -> DataFrame:

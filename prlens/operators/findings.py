@@ -1,8 +1,9 @@
 """Static-analysis findings: normalisation per tool, status, prompt text.
 
-Reports are JSON text; each normaliser parses with an explicit schema
-(``from_json``, no inference) and explodes to one row per finding with its
-position inside the report (``ord``), so every later "first N" is defined.
+Reports are JSON text, read once: objects become string maps (``from_json``),
+which keep "key absent" and "key null" apart, and one ``CASE tool`` turns each
+report into an array of findings with their place in it (``ord``), so every
+later "first N" is defined, or into the error its tool would have failed with.
 """
 
 from __future__ import annotations
@@ -10,29 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prlens.functions import severity_rank
+from prlens.functions import fill, severity_rank
 from prlens.operators.filters import TOOLS
 from prlens.sources.prs import json_ok
 
 KEYS = ["repo_name", "pr_number"]
 FINDING_COLS = ["file", "line", "severity", "message", "tool", "rule_id", "suggestion"]
 
-BANDIT_SCHEMA = ("struct<results: array<struct<filename: string, line_number: bigint, issue_severity: string, "
-                 "issue_text: string, issue_cwe: struct<id: string>, test_id: string>>>")
-RUFF_SCHEMA = ("array<struct<code: string, message: string, filename: string, location: struct<row: bigint>, "
-               "fix: struct<message: string>>>")
-RADON_SCHEMA = "map<string, array<struct<name: string, complexity: bigint, rank: string, lineno: bigint>>>"
-ESLINT_SCHEMA = ("array<struct<filePath: string, messages: array<struct<severity: bigint, ruleId: string, "
-                 "line: bigint, message: string, fix: struct<text: string>>>>>")
-AUDIT_DEP = ("struct<name: string, version: string, vulns: array<struct<id: string, description: string, "
-             "fix_versions: array<string>>>>")
-AUDIT_ARRAY_SCHEMA = f"array<{AUDIT_DEP}>"
-AUDIT_OBJECT_SCHEMA = f"struct<dependencies: array<{AUDIT_DEP}>>"
-
 # Complexity threshold and the per-tool texts.
 COMPLEXITY_THRESHOLD = 10
 COMPLEXITY_HIGH = 20
 AUDIT_FILE = "requirements.txt"
+AUDIT_CHARS = 200
 SUMMARY = {
     "bandit": "Scanned {n_targets} files, found {n} security issues.",
     "ruff": "Found {n} linting issues.",
@@ -41,10 +31,22 @@ SUMMARY = {
     "pip-audit": "Scanned dependencies, found {n} vulnerabilities.",
     "detect-secrets": "Found {n} potential secrets.",
 }
-INVALID_REPORT = "report is not valid JSON"
-RUFF_NULL_CODE = "'NoneType' object has no attribute 'startswith'"
+NO_TARGETS = "Changed files not found in workspace."
 INLINE_LIMIT = 25
 
+# The errors of reports that do not have the shape their tool writes.
+INVALID_REPORT = "report is not valid JSON"
+NULL_STARTSWITH = "'NoneType' object has no attribute 'startswith'"
+NULL_GET = "'NoneType' object has no attribute 'get'"
+LIST_GET = "'list' object has no attribute 'get'"
+LIST_ITEMS = "'list' object has no attribute 'items'"
+STR_GET = "'str' object has no attribute 'get'"
+NULL_ITERATE = "'NoneType' object is not iterable"
+NULL_SUBSCRIPT = "'NoneType' object is not subscriptable"
+
+ITEM = ("struct<ord:struct<a:int,b:int>,file:string,line:bigint,severity:string,message:string,rule_id:string,"
+        "suggestion:string,bad:string>")
+
 
 def relativize_paths(df: DataFrame, root: str | Column | None, col: str = "file") -> DataFrame:
     """Strip the workspace prefix from absolute paths (others unchanged)."""
@@ -52,27 +54,72 @@ def relativize_paths(df: DataFrame, root: str | Column | None, col: str = "file"
         return df
     r = F.lit(root) if isinstance(root, str) else root
     c = F.col(col)
-    return df.withColumn(col, F.when(c.startswith(r), F.substring(c, F.length(r) + 1, 1 << 30)).otherwise(c))
+    return df.withColumn(col, F.when(c.startswith(r), F.substr(c, F.length(r) + 1)).otherwise(c))
+
+
+# ---- reading JSON values without losing "absent" and "null"
+
+
+def _map(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>")
+
+
+def _maps(text: Column) -> Column:
+    return F.from_json(text, "array<map<string,string>>")
+
+
+def _has(m: Column, key: str) -> Column:
+    return F.map_contains_key(m, key)
+
+
+def _get(m: Column, key: str, default: str | None = None) -> Column:
+    """The value as text, the default where the key is absent or null."""
+    v = F.try_element_at(m, F.lit(key))
+    return v if default is None else F.coalesce(v, F.lit(default))
+
+
+def _is_null(m: Column, key: str) -> Column:
+    return _has(m, key) & _get(m, key).isNull()
+
+
+def _item(a, b, file, line, severity, message, rule_id, suggestion, bad=None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")).alias("ord"), file.alias("file"),
+        F.coalesce(line.try_cast("bigint"), F.lit(0).cast("bigint")).alias("line"), severity.alias("severity"),
+        message.alias("message"), F.coalesce(rule_id, F.lit("")).alias("rule_id"),
+        F.coalesce(suggestion, F.lit("")).alias("suggestion"), (none if bad is None else bad).alias("bad"))
 
 
-def _finding(tool: str, file, line, severity, message, rule_id, suggestion) -> list[Column]:
-    return [
-        file.alias("file"), F.coalesce(line, F.lit(0)).cast("bigint").alias("line"), severity.alias("severity"),
-        message.alias("message"), F.lit(tool).alias("tool"), F.coalesce(rule_id, F.lit("")).alias("rule_id"),
-        F.coalesce(suggestion, F.lit("")).alias("suggestion"),
-    ]
+def _failed(error: str | Column) -> Column:
+    """What a part of the wrong shape becomes: one item that only carries the error."""
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    return F.array(_item(zero, zero, none, zero, none, none, none, none, F.lit(error) if isinstance(error, str) else error))
 
 
-def norm_bandit(reports: DataFrame, root: str | None = None) -> DataFrame:
-    """Bandit results; severity passthrough (default MEDIUM), ``text (CWE-id)``."""
-    r = reports.filter(F.col("tool") == "bandit").select(
-        *KEYS, F.posexplode(F.from_json("report", BANDIT_SCHEMA)["results"]).alias("ord", "i"))
-    i = F.col("i")
-    cwe = F.coalesce(i["issue_cwe"]["id"], F.lit("N/A"))
-    out = r.select(*KEYS, "ord", *_finding(
-        "bandit", i["filename"], i["line_number"], F.coalesce(i["issue_severity"], F.lit("MEDIUM")),
-        F.concat(i["issue_text"], F.lit(" (CWE-"), cwe, F.lit(")")), i["test_id"], F.lit("")))
-    return relativize_paths(out, root)
+def _none() -> Column:
+    return F.from_json(F.lit("[]"), f"array<{ITEM}>")
+
+
+def _bandit(rep: Column) -> Column:
+    """Severity passthrough (default MEDIUM), ``text (CWE-id)``."""
+    top = _map(rep)
+    cwe = lambda m: F.when(_get(m, "issue_cwe").startswith("{"), F.when(
+        _has(_map(_get(m, "issue_cwe")), "id"), _get(_map(_get(m, "issue_cwe")), "id", "None")).otherwise(F.lit("N/A"))
+    ).otherwise(F.lit("N/A"))
+
+    def one(m, i):
+        missing = F.lit(None).cast("string")
+        for key in ("issue_text", "line_number", "filename"):  # the first missing key is named
+            missing = F.when(~_has(m, key), F.lit(f"'{key}'")).otherwise(missing)
+        return _item(F.lit(0), i, _get(m, "filename"), _get(m, "line_number"), _get(m, "issue_severity", "MEDIUM"),
+                     F.concat(_get(m, "issue_text", "None"), F.lit(" (CWE-"), cwe(m), F.lit(")")),
+                     _get(m, "test_id"), F.lit(""), missing)
+
+    results = _maps(_get(top, "results"))
+    return (F.when(top.isNull(), _failed(LIST_GET)).when(~_has(top, "results"), _none())
+            .when(_get(top, "results").isNull(), _failed(NULL_ITERATE)).when(results.isNull(), _failed(STR_GET))
+            .otherwise(F.transform(results, one)))
 
 
 def ruff_severity(code: Column) -> Column:
@@ -80,180 +127,220 @@ def ruff_severity(code: Column) -> Column:
             .when(code.startswith("E") | code.startswith("W"), F.lit("MEDIUM")).otherwise(F.lit("LOW")))
 
 
-def norm_ruff(reports: DataFrame, root: str | None = None) -> DataFrame:
-    """Ruff diagnostics; E9/F8/F6 HIGH, other E/W MEDIUM, else LOW; ``[code] msg``."""
-    r = reports.filter(F.col("tool") == "ruff").select(
-        *KEYS, F.posexplode(F.from_json("report", RUFF_SCHEMA)).alias("ord", "i"))
-    i = F.col("i")
-    code = F.coalesce(i["code"], F.lit(""))
-    out = r.select(*KEYS, "ord", *_finding(
-        "ruff", i["filename"], i["location"]["row"], ruff_severity(code),
-        F.concat(F.lit("["), code, F.lit("] "), F.coalesce(i["message"], F.lit(""))), code, i["fix"]["message"]))
-    return relativize_paths(out, root)
-
-
-def norm_radon(reports: DataFrame, root: str | None = None) -> DataFrame:
-    """Radon blocks with complexity >= 10; >= 20 HIGH else MEDIUM; rule ``CC<n>``."""
-    files = reports.filter(F.col("tool") == "radon").select(
-        *KEYS, F.posexplode(F.from_json("report", RADON_SCHEMA)).alias("fpos", "path", "blocks"))
-    blocks = files.select(*KEYS, "fpos", "path", F.posexplode("blocks").alias("bpos", "b"))
-    b = F.col("b")
-    cx = F.coalesce(b["complexity"], F.lit(0))
-    name = F.coalesce(b["name"], F.lit("?"))
-    rank = F.coalesce(b["rank"], F.lit("?"))
-    cxs = cx.cast("string")
-    out = blocks.filter(cx >= COMPLEXITY_THRESHOLD).select(
-        *KEYS, (F.col("fpos") * 100000 + F.col("bpos")).alias("ord"), *_finding(
-            "radon", F.col("path"), b["lineno"],
-            F.when(cx >= COMPLEXITY_HIGH, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-            F.concat(F.lit("'"), name, F.lit("' has cyclomatic complexity "), cxs, F.lit(" (rank "), rank, F.lit(")")),
-            F.concat(F.lit("CC"), cxs),
-            F.concat(F.lit("Break into smaller functions — complexity "), cxs,
-                     F.lit(f" exceeds threshold {COMPLEXITY_THRESHOLD}"))))
-    return relativize_paths(out, root)
-
-
-def norm_eslint(reports: DataFrame, root: str | None = None) -> DataFrame:
-    """Eslint messages; severity >= 2 HIGH (missing -> 1) else MEDIUM; ``[rule] msg``.
-
-    A null ``ruleId`` renders as ``None`` (what the reference prints)."""
-    files = reports.filter(F.col("tool") == "eslint").select(
-        *KEYS, F.posexplode(F.from_json("report", ESLINT_SCHEMA)).alias("fpos", "fr"))
-    msgs = files.select(*KEYS, "fpos", F.col("fr")["filePath"].alias("path"),
-                        F.posexplode(F.col("fr")["messages"]).alias("mpos", "m"))
-    m = F.col("m")
-    rule = F.coalesce(m["ruleId"], F.lit("None"))
-    out = msgs.select(*KEYS, (F.col("fpos") * 100000 + F.col("mpos")).alias("ord"), *_finding(
-        "eslint", F.col("path"), m["line"],
-        F.when(F.coalesce(m["severity"], F.lit(1)) >= 2, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-        F.concat(F.lit("["), rule, F.lit("] "), F.coalesce(m["message"], F.lit(""))), rule, m["fix"]["text"]))
-    return relativize_paths(out, root)
-
-
-def norm_dependency_audit(reports: DataFrame) -> DataFrame:
-    """Pip-audit; the root is an array of deps or an object with ``dependencies``."""
-    rep = F.col("report")
-    deps = F.when(F.ltrim(rep).startswith("["), F.from_json(rep, AUDIT_ARRAY_SCHEMA)).otherwise(
-        F.from_json(rep, AUDIT_OBJECT_SCHEMA)["dependencies"])
-    d = reports.filter(F.col("tool") == "pip-audit").select(*KEYS, F.posexplode(deps).alias("dpos", "dep"))
-    v = d.select(*KEYS, "dpos", "dep", F.posexplode(F.col("dep")["vulns"]).alias("vpos", "v"))
-    dep, vul = F.col("dep"), F.col("v")
-    fixes = F.coalesce(vul["fix_versions"], F.array().cast("array<string>"))
-    sugg = F.when(F.size(fixes) > 0, F.concat(F.lit("Upgrade to "), F.array_join(fixes, ", "))).otherwise(
-        F.lit("No fix available yet"))
-    msg = F.concat(dep["name"], F.lit("=="), F.coalesce(dep["version"], F.lit("?")), F.lit(": "),
-                   F.coalesce(vul["id"], F.lit("Unknown CVE")), F.lit(" — "),
-                   F.substring(F.coalesce(vul["description"], F.lit("")), 1, 200))
-    return v.select(*KEYS, (F.col("dpos") * 100000 + F.col("vpos")).alias("ord"), *_finding(
-        "pip-audit", F.lit(AUDIT_FILE), F.lit(0), F.lit("HIGH"), msg, vul["id"], sugg))
+def _ruff(rep: Column) -> Column:
+    """E9/F8/F6 HIGH, other E/W MEDIUM, else LOW; ``[code] msg``."""
+    def one(m, i):
+        code = _get(m, "code", "")
+        bad = (F.when(_is_null(m, "code"), F.lit(NULL_STARTSWITH)).when(~_has(m, "filename"), F.lit("'filename'"))
+               .when(_is_null(m, "location"), F.lit(NULL_GET)))
+        return _item(F.lit(0), i, _get(m, "filename"), _get(_map(_get(m, "location")), "row"), ruff_severity(code),
+                     F.concat(F.lit("["), code, F.lit("] "), _get(m, "message", "")), code,
+                     _get(_map(_get(m, "fix")), "message"), bad)
+
+    items = _maps(rep)
+    return F.when(rep == "{}", _none()).when(items.isNull(), _failed(STR_GET)).otherwise(F.transform(items, one))
+
+
+def _radon(rep: Column) -> Column:
+    """Blocks with complexity >= 10; >= 20 HIGH else MEDIUM; rule ``CC<n>``."""
+    top = _map(rep)
+
+    def block(path, i):
+        def one(m, j):
+            cx = F.coalesce(_get(m, "complexity").try_cast("bigint"), F.lit(0).cast("bigint"))
+            text = cx.cast("string")
+            return F.when(cx >= COMPLEXITY_THRESHOLD, _item(
+                i, j, path, _get(m, "lineno"), F.when(cx >= COMPLEXITY_HIGH, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+                F.concat(F.lit("'"), _get(m, "name", "?"), F.lit("' has cyclomatic complexity "), text,
+                         F.lit(" (rank "), _get(m, "rank", "?"), F.lit(")")),
+                F.concat(F.lit("CC"), text),
+                F.concat(F.lit("Break into smaller functions — complexity "), text,
+                         F.lit(f" exceeds threshold {COMPLEXITY_THRESHOLD}"))))
+        return one
+
+    def file(e, i):
+        value = e["value"]
+        blocks = _maps(value)
+        return (F.when(value.isNull(), _failed(NULL_ITERATE)).when(value.isin("{}", ""), _none())
+                .when(blocks.isNull(), _failed(STR_GET))
+                .otherwise(F.array_compact(F.transform(blocks, block(e["key"], i)))))
+
+    return F.when(top.isNull(), _failed(LIST_ITEMS)).otherwise(F.flatten(F.transform(F.map_entries(top), file)))
+
+
+def _eslint(rep: Column) -> Column:
+    """Severity >= 2 HIGH (missing -> 1) else MEDIUM; ``[rule] msg``; a
+    missing ``ruleId`` reads ``unknown``, a null one ``None``."""
+    def file(f, i):
+        def one(m, j):
+            rule = F.when(_has(m, "ruleId"), _get(m, "ruleId", "None")).otherwise(F.lit("unknown"))
+            level = F.coalesce(_get(m, "severity").try_cast("bigint"), F.lit(1))
+            return _item(i, j, _get(f, "filePath", ""), _get(m, "line"),
+                         F.when(level >= 2, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+                         F.concat(F.lit("["), rule, F.lit("] "), _get(m, "message", "")), rule,
+                         _get(_map(_get(m, "fix")), "text"))
+
+        messages = _maps(_get(f, "messages"))
+        return (F.when(~_has(f, "messages"), _none()).when(_get(f, "messages").isNull(), _failed(NULL_ITERATE))
+                .when(messages.isNull(), _failed(STR_GET)).otherwise(F.transform(messages, one)))
+
+    files = _maps(rep)
+    return F.when(rep == "{}", _none()).when(files.isNull(), _failed(STR_GET)).otherwise(
+        F.flatten(F.transform(files, file)))
+
+
+def _audit(rep: Column, chars: int | None = AUDIT_CHARS) -> Column:
+    """The root is an array of deps or an object with ``dependencies``."""
+    top = _map(rep)
+    text = F.when(rep.startswith("["), rep).otherwise(F.when(_has(top, "dependencies"), _get(top, "dependencies"))
+                                                      .otherwise(F.lit("[]")))
+
+    def dep(d, i):
+        def one(v, j):
+            fixes = F.coalesce(F.from_json(_get(v, "fix_versions"), "array<string>"), F.array().cast("array<string>"))
+            desc = _get(v, "description", "")
+            bad = (F.when(_is_null(v, "description"), F.lit(NULL_SUBSCRIPT)).when(~_has(d, "name"), F.lit("'name'")))
+            return _item(i, j, F.lit(AUDIT_FILE), F.lit(0), F.lit("HIGH"), F.concat(
+                _get(d, "name", "None"), F.lit("=="), _get(d, "version", "?"), F.lit(": "),
+                _get(v, "id", "Unknown CVE"), F.lit(" — "), desc if chars is None else F.substring(desc, 1, chars)),
+                _get(v, "id"), F.when(F.size(fixes) > 0, F.concat(F.lit("Upgrade to "), F.array_join(fixes, ", ")))
+                .otherwise(F.lit("No fix available yet")), bad)
+
+        vulns = _maps(_get(d, "vulns"))
+        return (F.when(~_has(d, "vulns"), _none()).when(_get(d, "vulns").isNull(), _failed(NULL_ITERATE))
+                .when(vulns.isNull(), _failed(STR_GET)).otherwise(F.transform(vulns, one)))
+
+    deps = _maps(text)
+    return (F.when(text.isNull(), _failed(NULL_ITERATE)).when(deps.isNull(), _failed(STR_GET))
+            .otherwise(F.flatten(F.transform(deps, dep))))
+
+
+READERS = {"bandit": _bandit, "ruff": _ruff, "radon": _radon, "eslint": _eslint, "pip-audit": _audit}
+
+
+def read_reports(reports: DataFrame, tools: list[str] | None = None) -> DataFrame:
+    """N1-N5 in one pass: per report the findings array and the error, if any.
+
+    A report that is not JSON, or lacks what its tool always writes, has an
+    error and no findings.  One ``CASE tool`` reads each report once.
+    """
+    rep = F.ltrim(F.col("report"))
+    items = _none()
+    for tool in reversed(tools or list(READERS)):
+        items = F.when(F.col("tool") == tool, READERS[tool](rep)).otherwise(items)
+    r = reports if tools is None else reports.filter(F.col("tool").isin(tools))
+    r = r.select(*KEYS, "tool", F.when(json_ok(rep), items).otherwise(_failed(INVALID_REPORT)).alias("items"))
+    error = F.get(F.filter(F.transform("items", lambda x: x["bad"]), lambda e: e.isNotNull()), F.lit(0))
+    r = r.withColumn("error", error)
+    return r.withColumn("items", F.when(F.col("error").isNull(), F.col("items")).otherwise(_none()))
+
+
+def _rows(read: DataFrame) -> DataFrame:
+    return read.select(*KEYS, "tool", F.explode("items").alias("x")).select(
+        *KEYS, "x.ord", *[F.col("tool") if c == "tool" else F.col(f"x.{c}") for c in FINDING_COLS])
+
+
+def _normaliser(tool: str):
+    def norm(reports: DataFrame, root: str | None = None) -> DataFrame:
+        return relativize_paths(_rows(read_reports(reports, [tool])), root)
+
+    norm.__doc__ = READERS[tool].__doc__
+    return norm
+
+
+norm_bandit = _normaliser("bandit")
+norm_ruff = _normaliser("ruff")
+norm_radon = _normaliser("radon")
+norm_eslint = _normaliser("eslint")
+norm_dependency_audit = _normaliser("pip-audit")
 
 
 def report_failures(reports: DataFrame) -> DataFrame:
-    """Per (PR, tool): the first parse error among its reports, if any.
+    """Per (PR, tool): the first error (by text) among its reports, if any."""
+    return read_reports(reports).filter(F.col("error").isNotNull()).groupBy(*KEYS, "tool").agg(
+        F.min("error").alias("error"))
 
-    A report that is not JSON fails its tool; a ruff diagnostic whose ``code``
-    is an explicit null fails ruff (the reference crashes on it).
-    """
-    rep = F.col("report")
-    invalid = ~json_ok(rep)
-    ruff_null = (F.col("tool") == "ruff") & F.coalesce(F.exists(
-        F.from_json(rep, "array<map<string,string>>"),
-        lambda m: F.map_contains_key(m, "code") & F.try_element_at(m, F.lit("code")).isNull()), F.lit(False))
-    err = F.when(invalid, F.lit(INVALID_REPORT)).when(ruff_null, F.lit(RUFF_NULL_CODE))
-    return reports.select(*KEYS, "tool", err.alias("error")).filter(F.col("error").isNotNull()).groupBy(
-        *KEYS, "tool").agg(F.min("error").alias("error"))
+
+def _tool_pos() -> Column:
+    return F.array_position(F.array(*[F.lit(t) for t in TOOLS]), F.col("tool")).cast("int") - 1
 
 
 def all_tool_findings(reports: DataFrame, secrets: DataFrame | None = None, root: str | None = None) -> DataFrame:
-    """Findings of every tool (unfiltered by status), with the tool ordinal."""
-    parts = [norm_bandit(reports, root), norm_ruff(reports, root), norm_radon(reports, root),
-             norm_eslint(reports, root), norm_dependency_audit(reports)]
+    """Findings of every tool whose reports all read well, with the tool
+    ordinal: one scan of the reports, one window that drops a failed tool."""
+    read = read_reports(reports)
+    failed = F.max(F.col("error").isNotNull()).over(Window.partitionBy(*KEYS, "tool"))
+    out = relativize_paths(_rows(read.withColumn("_failed", failed).filter(~F.col("_failed"))), root)
     if secrets is not None:
-        parts.append(secrets.select(*KEYS, "ord", *FINDING_COLS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    pos = F.lit(None).cast("int")
-    for i, t in reversed(list(enumerate(TOOLS))):
-        pos = F.when(F.col("tool") == t, F.lit(i)).otherwise(pos)
-    return out.withColumn("tool_pos", pos)
-
-
-def tool_status(routes: DataFrame, reports: DataFrame, findings: DataFrame | None,
-                targets: DataFrame | None = None) -> DataFrame:
+        out = out.unionByName(secrets.select(*KEYS, "ord", *FINDING_COLS))
+    return out.withColumn("tool_pos", _tool_pos())
+
+
+def tool_results(routes: DataFrame, reports: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
+    """One row per routed (PR, tool): error (null when it succeeded) and all its
+    findings in report order, from one scan of the reports."""
+    read = read_reports(reports).select(*KEYS, "tool", "error", F.transform("items", lambda x: x.dropFields("bad"))
+                                        .alias("items"))
+    if secrets is not None:
+        s = secrets.groupBy(*KEYS, "tool").agg(F.collect_list(F.struct(
+            "ord", *[F.coalesce(F.col(c), F.lit(0).cast("bigint") if c == "line" else F.lit("")).alias(c)
+                     for c in FINDING_COLS if c != "tool"])).alias("items"))
+        read = read.unionByName(s.withColumn("error", F.lit(None).cast("string")))
+    per = read.groupBy(*KEYS, "tool").agg(F.min("error").alias("error"), F.flatten(F.collect_list("items")).alias("items"))
+    j = routes.join(per, [*KEYS, "tool"], "left")
+    empty = F.from_json(F.lit("[]"), per.schema["items"].dataType)
+    return j.select(*KEYS, "tool", "tool_pos", "error", F.when(F.col("error").isNull(), F.coalesce("items", empty))
+                    .otherwise(empty).alias("items"))
+
+
+def tool_status(results: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Per routed (PR, tool): success, finding count (0 when failed), summary, error.
 
-    Every count is pre-aggregated per (PR, tool) before the joins, so route
-    rows never multiply.  ``targets`` (optional) counts scanned files per
-    (PR, tool) for bandit's summary.  With ``findings=None`` only success and
-    error are produced (no pass over the findings).
+    ``targets`` (optional) counts scanned files per (PR, tool) for bandit's
+    summary; it is aggregated before the join, so rows never multiply.
     """
-    fails = report_failures(reports)
-    j = routes.join(fails, [*KEYS, "tool"], "left")
-    if findings is None:
-        return j.select(*KEYS, "tool", "tool_pos", F.col("error").isNull().alias("success"),
-                        F.coalesce("error", F.lit("")).alias("error"))
-    counts = findings.groupBy(*KEYS, "tool").agg(F.count(F.lit(1)).alias("n_raw"))
-    j = j.join(counts, [*KEYS, "tool"], "left")
+    j = results.select(*KEYS, "tool", "tool_pos", "error", F.size("items").cast("bigint").alias("n"))
     if targets is not None:
         t = targets.groupBy(*KEYS, "tool").agg(F.count(F.lit(1)).alias("n_targets"))
         j = j.join(t, [*KEYS, "tool"], "left")
     else:
         j = j.withColumn("n_targets", F.lit(None).cast("bigint"))
-    success = F.col("error").isNull()
-    n = F.when(success, F.coalesce("n_raw", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     summary = F.lit("")
     for tool, text in SUMMARY.items():
-        pre, rest = text.split("{", 1)
-        parts = [F.lit(pre)]
-        while True:
-            key, rest = rest.split("}", 1)
-            parts.append((F.coalesce("n_targets", F.lit(0)) if key == "n_targets" else n).cast("string"))
-            if "{" not in rest:
-                parts.append(F.lit(rest))
-                break
-            pre, rest = rest.split("{", 1)
-            parts.append(F.lit(pre))
-        summary = F.when(F.col("tool") == tool, F.concat(*parts)).otherwise(summary)
-    return j.select(*KEYS, "tool", "tool_pos", success.alias("success"), n.alias("n_findings"),
-                    F.when(success, summary).otherwise(F.lit("")).alias("summary"),
+        summary = F.when(F.col("tool") == tool, fill(
+            text, n=F.col("n"), n_targets=F.coalesce("n_targets", F.lit(0)))).otherwise(summary)
+    if targets is not None:
+        none = (F.col("tool") == "bandit") & F.col("n_targets").isNull()
+        summary = F.when(none, F.lit(NO_TARGETS)).otherwise(summary)
+    ok = F.col("error").isNull()
+    return j.select(*KEYS, "tool", "tool_pos", ok.alias("success"), F.col("n").alias("n_findings"),
+                    F.when(ok, summary).otherwise(F.lit("")).alias("summary"),
                     F.coalesce("error", F.lit("")).alias("error"))
 
 
-def unified_findings(status: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of successful, routed tools, in tool order; the comment
-    text carries a ``[tool]`` prefix.  ``status`` needs only ``success``
-    (``tool_status(..., findings=None)``), so the findings are read once."""
-    ok = status.filter("success").select(*KEYS, "tool")
-    # An inner join on the (unique) ok keys, not a semi-join: Catalyst pushes a
-    # semi-join into every branch of the findings union, re-deriving the
-    # status once per tool; the inner join keeps one status plan.
-    u = findings.join(ok, [*KEYS, "tool"], "inner")
+def unified_findings(routes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings (of successful tools, see ``all_tool_findings``) of the
+    routed tools; the comment text carries a ``[tool]`` prefix."""
+    u = findings.join(routes.select(*KEYS, "tool"), [*KEYS, "tool"], "left_semi")
     return u.withColumn("tagged_message", F.concat(F.lit("["), F.col("tool"), F.lit("] "), F.col("message")))
 
 
-def tool_prompt_text(status: DataFrame, findings: DataFrame) -> DataFrame:
-    """The text block each tool contributes to the agent prompts.
+def tool_prompt_text(results: DataFrame) -> DataFrame:
+    """The text block each tool contributes to the agent prompts; lines
+    ordered by file, then position in the report."""
+    def line(x):
+        return F.concat(F.lit("  - ["), x["severity"], F.lit("] "), x["file"], F.lit(":"), x["line"].cast("string"),
+                        F.lit(" — "), x["message"], F.when(x["suggestion"] != "", F.concat(
+                            F.lit("\n    Suggested fix: "), x["suggestion"])).otherwise(F.lit("")))
 
-    Lines are collected per (PR, tool) -- a group bounded by one tool's
-    findings on one PR -- and ordered by file, then position in the report.
-    The finding count is the size of that list, so ``status`` needs only
-    success/error and the findings are read once.
-    """
-    line = F.concat(F.lit("  - ["), F.col("severity"), F.lit("] "), F.col("file"), F.lit(":"),
-                    F.col("line").cast("string"), F.lit(" — "), F.col("message"),
-                    F.when(F.col("suggestion") != "", F.concat(F.lit("\n    Suggested fix: "), F.col("suggestion")))
-                    .otherwise(F.lit("")))
-    lines = findings.groupBy(*KEYS, "tool").agg(
-        F.array_sort(F.collect_list(F.struct("file", "ord", line.alias("t")))).alias("ls"))
-    j = status.select(*KEYS, "tool", "tool_pos", "success", "error").join(lines, [*KEYS, "tool"], "left")
-    j = j.withColumn("_n", F.when(F.col("ls").isNull(), F.lit(0)).otherwise(F.size("ls")))
+    ordered = F.array_sort(F.transform("items", lambda x: F.struct(x["file"].alias("file"), x["ord"].alias("ord"),
+                                                                   line(x).alias("t"))))
     head = F.concat(F.lit("["), F.col("tool"), F.lit("] "))
-    text = (F.when(~F.col("success"), F.concat(head, F.lit("Not available: "), F.col("error")))
-            .when(F.col("_n") == 0, F.concat(head, F.lit("No issues found.")))
-            .otherwise(F.concat(head, F.col("_n").cast("string"), F.lit(" issue(s):\n"),
-                                F.array_join(F.transform("ls", lambda x: x["t"]), "\n"))))
-    return j.select(*KEYS, "tool", "tool_pos", text.alias("text"))
+    text = (F.when(F.col("error").isNotNull(), F.concat(head, F.lit("Not available: "), F.col("error")))
+            .when(F.size("items") == 0, F.concat(head, F.lit("No issues found.")))
+            .otherwise(F.concat(head, F.size("items").cast("string"), F.lit(" issue(s):\n"),
+                                F.array_join(F.transform(ordered, lambda x: x["t"]), "\n"))))
+    return results.select(*KEYS, "tool", "tool_pos", text.alias("text"))
 
 
 def finding_totals(status: DataFrame) -> DataFrame:
@@ -273,15 +360,17 @@ def severity_filter(findings: DataFrame, cfg: DataFrame) -> DataFrame:
     return j.filter((thr <= 1) | (severity_rank("severity") >= thr)).drop("_thr")
 
 
-def inline_comments(findings: DataFrame, limit: int = INLINE_LIMIT) -> DataFrame:
-    """the first ``limit`` findings per PR in tool order, *then* drop line < 1.
+def inline_comments(findings: DataFrame, limit: int | None = INLINE_LIMIT) -> DataFrame:
+    """the first ``limit`` findings per PR in tool order (``None``: all), *then* drop line < 1.
 
     Within a tool, findings are ordered by file, then position in the report.
     ``row_number() <= limit`` is planned as a window group limit, which keeps
     only the top rows per PR on the map side before the shuffle.
     """
     w = Window.partitionBy(*KEYS).orderBy("tool_pos", "file", "ord")
-    top = findings.withColumn("comment_pos", F.row_number().over(w)).filter(F.col("comment_pos") <= limit)
+    top = findings.withColumn("comment_pos", F.row_number().over(w))
+    if limit is not None:
+        top = top.filter(F.col("comment_pos") <= limit)
     body = F.concat(F.lit("**"), F.coalesce("severity", F.lit("INFO")), F.lit("**: "), F.col("tagged_message"),
                     F.when(F.coalesce(F.col("suggestion"), F.lit("")) != "",
                            F.concat(F.lit("\n\n**Suggested fix**: "), F.col("suggestion"))).otherwise(F.lit("")))

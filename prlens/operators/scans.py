@@ -121,7 +121,7 @@ def secret_scan(lines: DataFrame) -> DataFrame:
 def secret_findings(lines: DataFrame) -> DataFrame:
     """A1 in the common finding layout (tool ``detect-secrets``)."""
     s = secret_scan(lines)
-    return s.select(*KEYS, (F.col("line_no") * 100 + F.col("rule_pos")).alias("ord"),
+    return s.select(*KEYS, F.struct(F.col("line_no").cast("int").alias("a"), F.col("rule_pos").cast("int").alias("b")).alias("ord"),
                     F.col("filename").alias("file"), F.col("line_no").cast("bigint").alias("line"), "severity",
                     "message", F.lit("detect-secrets").alias("tool"), "rule_id",
                     F.lit(SECRET_SUGGESTION).alias("suggestion"))
@@ -251,59 +251,74 @@ def license_flags(docs: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return s.select(*keys, "line_no", F.col("rule_id").alias("license"), F.col("message").alias("license_class"))
 
 
-# Fixed values (ours): near-duplicate detection -- 5-word shingles, 16 MinHash
-# functions in 4 bands of 4 (candidates above roughly 0.7 Jaccard similarity).
+# Fixed values (ours): near-duplicate files -- 5-word shingles, Jaccard 0.8,
+# 12 bands of 3 MinHash functions (a pair at 0.8 shares a band with probability
+# 1 - (1 - 0.8 ** 3) ** 12, about 99.98 %).
 NEAR_SHINGLE_WORDS = 5
-MINHASHES = 16
-BANDS = 4
-
-
-def minhash_signatures(code: DataFrame, content_col: str = "content", n: int = NEAR_SHINGLE_WORDS,
-                       hashes: int = MINHASHES) -> DataFrame:
-    """MinHash signature per (repo, path) over whole-text word shingles.
-
-    Each signature slot is ``min(xxhash64(seed, shingle))`` -- a partial +
-    final hash aggregate, so a huge document is reduced map-side and never
-    collected."""
+NEAR_THRESHOLD = (80, 100)
+BANDS, BAND_ROWS = 12, 3
+HASH_PRIME = (1 << 32) + 15
+
+
+def hash_functions(count: int = BANDS * BAND_ROWS) -> list[tuple[int, int]]:
+    """Multipliers and offsets below 2**30 (products with 32-bit hashes fit a long)."""
+    out, x = [], 12345
+    for _ in range(count):
+        pair = []
+        for _ in range(2):
+            x = (x * 1103515245 + 12345) % (1 << 31)
+            pair.append(x % ((1 << 30) - 1) + 1)
+        out.append((pair[0], pair[1]))
+    return out
+
+
+def shingle_hashes(code: DataFrame, content_col: str = "content", n: int = NEAR_SHINGLE_WORDS) -> DataFrame:
+    """(repo, path, h): the distinct word shingles of whole texts as 32-bit
+    numbers cut from their md5; a shorter text is one shingle."""
     from pyspark.ml.feature import NGram
 
-    words = code.select("repo_name", "path", F.split(py_strip(F.col(content_col)), r"\s+").alias("w"))
+    text = py_strip(F.coalesce(F.col(content_col), F.lit("")))
+    words = code.select("repo_name", "path", F.split(text, r"\s+").alias("w")).filter(F.col("w")[0] != "")
     grams = NGram(n=n, inputCol="w", outputCol="g").transform(words)  # JVM-side n-grams
     shingles = F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(F.col("g"))
-    sh = grams.select("repo_name", "path", F.explode(shingles).alias("shingle"))
-    return sh.groupBy("repo_name", "path").agg(
-        *[F.min(F.xxhash64(F.lit(i), F.col("shingle"))).alias(f"h{i}") for i in range(hashes)])
-
-
-def near_duplicate_groups(code: DataFrame, content_col: str = "content", bands: int = BANDS,
-                          hashes: int = MINHASHES) -> DataFrame:
-    """A7 (near): documents whose MinHash signatures agree on a whole band
-    fall in the same bucket; report every bucket with two or more documents.
-
-    No document pairs are formed: each document contributes one row per band
-    and buckets are counted with a hash aggregate (a bucket holding a third
-    of all documents is one combined counter)."""
-    sig = minhash_signatures(code, content_col, hashes=hashes)
-    r = hashes // bands
-    band_rows = F.array(*[F.struct(F.lit(b).alias("band"),
-                                   F.xxhash64(*[F.col(f"h{b * r + j}") for j in range(r)]).alias("bucket"))
-                          for b in range(bands)])
-    bk = sig.select("repo_name", "path", F.inline(band_rows))
-    return bk.groupBy("repo_name", "band", "bucket").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.min("path").alias("first_path")).filter(
-        F.col("n_docs") >= 2)
-
-
-def near_duplicate_files(code: DataFrame, content_col: str = "content", bands: int = BANDS,
-                         hashes: int = MINHASHES) -> DataFrame:
-    """Per document: the largest near-duplicate bucket it belongs to (>= 2 docs)."""
-    sig = minhash_signatures(code, content_col, hashes=hashes)
-    r = hashes // bands
-    band_rows = F.array(*[F.struct(F.lit(b).alias("band"),
-                                   F.xxhash64(*[F.col(f"h{b * r + j}") for j in range(r)]).alias("bucket"))
-                          for b in range(bands)])
-    bk = sig.select("repo_name", "path", F.inline(band_rows))
-    sizes = bk.groupBy("repo_name", "band", "bucket").agg(F.count(F.lit(1)).alias("n_docs"))
-    j = bk.join(sizes.filter(F.col("n_docs") >= 2), ["repo_name", "band", "bucket"])
-    return j.groupBy("repo_name", "path").agg(F.max("n_docs").cast("bigint").alias("max_group"),
-                                             F.count(F.lit(1)).cast("bigint").alias("bands_shared"))
+    h = lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint")
+    return grams.select("repo_name", "path", F.explode(F.array_distinct(F.transform(shingles, h))).alias("h"))
+
+
+def near_duplicate_pairs(code: DataFrame, content_col: str = "content") -> DataFrame:
+    """A7 (near): each file against the first file (by path) of every MinHash
+    bucket it falls in, confirmed by the true Jaccard of the two shingle sets.
+
+    A bucket gives one candidate per member, never pairs among members;
+    signatures are minima of a partial + final aggregate; candidates meet the
+    sets in equi-joins on (repo, path, shingle)."""
+    sets = shingle_hashes(code, content_col)
+    minima = [F.min((F.col("h") * a + b) % HASH_PRIME).alias(f"m{i}") for i, (a, b) in enumerate(hash_functions())]
+    sig = sets.groupBy("repo_name", "path").agg(F.count(F.lit(1)).alias("n"), *minima)
+    keys = F.array(*[F.concat_ws("-", F.lit(b), *[F.col(f"m{b * BAND_ROWS + j}") for j in range(BAND_ROWS)])
+                     for b in range(BANDS)])
+    rows = sig.select("repo_name", "path", "n", F.explode(keys).alias("bucket"))
+    first = rows.groupBy("repo_name", "bucket").agg(
+        F.min(F.struct("path", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    cand = (rows.join(first, ["repo_name", "bucket"]).filter(F.col("path") != F.col("f.path"))
+            .select("repo_name", "path", "n", F.col("f.path").alias("first_path"), F.col("f.n").alias("n_first")).distinct())
+    mine = cand.join(sets, ["repo_name", "path"])
+    theirs = sets.select("repo_name", F.col("path").alias("first_path"), "h")
+    both = mine.join(theirs, ["repo_name", "first_path", "h"]).groupBy(
+        "repo_name", "path", "first_path", "n", "n_first").agg(F.count(F.lit(1)).alias("both"))
+    union = F.col("n") + F.col("n_first") - F.col("both")
+    num, den = NEAR_THRESHOLD
+    return both.filter(den * F.col("both") >= num * union).select(
+        "repo_name", "path", "first_path", F.round(F.col("both") / union, 6).alias("similarity"))
+
+
+def near_duplicate_groups(code: DataFrame, content_col: str = "content") -> DataFrame:
+    """A7 (near): every group once: its first file and how many files it has."""
+    return near_duplicate_pairs(code, content_col).groupBy("repo_name", "first_path").agg(
+        (F.count(F.lit(1)) + 1).cast("bigint").alias("n_docs"))
+
+
+def near_duplicate_files(code: DataFrame, content_col: str = "content") -> DataFrame:
+    """A7 (near), per file: the first file it nearly repeats, and how closely."""
+    return near_duplicate_pairs(code, content_col).groupBy("repo_name", "path").agg(
+        F.min("first_path").alias("first_path"), F.min_by("similarity", "first_path").alias("similarity"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prlens.operators import breaking as bk, filters, findings as fd, scans
-from prlens.plans.changes import LINES_SQL
-from prlens.plans.intake import CONFIG_SQL, KEPT_SQL, ROUTE_SQL, kept_files, resolved_config
+from prlens.plans.changes import KEPT_LINES_SQL, LINES_SQL
+from prlens.plans.intake import ROUTE_SQL, kept_files, kept_patches, resolved_config
 from prlens.plans.registry import register
 from prlens.sources import fixtures as fx, prs
 
@@ -35,102 +35,134 @@ def _rules_sql(rules, src: str, cols: str, text: str = "code", first_only: bool
     return "\nUNION ALL\n".join(parts)
 
 
-def _jt(schema: dict) -> str:
-    """DuckDB from_json structure literal."""
-    import json
-
-    return q(json.dumps(schema, separators=(",", ":")))
-
-
-BANDIT_T = _jt({"results": [{"filename": "VARCHAR", "line_number": "BIGINT", "issue_severity": "VARCHAR",
-                             "issue_text": "VARCHAR", "issue_cwe": {"id": "VARCHAR"}, "test_id": "VARCHAR"}]})
-RUFF_T = _jt([{"code": "VARCHAR", "message": "VARCHAR", "filename": "VARCHAR", "location": {"row": "BIGINT"},
-               "fix": {"message": "VARCHAR"}}])
-RADON_T = _jt([{"name": "VARCHAR", "complexity": "BIGINT", "rank": "VARCHAR", "lineno": "BIGINT"}])
-ESLINT_T = _jt([{"filePath": "VARCHAR", "messages": [{"severity": "BIGINT", "ruleId": "VARCHAR", "line": "BIGINT",
-                                                      "message": "VARCHAR", "fix": {"text": "VARCHAR"}}]}])
-_DEP = {"name": "VARCHAR", "version": "VARCHAR",
-        "vulns": [{"id": "VARCHAR", "description": "VARCHAR", "fix_versions": ["VARCHAR"]}]}
-AUDIT_ARR_T = _jt([_DEP])
-AUDIT_OBJ_T = _jt({"dependencies": [_DEP]})
-
-NORM_SQL = f"""
+#: Reports as S3 leaves them, with the error each would have failed its tool with.
+#: ``first(list)`` is the first problem in document order.
+def _first(elements: str, cases: str) -> str:
+    return f"list_filter(list_transform({elements}, lambda e: CASE {cases} END), lambda x: x IS NOT NULL)[1]"
+
+
+def _missing(key: str, of: str = "e") -> str:
+    return f"WHEN json_type({of}, '$.{key}') IS NULL THEN '''{key}'''"
+
+
+_GET = "'''str'' object has no attribute ''get'''"
+_NOGET = "'''NoneType'' object has no attribute ''get'''"
+_ITER = "'''NoneType'' object is not iterable'"
+_OBJ = "json_type(e) <> 'OBJECT'"
+
+REP_SQL = f"""rep0 AS (
+  SELECT repo_name, pr_number, tool, coalesce(nullif(regexp_replace(report, '^\\s+|\\s+$', '', 'g'), ''),
+         CASE tool WHEN 'bandit' THEN '{{}}' WHEN 'ruff' THEN '[]' WHEN 'radon' THEN '{{}}' WHEN 'eslint' THEN '[]'
+                   WHEN 'pip-audit' THEN '[]' END, '{{}}') AS report FROM fx_tool_report),
+rep1 AS (
+  SELECT *, json_valid(report) AND (starts_with(report, '[') OR starts_with(report, '{{')) AS ok FROM rep0),
+rep2 AS (SELECT *, CASE WHEN ok THEN CAST(report AS JSON) ELSE CAST('[]' AS JSON) END AS j FROM rep1),
+rep AS (
+  SELECT *, CASE WHEN NOT ok THEN 'report is not valid JSON'
+    WHEN tool = 'bandit' THEN CASE
+      WHEN json_type(j) = 'ARRAY' THEN '''list'' object has no attribute ''get'''
+      WHEN json_type(j, '$.results') IS NULL THEN NULL
+      WHEN json_type(j, '$.results') = 'NULL' THEN {_ITER}
+      ELSE {_first("json_extract(j, '$.results[*]')", f"WHEN {_OBJ} THEN {_GET} {_missing('filename')} {_missing('line_number')} {_missing('issue_text')}")} END
+    WHEN tool = 'ruff' THEN CASE
+      WHEN json_type(j) = 'OBJECT' THEN CASE WHEN report = '{{}}' THEN NULL ELSE {_GET} END
+      ELSE {_first("json_extract(j, '$[*]')", f"WHEN {_OBJ} THEN {_GET} WHEN json_type(e, '$.code') = 'NULL' THEN '''NoneType'' object has no attribute ''startswith''' {_missing('filename')} WHEN json_type(e, '$.location') = 'NULL' THEN {_NOGET}")} END
+    WHEN tool = 'radon' THEN CASE
+      WHEN json_type(j) = 'ARRAY' THEN '''list'' object has no attribute ''items'''
+      ELSE {_first("json_extract(j, '$.*')", f"WHEN json_type(e) = 'NULL' THEN {_ITER} WHEN json_type(e) = 'OBJECT' AND len(json_keys(e)) > 0 THEN {_GET}")} END
+    WHEN tool = 'eslint' THEN CASE
+      WHEN json_type(j) = 'OBJECT' THEN CASE WHEN report = '{{}}' THEN NULL ELSE {_GET} END
+      ELSE {_first("json_extract(j, '$[*]')", f"WHEN {_OBJ} THEN {_GET} WHEN json_type(e, '$.messages') = 'NULL' THEN {_ITER}")} END
+    WHEN tool = 'pip-audit' THEN CASE
+      WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.dependencies') = 'NULL' THEN {_ITER}
+      ELSE {_first("CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE json_extract(j, '$.dependencies[*]') END",
+                   f"WHEN {_OBJ} THEN {_GET} WHEN json_type(e, '$.vulns') = 'NULL' THEN {_ITER} "
+                   "WHEN json_type(e, '$.name') IS NULL AND coalesce(json_array_length(e, '$.vulns'), 0) > 0 THEN '''name'''")} END
+    END AS err FROM rep2)"""
+
+
+def _els(expr: str, where: str, pos: str = "ord") -> str:
+    """Rows (repo_name, pr_number, v, pos) of a JSON array expression over ``rep``."""
+    return (f"(SELECT * EXCLUDE (vs), unnest(vs) AS v, generate_subscripts(vs, 1) - 1 AS {pos} "
+            f"FROM (SELECT *, {expr} AS vs FROM {where}) a)")
+
+
+def _txt(path: str, of: str = "v") -> str:
+    return f"json_extract_string({of}, '$.{path}')"
+
+
+NORM_SQL = REP_SQL + f""",
+good AS (SELECT repo_name, pr_number, tool, j FROM rep WHERE err IS NULL),
 bandit AS (
-  SELECT repo_name, pr_number, 'bandit' AS tool, ord - 1 AS ord, v.filename AS file, coalesce(v.line_number, 0) AS line,
-         coalesce(v.issue_severity, 'MEDIUM') AS severity,
-         v.issue_text || ' (CWE-' || coalesce(v.issue_cwe.id, 'N/A') || ')' AS message, coalesce(v.test_id, '') AS rule_id,
-         '' AS suggestion
-  FROM (SELECT repo_name, pr_number, unnest(j.results) AS v, generate_subscripts(j.results, 1) AS ord
-        FROM (SELECT *, from_json(report, {BANDIT_T}) AS j FROM fx_tool_report WHERE tool = 'bandit') a) b),
+  SELECT repo_name, pr_number, 'bandit' AS tool, [0, ord] AS ord, {_txt('filename')} AS file,
+         coalesce(TRY_CAST({_txt('line_number')} AS BIGINT), 0) AS line, coalesce({_txt('issue_severity')}, 'MEDIUM') AS severity,
+         coalesce({_txt('issue_text')}, 'None') || ' (CWE-' || CASE WHEN json_type(v, '$.issue_cwe') = 'OBJECT' THEN
+           CASE WHEN json_type(v, '$.issue_cwe.id') IS NULL THEN 'N/A' ELSE coalesce({_txt('issue_cwe.id')}, 'None') END ELSE 'N/A' END
+           || ')' AS message, coalesce({_txt('test_id')}, '') AS rule_id, '' AS suggestion
+  FROM {_els("json_extract(j, '$.results[*]')", "good WHERE tool = 'bandit'")}),
 ruff AS (
-  SELECT repo_name, pr_number, 'ruff' AS tool, ord - 1 AS ord, v.filename AS file, coalesce(v.location.row, 0) AS line,
+  SELECT repo_name, pr_number, 'ruff' AS tool, [0, ord] AS ord, {_txt('filename')} AS file,
+         coalesce(TRY_CAST({_txt('location.row')} AS BIGINT), 0) AS line,
          CASE WHEN starts_with(code, 'E9') OR starts_with(code, 'F8') OR starts_with(code, 'F6') THEN 'HIGH'
               WHEN starts_with(code, 'E') OR starts_with(code, 'W') THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-         '[' || code || '] ' || coalesce(v.message, '') AS message, code AS rule_id, coalesce(v.fix.message, '') AS suggestion
-  FROM (SELECT *, coalesce(v.code, '') AS code FROM (
-        SELECT repo_name, pr_number, unnest(j) AS v, generate_subscripts(j, 1) AS ord
-        FROM (SELECT *, from_json(report, {RUFF_T}) AS j FROM fx_tool_report WHERE tool = 'ruff') a) b) c),
+         '[' || code || '] ' || coalesce({_txt('message')}, '') AS message, code AS rule_id,
+         coalesce({_txt('fix.message')}, '') AS suggestion
+  FROM (SELECT *, coalesce({_txt('code')}, '') AS code FROM {_els("json_extract(j, '$[*]')", "good WHERE tool = 'ruff'")} a) b),
 radon AS (
-  SELECT repo_name, pr_number, 'radon' AS tool, ord - 1 AS ord, path AS file, coalesce(v.lineno, 0) AS line,
+  SELECT repo_name, pr_number, 'radon' AS tool, [fpos, bpos] AS ord, path AS file, coalesce(TRY_CAST({_txt('lineno')} AS BIGINT), 0) AS line,
          CASE WHEN cx >= 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-         '''' || coalesce(v.name, '?') || ''' has cyclomatic complexity ' || CAST(cx AS VARCHAR) || ' (rank '
-           || coalesce(v.rank, '?') || ')' AS message, 'CC' || CAST(cx AS VARCHAR) AS rule_id,
+         '''' || coalesce({_txt('name')}, '?') || ''' has cyclomatic complexity ' || CAST(cx AS VARCHAR) || ' (rank '
+           || coalesce({_txt('rank')}, '?') || ')' AS message, 'CC' || CAST(cx AS VARCHAR) AS rule_id,
          'Break into smaller functions — complexity ' || CAST(cx AS VARCHAR) || ' exceeds threshold 10' AS suggestion
-  FROM (SELECT *, coalesce(v.complexity, 0) AS cx FROM (
-        SELECT repo_name, pr_number, path, unnest(bl) AS v, generate_subscripts(bl, 1) AS ord
-        FROM (SELECT r.repo_name, r.pr_number, e.key AS path, from_json(e.value, {RADON_T}) AS bl
-              FROM fx_tool_report r, json_each(r.report) e WHERE r.tool = 'radon') a) b) c
+  FROM (SELECT *, coalesce(TRY_CAST({_txt('complexity')} AS BIGINT), 0) AS cx FROM (
+        SELECT * EXCLUDE (bl), unnest(bl) AS v, generate_subscripts(bl, 1) - 1 AS bpos
+        FROM (SELECT *, json_extract(blocks, '$[*]') AS bl FROM (
+              SELECT repo_name, pr_number, unnest(json_keys(j)) AS path, unnest(json_extract(j, '$.*')) AS blocks,
+                     generate_subscripts(json_keys(j), 1) - 1 AS fpos FROM good WHERE tool = 'radon') x) a) b) c
   WHERE cx >= 10),
 eslint AS (
-  SELECT repo_name, pr_number, 'eslint' AS tool, fpos * 100000 + mpos AS ord, path AS file, coalesce(m.line, 0) AS line,
-         CASE WHEN coalesce(m.severity, 1) >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-         '[' || coalesce(m.ruleId, 'None') || '] ' || coalesce(m.message, '') AS message,
-         coalesce(m.ruleId, 'None') AS rule_id, coalesce(m.fix.text, '') AS suggestion
-  FROM (SELECT repo_name, pr_number, fpos, path, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS mpos
-        FROM (SELECT repo_name, pr_number, fpos - 1 AS fpos, fr.filePath AS path, fr.messages AS ms FROM (
-              SELECT repo_name, pr_number, unnest(j) AS fr, generate_subscripts(j, 1) AS fpos
-              FROM (SELECT *, from_json(report, {ESLINT_T}) AS j FROM fx_tool_report WHERE tool = 'eslint') a) b) c) d),
+  SELECT repo_name, pr_number, 'eslint' AS tool, [fpos, mpos] AS ord, path AS file, coalesce(TRY_CAST({_txt('line')} AS BIGINT), 0) AS line,
+         CASE WHEN coalesce(TRY_CAST({_txt('severity')} AS BIGINT), 1) >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+         '[' || rule || '] ' || coalesce({_txt('message')}, '') AS message, rule AS rule_id, coalesce({_txt('fix.text')}, '') AS suggestion
+  FROM (SELECT *, CASE WHEN json_type(v, '$.ruleId') IS NULL THEN 'unknown' ELSE coalesce({_txt('ruleId')}, 'None') END AS rule FROM (
+        SELECT * EXCLUDE (ms), unnest(ms) AS v, generate_subscripts(ms, 1) - 1 AS mpos
+        FROM (SELECT repo_name, pr_number, fpos, coalesce({_txt('filePath')}, '') AS path, json_extract(v, '$.messages[*]') AS ms
+              FROM {_els("json_extract(j, '$[*]')", "good WHERE tool = 'eslint'", "fpos")} x) a) b) c),
 audit AS (
-  SELECT repo_name, pr_number, 'pip-audit' AS tool, dpos * 100000 + vpos AS ord, 'requirements.txt' AS file, CAST(0 AS BIGINT) AS line,
+  SELECT repo_name, pr_number, 'pip-audit' AS tool, [dpos, vpos] AS ord, 'requirements.txt' AS file, CAST(0 AS BIGINT) AS line,
          'HIGH' AS severity,
-         dep.name || '==' || coalesce(dep.version, '?') || ': ' || coalesce(v.id, 'Unknown CVE') || ' — '
-           || substring(coalesce(v.description, ''), 1, 200) AS message,
-         coalesce(v.id, '') AS rule_id,
-         CASE WHEN len(coalesce(v.fix_versions, [])) > 0 THEN 'Upgrade to ' || array_to_string(v.fix_versions, ', ')
+         {_txt('name', 'dep')} || '==' || coalesce({_txt('version', 'dep')}, '?') || ': ' || coalesce({_txt('id')}, 'Unknown CVE') || ' — '
+           || substring(coalesce({_txt('description')}, ''), 1, 200) AS message,
+         coalesce({_txt('id')}, '') AS rule_id,
+         CASE WHEN len(coalesce(fixes, [])) > 0 THEN 'Upgrade to ' || array_to_string(fixes, ', ')
               ELSE 'No fix available yet' END AS suggestion
-  FROM (SELECT repo_name, pr_number, dpos, dep, unnest(dep.vulns) AS v, generate_subscripts(dep.vulns, 1) - 1 AS vpos
-        FROM (SELECT repo_name, pr_number, unnest(ds) AS dep, generate_subscripts(ds, 1) - 1 AS dpos
-              FROM (SELECT *, CASE WHEN starts_with(ltrim(report), '[') THEN from_json(report, {AUDIT_ARR_T})
-                                   ELSE from_json(report, {AUDIT_OBJ_T}).dependencies END AS ds
-                    FROM fx_tool_report WHERE tool = 'pip-audit') a) b) c)"""
+  FROM (SELECT *, json_extract_string(v, '$.fix_versions[*]') AS fixes FROM (
+        SELECT * EXCLUDE (vs), unnest(vs) AS v, generate_subscripts(vs, 1) - 1 AS vpos
+        FROM (SELECT repo_name, pr_number, dpos, v AS dep, json_extract(v, '$.vulns[*]') AS vs
+              FROM {_els("CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE json_extract(j, '$.dependencies[*]') END",
+                         "good WHERE tool = 'pip-audit'", "dpos")} x) a) b) c)"""
 
-SECRETS_SQL = LINES_SQL + ",\nsecret_hits AS (\n" + _rules_sql(
+SECRETS_SQL = ",\nsecret_hits AS (\n" + _rules_sql(
     scans.SECRET_RULES, "(SELECT * FROM pl WHERE side = 'added') s",
     "repo_name, pr_number, file_pos, filename, line_no") + "),\n" + """secrets AS (
-  SELECT repo_name, pr_number, 'detect-secrets' AS tool, line_no * 100 + rule_pos AS ord, filename AS file,
+  SELECT repo_name, pr_number, 'detect-secrets' AS tool, [line_no, rule_pos] AS ord, filename AS file,
          line_no AS line, severity, message, rule_id,
          'Move the value to an environment variable or a secret store' AS suggestion FROM secret_hits)"""
 
-ALL_SQL = f"""WITH {CONFIG_SQL}, {KEPT_SQL}, {ROUTE_SQL}, {SECRETS_SQL}, {NORM_SQL},
+ALL_SQL = f"""WITH {KEPT_LINES_SQL}{SECRETS_SQL}, {ROUTE_SQL}, {NORM_SQL},
 found AS (
   SELECT * FROM bandit UNION ALL SELECT * FROM ruff UNION ALL SELECT * FROM radon UNION ALL SELECT * FROM eslint
   UNION ALL SELECT * FROM audit UNION ALL
   SELECT repo_name, pr_number, tool, ord, file, line, severity, message, rule_id, suggestion FROM secrets),
-fails AS (
-  SELECT repo_name, pr_number, tool, min(err) AS error FROM (
-    SELECT repo_name, pr_number, tool,
-           CASE WHEN NOT json_valid(report) OR NOT (starts_with(ltrim(report), '[') OR starts_with(ltrim(report), '{{'))
-                THEN 'report is not valid JSON'
-                WHEN tool = 'ruff' AND starts_with(ltrim(report), '[')
-                     AND len(list_filter(json_extract(report, '$[*]'), lambda e: json_type(e, '$.code') = 'NULL')) > 0
-                THEN '''NoneType'' object has no attribute ''startswith''' END AS err
-    FROM fx_tool_report) x WHERE err IS NOT NULL GROUP BY ALL),
+fails AS (SELECT repo_name, pr_number, tool, min(err) AS error FROM rep WHERE err IS NOT NULL GROUP BY ALL),
 counts AS (SELECT repo_name, pr_number, tool, count(*) AS n_raw FROM found GROUP BY ALL),
-targets AS (SELECT repo_name, pr_number, count(*) AS n_targets FROM kept WHERE filename LIKE '%.py' GROUP BY ALL),
+targets AS (SELECT repo_name, pr_number, count(*) AS n_targets FROM kept k WHERE filename LIKE '%.py'
+            AND EXISTS (SELECT 1 FROM fx_commit c WHERE c.repo_name = k.repo_name AND c.path = k.filename) GROUP BY ALL),
 status AS (
   SELECT r.repo_name, r.pr_number, r.tool, r.tool_pos, f.error IS NULL AS success,
          CAST(CASE WHEN f.error IS NULL THEN coalesce(c.n_raw, 0) ELSE 0 END AS BIGINT) AS n_findings,
          CASE WHEN f.error IS NOT NULL THEN ''
+              WHEN r.tool = 'bandit' AND coalesce(t.n_targets, 0) = 0 THEN 'Changed files not found in workspace.'
               WHEN r.tool = 'bandit' THEN 'Scanned ' || CAST(coalesce(t.n_targets, 0) AS VARCHAR) || ' files, found '
                    || CAST(coalesce(c.n_raw, 0) AS VARCHAR) || ' security issues.'
               WHEN r.tool = 'ruff' THEN 'Found ' || CAST(coalesce(c.n_raw, 0) AS VARCHAR) || ' linting issues.'
@@ -150,31 +182,32 @@ unified AS (
 
 
 def _reports(spark, d):
-    return fx.fx_tool_report(spark, d)
+    return prs.load_tool_reports(fx.fx_tool_report(spark, d)).drop("root", "parse_ok")
 
 
 def _lines(spark, d):
     return bk.patch_lines(fx.fx_patch(spark, d))
 
 
-def _all_findings(spark, d):
-    return fd.all_tool_findings(_reports(spark, d), scans.secret_findings(_lines(spark, d)))
-
-
-def _status(spark, d, found=None):
-    kept = kept_files(spark, d)
-    routes = filters.route_tools(fx.fx_pr(spark, d), kept)
-    targets = filters.language_files(kept).filter(F.col("tool") == "bandit")
-    return fd.tool_status(routes, _reports(spark, d), found if found is not None else _all_findings(spark, d), targets)
+def _secrets(spark, d):
+    return scans.secret_findings(bk.patch_lines(kept_patches(spark, d)))
 
 
 def _routes(spark, d):
     return filters.route_tools(fx.fx_pr(spark, d), kept_files(spark, d))
 
 
+def _results(spark, d):
+    return fd.tool_results(_routes(spark, d), _reports(spark, d), _secrets(spark, d))
+
+
+def _status(spark, d):
+    python = filters.language_files(kept_files(spark, d)).filter(F.col("tool") == "bandit")
+    return fd.tool_status(_results(spark, d), filters.existing_targets(python, fx.fx_commit(spark, d)))
+
+
 def _unified(spark, d):
-    ok = fd.tool_status(_routes(spark, d), _reports(spark, d), None)
-    return fd.unified_findings(ok, _all_findings(spark, d))
+    return fd.unified_findings(_routes(spark, d), fd.all_tool_findings(_reports(spark, d), _secrets(spark, d)))
 
 
 def _fcols(df):
@@ -190,31 +223,31 @@ FROM (SELECT repo_name, pr_number, tool, coalesce(nullif(regexp_replace(report,
                   WHEN 'pip-audit' THEN '[]' END, '{}') AS report FROM fx_tool_report) r
 """)
 def q_load_tool_reports(spark, d):
-    r = prs.load_tool_reports(_reports(spark, d))
+    r = prs.load_tool_reports(fx.fx_tool_report(spark, d))
     return r.select("repo_name", "pr_number", "tool", "report", "root", "parse_ok")
 
 
-@register("norm_bandit", f"WITH {NORM_SQL[1:]}\nSELECT {', '.join(FIND_COLS)} FROM bandit")
+@register("norm_bandit", f"WITH {NORM_SQL}\nSELECT {', '.join(FIND_COLS)} FROM bandit")
 def q_norm_bandit(spark, d):
     return _fcols(fd.norm_bandit(_reports(spark, d)))
 
 
-@register("norm_ruff", f"WITH {NORM_SQL[1:]}\nSELECT {', '.join(FIND_COLS)} FROM ruff")
+@register("norm_ruff", f"WITH {NORM_SQL}\nSELECT {', '.join(FIND_COLS)} FROM ruff")
 def q_norm_ruff(spark, d):
     return _fcols(fd.norm_ruff(_reports(spark, d)))
 
 
-@register("norm_radon", f"WITH {NORM_SQL[1:]}\nSELECT {', '.join(FIND_COLS)} FROM radon")
+@register("norm_radon", f"WITH {NORM_SQL}\nSELECT {', '.join(FIND_COLS)} FROM radon")
 def q_norm_radon(spark, d):
     return _fcols(fd.norm_radon(_reports(spark, d)))
 
 
-@register("norm_eslint", f"WITH {NORM_SQL[1:]}\nSELECT {', '.join(FIND_COLS)} FROM eslint")
+@register("norm_eslint", f"WITH {NORM_SQL}\nSELECT {', '.join(FIND_COLS)} FROM eslint")
 def q_norm_eslint(spark, d):
     return _fcols(fd.norm_eslint(_reports(spark, d)))
 
 
-@register("norm_dependency_audit", f"WITH {NORM_SQL[1:]}\nSELECT {', '.join(FIND_COLS)} FROM audit")
+@register("norm_dependency_audit", f"WITH {NORM_SQL}\nSELECT {', '.join(FIND_COLS)} FROM audit")
 def q_norm_dependency_audit(spark, d):
     return _fcols(fd.norm_dependency_audit(_reports(spark, d)))
 
@@ -223,7 +256,7 @@ WORKSPACE_SQL = "'/work/' || repo_name || '/'"
 
 
 @register("relativize_paths", f"""
-WITH {NORM_SQL[1:]}
+WITH {NORM_SQL}
 SELECT repo_name, pr_number, CASE WHEN starts_with(abs_file, {WORKSPACE_SQL}) THEN substring(abs_file, length({WORKSPACE_SQL}) + 1)
        ELSE abs_file END AS file, line FROM (SELECT *, '/work/' || repo_name || '/' || file AS abs_file FROM bandit) b
 """)
@@ -264,8 +297,7 @@ FROM status s LEFT JOIN (
   FROM found GROUP BY ALL) l ON l.repo_name = s.repo_name AND l.pr_number = s.pr_number AND l.tool = s.tool
 """)
 def q_tool_prompt_text(spark, d):
-    found = _all_findings(spark, d)
-    t = fd.tool_prompt_text(fd.tool_status(_routes(spark, d), _reports(spark, d), None), found)
+    t = fd.tool_prompt_text(_results(spark, d))
     return t.select("repo_name", "pr_number", "tool", F.col("tool_pos").cast("bigint").alias("tool_pos"), "text")
 
 
@@ -410,13 +442,38 @@ def q_license_flags(spark, d):
     return s.select("repo_name", "path", F.col("line_no").cast("bigint").alias("line_no"), "license", "license_class")
 
 
-@register("near_duplicate_groups")
+def _near_sql() -> str:
+    n, fns = scans.NEAR_SHINGLE_WORDS, scans.hash_functions()
+    minima = ", ".join(f"min((h * {a} + {b}) % {scans.HASH_PRIME}) AS m{i}" for i, (a, b) in enumerate(fns))
+    bands = ", ".join("concat_ws('-', '" + str(b) + "', " + ", ".join(
+        f"CAST(m{b * scans.BAND_ROWS + j} AS VARCHAR)" for j in range(scans.BAND_ROWS)) + ")" for b in range(scans.BANDS))
+    num, den = scans.NEAR_THRESHOLD
+    return f"""WITH w AS (
+  SELECT repo_name, path, regexp_split_to_array(regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g'), '\\s+') AS w
+  FROM fx_code_file),
+sh AS MATERIALIZED (
+  SELECT DISTINCT repo_name, path, CAST('0x' || substring(md5(array_to_string(w[p:p + least(len(w), {n}) - 1], ' ')), 1, 8) AS BIGINT) AS h
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS p FROM w WHERE w[1] <> '') t),
+sig AS (SELECT repo_name, path, count(*) AS n, {minima} FROM sh GROUP BY ALL),
+bk AS MATERIALIZED (SELECT repo_name, path, n, unnest([{bands}]) AS bucket FROM sig),
+fst AS (SELECT repo_name, bucket, min(path) AS first_path, arg_min(n, path) AS n_first FROM bk GROUP BY ALL HAVING count(*) > 1),
+cand AS (SELECT DISTINCT repo_name, path, n, first_path, n_first FROM bk JOIN fst USING (repo_name, bucket) WHERE path <> first_path),
+near AS (
+  SELECT c.repo_name, c.path, c.first_path, c.n + c.n_first - count(*) AS u, count(*) AS both_
+  FROM cand c JOIN sh a ON a.repo_name = c.repo_name AND a.path = c.path
+  JOIN sh b ON b.repo_name = c.repo_name AND b.path = c.first_path AND b.h = a.h
+  GROUP BY c.repo_name, c.path, c.first_path, c.n, c.n_first HAVING {den} * count(*) >= {num} * (c.n + c.n_first - count(*)))"""
+
+
+@register("near_duplicate_groups", _near_sql() + """
+SELECT repo_name, first_path, count(*) + 1 AS n_docs FROM near GROUP BY ALL""")
 def q_near_duplicate_groups(spark, d):
-    """A7 near-duplicates (MinHash banding, rows-only check)."""
+    """A7 near-duplicates: groups around a first file, confirmed by true Jaccard."""
     return scans.near_duplicate_groups(fx.fx_code_file(spark, d))
 
 
-@register("near_duplicate_files")
+@register("near_duplicate_files", _near_sql() + """
+SELECT repo_name, path, min(first_path) AS first_path, round(arg_min(both_ / u, first_path), 6) AS similarity FROM near GROUP BY ALL""")
 def q_near_duplicate_files(spark, d):
-    """A7 near-duplicates per document (rows-only check)."""
+    """A7 near-duplicates per file."""
     return scans.near_duplicate_files(fx.fx_code_file(spark, d))

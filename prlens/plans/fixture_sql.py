@@ -9,7 +9,36 @@ from __future__ import annotations
 
 import re
 
-from prlens.sources.fixtures import AGENTS, WEBHOOK_SECRET, hmac_pads
+from prlens.sources.fixtures import (
+    AGENTS, PATCHES, REPORT_FILES, REPORTS, REVIEWS, RUFF_CODES, SCORES, TABLE, VERDICTS, WEBHOOK_SECRET, hmac_pads,
+)
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list(texts) -> str:
+    return "[" + ", ".join(map(_q, texts)) + "]"
+
+
+def _places(text: str, places: dict[str, str]) -> str:
+    for place, value in places.items():
+        text = f"replace({text}, {_q(place)}, {value})"
+    return text
+
+
+_REPORT_PLACES = {
+    "{f}": "filename", "{a}": "CAST(additions AS STRING)", "{d}": "CAST(deletions AS STRING)",
+    "{n}": "CAST(additions % 30 AS STRING)", "{s}": "CAST(1 + pk % 2 AS STRING)",
+    "{h}": "CASE pk % 2 WHEN 0 THEN 'HIGH' ELSE 'MEDIUM' END", "{c}": f"{_list(RUFF_CODES)}[pk % 4 + 1]",
+    **{f"{{{n}}}": f"CAST(pk % {n} AS STRING)" for n in (3, 4, 5, 9)},
+}
+_REPORT = " UNION ALL ".join(
+    f"SELECT repo_name, pr_number, '{tool}' AS tool, " + _places(
+        "CASE " + " ".join(f"WHEN pk % {by} = {k} THEN {_q(x)}" for k, x in odd.items()) + f" ELSE {_q(text)} END",
+        _REPORT_PLACES) + f" AS report FROM fx_pr_file WHERE filename LIKE '{REPORT_FILES[tool]}'"
+    for tool, (by, odd, text) in REPORTS.items())
 
 _PATH = (
     "CASE l_partkey % 6 WHEN 0 THEN 'src/mod_' || CAST(l_partkey % 40 AS STRING) || '.py' "
@@ -19,18 +48,21 @@ _PATH = (
     "WHEN 4 THEN 'src/pkg/mod_' || CAST(l_partkey % 40 AS STRING) || '.py' ELSE 'requirements.txt' END"
 )
 
+_FILE = f"CASE WHEN l_partkey % 31 = 0 THEN 'src/new_' || CAST(l_partkey % 40 AS STRING) || '.py' ELSE {_PATH} END"
+
 _IPAD, _OPAD = hmac_pads(WEBHOOK_SECRET)
 
 VIEWS: dict[str, str] = {
     "fx_pr": (
         "SELECT 'org/repo' || CAST(o_custkey % 20 AS STRING) AS repo_name, o_orderkey AS pr_number, "
-        "'dev' || CAST(o_custkey % 25 AS STRING) AS author, o_orderdate AS created_at FROM orders"
+        "'dev' || CAST(o_custkey % 25 AS STRING) AS author, o_orderdate AS created_at, "
+        "md5('head-' || CAST(o_orderkey AS STRING)) AS head_sha FROM orders"
     ),
     "fx_pr_file": (
         "SELECT repo_name, pr_number, CAST(row_number() OVER (PARTITION BY pr_number ORDER BY filename) AS INT) AS file_pos, "
         "filename, additions, deletions, pk FROM (SELECT p.repo_name, p.pr_number, l.filename, "
         "sum(CAST(l.l_quantity AS BIGINT)) * 4 AS additions, sum(CAST(l.l_linenumber AS BIGINT)) * 9 AS deletions, "
-        f"min(l.l_partkey) AS pk FROM (SELECT *, {_PATH} AS filename FROM lineitem) l "
+        f"min(l.l_partkey) AS pk FROM (SELECT *, {_FILE} AS filename FROM lineitem) l "
         "JOIN fx_pr p ON p.pr_number = l.l_orderkey GROUP BY p.repo_name, p.pr_number, l.filename) g"
     ),
     "fx_commit": (
@@ -42,43 +74,19 @@ VIEWS: dict[str, str] = {
         "JOIN fx_pr p ON p.pr_number = l.l_orderkey"
     ),
     "fx_patch": (
-        "SELECT repo_name, pr_number, file_pos, filename, CASE WHEN pk % 13 = 0 THEN NULL ELSE '@@ -1,3 +1,3 @@' || chr(10) || "
-        "CASE additions % 5 "
-        "WHEN 0 THEN '-def fn_' || CAST(pk % 50 AS STRING) || '(a, b):' || chr(10) || '+def fn_' || CAST(pk % 50 AS STRING) || '(a, b, c=None):' "
-        "WHEN 1 THEN '-def fn_' || CAST(pk % 50 AS STRING) || '(a):' || chr(10) || '+x = 1' "
-        "WHEN 2 THEN '-class C_' || CAST(pk % 50 AS STRING) || ':' || chr(10) || '+class C_' || CAST(pk % 50 AS STRING) || ':' "
-        "WHEN 3 THEN '-@app.get(\"/api/' || CAST(pk % 50 AS STRING) || '\")' || chr(10) || '+@app.get(\"/api/v2/' || CAST(pk % 50 AS STRING) || '\")' "
-        "ELSE '+DB_PASSWORD = \"hunter' || CAST(pk % 50 AS STRING) || '\"' || chr(10) || '+    query = f\"SELECT * FROM t WHERE id = {uid}\"' "
-        "|| chr(10) || '-    v = d.get(\"val\")' || chr(10) || '+    # TODO tidy' END END AS patch FROM fx_pr_file"
-    ),
-    "fx_tool_report": (
-        "SELECT repo_name, pr_number, 'ruff' AS tool, '[{\"code\":\"' || CASE pk % 4 WHEN 0 THEN 'F821' WHEN 1 THEN 'E501' "
-        "WHEN 2 THEN 'F401' ELSE 'E902' END || '\",\"message\":\"m' || CAST(pk % 9 AS STRING) || '\",\"filename\":\"' || filename "
-        "|| '\",\"location\":{\"row\":' || CAST(additions AS STRING) || '},\"fix\":null}]' AS report FROM fx_pr_file WHERE filename LIKE '%.py' "
-        "UNION ALL SELECT repo_name, pr_number, 'radon', '{\"' || filename || '\":[{\"name\":\"f\",\"complexity\":' || "
-        "CAST(additions % 30 AS STRING) || ',\"rank\":\"C\",\"lineno\":' || CAST(deletions AS STRING) || '}]}' FROM fx_pr_file WHERE filename LIKE '%.py' "
-        "UNION ALL SELECT repo_name, pr_number, 'eslint', '[{\"filePath\":\"' || filename || '\",\"messages\":[{\"severity\":' || "
-        "CAST(1 + pk % 2 AS STRING) || ',\"ruleId\":\"eqeqeq\",\"line\":' || CAST(deletions AS STRING) || ',\"message\":\"use ===\"}]}]' "
-        "FROM fx_pr_file WHERE filename LIKE '%.ts' "
-        "UNION ALL SELECT repo_name, pr_number, 'bandit', '{\"results\":[{\"filename\":\"' || filename || '\",\"line_number\":' || "
-        "CAST(deletions AS STRING) || ',\"issue_severity\":\"' || CASE pk % 2 WHEN 0 THEN 'HIGH' ELSE 'MEDIUM' END || "
-        "'\",\"issue_text\":\"sql\",\"issue_cwe\":{\"id\":89},\"test_id\":\"B608\"}]}' FROM fx_pr_file WHERE filename LIKE 'src/%.py' "
-        "UNION ALL SELECT repo_name, pr_number, 'pip-audit', '{\"dependencies\":[{\"name\":\"jinja2\",\"version\":\"2.11.' || "
-        "CAST(pk % 4 AS STRING) || '\",\"vulns\":[{\"id\":\"CVE-' || CAST(pk % 3 AS STRING) || '\",\"description\":\"d\",\"fix_versions\":[\"3.1.' "
-        "|| CAST(pk % 5 AS STRING) || '\"]}]}]}' FROM fx_pr_file WHERE filename = 'requirements.txt'"
+        "SELECT repo_name, pr_number, file_pos, filename, ['modified', 'added', 'removed'][pk % 3 + 1] AS status, "
+        "CASE WHEN pk % 13 = 0 THEN NULL ELSE '@@ -1,3 +1,3 @@' || chr(10) || "
+        f"replace({_list(PATCHES)}[CAST(additions % {len(PATCHES)} AS BIGINT) + 1], '{{k}}', CAST(pk % 50 AS STRING)) END AS patch "
+        "FROM fx_pr_file"
     ),
+    "fx_tool_report": _REPORT,
     "fx_agent": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {p}, '{s}')" for a, p, s in AGENTS)
     + ") AS t(agent, agent_pos, sentinel)",
     "fx_review": (
-        "SELECT p.repo_name, p.pr_number, a.agent, a.agent_pos, p.created_at, CASE (p.pr_number + a.agent_pos) % 5 "
-        "WHEN 0 THEN a.sentinel WHEN 1 THEN 'Unable to complete ' || a.agent || ' review due to service error. Manual review recommended.' "
-        "WHEN 2 THEN 'ISSUE: SQL injection in query loop' || chr(10) || 'LINE: src/mod_1.py:' || CAST(p.pr_number % 90 AS STRING) || chr(10) "
-        "|| 'SEVERITY: CRITICAL' || chr(10) || 'FIX: bind parameters' "
-        "WHEN 3 THEN 'ISSUE: Hardcoded password' || chr(10) || 'LINE: src/mod_2.py:' || CAST(p.pr_number % 7 AS STRING) || chr(10) "
-        "|| 'SEVERITY: HIGH' || chr(10) || 'FIX: use a vault' || chr(10) || chr(10) || 'ISSUE: Unclear naming' || chr(10) "
-        "|| 'LINE: src/mod_3.py:4' || chr(10) || 'SEVERITY: LOW' || chr(10) || 'FIX: rename' "
-        "ELSE 'ISSUE: Unbounded cache hurts performance' || chr(10) || 'LINE: src/mod_4.py:9' || chr(10) || 'SEVERITY: MEDIUM' "
-        "|| chr(10) || 'FIX: evict' END AS review FROM fx_pr p CROSS JOIN fx_agent a"
+        "SELECT p.repo_name, p.pr_number, a.agent, a.agent_pos, p.created_at, " + _places(
+            f"{_list(REVIEWS)}[CASE WHEN p.pr_number % 9 = 0 THEN 0 ELSE (p.pr_number + a.agent_pos) % {len(REVIEWS)} END + 1]",
+            {"{sentinel}": "a.sentinel", "{agent}": "a.agent", "{90}": "CAST(p.pr_number % 90 AS STRING)",
+             "{7}": "CAST(p.pr_number % 7 AS STRING)"}) + " AS review FROM fx_pr p CROSS JOIN fx_agent a"
     ),
     "fx_requirement": (
         "SELECT 'org/repo' || CAST(p_partkey % 20 AS STRING) AS repo_name, p_partkey AS line_no, replace(p_name, ' ', '-') || "
@@ -102,12 +110,18 @@ VIEWS: dict[str, str] = {
         "FROM fx_webhook_body"
     ),
     "fx_verdict": (
-        "SELECT repo_name, pr_number, created_at, '## Review' || chr(10) || '### Verdict: ' || CASE pr_number % 3 WHEN 0 THEN "
-        "'BLOCK MERGE' WHEN 1 THEN 'APPROVE WITH CHANGES' ELSE 'APPROVE' END || chr(10) || '### Must Fix Before Merge' || chr(10) "
+        "SELECT repo_name, pr_number, created_at, '## Review' || chr(10) || '### Verdict: ' || "
+        f"{_list(VERDICTS)}[pr_number % 3 + 1] || CASE WHEN pr_number % 5 <> 0 THEN chr(10) || '> Because of finding ' || "
+        "CAST(pr_number % 9 AS STRING) ELSE '' END || chr(10) || '### Must Fix Before Merge' || chr(10) "
         "|| CASE pr_number % 3 WHEN 0 THEN '- **SQL injection** (src/mod_1.py:3): auth bypass' ELSE 'None' END || chr(10) || "
         "'### Should Fix' || chr(10) || CASE WHEN pr_number % 4 = 0 THEN '- **Slow loop** (src/mod_2.py:9): query in loop, "
-        "performance' ELSE 'None.' END AS final_review, CASE pr_number % 6 WHEN 0 THEN '8' WHEN 1 THEN '10' WHEN 2 THEN ' 7 ' "
-        "WHEN 3 THEN '8/10' WHEN 4 THEN '3' ELSE '' END AS raw_score FROM fx_pr"
+        "performance' ELSE 'None.' END || CASE WHEN pr_number % 4 = 1 THEN chr(10) || '### Consider Improving' || chr(10) || "
+        "'- **Naming**: style' || chr(10) || '- **Docs** (README.md)' ELSE '' END || CASE WHEN pr_number % 2 = 0 THEN "
+        f"replace(replace({_q(TABLE)}, '{{n}}', CAST(pr_number % 11 AS STRING)), '{{k}}', CAST(pr_number % 8 AS STRING)) "
+        f"ELSE '' END AS final_review, {_list(SCORES)}[pr_number % 6 + 1] AS raw_score FROM fx_pr"
+    ),
+    "fx_query_embedding": (
+        "SELECT p.repo_name, p.pr_number, e.embedding FROM fx_pr p JOIN embeddings e ON e.vec_id = p.pr_number % 1000"
     ),
     "fx_manager": (
         "SELECT repo_name, pr_number, created_at, CASE WHEN pr_number % 7 = 0 THEN NULL ELSE final_review END AS final_review, "

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prlens.operators import breaking as bk, history as hs, memory as mm
-from prlens.plans.changes import BREAKING_SQL
+from prlens.operators import history as hs, memory as mm
+from prlens.plans.changes import BREAKING_TAIL, KEPT_LINES_SQL, breaking
 from prlens.plans.intake import AS_OF, AS_OF_SQL, SINCE_SQL
 from prlens.plans.registry import register
 from prlens.sources import fixtures as fx
@@ -29,13 +29,13 @@ hot_text AS (
 
 REVIEWERS_SQL = f"""recent AS (
   SELECT repo_name, path, author, row_number() OVER (PARTITION BY repo_name, path ORDER BY ts DESC, sha DESC) AS commit_rank
-  FROM fx_commit WHERE ts <= {AS_OF_SQL} QUALIFY commit_rank <= 20),
+  FROM fx_commit QUALIFY commit_rank <= 20),
 tch AS (
   SELECT f.repo_name, f.pr_number, f.file_pos, f.filename, r.commit_rank, r.author AS login
   FROM fx_pr_file f JOIN recent r ON r.repo_name = f.repo_name AND r.path = f.filename
   JOIN fx_pr p ON p.pr_number = f.pr_number AND p.repo_name = f.repo_name
-  WHERE f.file_pos <= 10 AND r.author IS NOT NULL AND r.author <> p.author),
-per AS (SELECT repo_name, pr_number, login, count(*) AS file_touches, min(file_pos * 1000 + commit_rank) AS first_seen
+  WHERE f.file_pos <= 10 AND r.author <> '' AND r.author IS DISTINCT FROM p.author),
+per AS (SELECT repo_name, pr_number, login, count(*) AS file_touches, min([file_pos, commit_rank]) AS first_seen
         FROM tch GROUP BY ALL),
 kf AS (SELECT repo_name, pr_number, login, list(filename ORDER BY file_pos)[1:5] AS knows_files
        FROM (SELECT DISTINCT repo_name, pr_number, login, file_pos, filename FROM tch) d GROUP BY ALL),
@@ -94,7 +94,7 @@ def q_hotspot_prompt(spark, d):
 
 
 def reviewers(spark, d):
-    return hs.suggest_reviewers(fx.fx_pr(spark, d), fx.fx_pr_file(spark, d), fx.fx_commit(spark, d), AS_OF)
+    return hs.suggest_reviewers(fx.fx_pr(spark, d), fx.fx_pr_file(spark, d), fx.fx_commit(spark, d))
 
 
 @register("suggest_reviewers", f"""
@@ -162,7 +162,7 @@ def q_dashboard_repos(spark, d):
 
 @register("dashboard_issues", f"""
 WITH {MEM_SQL}
-SELECT type, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, min(rank * 100 + tp)) AS BIGINT) AS pos
+SELECT type, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, min([rank, tp])) AS BIGINT) AS pos
 FROM (SELECT rank, unnest(issue_types) AS type, generate_subscripts(issue_types, 1) - 1 AS tp FROM top100) t GROUP BY type
 """)
 def q_dashboard_issues(spark, d):
@@ -188,7 +188,7 @@ def q_issue_counts(spark, d):
     return mm.issue_counts(memory(spark, d))
 
 
-MEMCTX_SQL = f"""{BREAKING_SQL}, {HOT_SQL}, {MEM_SQL},
+MEMCTX_TAIL = f"""{BREAKING_TAIL}, {HOT_SQL}, {MEM_SQL},
 blist AS (SELECT repo_name, pr_number, 'BREAKING CHANGES DETECTED:' || chr(10) || string_agg('  - ' || message, chr(10)
           ORDER BY finding_pos) AS btext FROM breaking GROUP BY ALL),
 memctx AS (
@@ -198,15 +198,24 @@ memctx AS (
   FROM fx_pr p LEFT JOIN past pa ON pa.repo_name = p.repo_name
   LEFT JOIN hot_text h ON h.repo_name = p.repo_name AND h.pr_number = p.pr_number
   LEFT JOIN blist b ON b.repo_name = p.repo_name AND b.pr_number = p.pr_number)"""
+MEMCTX_SQL = KEPT_LINES_SQL + MEMCTX_TAIL
 
 
 def memory_context(spark, d):
     past = mm.past_issues(memory(spark, d))
     hot = hs.hotspot_prompt(hs.hotspots(fx.fx_commit(spark, d), AS_OF, fx.fx_pr_file(spark, d)))
-    brk = bk.breaking_changes(fx.fx_patch(spark, d))
-    return mm.memory_context(fx.fx_pr(spark, d), past, hot, brk)
+    return mm.memory_context(fx.fx_pr(spark, d), past, hot, breaking(spark, d))
 
 
 @register("memory_context", f"WITH {MEMCTX_SQL}\nSELECT repo_name, pr_number, memory_context FROM memctx")
 def q_memory_context(spark, d):
     return memory_context(spark, d)
+
+
+@register("memory_context_manual", f"""
+WITH {MEM_SQL}
+SELECT p.repo_name, p.pr_number, CASE WHEN len(a.past_issues) > 0 THEN 'Past issues: ' || array_to_string(a.past_issues, ', ')
+       ELSE '' END AS memory_context FROM fx_pr p LEFT JOIN past a ON a.repo_name = p.repo_name""")
+def q_memory_context_manual(spark, d):
+    """M7, manual review: past issues only."""
+    return mm.manual_context(fx.fx_pr(spark, d), mm.past_issues(memory(spark, d)))

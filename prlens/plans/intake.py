@@ -10,7 +10,7 @@ from prlens.operators import filters, size
 from prlens.plans.registry import register
 from prlens.sources import config, fixtures as fx, prs
 
-# The "now" of every history query and the 90-day window.
+# The "now" of the hotspot queries and the 90-day window.
 AS_OF = dt.datetime(2001, 8, 1)
 WINDOW_DAYS = 90
 SINCE = AS_OF - dt.timedelta(days=WINDOW_DAYS)
@@ -49,16 +49,33 @@ def agent_sql(a: str) -> str:
 @register("load_pr_files", """
 SELECT p.repo_name, p.pr_number, p.author, CAST(f.file_pos AS BIGINT) AS file_pos, f.filename,
        CAST(f.additions AS BIGINT) AS additions, CAST(f.deletions AS BIGINT) AS deletions,
-       coalesce(x.patch, 'Binary file or no changes') AS patch
+       coalesce(x.patch, 'Binary file or no changes') AS patch, x.status, p.head_sha
 FROM fx_pr_file f JOIN fx_patch x ON x.pr_number = f.pr_number AND x.file_pos = f.file_pos
 JOIN fx_pr p ON p.pr_number = f.pr_number
 """)
 def q_load_pr_files(spark, d):
-    files = fx.fx_files(spark, d).select("repo_name", "pr_number", "file_pos", "filename", "additions",
-                                         "deletions", "patch")
-    out = prs.load_pr_files(fx.fx_pr(spark, d).select("repo_name", "pr_number", "author"), files)
+    out = prs.load_pr_files(fx.fx_pr(spark, d).select("repo_name", "pr_number", "author", "head_sha"),
+                            fx.fx_files(spark, d).drop("pk"))
     return out.select("repo_name", "pr_number", "author", F.col("file_pos").cast("bigint").alias("file_pos"),
-                      "filename", "additions", "deletions", "patch")
+                      "filename", "additions", "deletions", "patch", "status", "head_sha")
+
+
+@register("load_pr_dump", """
+SELECT p.repo_name, p.pr_number, CASE WHEN p.pr_number % 3 = 0 THEN '' ELSE 'body ' || CAST(p.pr_number AS VARCHAR) END AS body,
+       CAST(f.file_pos AS BIGINT) AS file_pos, f.filename, x.status, coalesce(x.patch, 'Binary file or no changes') AS patch
+FROM fx_pr_file f JOIN fx_patch x ON x.pr_number = f.pr_number AND x.file_pos = f.file_pos
+JOIN fx_pr p ON p.pr_number = f.pr_number
+""")
+def q_load_pr_dump(spark, d):
+    """S1 on a dump: one record per PR with its files nested, some without a body."""
+    f = fx.fx_files(spark, d)
+    nested = f.groupBy("repo_name", "pr_number").agg(F.array_sort(F.collect_list(F.struct(
+        "file_pos", F.struct("filename", "patch", "additions", "deletions", "status").alias("f")))).alias("fs"))
+    body = F.when(F.col("pr_number") % 3 != 0, F.concat(F.lit("body "), F.col("pr_number").cast("string")))
+    dump = nested.select("repo_name", "pr_number", body.alias("body"),
+                         F.transform("fs", lambda x: x["f"]).alias("files"))
+    return prs.load_pr_files(dump).select("repo_name", "pr_number", "body", F.col("file_pos").cast("bigint")
+                                          .alias("file_pos"), "filename", "status", "patch")
 
 
 @register("load_commits", f"""
@@ -154,6 +171,15 @@ def kept_files(spark, d):
     return filters.ignore_filter(fx.fx_pr_file(spark, d), resolved_config(spark, d))
 
 
+KEPT_PATCH_SQL = """kept_patch AS (
+  SELECT x.* FROM fx_patch x JOIN kept k ON k.repo_name = x.repo_name AND k.pr_number = x.pr_number AND k.file_pos = x.file_pos)"""
+
+
+def kept_patches(spark, d):
+    """The patches that reviews look at: files the repo ignores are left out."""
+    return filters.ignore_filter(fx.fx_patch(spark, d), resolved_config(spark, d))
+
+
 @register("ignore_filter", f"""
 WITH {CONFIG_SQL}, {KEPT_SQL}
 SELECT repo_name, pr_number, CAST(file_pos AS BIGINT) AS file_pos, filename FROM kept
@@ -206,13 +232,12 @@ def q_cap_changed_files(spark, d):
     return c.select("repo_name", "pr_number", F.col("file_pos").cast("bigint").alias("file_pos"), "filename")
 
 
-@register("existing_targets", f"""
+@register("existing_targets", """
 SELECT f.repo_name, f.pr_number, CAST(f.file_pos AS BIGINT) AS file_pos, f.filename FROM fx_pr_file f
-WHERE EXISTS (SELECT 1 FROM fx_commit c WHERE c.repo_name = f.repo_name AND c.path = f.filename AND c.ts <= {AS_OF_SQL})
+WHERE EXISTS (SELECT 1 FROM fx_commit c WHERE c.repo_name = f.repo_name AND c.path = f.filename)
 """)
 def q_existing_targets(spark, d):
-    snap = prs.load_commits(fx.fx_commit(spark, d), until=AS_OF)
-    e = filters.existing_targets(fx.fx_pr_file(spark, d), snap)
+    e = filters.existing_targets(fx.fx_pr_file(spark, d), fx.fx_commit(spark, d))
     return e.select("repo_name", "pr_number", F.col("file_pos").cast("bigint").alias("file_pos"), "filename")
 
 

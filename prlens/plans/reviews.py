@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prlens.operators import breaking as bk, evaluation as ev, findings as fd, reviews as rv
-from prlens.plans.changes import BREAKING_SQL, LINES_SQL
-from prlens.plans.findings import ALL_SQL, _all_findings, q
-from prlens.plans.history import MEMCTX_SQL, REVIEWER_TEXT_SQL, REVIEWERS_SQL, memory_context, reviewers
+from prlens.operators import breaking as bk, evaluation as ev, filters, findings as fd, reviews as rv
+from prlens.plans.changes import BREAKING_SQL, breaking
+from prlens.plans.findings import ALL_SQL, _results, q
+from prlens.plans.history import MEMCTX_TAIL, REVIEWER_TEXT_SQL, REVIEWERS_SQL, memory_context, reviewers
+from prlens.plans.intake import CONFIG_SQL, KEPT_SQL, resolved_config
 from prlens.plans.registry import register
-from prlens.operators import history as hs
+from prlens.plans.retrieval import INDEX_SQL, index
+from prlens.operators import history as hs, retrieval as rt
 from prlens.sources import fixtures as fx, prs
 
 A = rv.AGENT_ORDER
@@ -47,21 +49,44 @@ routed_text AS (
   FROM tt CROSS JOIN """ + AGENTS_VALUES + ")"
 
 DIFF_SQL = """diff AS (
-  SELECT f.repo_name, f.pr_number, to_json(list({'filename': f.filename, 'patch': coalesce(x.patch, 'Binary file or no changes'),
-         'additions': f.additions, 'deletions': f.deletions} ORDER BY f.file_pos)) AS diff
-  FROM fx_pr_file f JOIN fx_patch x ON x.pr_number = f.pr_number AND x.file_pos = f.file_pos GROUP BY ALL)"""
+  SELECT p.repo_name, p.pr_number, coalesce(d.diff, '[]') AS diff FROM fx_pr p LEFT JOIN (
+    SELECT f.repo_name, f.pr_number, to_json(list({'filename': f.filename, 'status': x.status,
+           'patch': coalesce(x.patch, 'Binary file or no changes'),
+           'additions': f.additions, 'deletions': f.deletions} ORDER BY f.file_pos)) AS diff
+    FROM kept f JOIN fx_patch x ON x.pr_number = f.pr_number AND x.file_pos = f.file_pos GROUP BY ALL) d
+  ON d.repo_name = p.repo_name AND d.pr_number = p.pr_number)"""
+KEPT_DIFF_SQL = f"{CONFIG_SQL}, {KEPT_SQL}, {DIFF_SQL}"
+
+CONTEXT_SQL = f"""{INDEX_SQL},
+qs AS (SELECT repo_name, pr_number, CAST(embedding AS DOUBLE[]) AS qv FROM fx_query_embedding WHERE embedding IS NOT NULL),
+ix AS (SELECT repo_name, id, path, content, CAST(embedding AS DOUBLE[]) AS iv FROM idx WHERE embedding IS NOT NULL),
+pr_hits AS (
+  SELECT repo_name, pr_number, path, content, row_number() OVER (PARTITION BY repo_name, pr_number ORDER BY
+         list_dot_product(qv, iv) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(iv, iv))) DESC, id) AS hit_rank
+  FROM qs JOIN ix USING (repo_name) QUALIFY hit_rank <= 3),
+ctx AS (SELECT repo_name, pr_number, string_agg('File: ' || path || chr(10) || substring(content, 1, 500),
+               chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY hit_rank) AS context FROM pr_hits GROUP BY ALL)"""
 
 
 def tool_texts(spark, d):
-    from prlens.plans.findings import _reports, _routes
-    return fd.tool_prompt_text(fd.tool_status(_routes(spark, d), _reports(spark, d), None), _all_findings(spark, d))
+    return fd.tool_prompt_text(_results(spark, d))
+
+
+def diff_files(spark, d):
+    """The files a review sees (ignored ones left out), with the placeholder for a missing patch."""
+    files = filters.ignore_filter(fx.fx_files(spark, d).drop("pk"), resolved_config(spark, d))
+    return prs.load_pr_files(fx.fx_pr(spark, d).select("repo_name", "pr_number"), files)
 
 
 def diffs(spark, d):
-    files = prs.load_pr_files(fx.fx_pr(spark, d).select("repo_name", "pr_number"),
-                              fx.fx_files(spark, d).select("repo_name", "pr_number", "file_pos", "filename",
-                                                           "additions", "deletions", "patch"))
-    return rv.diff_text(files)
+    return rv.diff_text(diff_files(spark, d), fx.fx_pr(spark, d))
+
+
+def pr_context(spark, d):
+    """R3 -> R1 -> R2: one query per PR, its nearest code of the repo, the prompt's context text."""
+    q_ = fx.fx_query_embedding(spark, d).select("repo_name", F.col("pr_number").cast("string").alias("query_id"), "embedding")
+    ctx = rt.retrieval_context(rt.similar_code(q_, index(spark, d)))
+    return ctx.select("repo_name", F.col("query_id").cast("bigint").alias("pr_number"), "context")
 
 
 @register("route_tool_text", ALL_SQL + ", " + TEXTS_SQL + """
@@ -72,36 +97,61 @@ def q_route_tool_text(spark, d):
     return r.select("repo_name", "pr_number", "agent", _i("agent_pos"), "tool_text")
 
 
-@register("query_text", "WITH " + DIFF_SQL + "\nSELECT repo_name, pr_number, substring(diff, 1, 500) AS query FROM diff")
+@register("query_text", "WITH " + KEPT_DIFF_SQL + "\nSELECT repo_name, pr_number, substring(diff, 1, 500) AS query FROM diff")
 def q_query_text(spark, d):
-    return rv.query_text(diffs(spark, d))
+    return rv.query_text(diff_files(spark, d), fx.fx_pr(spark, d))
 
 
 def _prompt_sql_expr() -> str:
-    brief = "CASE agent " + " ".join(f"WHEN '{a}' THEN {q(rv.AGENT_BRIEF[a])}" for a in A) + " END"
+    every = A + rv.OPTIONAL_AGENTS
+    brief = "CASE agent " + " ".join(f"WHEN '{a}' THEN {q(rv.AGENT_BRIEF[a])}" for a in every) + " END"
     fmt = "CASE agent " + " ".join(
-        f"WHEN '{a}' THEN {q(rv.BLOCK_FORMAT.format(vocab=' / '.join(rv.SEVERITY_VOCAB[a])))}" for a in A) + " END"
-    sent = "CASE agent " + " ".join(f"WHEN '{a}' THEN {q(rv.SENTINELS[a])}" for a in A) + " END"
+        f"WHEN '{a}' THEN {q(rv.BLOCK_FORMAT.format(vocab=' / '.join(rv.SEVERITY_VOCAB[a])))}" for a in every) + " END"
+    sent = "CASE agent " + " ".join(f"WHEN '{a}' THEN {q(rv.SENTINELS[a])}" for a in every) + " END"
     no_tool = "CASE agent " + " ".join(f"WHEN '{a}' THEN {q(t + chr(10) + chr(10))}" for a, t in rv.NO_TOOLS.items()) \
         + " ELSE '' END"
     return (f"{brief} || chr(10) || chr(10) || CASE WHEN coalesce(tool_text, '') <> '' THEN 'Static analysis results:' || chr(10) "
             f"|| tool_text || chr(10) || chr(10) ELSE {no_tool} END || CASE WHEN coalesce(memory_context, '') <> '' THEN "
             f"'Team history:' || chr(10) || memory_context || chr(10) || chr(10) ELSE '' END || "
+            "CASE WHEN agent IN ('maintainability', 'style') AND coalesce(context, '') <> '' THEN "
+            "'Existing code in this repository:' || chr(10) || context || chr(10) || chr(10) ELSE '' END || "
             f"'Diff:' || chr(10) || diff || chr(10) || chr(10) || {fmt} || chr(10) || "
             f"'If there is nothing to report, answer exactly: ' || {sent}")
 
 
-@register("build_prompts", ALL_SQL + ", " + TEXTS_SQL + MEMCTX_SQL[len(LINES_SQL):] + ", " + DIFF_SQL + f"""
-SELECT repo_name, pr_number, agent, CAST(agent_pos AS BIGINT) AS agent_pos, {_prompt_sql_expr()} AS prompt
-FROM routed_text JOIN diff USING (repo_name, pr_number) JOIN memctx USING (repo_name, pr_number)
-""")
-def q_build_prompts(spark, d):
-    ctx = rv.route_tool_text(tool_texts(spark, d)).join(diffs(spark, d), ["repo_name", "pr_number"]).join(
-        memory_context(spark, d), ["repo_name", "pr_number"]).withColumn("context", F.lit(""))
-    p = rv.build_prompts(ctx)
+PROMPTS_SQL = ALL_SQL + ", " + TEXTS_SQL + MEMCTX_TAIL + ", " + DIFF_SQL + ", " + CONTEXT_SQL
+
+
+def _prompts_sql(routed: str) -> str:
+    return PROMPTS_SQL + f"""
+SELECT r.repo_name, r.pr_number, agent, CAST(agent_pos AS BIGINT) AS agent_pos, {_prompt_sql_expr()} AS prompt
+FROM {routed} r JOIN diff USING (repo_name, pr_number) JOIN memctx USING (repo_name, pr_number)
+LEFT JOIN ctx USING (repo_name, pr_number)
+"""
+
+
+def prompts(spark, d, include_style=False):
+    """Everything a PR's prompts need is joined at PR grain; the agents are
+    expanded last, so the diff is never copied through a join."""
+    keys = ["repo_name", "pr_number"]
+    per = (rv.tool_text_columns(tool_texts(spark, d)).join(diffs(spark, d), keys).join(memory_context(spark, d), keys)
+           .join(pr_context(spark, d), keys, "left"))
+    p = rv.build_prompts(rv.explode_agents(per, include_style))
     return p.select("repo_name", "pr_number", "agent", _i("agent_pos"), "prompt")
 
 
+@register("build_prompts", _prompts_sql("routed_text"))
+def q_build_prompts(spark, d):
+    return prompts(spark, d)
+
+
+@register("build_prompts_style", _prompts_sql(
+    "(SELECT tt.repo_name, tt.pr_number, 'style' AS agent, 6 AS agent_pos, concat_ws(chr(10), \"t_ruff\") AS tool_text FROM tt)"))
+def q_build_prompts_style(spark, d):
+    """P2 with the optional seventh reviewer: its prompts."""
+    return prompts(spark, d, include_style=True).filter(F.col("agent") == "style")
+
+
 # ---- P3, P4, P5, P15 ----
 
 WIDE_SQL = "wide AS (SELECT repo_name, pr_number, " + ", ".join(
@@ -123,7 +173,7 @@ def q_build_manager_prompt(spark, d):
     return rv.build_manager_prompt(rv.wide_reviews(fx.fx_review(spark, d)))
 
 
-@register("build_autofix_prompt", "WITH " + DIFF_SQL + f"""
+@register("build_autofix_prompt", "WITH " + KEPT_DIFF_SQL + f"""
 SELECT v.repo_name, v.pr_number, {q('Write line-level fixes for the findings below, one `### Fix: <title>` block each, '
   'with **File:**, **Line:**, the original code, a ```suggestion block and **Why:**. If none can be fixed line by line, '
   'answer `### No Auto-Fixes Available`.' + chr(10) + chr(10) + 'Review:' + chr(10))} || v.final_review || chr(10) || chr(10)
@@ -268,7 +318,7 @@ SELECT f.repo_name, f.pr_number,
 FROM flags f LEFT JOIN agg a USING (repo_name, pr_number)
 """)
 def q_merge_decision(spark, d):
-    flags = bk.breaking_flags(fx.fx_pr(spark, d), bk.breaking_changes(fx.fx_patch(spark, d)))
+    flags = bk.breaking_flags(fx.fx_pr(spark, d), breaking(spark, d))
     return rv.merge_decision(blocks(spark, d), flags).select(
         "repo_name", "pr_number", "decision", "n_blocking", "n_changes", "has_breaking")
 

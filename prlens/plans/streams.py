@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from prlens.plans.findings import ALL_SQL, INLINE_SQL, _unified
 from prlens.plans.history import MEM_SQL, REVIEWER_TEXT_SQL, REVIEWERS_SQL
 from prlens.plans.intake import _size_sql
 from prlens.plans.registry import register
+from prlens.plans.report import COLS as REPORT_COLS, REPORT_SQL, risk_report
 from prlens.plans.reviews import SCORE_SQL, full_comments
 from prlens.session import checkpoint_dir
 from prlens.sources import fixtures as fx
@@ -57,7 +57,7 @@ def q_review_requests(spark, d):
 def _events_stream(spark, d):
     schema = table(spark, d, "events").schema
     return (spark.readStream.schema(schema).option("basePath", d)
-            .parquet(os.path.join(d, "events*.parquet")))
+            .parquet(f"{d.rstrip('/')}/events*.parquet"))
 
 
 @register("stream_review_requests", f"WITH {REQUESTS_SQL}\nSELECT * FROM requests")
@@ -74,28 +74,28 @@ SELECT delivery_id, CAST(ts AS VARCHAR) AS ts, body, signature FROM fx_webhook""
 def q_webhook_source(spark, d):
     """Deliveries dropped as parquet files are read back as a stream with
     the fixed delivery schema and drained to a sink."""
-    drop = os.path.join(checkpoint_dir(spark), f"deliveries-{uuid.uuid4().hex}")
+    drop = f"{checkpoint_dir(spark)}/deliveries-{uuid.uuid4().hex}"
     fx.fx_webhook(spark, d).write.parquet(drop)
     sink = wh.run_to_parquet(spark, wh.webhook_source(spark, drop))
     return spark.read.parquet(sink).select("delivery_id", F.col("ts").cast("string").alias("ts"), "body", "signature")
 
 
-@register("stream_pr_pipeline")
+@register("stream_pr_pipeline", REPORT_SQL + f""", {REQUESTS_SQL}
+SELECT {', '.join(REPORT_COLS)} FROM risk
+WHERE EXISTS (SELECT 1 FROM requests r WHERE r.repo_name = risk.repo_name AND r.pr_number = risk.pr_number)""")
 def q_stream_pr_pipeline(spark, d):
-    """Each micro-batch of review requests runs the size report for its PRs
-    (idempotent per batch id).  Rows-only check."""
+    """Each micro-batch of review requests runs the whole risk report for
+    its PRs, every input cut to them first (idempotent per batch id)."""
     deliveries = fx.signed_of(fx.webhook_body_of(_events_stream(spark, d)))
     requests = wh.review_requests(deliveries, WEBHOOK_SECRET)
-    prs_ = fx.fx_pr(spark, d)
-    files = fx.fx_pr_file(spark, d)
 
     def run(batch):
-        want = batch.select("repo_name", "pr_number").distinct()
-        return size.pr_size_check(prs_.join(want, ["repo_name", "pr_number"], "left_semi"), files)
+        return risk_report(spark, d, batch.select("repo_name", "pr_number").distinct())
 
-    sink = os.path.join(checkpoint_dir(spark), f"pr-reports-{uuid.uuid4().hex}")
+    schema = risk_report(spark, d).schema
+    sink = f"{checkpoint_dir(spark)}/pr-reports-{uuid.uuid4().hex}"
     wh.run_pr_report_stream(spark, requests, run, sink)
-    return spark.read.parquet(sink).select("repo_name", "pr_number", "total_lines", "total_files", "is_oversized")
+    return wh.read_reports(spark, sink, schema).select(*REPORT_COLS)
 
 
 @register("stream_issue_counts", f"""WITH {MEM_SQL}
@@ -103,12 +103,11 @@ SELECT type, CAST(count(*) AS BIGINT) AS count FROM (SELECT unnest(issue_types)
 def q_stream_issue_counts(spark, d):
     """store_review appends the memory table; a stream over it keeps the
     tag counters current (complete mode)."""
-    base = os.path.join(checkpoint_dir(spark), f"memory-{uuid.uuid4().hex}")
+    base = f"{checkpoint_dir(spark)}/memory-{uuid.uuid4().hex}"
     rows = mm.memory_rows(fx.fx_verdict(spark, d))
     mm.store_review(rows, base)
     mem_stream = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    sink = wh.run_issue_count_stream(spark, mem_stream)
-    return spark.read.parquet(sink)
+    return wh.latest_counts(spark, wh.run_issue_count_stream(spark, mem_stream))
 
 
 @register("error_comment", f"""WITH {REQUESTS_SQL}
@@ -147,33 +146,32 @@ summ AS (SELECT v.repo_name, v.pr_number, coalesce(v.final_review, '')
 errs AS (SELECT DISTINCT r.repo_name, r.pr_number, '⚠️ Automated review failed: PR #' || CAST(r.pr_number AS VARCHAR)
        || ' not found in ' || r.repo_name AS body
   FROM requests r WHERE NOT EXISTS (SELECT 1 FROM fx_pr p WHERE p.repo_name = r.repo_name AND p.pr_number = r.pr_number))
-SELECT repo_name, pr_number, 'size_warning' AS kind, NULL::VARCHAR AS path, NULL::BIGINT AS line, body FROM size_c
-UNION ALL SELECT repo_name, pr_number, 'inline', path, CAST(line AS BIGINT), body FROM inline
-UNION ALL SELECT repo_name, pr_number, 'summary', NULL, NULL, body FROM summ
-UNION ALL SELECT repo_name, pr_number, 'status', CASE WHEN passed THEN 'success' ELSE 'failure' END, NULL, description FROM scores
-UNION ALL SELECT repo_name, pr_number, 'error', NULL, NULL, body FROM errs""")
+SELECT repo_name, pr_number, 'size_warning' AS kind, NULL::VARCHAR AS path, NULL::BIGINT AS line, NULL::VARCHAR AS state,
+       NULL::VARCHAR AS head_sha, body FROM size_c
+UNION ALL SELECT repo_name, pr_number, 'inline', path, CAST(line AS BIGINT), NULL, NULL, body FROM inline
+UNION ALL SELECT repo_name, pr_number, 'summary', NULL, NULL, NULL, NULL, body FROM summ
+UNION ALL SELECT repo_name, pr_number, 'status', NULL, NULL, 'pending', head_sha, 'AI review in progress...' FROM fx_pr
+UNION ALL SELECT s.repo_name, s.pr_number, 'status', NULL, NULL, CASE WHEN passed THEN 'success' ELSE 'failure' END, p.head_sha,
+                 description FROM scores s JOIN fx_pr p USING (repo_name, pr_number)
+UNION ALL SELECT repo_name, pr_number, 'error', NULL, NULL, NULL, NULL, body FROM errs""")
 def q_comment_outbox(spark, d):
     sizes = size.pr_size_comment(size.pr_size_check(fx.fx_pr(spark, d), fx.fx_pr_file(spark, d)))
     inline = fd.inline_comments(_unified(spark, d))
-    return report.comment_outbox(sizes, inline, full_comments(spark, d), rv.score_gate(fx.fx_verdict(spark, d)),
+    return report.comment_outbox(fx.fx_pr(spark, d), sizes, inline, full_comments(spark, d), rv.score_gate(fx.fx_verdict(spark, d)),
                                  errors(spark, d))
 
 
-PROVIDERS = [("unavailable", None), ("quota", infer.quota_exhausted), ("flaky", infer.flaky),
-             ("scorer", infer.length_scorer)]
-
-
 SCORE_PROMPT_SQL = ("'Rate this code review from 1 to 10 for concrete, actionable, correctly ranked findings and a sound "
                     "merge decision. Answer with the number only.' || chr(10) || chr(10) || final_review")
 
 
 @register("batch_infer", f"""
-SELECT repo_name, pr_number, CAST(1 + length(prompt) % 10 AS VARCHAR) AS response, 'scorer' AS provider,
-       CAST(4 AS BIGINT) AS attempts
+SELECT repo_name, pr_number, CAST(least(10, 4 + 3 * (length(prompt) - length(replace(prompt, '- **', ''))) // 4) AS VARCHAR)
+       AS response, 'rules' AS provider, CAST(1 AS BIGINT) AS attempts
 FROM (SELECT repo_name, pr_number, {SCORE_PROMPT_SQL} AS prompt FROM fx_verdict) p""")
 def q_batch_infer(spark, d):
-    """Score prompts through a provider chain (one unavailable, one out
-    of quota, one failing, one answering) in Arrow batches."""
+    """Score prompts through a provider chain (no model configured, then the
+    rule-based judge) in Arrow batches."""
     prompts = rv.build_score_prompt(fx.fx_verdict(spark, d))
-    out = infer.batch_infer(prompts, PROVIDERS, backoff=0.0)
+    out = infer.batch_infer(prompts, [("model", None), ("rules", infer.rule_judge)])
     return out.select("repo_name", "pr_number", "response", "provider", "attempts")

@@ -95,9 +95,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
-        d = tempfile.mkdtemp(prefix="prlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prlens-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

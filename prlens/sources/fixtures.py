@@ -27,6 +27,22 @@ def _app_id(spark: SparkSession) -> str:
     return app or spark.sparkContext.applicationId
 
 
+SOURCES = ("orders", "lineitem", "documents", "embeddings")
+
+
+def _version(spark: SparkSession, d: str) -> str:
+    """The data under ``d``: every source file with its length and time, so a
+    table written anew under the same path is derived anew."""
+    seen = []
+    for name in SOURCES:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{d.rstrip('/')}/{name}.parquet")
+        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.globStatus(jvm_path) or ():
+            parts = fs.listStatus(f.getPath())
+            seen += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in parts]
+    return "\n".join(sorted(seen))
+
+
 def stored(name: str):
     """Materialise an adapter once per application as a parquet table in the
     shared checkpoint folder, then serve it from there.
@@ -37,12 +53,12 @@ def stored(name: str):
     """
     def deco(build):
         def get(spark: SparkSession, d: str) -> DataFrame:
-            key = (_app_id(spark), os.path.abspath(d), name)
+            key = (_app_id(spark), _version(spark, d), name)
             with _LOCK:
                 path = _STORED.get(key)
                 if path is None:
                     tag = hashlib.md5(key[1].encode()).hexdigest()[:10]
-                    path = os.path.join(checkpoint_dir(spark), "fixtures", key[0], tag, name)
+                    path = f"{checkpoint_dir(spark)}/fixtures/{key[0]}/{tag}/{name}"
                     build(spark, d).write.mode("overwrite").parquet(path)
                     _STORED[key] = path
             return spark.read.parquet(path)
@@ -78,6 +94,11 @@ def path_of_partkey(pk: Column) -> Column:
     )
 
 
+def file_of_partkey(pk: Column) -> Column:
+    """A PR's file: a path of the repository, or now and then one it does not have yet."""
+    return F.when(pk % 31 == 0, F.concat(F.lit("src/new_"), s(pk % 40), F.lit(".py"))).otherwise(path_of_partkey(pk))
+
+
 def fx_pr(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(
@@ -85,6 +106,7 @@ def fx_pr(spark: SparkSession, d: str) -> DataFrame:
         o.o_orderkey.alias("pr_number"),
         F.concat(F.lit("dev"), s(o.o_custkey % 25)).alias("author"),
         o.o_orderdate.alias("created_at"),
+        F.md5(F.concat(F.lit("head-"), s(o.o_orderkey))).alias("head_sha"),
     )
 
 
@@ -95,7 +117,7 @@ def _pr_file(spark: SparkSession, d: str) -> DataFrame:
     per_file = (
         li.select(
             li.l_orderkey.alias("pr_number"),
-            path_of_partkey(li.l_partkey).alias("filename"),
+            file_of_partkey(li.l_partkey).alias("filename"),
             li.l_quantity.cast("bigint").alias("q"),
             li.l_linenumber.cast("bigint").alias("ln"),
             li.l_partkey,
@@ -140,39 +162,43 @@ def fx_commit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _patch_body(pk: Column, additions: Column) -> Column:
-    k = s(pk % 50)
-    v = additions % 5
-    return (
-        F.when(v == 0, F.concat(F.lit("-def fn_"), k, F.lit("(a, b):" + NL + "+def fn_"), k, F.lit("(a, b, c=None):")))
-        .when(v == 1, F.concat(F.lit("-def fn_"), k, F.lit("(a):" + NL + "+x = 1")))
-        .when(v == 2, F.concat(F.lit("-class C_"), k, F.lit(":" + NL + "+class C_"), k, F.lit(":")))
-        .when(
-            v == 3,
-            F.concat(F.lit('-@app.get("/api/'), k, F.lit('")' + NL + '+@app.get("/api/v2/'), k, F.lit('")')),
-        )
-        .otherwise(
-            F.concat(
-                F.lit('+DB_PASSWORD = "hunter'),
-                k,
-                F.lit(
-                    '"' + NL + '+    query = f"SELECT * FROM t WHERE id = {uid}"' + NL
-                    + '-    v = d.get("val")' + NL + "+    # TODO tidy"
-                ),
-            )
-        )
-    )
+def _block(head: str, n: int) -> str:
+    return head + "".join(f"{NL}+    step_{i} = {i}" for i in range(n))
+
+
+#: Patch bodies by ``additions % len(PATCHES)``; ``{k}`` is a number of the file.
+PATCHES = [
+    f"-def fn_{{k}}(a, b):{NL}+def fn_{{k}}(a, b, c=None):",
+    f"-def fn_{{k}}(a):{NL}+x = 1",
+    f"-class C_{{k}}:{NL}+class C_{{k}}:",
+    f'-@app.get("/api/{{k}}"){NL}+@app.get("/api/v2/{{k}}")',
+    f'+DB_PASSWORD = "hunter{{k}}"{NL}+    query = f"SELECT * FROM t WHERE id = {{uid}}"{NL}'
+    f'-    v = d.get("val"){NL}+    # TODO tidy',
+    f"-export function load_{{k}}(a) {{{NL}+export const load_{{k}} = 1{NL}-export default class View_{{k}} {{",
+    f"-def größe_{{k}}(a):{NL}+def größe_{{k}}(a, b):{NL}-class Über_{{k}}:{NL}-def _hidden_{{k}}(x):",
+    f'+try:{NL}+    pass{NL}+except:{NL}+    print("error"){NL}+r = requests.get(url){NL}'
+    "+s = requests.post(url, timeout=3)",
+    _block("+def long_{k}():", 34) + f"{NL}+def short_{{k}}():{NL}+    pass",
+    _block("+def huge_{k}():", 55),
+    f"+for a in xs:{NL}+    for b in a:{NL}+        db.execute(b){NL}+row_cache = {{}}",
+    f'+v = eval(src){NL}+h = md5(v){NL}+page = f"<b>{{v}}</b>"{NL}+q = "select a from t where b = " + v',
+    f'+-----BEGIN RSA PRIVATE KEY-----{NL}+k = "sk-{"abc0" * 6}"{NL}+a = "AKIA{"ABCD" * 4}"{NL}'
+    f'+g = "ghp_{"abcdef" * 6}"',
+    f'+tmp = load(){NL}+def read_and_write_{{k}}(p):{NL}+    # TODO ABC-12 later{NL}-router.post("/items/{{k}}")',
+    f"+# comment only{NL} context line{NL}-    old = 1",
+]
 
 
 @stored("fx_files")
 def fx_files(spark: SparkSession, d: str) -> DataFrame:
     """fx_pr_file with its patch attached (fx_patch plus the size columns)."""
     f = _pr_file(spark, d)
+    body = F.element_at(F.array(*[F.lit(x) for x in PATCHES]), (f.additions % len(PATCHES) + 1).cast("int"))
     patch = F.when(f.pk % 13 == 0, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("@@ -1,3 +1,3 @@" + NL), _patch_body(f.pk, f.additions))
-    )
-    return f.select("repo_name", "pr_number", "file_pos", "filename", "additions", "deletions", "pk",
-                    patch.alias("patch"))
+        F.concat(F.lit("@@ -1,3 +1,3 @@" + NL), F.replace(body, F.lit("{k}"), s(f.pk % 50))))
+    status = F.element_at(F.array(F.lit("modified"), F.lit("added"), F.lit("removed")), (f.pk % 3 + 1).cast("int"))
+    return f.select("repo_name", "pr_number", "file_pos", "filename", status.alias("status"), "additions", "deletions",
+                    "pk", patch.alias("patch"))
 
 
 def fx_patch(spark: SparkSession, d: str) -> DataFrame:
@@ -180,56 +206,70 @@ def fx_patch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_pr_file(spark: SparkSession, d: str) -> DataFrame:
-    return fx_files(spark, d).drop("patch")
+    return fx_files(spark, d).drop("patch", "status")
+
+
+#: Report texts by tool: (divisor of the file's number, {remainder: text}, the others' text).
+#: Places: {f} file, {a} additions, {d} deletions, {n} additions % 30, {4} {9} {3} {5} remainders of the file's number.
+REPORTS = {
+    "ruff": (23, {
+        0: '[{"code":null,"message":"m","filename":"{f}","location":{"row":1}}]',
+        1: '[{"code":"E501","message":"m","location":{"row":1}}]',
+        2: "",
+        3: '[{"code":"W291","message":"m{9}","filename":"{f}","location":{"row":{a}},"fix":{"message":"Remove it"}},'
+           '{"filename":"{f}"}]',
+        4: '[{"code":"F401","filename":"{f}","location":null}]',
+    }, '[{"code":"{c}","message":"m{9}","filename":"{f}","location":{"row":{a}},"fix":null}]'),
+    "radon": (19, {
+        0: '{"{f}":{"error":"invalid syntax"}}',
+        1: '[]',
+        2: '{"{f}":[{"complexity":12},{"name":"g","complexity":31,"rank":"E","lineno":{d}}]}',
+    }, '{"{f}":[{"name":"f","complexity":{n},"rank":"C","lineno":{d}}]}'),
+    "eslint": (7, {
+        0: '[{"filePath":"{f}","messages":[{"severity":2,"line":{d},"message":"parse error"}]}]',
+        1: '[{"filePath":"{f}","messages":[{"ruleId":null,"message":"m","fix":{"text":"==="}}]},{"filePath":"x"}]',
+        2: '[{"filePath":"{f}","messages":null}]',
+        3: '{"error":"crash"}',
+    }, '[{"filePath":"{f}","messages":[{"severity":{s},"ruleId":"eqeqeq","line":{d},"message":"use ==="}]}]'),
+    "bandit": (17, {
+        0: '{"results":[{"filename":"{f}","line_number":{d},"issue_severity":"HIGH","test_id":"B1"}]}',
+        1: "{}",
+        2: "oops",
+        3: '{"results":[{"filename":"{f}","line_number":{d},"issue_text":"t","issue_cwe":{}}]}',
+        4: "[]",
+    }, '{"results":[{"filename":"{f}","line_number":{d},"issue_severity":"{h}","issue_text":"sql",'
+       '"issue_cwe":{"id":89},"test_id":"B608"}]}'),
+    "pip-audit": (7, {
+        0: '[{"name":"flask","vulns":[{"description":"d"}]},{"name":"six"}]',
+        1: '{"dependencies":[{"version":"1","vulns":[{"id":"CVE-9"}]}]}',
+        2: '{"dependencies":[{"name":"x","vulns":[]}]}',
+    }, '{"dependencies":[{"name":"jinja2","version":"2.11.{4}","vulns":[{"id":"CVE-{3}","description":"d",'
+       '"fix_versions":["3.1.{5}"]}]}]}'),
+}
+REPORT_FILES = {"ruff": "%.py", "radon": "%.py", "eslint": "%.ts", "bandit": "src/%.py", "pip-audit": "requirements.txt"}
+RUFF_CODES = ["F821", "E501", "F401", "E902"]
 
 
 @stored("fx_tool_report")
 def fx_tool_report(spark: SparkSession, d: str) -> DataFrame:
     f = fx_pr_file(spark, d)
-    py = f.filter(f.filename.endswith(".py"))
-    ruff_code = (
-        F.when(f.pk % 4 == 0, F.lit("F821")).when(f.pk % 4 == 1, F.lit("E501"))
-        .when(f.pk % 4 == 2, F.lit("F401")).otherwise(F.lit("E902"))
-    )
-    ruff = py.select(
-        "repo_name", "pr_number", F.lit("ruff").alias("tool"),
-        F.concat(
-            F.lit('[{"code":"'), ruff_code, F.lit('","message":"m'), s(f.pk % 9),
-            F.lit('","filename":"'), f.filename, F.lit('","location":{"row":'), s(f.additions),
-            F.lit('},"fix":null}]'),
-        ).alias("report"),
-    )
-    radon = py.select(
-        "repo_name", "pr_number", F.lit("radon").alias("tool"),
-        F.concat(
-            F.lit('{"'), f.filename, F.lit('":[{"name":"f","complexity":'), s(f.additions % 30),
-            F.lit(',"rank":"C","lineno":'), s(f.deletions), F.lit("}]}"),
-        ).alias("report"),
-    )
-    eslint = f.filter(f.filename.endswith(".ts")).select(
-        "repo_name", "pr_number", F.lit("eslint").alias("tool"),
-        F.concat(
-            F.lit('[{"filePath":"'), f.filename, F.lit('","messages":[{"severity":'), s(1 + f.pk % 2),
-            F.lit(',"ruleId":"eqeqeq","line":'), s(f.deletions), F.lit(',"message":"use ==="}]}]'),
-        ).alias("report"),
-    )
-    bandit = f.filter(f.filename.startswith("src/") & f.filename.endswith(".py")).select(
-        "repo_name", "pr_number", F.lit("bandit").alias("tool"),
-        F.concat(
-            F.lit('{"results":[{"filename":"'), f.filename, F.lit('","line_number":'), s(f.deletions),
-            F.lit(',"issue_severity":"'), F.when(f.pk % 2 == 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-            F.lit('","issue_text":"sql","issue_cwe":{"id":89},"test_id":"B608"}]}'),
-        ).alias("report"),
-    )
-    audit = f.filter(f.filename == "requirements.txt").select(
-        "repo_name", "pr_number", F.lit("pip-audit").alias("tool"),
-        F.concat(
-            F.lit('{"dependencies":[{"name":"jinja2","version":"2.11.'), s(f.pk % 4),
-            F.lit('","vulns":[{"id":"CVE-'), s(f.pk % 3),
-            F.lit('","description":"d","fix_versions":["3.1.'), s(f.pk % 5), F.lit('"]}]}]}'),
-        ).alias("report"),
-    )
-    return ruff.unionByName(radon).unionByName(eslint).unionByName(bandit).unionByName(audit)
+    places = {
+        "{f}": f.filename, "{a}": s(f.additions), "{d}": s(f.deletions), "{n}": s(f.additions % 30),
+        "{s}": s(1 + f.pk % 2), "{h}": F.when(f.pk % 2 == 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+        "{c}": F.element_at(F.array(*[F.lit(x) for x in RUFF_CODES]), (f.pk % 4 + 1).cast("int")),
+        **{f"{{{n}}}": s(f.pk % n) for n in (3, 4, 5, 9)},
+    }
+    out = None
+    for tool, (by, odd, text) in REPORTS.items():
+        report = F.lit(text)
+        for k, x in odd.items():
+            report = F.when(f.pk % by == k, F.lit(x)).otherwise(report)
+        for place, value in places.items():
+            report = F.replace(report, F.lit(place), value)
+        part = f.filter(f.filename.like(REPORT_FILES[tool])).select(
+            "repo_name", "pr_number", F.lit(tool).alias("tool"), report.alias("report"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # The six specialist agents, their order, and each one's
@@ -244,46 +284,65 @@ AGENTS = [
 ]
 
 
+#: Review texts by ``(pr_number + agent_pos) % len(REVIEWS)``, the first for every ninth PR; places {agent}, {sentinel}, {90}, {7}.
+REVIEWS = [
+    "{sentinel}",
+    "Unable to complete {agent} review due to service error. Manual review recommended.",
+    f"ISSUE: SQL injection in query loop{NL}LINE: src/mod_1.py:{{90}}{NL}SEVERITY: CRITICAL{NL}FIX: bind parameters",
+    f"ISSUE: Hardcoded password{NL}LINE: src/mod_2.py:{{7}}{NL}SEVERITY: HIGH{NL}FIX: use a vault{NL}{NL}"
+    f"ISSUE: Unclear naming{NL}LINE: src/mod_3.py:4{NL}SEVERITY: LOW{NL}FIX: rename",
+    f"ISSUE: Unbounded cache hurts performance{NL}LINE: src/mod_4.py:9{NL}SEVERITY: MEDIUM{NL}FIX: evict",
+    "",
+    "SKIPPED",
+    f"Summary first.{NL}DIMENSION: Security{NL}ISSUE: Token in log{NL}ATTACK: read the log{NL}LINE: src/mod_5.py{NL}"
+    f"SEVERITY: high{NL}SEVERITY: LOW{NL}{NL}DIMENSION: Tests{NL}UNTESTED CODE: mod_6{NL}SEVERITY: CRITICAL",
+]
+
+
 @stored("fx_review")
 def fx_review(spark: SparkSession, d: str) -> DataFrame:
     p = fx_pr(spark, d)
     fixed = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(i).alias("agent_pos"), F.lit(t).alias("sentinel"))
                       for a, i, t in AGENTS])
     r = p.select("*", F.explode(fixed).alias("_a")).select("*", "_a.*").drop("_a")
-    v = (r.pr_number + r.agent_pos) % 5
-    review = (
-        F.when(v == 0, r.sentinel)
-        .when(v == 1, F.concat(F.lit("Unable to complete "), r.agent, F.lit(" review due to service error. Manual review recommended.")))
-        .when(v == 2, F.concat(
-            F.lit("ISSUE: SQL injection in query loop" + NL + "LINE: src/mod_1.py:"), s(r.pr_number % 90),
-            F.lit(NL + "SEVERITY: CRITICAL" + NL + "FIX: bind parameters")))
-        .when(v == 3, F.concat(
-            F.lit("ISSUE: Hardcoded password" + NL + "LINE: src/mod_2.py:"), s(r.pr_number % 7),
-            F.lit(NL + "SEVERITY: HIGH" + NL + "FIX: use a vault" + NL + NL + "ISSUE: Unclear naming" + NL
-                  + "LINE: src/mod_3.py:4" + NL + "SEVERITY: LOW" + NL + "FIX: rename")))
-        .otherwise(F.lit("ISSUE: Unbounded cache hurts performance" + NL + "LINE: src/mod_4.py:9" + NL
-                         + "SEVERITY: MEDIUM" + NL + "FIX: evict"))
-    )
+    at = F.when(r.pr_number % 9 == 0, F.lit(0)).otherwise((r.pr_number + r.agent_pos) % len(REVIEWS))
+    review = F.element_at(F.array(*[F.lit(x) for x in REVIEWS]), (at + 1).cast("int"))
+    for place, value in {"{sentinel}": r.sentinel, "{agent}": r.agent, "{90}": s(r.pr_number % 90),
+                         "{7}": s(r.pr_number % 7)}.items():
+        review = F.replace(review, F.lit(place), value)
     return r.select("repo_name", "pr_number", "agent", "agent_pos", "created_at", review.alias("review"))
 
 
+#: Parts of a final review, chosen by remainders of the PR number.
+VERDICTS = ["BLOCK MERGE", "APPROVE WITH CHANGES", "APPROVE"]
+SCORES = ["8", "10", " 7 ", "8/10", "3", ""]
+TABLE = (f"{NL}### Review Summary{NL}| Dimension | Status | Key Finding |{NL}|---|---|---|{NL}"
+         f"| Correctness | ok | none in {{n}} |{NL}| Security | bad | finding {{k}} |")
+
+
 def fx_verdict(spark: SparkSession, d: str) -> DataFrame:
     p = fx_pr(spark, d)
-    m3 = p.pr_number % 3
+    n = p.pr_number
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
     review = F.concat(
-        F.lit("## Review" + NL + "### Verdict: "),
-        F.when(m3 == 0, F.lit("BLOCK MERGE")).when(m3 == 1, F.lit("APPROVE WITH CHANGES")).otherwise(F.lit("APPROVE")),
+        F.lit("## Review" + NL + "### Verdict: "), pick(VERDICTS),
+        F.when(n % 5 != 0, F.concat(F.lit(NL + "> Because of finding "), s(n % 9))).otherwise(F.lit("")),
         F.lit(NL + "### Must Fix Before Merge" + NL),
-        F.when(m3 == 0, F.lit("- **SQL injection** (src/mod_1.py:3): auth bypass")).otherwise(F.lit("None")),
+        F.when(n % 3 == 0, F.lit("- **SQL injection** (src/mod_1.py:3): auth bypass")).otherwise(F.lit("None")),
         F.lit(NL + "### Should Fix" + NL),
-        F.when(p.pr_number % 4 == 0, F.lit("- **Slow loop** (src/mod_2.py:9): query in loop, performance")).otherwise(F.lit("None.")),
+        F.when(n % 4 == 0, F.lit("- **Slow loop** (src/mod_2.py:9): query in loop, performance")).otherwise(F.lit("None.")),
+        F.when(n % 4 == 1, F.lit(NL + "### Consider Improving" + NL + "- **Naming**: style" + NL + "- **Docs** (README.md)"))
+        .otherwise(F.lit("")),
+        F.when(n % 2 == 0, F.replace(F.replace(F.lit(TABLE), F.lit("{n}"), s(n % 11)), F.lit("{k}"), s(n % 8)))
+        .otherwise(F.lit("")),
     )
-    m6 = p.pr_number % 6
-    raw = (
-        F.when(m6 == 0, F.lit("8")).when(m6 == 1, F.lit("10")).when(m6 == 2, F.lit(" 7 "))
-        .when(m6 == 3, F.lit("8/10")).when(m6 == 4, F.lit("3")).otherwise(F.lit(""))
-    )
-    return p.select("repo_name", "pr_number", "created_at", review.alias("final_review"), raw.alias("raw_score"))
+    return p.select("repo_name", "pr_number", "created_at", review.alias("final_review"), pick(SCORES).alias("raw_score"))
+
+
+def fx_query_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """An embedding of each PR's retrieval query (the embedding model is an input)."""
+    p, e = fx_pr(spark, d), table(spark, d, "embeddings")
+    return p.join(e, e.vec_id == p.pr_number % 1000).select("repo_name", "pr_number", "embedding")
 
 
 def fx_requirement(spark: SparkSession, d: str) -> DataFrame:
@@ -428,7 +487,7 @@ def fx_autofix(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat(
         F.lit("### Fix: Move secret out of code" + NL + "**File:** `"), F.col("filename"),
         F.lit("`  |  **Line:** "), (F.col("pos") + 1).cast("string"),
-        F.lit(NL + NL + "Original code:" + NL + "```" + NL), F.substring(F.col("line"), 2, 1 << 20),
+        F.lit(NL + NL + "Original code:" + NL + "```" + NL), F.substr(F.col("line"), F.lit(2)),
         F.lit(NL + "```" + NL + NL + "Suggested fix:" + NL + "```suggestion" + NL
               + 'DB_PASSWORD = os.environ["DB_PASSWORD"]' + NL + "```" + NL + NL
               + "**Why:** a literal password in source leaks with the repository." + NL + NL + "---"),

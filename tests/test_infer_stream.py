@@ -6,6 +6,24 @@ from prlens.plans import streams
 from conftest import SF_SMALL
 
 
+def stand_ins():
+    """Providers without a network (local functions, so workers get them by value)."""
+    def quota_exhausted(prompt):
+        raise RuntimeError("429 resource exhausted")
+
+    def flaky(prompt):
+        raise RuntimeError("connection reset")
+
+    def length_scorer(prompt):
+        return str(1 + len(prompt) % 10)
+
+    return quota_exhausted, flaky, length_scorer
+
+
+quota_exhausted, flaky, length_scorer = stand_ins()
+PROVIDERS = [("unavailable", None), ("quota", quota_exhausted), ("flaky", flaky), ("scorer", length_scorer)]
+
+
 class Counter:
     def __init__(self, fn):
         self.fn, self.calls = fn, 0
@@ -16,7 +34,7 @@ class Counter:
 
 
 def test_chain_skips_unavailable_and_quota():
-    quota = Counter(infer.quota_exhausted)
+    quota = Counter(quota_exhausted)
     ok = Counter(lambda p: " 7 ")
     text, name, attempts = infer.call_chain("x", [("none", None), ("q", quota), ("ok", ok)], backoff=0)
     assert (text, name, attempts) == ("7", "ok", 2)
@@ -25,19 +43,19 @@ def test_chain_skips_unavailable_and_quota():
 
 def test_chain_retries_then_fails_over():
     slept = []
-    flaky = Counter(infer.flaky)
-    text, name, attempts = infer.call_chain("x", [("f", flaky), ("g", lambda p: "ok")], backoff=2.0, sleep=slept.append)
-    assert (text, name, attempts, flaky.calls) == ("ok", "g", 3, 2)
+    down = Counter(flaky)
+    text, name, attempts = infer.call_chain("x", [("f", down), ("g", lambda p: "ok")], backoff=2.0, sleep=slept.append)
+    assert (text, name, attempts, down.calls) == ("ok", "g", 3, 2)
     assert slept == [2.0]
 
 
 def test_chain_all_failed():
-    assert infer.call_chain("x", [("f", infer.flaky)], backoff=0) == (infer.ALL_FAILED, "", 2)
+    assert infer.call_chain("x", [("f", flaky)], backoff=0) == (infer.ALL_FAILED, "", 2)
 
 
 def test_batch_infer_in_spark(spark):
     df = spark.createDataFrame([(i, "p" * i) for i in range(1, 6)], "k int, prompt string")
-    out = infer.batch_infer(df, streams.PROVIDERS, backoff=0.0, partitions=2).orderBy("k").collect()
+    out = infer.batch_infer(df, PROVIDERS, backoff=0.0, partitions=2).orderBy("k").collect()
     assert [r["response"] for r in out] == [str(1 + i % 10) for i in range(1, 6)]
     assert {r["provider"] for r in out} == {"scorer"} and {r["attempts"] for r in out} == {4}
 

@@ -81,31 +81,71 @@ def test_q7_first_25_then_drop_line_0(spark):
     assert b == "**INFO**: [t] m\n\n**Suggested fix**: fix"
 
 
-def test_q10_ruff_null_code_fails_tool_and_eslint_none_rule(spark):
+REPORT_SCHEMA = "repo_name string, pr_number bigint, tool string, report string"
+
+
+def test_q10_ruff_null_code_fails_tool_and_eslint_rules(spark):
     reports = spark.createDataFrame([
         ("r", 1, "ruff", '[{"code": null, "message": "x", "filename": "a.py", "location": {"row": 1}}]'),
-        ("r", 1, "eslint", '[{"filePath": "a.ts", "messages": [{"ruleId": null, "line": 2, "message": "bad"}]}]'),
+        ("r", 1, "eslint", '[{"filePath": "a.ts", "messages": [{"ruleId": null, "line": 2, "message": "bad"}, '
+                           '{"line": 3, "message": "parse"}]}]'),
         ("r", 1, "bandit", "not json"),
-    ], "repo_name string, pr_number bigint, tool string, report string")
+    ], REPORT_SCHEMA)
     fails = {r["tool"]: r["error"] for r in fd.report_failures(reports).collect()}
-    assert set(fails) == {"ruff", "bandit"}
-    e = fd.norm_eslint(reports).collect()[0]
-    assert (e["message"], e["severity"]) == ("[None] bad", "MEDIUM")
+    assert fails == {"ruff": "'NoneType' object has no attribute 'startswith'", "bandit": "report is not valid JSON"}
+    e = [(r["message"], r["severity"]) for r in fd.norm_eslint(reports).collect()]
+    assert e == [("[None] bad", "MEDIUM"), ("[unknown] parse", "MEDIUM")]
+
+
+def test_reports_of_the_wrong_shape_fail_their_tool(spark):
+    """The errors the tools' own readers would raise (w4)."""
+    cases = [
+        ("bandit", '{"results": [{"filename": "a.py", "line_number": 1}]}', "'issue_text'"),
+        ("bandit", '{"results": [{"line_number": 1, "issue_text": "t"}]}', "'filename'"),
+        ("bandit", '{"results": null}', "'NoneType' object is not iterable"),
+        ("bandit", '[]', "'list' object has no attribute 'get'"),
+        ("bandit", '{}', None),
+        ("ruff", '[{"code": "E501"}]', "'filename'"),
+        ("ruff", '{"a": 1}', "'str' object has no attribute 'get'"),
+        ("ruff", '[{"filename": "a.py"}]', None),
+        ("radon", '{"a.py": {"error": "x"}}', "'str' object has no attribute 'get'"),
+        ("radon", '[]', "'list' object has no attribute 'items'"),
+        ("radon", '{"a.py": []}', None),
+        ("eslint", '[{"messages": null}]', "'NoneType' object is not iterable"),
+        ("eslint", '[{"filePath": "a.ts"}]', None),
+        ("pip-audit", '{"dependencies": [{"vulns": [{"id": "x"}]}]}', "'name'"),
+        ("pip-audit", '{"dependencies": [{"vulns": []}]}', None),
+        ("pip-audit", '[{"name": "x", "vulns": [{}]}]', None),
+    ]
+    reports = spark.createDataFrame([("r", i, t, rep) for i, (t, rep, _) in enumerate(cases)], REPORT_SCHEMA)
+    got = {r["pr_number"]: r["error"] for r in fd.report_failures(reports).collect()}
+    assert [got.get(i) for i in range(len(cases))] == [e for *_, e in cases]
+
+
+def test_a_failed_report_drops_the_whole_tool(spark):
+    ok = '[{"code": "F821", "message": "m", "filename": "a.py", "location": {"row": 3}}]'
+    reports = spark.createDataFrame([("r", 1, "ruff", ok), ("r", 1, "ruff", "oops"), ("r", 2, "ruff", ok)], REPORT_SCHEMA)
+    routes = spark.createDataFrame([("r", 1, "ruff", 1), ("r", 2, "ruff", 1)],
+                                   "repo_name string, pr_number bigint, tool string, tool_pos int")
+    u = fd.unified_findings(routes, fd.all_tool_findings(reports)).collect()
+    assert [r["pr_number"] for r in u] == [2]
+    st = {r["pr_number"]: (r["success"], r["n_findings"], r["summary"]) for r in
+          fd.tool_status(fd.tool_results(routes, reports)).collect()}
+    assert st == {1: (False, 0, ""), 2: (True, 1, "Found 1 linting issues.")}
 
 
 def test_tool_prompt_text(spark):
-    routes = spark.createDataFrame([("r", 1, "ruff", 1), ("r", 1, "bandit", 0)],
+    routes = spark.createDataFrame([("r", 1, "ruff", 1), ("r", 1, "bandit", 0), ("r", 1, "radon", 2)],
                                    "repo_name string, pr_number bigint, tool string, tool_pos int")
     reports = spark.createDataFrame([
         ("r", 1, "ruff", '[{"code": "F821", "message": "undefined", "filename": "a.py", "location": {"row": 3},'
                          ' "fix": {"message": "define it"}}]'),
         ("r", 1, "bandit", "{oops"),
-    ], "repo_name string, pr_number bigint, tool string, report string")
-    found = fd.all_tool_findings(reports)
-    st = fd.tool_status(routes, reports, found)
-    t = {r["tool"]: r["text"] for r in fd.tool_prompt_text(st, found).collect()}
+    ], REPORT_SCHEMA)
+    t = {r["tool"]: r["text"] for r in fd.tool_prompt_text(fd.tool_results(routes, reports)).collect()}
     assert t["ruff"] == "[ruff] 1 issue(s):\n  - [HIGH] a.py:3 — [F821] undefined\n    Suggested fix: define it"
     assert t["bandit"] == "[bandit] Not available: report is not valid JSON"
+    assert t["radon"] == "[radon] No issues found."
 
 
 def test_q3_severity_filter(spark):
@@ -248,19 +288,6 @@ def test_similar_code_blocks_equal_single_block(spark):
     assert small == top(10_000) and len(small) == 40 * 3
 
 
-def test_near_duplicates_group_copies_not_strangers(spark):
-    from prlens.operators import scans
-    base = " ".join(f"w{i}" for i in range(120))
-    near = base.replace("w60 ", "changed ")
-    other = " ".join(f"z{i}" for i in range(120))
-    docs = spark.createDataFrame([("r", "a.py", base), ("r", "b.py", near), ("r", "c.py", other)],
-                                 "repo_name string, path string, content string")
-    g = scans.near_duplicate_groups(docs).collect()
-    assert g and all(x["n_docs"] == 2 and x["first_path"] == "a.py" for x in g)
-    f = {x["path"] for x in scans.near_duplicate_files(docs).collect()}
-    assert f == {"a.py", "b.py"}
-
-
 def test_index_versions(spark, tmp_path):
     from prlens.operators import retrieval as rt
     files = spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", "")], "repo_name string, path string, content string")
