@@ -10,9 +10,11 @@ ids, zero padded), so slot s starts at byte (s mod shard_records) * stride of
 shard s div shard_records: a reader resumes at any slot with one seek, and reads
 on in training order without an index.
 
-Each shard is written by one task to a name of its own and renamed, so a task
-that runs twice leaves one file.  Shards travel through ``repartitionById``: the
-permutation deals every source evenly over all of them.
+A task deals its sequences out by shard and sends them in compressed bundles
+(ids do not repeat enough for the shuffle's own codec).  Bundles travel through
+``repartitionById``: the permutation deals every source evenly over all shards.
+Each shard is put in order and written by one task to a name of its own and
+renamed, so a task that runs twice leaves one file.
 
 Defined results: a null or empty text is one sequence with the end id alone; a
 null doc_id is kept in the header as the smallest long; repeated rows each give
@@ -22,6 +24,7 @@ their sequences; an empty table writes no file; other columns are ignored.
 from __future__ import annotations
 
 import os
+import pickle
 import struct
 import uuid
 import zlib
@@ -31,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,21 +59,42 @@ def record(doc_id: int | None, seq_no: int, ids: bytes, seq_len: int) -> bytes:
     return head + ids.ljust(2 * seq_len, b"\0")
 
 
+#: Bytes of ids in a row of the sequence table, compressed together.
+TABLE_BYTES = 4 << 20
+
+
+def _bundle(rows: list[tuple]) -> bytes:
+    """Rows by column, compressed: ids do not repeat enough for smaller pieces."""
+    return zstandard.ZstdCompressor(6).compress(pickle.dumps(list(zip(*rows, strict=True))))
+
+
+def _rows(bundle: bytes) -> list[tuple]:
+    return list(zip(*pickle.loads(zstandard.ZstdDecompressor().decompress(bundle)), strict=True))
+
+
 def _sequences(path: str, seq_len: int, end_id: int):
+    """Bundles of (doc_id, seq_no, ids); ``place`` is the first row's number inside the task."""
     def run(batches):
         encode, task, made = encoder(path).encode, TaskContext.get().partitionId(), 0
+        rows, size = [], 0
+
+        def out():
+            cols = {"task": pa.array([task], pa.int32()), "place": pa.array([made - len(rows)], pa.int64()),
+                    "n": pa.array([len(rows)], pa.int64()), "bundle": pa.array([_bundle(rows)], pa.binary())}
+            return pa.RecordBatch.from_pydict(cols)
+
         for batch in batches:
-            cols = [[], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py()) + end_id.to_bytes(2, "little")
                 for k, at in enumerate(range(0, len(ids), 2 * seq_len)):
-                    for col, x in zip(cols, (doc_id, k, made, ids[at:at + 2 * seq_len]), strict=True):
-                        col.append(x)
+                    rows.append((doc_id, k, ids[at:at + 2 * seq_len]))
                     made += 1
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(cols[0], pa.int64()), "seq_no": pa.array(cols[1], pa.int32()),
-                "task": pa.array([task] * len(cols[0]), pa.int32()), "place": pa.array(cols[2], pa.int64()),
-                "ids": pa.array(cols[3], pa.binary())})
+                size += len(ids)
+                if size > TABLE_BYTES:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
     return run
 
 
@@ -77,32 +102,62 @@ def _shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:07d}.bin"
 
 
-def _write(folder: str, seq_len: int, records: int):
-    """A task's rows (sorted by slot) as shard files; yields the manifest."""
+#: Bytes of sequences a task holds before it sends its bundles.
+BUNDLE_BYTES = 96 << 20
+
+
+def _deal(starts: np.ndarray, total: int, key: str, records: int):
+    """Sequences -> bundles of (slot, doc_id, seq_no, ids) by shard."""
+    def run(batches):
+        held: dict[int, list] = {}
+        size = 0
+
+        def out():
+            rows = [(shard, _bundle(rows)) for shard, rows in sorted(held.items())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)],
+                ["shard", "bundle"])
+
+        for batch in batches:
+            for task, place, n, bundle in zip(*(batch.column(c).to_pylist() for c in ("task", "place", "n", "bundle")),
+                                              strict=True):
+                slots = permute(starts[task] + place + np.arange(n), total, key).tolist()
+                for slot, row in zip(slots, _rows(bundle), strict=True):
+                    held.setdefault(slot // records, []).append((slot, *row))
+                    size += len(row[2])
+                if size > BUNDLE_BYTES:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+    return run
+
+
+def _write(folder: str, seq_len: int):
+    """The bundles of whole shards -> shard files; yields the manifest."""
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        at, out, temp, done = None, None, None, []
 
-        def close():
-            out.close()
-            fs.move(temp, _shard_path(root, at))
-            done.append((at, count))
+        def write(shard, rows):
+            temp = f"{root}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(temp) as out:
+                for _, doc_id, k, ids in sorted(rows, key=lambda r: r[0]):
+                    out.write(record(doc_id, k, ids, seq_len))
+            fs.move(temp, _shard_path(root, shard))
+            return shard, len(rows)
 
-        count = 0
+        at, rows, done = None, [], []
         for batch in batches:
-            for slot, doc_id, k, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "seq_no", "ids")),
-                                            strict=True):
-                if slot // records != at:
-                    if out is not None:
-                        close()
-                    at, count = slot // records, 0
-                    temp = f"{root}/.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temp)
-                out.write(record(doc_id, k, ids, seq_len))
-                count += 1
-        if out is not None:
-            close()
+            for shard, bundle in zip(*(batch.column(c).to_pylist() for c in ("shard", "bundle")), strict=True):
+                if shard != at and rows:
+                    done.append(write(at, rows))
+                    rows = []
+                at = shard
+                rows += _rows(bundle)
+        if rows:
+            done.append(write(at, rows))
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())],
             ["shard", "records"])
@@ -114,8 +169,8 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, key: str
     """Write the shards into ``folder`` (a path or URI that all executors
     share); gives the manifest (shard, records) and the number of sequences."""
     made = stored(map_batches(documents(docs), _sequences(path or default_path(), seq_len, end_id),
-                              "doc_id long, seq_no int, task int, place long, ids binary"), "sequences")
-    counts = dict(made.groupBy("task").count().collect())
+                              "task int, place long, n long, bundle binary"), "sequences")
+    counts = dict(made.groupBy("task").agg(F.sum("n")).collect())
     total = sum(counts.values())
     starts = np.zeros(max(counts, default=0) + 1, np.int64)
     before = 0
@@ -123,16 +178,10 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, key: str
         starts[task] = before
         before += counts[task]
 
-    @F.pandas_udf("long")
-    def slot(task: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(permute(starts[task.to_numpy()] + place.to_numpy(np.int64), total, key))
-
     shards = max(1, -(-total // shard_records))
-    rows = (made.select("doc_id", "seq_no", "ids", slot("task", "place").alias("slot"))
-            .repartitionById(shards, (F.col("slot") / F.lit(shard_records)).cast("int"))
-            .sortWithinPartitions("slot"))
-    manifest = stored(map_batches(rows, _write(folder, seq_len, shard_records), "shard long, records long"),
-                      "manifest")
+    bundles = (map_batches(made, _deal(starts, total, key, shard_records), "shard int, bundle binary")
+               .repartitionById(shards, "shard").sortWithinPartitions("shard"))
+    manifest = stored(map_batches(bundles, _write(folder, seq_len), "shard long, records long"), "manifest")
     return manifest, total
 
 
