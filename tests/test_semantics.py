@@ -311,18 +311,6 @@ def test_function_length_and_nested_loops(spark):
     assert hits == {(2, "nested-loop"), (3, "query-in-loop")}
 
 
-def test_two_phase_ordinal_equals_row_number(spark):
-    from pyspark.sql import Window
-
-    from prlens.operators.ordering import ordinal
-    rows = [("p", k % 3, k % 7, k) for k in range(60)] + [("q", 1, 1, 5)]
-    df = spark.createDataFrame(rows, "g string, a int, b int, c int")
-    got = {(r["g"], r["c"]): r["ordinal"] for r in ordinal(df, ["g"], ["a", "b"], ["c"]).collect()}
-    w = Window.partitionBy("g").orderBy("a", "b", "c")
-    want = {(r["g"], r["c"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
-    assert got == want
-
-
 def test_pr_dump_intake(spark, tmp_path):
     import json
 
