@@ -147,7 +147,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], wanted: list[
     rows_of = [sum(pairs.get((k, i), 0) for k in kinds) for i in range(len(names))]
     declared = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[
         F.lit(float(np.log((pairs.get((k, i), 0) + 1) / (rows_of[i] + len(kinds))))) for i in range(len(names))]))])
-    priors = host_priors(seen.select("host", "vote"), names).withColumnRenamed("host", "host2")
+    # Written, so that both sides of the join are plain exchanges and a hot host's rows can be split.
+    priors = stored(host_priors(seen.select("host", "vote"), names).withColumnRenamed("host", "host2"), "priors")
     flat = F.array(*[F.lit(1.0 / len(names))] * len(names))
     fused = (scored.join(priors, scored.host == priors.host2, "left")
              .withColumn("prior", F.coalesce("prior", flat))
