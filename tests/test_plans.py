@@ -15,8 +15,13 @@ PYTHON_ALLOWED = {"batch_infer", "similar_code", "retrieval_context", "build_pro
 EAGER = {"stream_review_requests", "stream_issue_counts", "stream_pr_pipeline", "webhook_source"}
 
 
+PLANS = {}
+
+
 def plan(spark, name):
-    return QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    if name not in PLANS:
+        PLANS[name] = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return PLANS[name]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
