@@ -292,6 +292,43 @@ def test_exchange_finds_planted_classes():
     assert len({(a, b) for a, b in zip(true.tolist(), cls.tolist(), strict=True)}) == 4
 
 
+def test_class_model_places_rare_words_by_their_neighbours(spark):
+    """Two kinds of words alternate; most words are rarer than the TOP_WORDS most frequent."""
+    rng = random.Random(7)
+    pick = lambda kind: f"{kind}{rng.randrange(300) if rng.random() < 0.6 else rng.randrange(300, 900)}"
+    rows = [(i, " ".join(pick("ab"[k % 2]) for k in range(40))) for i in range(3000)]
+    mixed = [i for i in range(5000, 5400) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    for i in mixed:
+        a, b = (rng.sample([f"{kind}{k}" for k in range(300, 900)], 20) for kind in "ab")
+        rows += [(i, " ".join(x for p in zip(a, b, strict=True) for x in p)), (i + 100_000, " ".join(a + b))]
+    keep = {i + 100_000: i for i in mixed}
+    got = {r.doc_id: r for r in class_lm.score_documents(spark.createDataFrame(
+        [r for r in rows], "doc_id long, text string")).collect()}
+    assert all(got[i].score > got[j].score + 5 for j, i in keep.items())
+
+
+def test_gains_equal_the_likelihood_of_each_move():
+    rng = np.random.default_rng(3)
+    n, k = 40, 6
+    grid = rng.integers(0, 9, (n, n)) * (rng.random((n, n)) < 0.4)
+    cls = rng.integers(1, k, n)
+    cls[0] = 0
+    member = np.eye(k)[cls]
+    full = member.T @ grid @ member
+    own = np.diag(grid).astype(float)
+    into, out = grid.T @ member, grid @ member
+    into[np.arange(n), cls] -= own
+    out[np.arange(n), cls] -= own
+    gain = class_lm.gains(full, cls, into, out, own)
+    for u in range(1, n):
+        for b in range(1, k):
+            other = cls.copy()
+            other[u] = b
+            m = np.eye(k)[other]
+            want = class_lm.likelihood(m.T @ grid @ m) - class_lm.likelihood(full)
+            assert math.isclose(gain[u, b] - gain[u, cls[u]], want, rel_tol=1e-9, abs_tol=1e-7)
+
+
 # ---- 10
 
 
