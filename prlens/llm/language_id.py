@@ -13,8 +13,9 @@ pieces of evidence meet in one posterior for each row:
 
 Only the trigram model is fitted on a sample: rows chosen by a hash of doc_id,
 SAMPLE_ROWS for each language in expectation (all of them where there are
-fewer).  It is read row by row; the model is BUCKETS x languages numbers.
-Every other count covers all rows.
+fewer); its trigrams are a grouped sum.  Every labelled language has a model, kept
+as its seen buckets only.  Every other count covers all rows.  Labels and
+declarations are cut to the letters they begin with (en-us is en).
 
 A row is kept when its text has a letter trigram, the posterior of the best language is
 MIN_POSTERIOR or more, and that language is wanted (default: any known one).
@@ -37,7 +38,6 @@ from prlens.llm.registry import register
 from prlens.llm.words import alnum_bytes
 
 SAMPLE_ROWS = 400
-MAX_LANGUAGES = 50
 BUCKETS = 1 << 16
 TEMPER = 0.3
 MIN_POSTERIOR = 0.5
@@ -55,33 +55,71 @@ def trigrams(text: str | None) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(bucket | language)) from rows (doc_id, text, lang)."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def main_code(c: Column) -> Column:
+    """The letters a language code begins with, in lower case; empty without any."""
+    return F.lower(F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), "^[A-Za-z]+", 0))
+
+
+class Trigrams:
+    """log P(bucket | language), stored by bucket for the languages that have seen it."""
+
+    def __init__(self, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray, languages: int):
+        order = np.argsort(bucket, kind="stable")
+        self.lang, self.n, self.languages = lang[order].astype(np.int32), n[order].astype(np.float64), languages
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+        self.total = np.bincount(lang, weights=n, minlength=languages) + 0.5 * BUCKETS
+        self.over = np.log(self.n + 0.5) - np.log(0.5)
+
+    def cells(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``buckets``, entry) of each entry of these buckets."""
+        lo, size = self.at[buckets], self.at[buckets + 1] - self.at[buckets]
+        place = np.repeat(np.arange(len(buckets)), size)
+        return place, np.arange(len(place)) + np.repeat(lo - np.cumsum(size) + size, size)
+
+    def score(self, got: np.ndarray) -> np.ndarray:
+        """Log-likelihood of trigrams under each language."""
+        buckets, times = np.unique(got, return_counts=True)
+        place, entry = self.cells(buckets)
+        return (np.bincount(self.lang[entry], weights=self.over[entry] * times[place], minlength=self.languages)
+                + len(got) * (np.log(0.5) - np.log(self.total)))
+
+
+def _trigram_counts(batches):
+    for batch in batches:
+        found: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            found.setdefault(lang, []).append(trigrams(text.as_py()))
+        for lang, parts in found.items():
+            buckets, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()),
+                                              "bucket": pa.array(buckets, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Trigrams]:
+    """(languages, trigram model) from rows (doc_id, text, lang)."""
+    rows = labelled.filter(F.col("text").isNotNull()).withColumn("lang", main_code(F.col("lang"))).filter("lang != ''")
+    sizes = rows.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in sizes)
-    counts = np.full((BUCKETS, len(names)), 0.5)
-    if names:
-        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-        keep = F.lit(False)
-        for r in sizes:
-            keep = keep | ((F.col("lang") == r["lang"]) & (chosen < int(1e6 * min(1, sample_rows / r["count"]))))
-        at = {name: i for i, name in enumerate(names)}
-        for lang, text in rows.filter(keep).select("lang", "text").toLocalIterator():
-            counts[:, at[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    at = {name: i for i, name in enumerate(names)}
+    cuts = labelled.sparkSession.createDataFrame(
+        [(r["lang"], int(1e6 * min(1, sample_rows / r["count"]))) for r in sizes], "lang string, cut long")
+    sample = (rows.join(F.broadcast(cuts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("cut"))
+              .select("lang", "text"))
+    seen = (map_batches(sample, _trigram_counts, "lang string, bucket long, n long")
+            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+    return names, Trigrams(seen["lang"].map(at).to_numpy(np.int64), seen["bucket"].to_numpy(np.int64),
+                           seen["n"].to_numpy(np.int64), len(names))
 
 
 def _likelihoods(model):
     def run(batches):
         logs = model.value
         for batch in batches:
-            out, seen = np.zeros((batch.num_rows, logs.shape[1]), np.float64), []
+            out, seen = np.zeros((batch.num_rows, logs.languages), np.float64), []
             for k, text in enumerate(batch.column("text")):
                 got = trigrams(text.as_py())
                 seen.append(len(got))
-                for lo in range(0, len(got), 1 << 16):
-                    out[k] += logs[got[lo:lo + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                out[k] = logs.score(got)
             keys = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in keys} | {
                 "n_trigrams": pa.array(seen, pa.int64()), "loglik": pa.array(list(out), pa.list_(pa.float64()))})
@@ -122,7 +160,7 @@ def host_priors(votes: DataFrame, names: list[str]) -> DataFrame:
     return hosts.join(domains, ["suffix", "domain"]).select("host", _shares(vector, F.col("p_domain")).alias("prior"))
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], wanted: list[str] | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: tuple[list[str], Trigrams], wanted: list[str] | None = None) -> DataFrame:
     """rows: any key columns, then text, declared, host.  Adds to the keys:
     language, posterior, text_language, declared, host, kept."""
     names, logs = model
@@ -133,7 +171,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], wanted: list[
     if not names:
         return rows.select(*keys, *none)
     shared = spark.sparkContext.broadcast(logs)
-    code = F.lower(F.regexp_extract(F.trim(F.coalesce(F.col("declared"), F.lit(""))), "^[A-Za-z]+", 0))
+    code = main_code(F.col("declared"))
     slim = rows.select(*keys, F.col("text").cast("string").alias("text"),
                        F.when(code == "", "none").when(code.isin(names), code).otherwise("other").alias("declared"),
                        F.lower(F.coalesce(F.col("host"), F.lit(""))).alias("host"))
@@ -145,15 +183,17 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], wanted: list[
     pairs = {(r[0], r[1]): r[2] for r in seen.groupBy("declared", "vote").count().collect()}
     kinds = [*names, "other", "none"]
     rows_of = [sum(pairs.get((k, i), 0) for k in kinds) for i in range(len(names))]
-    declared = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[
-        F.lit(float(np.log((pairs.get((k, i), 0) + 1) / (rows_of[i] + len(kinds))))) for i in range(len(names))]))])
+    declared = F.broadcast(spark.createDataFrame([(k, [
+        float(np.log((pairs.get((k, i), 0) + 1) / (rows_of[i] + len(kinds)))) for i in range(len(names))]) for k in kinds],
+        "declared2 string, declared_logs array<double>"))
     # Written, so that both sides of the join are plain exchanges and a hot host's rows can be split.
     priors = stored(host_priors(seen.select("host", "vote"), names).withColumnRenamed("host", "host2"), "priors")
     flat = F.array(*[F.lit(1.0 / len(names))] * len(names))
     fused = (scored.join(priors, scored.host == priors.host2, "left")
+             .join(declared, F.col("declared") == F.col("declared2"))
              .withColumn("prior", F.coalesce("prior", flat))
              .withColumn("logs", F.zip_with(F.zip_with("loglik", F.transform("prior", lambda p: F.log(p)),
-                                                       lambda a, b: a + b), declared[F.col("declared")],
+                                                       lambda a, b: a + b), F.col("declared_logs"),
                                             lambda a, b: a + b))
              .withColumn("posteriors", _softmax(F.col("logs"))))
     name = F.array(*[F.lit(x) for x in names])
@@ -187,7 +227,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"))
+                       main_code(F.col("lang").cast("string")).alias("lang"))
 
 
 def keep_languages(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:

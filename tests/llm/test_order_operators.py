@@ -377,6 +377,22 @@ def test_language_edges(spark):
     assert none.filter("kept").count() == 0
 
 
+def test_language_models_every_label(spark):
+    """More than fifty languages, some only under regional labels."""
+    rng = random.Random(9)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "qrstuvwx"]
+    stock = {x: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for x in names}
+    text = lambda x: " ".join(rng.choice(stock[x]) for _ in range(30))
+    rows = [(64 * k + i, text(x), f"{x}-{'US' if k % 2 else 'gb'}") for k in range(4) for i, x in enumerate(names)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == sorted(names)
+    new = [(i, text(x), f"{x}-ZZ", "h") for i, x in enumerate(names)]
+    got = language_id.identify(spark.createDataFrame(new, "doc_id long, text string, declared string, host string"),
+                               model).collect()
+    assert {r.doc_id: (r.language, r.declared, r.kept) for r in got} == {
+        i: (x, x, True) for i, x in enumerate(names)}
+
+
 # ---- queries and the pipeline
 
 
