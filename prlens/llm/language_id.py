@@ -18,7 +18,11 @@ as its seen buckets only.  Every other count covers all rows.  Labels and
 declarations are cut to the letters they begin with (en-us is en).
 
 A row is kept when its text has a letter trigram, the posterior of the best language is
-MIN_POSTERIOR or more, and that language is wanted (default: any known one).
+MIN_POSTERIOR or more, that language is wanted (default: any known one), and the text
+looks like it at all: its mean log-likelihood for each trigram reaches the language's
+floor.  The floor lies FLOOR_SDS deviations below the mean of the sampled texts, each
+scored without its own counts, so that texts in unknown languages and junk go.
+A text of few trigrams is given FLOOR_SDS deviations of its own shorter mean.
 
 Defined results: null or empty texts, or an input without any labelled row, get
 no language and are not kept; null hosts share the empty host; null or unknown
@@ -41,6 +45,7 @@ SAMPLE_ROWS = 400
 BUCKETS = 1 << 16
 TEMPER = 0.3
 MIN_POSTERIOR = 0.5
+FLOOR_SDS = 8.0
 #: Weight of the wider prior, in rows.
 PRIOR_ROWS = 5.0
 
@@ -68,6 +73,7 @@ class Trigrams:
         self.lang, self.n, self.languages = lang[order].astype(np.int32), n[order].astype(np.float64), languages
         self.at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
         self.total = np.bincount(lang, weights=n, minlength=languages) + 0.5 * BUCKETS
+        self.floors, self.spreads = np.full(languages, -np.inf), np.zeros(languages)
         self.over = np.log(self.n + 0.5) - np.log(0.5)
 
     def cells(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +82,17 @@ class Trigrams:
         place = np.repeat(np.arange(len(buckets)), size)
         return place, np.arange(len(place)) + np.repeat(lo - np.cumsum(size) + size, size)
 
+    def alone(self, got: np.ndarray, lang: int) -> tuple[float, float]:
+        """(sum, sum of squares) of the log-probabilities of a sampled text's trigrams under its own language,
+        the text's counts taken out."""
+        buckets, times = np.unique(got, return_counts=True)
+        place, entry = self.cells(buckets)
+        own = self.lang[entry] == lang
+        left = np.zeros(len(buckets))
+        left[place[own]] = self.n[entry[own]]
+        logs = np.log(left - times + 0.5) - np.log(self.total[lang] - len(got))
+        return float(logs @ times), float(logs ** 2 @ times)
+
     def score(self, got: np.ndarray) -> np.ndarray:
         """Log-likelihood of trigrams under each language."""
         buckets, times = np.unique(got, return_counts=True)
@@ -84,6 +101,22 @@ class Trigrams:
                 + len(got) * (np.log(0.5) - np.log(self.total)))
 
 
+def _alone(model, at: dict[str, int]):
+    def run(batches):
+        for batch in batches:
+            out = {"lang": [], "n": [], "mean": [], "square": []}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                got = trigrams(text.as_py())
+                if len(got):
+                    total, square = model.value.alone(got, at[lang])
+                    for k, v in zip(out, (lang, len(got), total / len(got), square / len(got)), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["n"], pa.int64()),
+                                              pa.array(out["mean"], pa.float64()), pa.array(out["square"], pa.float64())],
+                                             list(out))
+    return run
+
+
 def _trigram_counts(batches):
     for batch in batches:
         found: dict[str, list[np.ndarray]] = {}
@@ -107,8 +140,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
               .select("lang", "text"))
     seen = (map_batches(sample, _trigram_counts, "lang string, bucket long, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
-    return names, Trigrams(seen["lang"].map(at).to_numpy(np.int64), seen["bucket"].to_numpy(np.int64),
-                           seen["n"].to_numpy(np.int64), len(names))
+    model = Trigrams(seen["lang"].map(at).to_numpy(np.int64), seen["bucket"].to_numpy(np.int64),
+                     seen["n"].to_numpy(np.int64), len(names))
+    alone = map_batches(sample, _alone(labelled.sparkSession.sparkContext.broadcast(model), at),
+                        "lang string, n long, mean double, square double")
+    for r in alone.groupBy("lang").agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("sd"),
+                                       F.avg(F.col("square") - F.col("mean") ** 2).alias("inner")).collect():
+        model.floors[at[r["lang"]]] = r["mean"] - FLOOR_SDS * r["sd"]
+        model.spreads[at[r["lang"]]] = FLOOR_SDS * max(r["inner"], 0.0) ** 0.5
+    return names, model
 
 
 def _likelihoods(model):
@@ -198,12 +238,18 @@ def identify(rows: DataFrame, model: tuple[list[str], Trigrams], wanted: list[st
              .withColumn("posteriors", _softmax(F.col("logs"))))
     name = F.array(*[F.lit(x) for x in names])
     best = F.array_max("posteriors")
+    # The text's own log-likelihood in the picked language, against what its length lets it miss the floor by.
+    at = F.array_position("posteriors", best).cast("int") - 1
+    floors, spreads = (F.array(*[F.lit(float(x)) for x in v]) for v in (logs.floors, logs.spreads))
+    like = (F.get("loglik", at) / TEMPER / F.nullif(F.col("n_trigrams"), F.lit(0))
+            >= F.get(floors, at) - F.get(spreads, at) / F.sqrt(F.nullif(F.col("n_trigrams"), F.lit(0))))
     found = F.col("n_trigrams") > 0
     pick = F.when(found, F.get(name, F.array_position("posteriors", best).cast("int") - 1))
     out = fused.select(*keys, pick.alias("language"), F.when(found, best).alias("posterior"),
-                       F.when(found, F.get(name, F.col("vote"))).alias("text_language"), "declared", "host")
-    ok = (F.col("posterior") >= MIN_POSTERIOR) & F.col("language").isin(wanted if wanted is not None else names)
-    return out.withColumn("kept", F.coalesce(ok, F.lit(False)))
+                       F.when(found, F.get(name, F.col("vote"))).alias("text_language"), "declared", "host",
+                       like.alias("__like"))
+    ok = F.col("__like") & (F.col("posterior") >= MIN_POSTERIOR) & F.col("language").isin(wanted if wanted is not None else names)
+    return out.withColumn("kept", F.coalesce(ok, F.lit(False))).drop("__like")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

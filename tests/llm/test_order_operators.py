@@ -1,5 +1,6 @@
 """Operators 3, 4, 5, 6, 7, 10 and the pipeline: round trips, brute force, held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import os
@@ -393,6 +394,17 @@ def test_language_models_every_label(spark):
         i: (x, x, True) for i, x in enumerate(names)}
 
 
+def test_language_rejects_unknown_languages_and_junk(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.fit(language_id.labelled(d.filter("lang != 'es'")))
+    rng = random.Random(4)
+    junk = [base64.b64encode(rng.randbytes(400)).decode() for _ in range(10)] + ["=+*/ #x1 &&|| ()[]{} <>;: " * 20]
+    rows = [(r.text, True) for r in d.filter("lang = 'es' AND length(text) > 100").collect()] + [(x, False) for x in junk]
+    bad = spark.createDataFrame([(i, x, "en", "h") for i, (x, _) in enumerate(rows)],
+                                "doc_id long, text string, declared string, host string")
+    assert not any(r.kept for r in language_id.identify(bad, model).collect())
+
+
 # ---- queries and the pipeline
 
 
