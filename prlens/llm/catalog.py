@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from prlens.llm import (  # noqa: F401
-    chat, class_lm, decontaminate, exact_dedup, language_id, license_scan, materialise, near_dedup, packing, sharding,
+    alignment, chat, class_lm, decontaminate, exact_dedup, language_id, license_scan, materialise, near_dedup, packing,
+    prefix_trie, sharding, vector_search,
 )
 from prlens.llm.registry import ORACLE, QUERIES
 
