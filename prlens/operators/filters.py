@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prlens.functions import glob_to_regex
@@ -31,15 +31,37 @@ def ends_with_any(c, suffixes) -> F.Column:
 def ignore_filter(files: DataFrame, cfg: DataFrame, name_col: str = "filename") -> DataFrame:
     """drop files whose full name matches any of the repo's ignore globs.
 
-    Globs are translated once per repo, on the config side; only repos with
-    globs join.  Spark (AQE) broadcasts that side when it is small and falls
+    Globs are sorted once per repo, on the config side: those without a wildcard are
+    looked up, a text before or after one ``*`` is compared, and all others become one
+    regex for the repo.  Only repos that have such a regex evaluate it, once for each
+    distinct name, on rows that come repo by repo, so that it is compiled once for
+    each repo and task.  Spark (AQE) broadcasts the config when it is small and falls
     back to a shuffle join otherwise.
     """
-    c = cfg.select(F.col("repo_name").alias("_repo"), F.transform("ignore", glob_to_regex).alias("_ignore"))
-    c = c.filter(F.size("_ignore") > 0)
-    hit = F.exists(F.col("_ignore"), lambda p: F.regexp_like(F.col(name_col), p))
-    j = files.join(c, F.col("repo_name") == F.col("_repo"), "left")
-    return j.filter(~F.coalesce(hit, F.lit(False))).drop("_repo", "_ignore")
+    c = cfg.select(F.col("repo_name").alias("_repo"), *[x.alias(n) for n, x in glob_sets(F.col("ignore")).items()])
+    c = c.filter("size(_exact) + size(_starts) + size(_ends) > 0 OR _regex IS NOT NULL")
+    name = F.col(name_col)
+    plain = (F.array_contains("_exact", name) | F.exists("_starts", name.startswith) | F.exists("_ends", name.endswith))
+    odd = c.filter("_regex IS NOT NULL").select("_repo", "_regex")
+    names = (files.select(F.col("repo_name").alias("_r"), name.alias("_name")).distinct()
+             .join(odd, F.col("_r") == F.col("_repo")).repartition("_r", "_name").sortWithinPartitions("_r")
+             .filter(F.regexp_like("_name", F.col("_regex"))).select("_r", "_name"))
+    j = files.join(c.drop("_regex"), F.col("repo_name") == F.col("_repo"), "left")
+    j = j.filter(~F.coalesce(plain, F.lit(False))).drop("_repo", "_exact", "_starts", "_ends")
+    return j.join(names, (F.col("repo_name") == F.col("_r")) & (F.col(name_col) == F.col("_name")), "left_anti")
+
+
+def glob_sets(globs: Column) -> dict[str, Column]:
+    """An array of globs as exact names, text before a last ``*``, text after a first ``*``, and
+    one regex for all others (null if there are none)."""
+    globs = F.coalesce(globs, F.array().cast("array<string>"))
+    head = F.filter(globs, lambda g: g.rlike(r"(?s)^[^*?\[]*\*\z"))
+    tail = F.filter(globs, lambda g: g.rlike(r"(?s)^\*[^*?\[]+\z"))
+    others = F.filter(globs, lambda g: g.rlike(r"(?s)[*?\[]") & ~g.rlike(r"(?s)^[^*?\[]*\*\z|^\*[^*?\[]+\z"))
+    return {"_exact": F.filter(globs, lambda g: ~g.rlike(r"(?s)[*?\[]")),
+            "_starts": F.transform(head, lambda g: F.substr(g, F.lit(1), F.char_length(g) - 1)),
+            "_ends": F.transform(tail, lambda g: F.substr(g, F.lit(2))),
+            "_regex": F.when(F.size(others) > 0, F.array_join(F.transform(others, glob_to_regex), "|"))}
 
 
 def route_tools(prs: DataFrame, files: DataFrame) -> DataFrame:

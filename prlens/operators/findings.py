@@ -1,9 +1,10 @@
 """Static-analysis findings: normalisation per tool, status, prompt text.
 
-Reports are JSON text, read once: objects become string maps (``from_json``),
-which keep "key absent" and "key null" apart, and one ``CASE tool`` turns each
-report into an array of findings with their place in it (``ord``), so every
-later "first N" is defined, or into the error its tool would have failed with.
+Reports are JSON text, parsed once to a VARIANT, which keeps "key absent" and
+"key null" apart; one ``CASE tool`` turns each report into an array of findings
+with their place in it (``ord``), so every later "first N" is defined, or into
+the error its tool would have failed with (of several, the first in report
+order; of a map of files, the first by path).
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from prlens.functions import fill, severity_rank
 from prlens.operators.filters import TOOLS
-from prlens.sources.prs import json_ok
 
 KEYS = ["repo_name", "pr_number"]
 FINDING_COLS = ["file", "line", "severity", "message", "tool", "rule_id", "suggestion"]
@@ -57,29 +57,40 @@ def relativize_paths(df: DataFrame, root: str | Column | None, col: str = "file"
     return df.withColumn(col, F.when(c.startswith(r), F.substr(c, F.length(r) + 1)).otherwise(c))
 
 
-# ---- reading JSON values without losing "absent" and "null"
+# ---- reading JSON values without losing "absent" and "null": a report is one VARIANT, parsed once
 
 
-def _map(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>")
+def _part(v: Column, key: str) -> Column:
+    """The value under a key; null where it is absent (a JSON null is a value)."""
+    return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def _maps(text: Column) -> Column:
-    return F.from_json(text, "array<map<string,string>>")
+def _get(v: Column, key: str, default: str | None = None) -> Column:
+    """The value as text, the default where the key is absent or null."""
+    text = F.try_variant_get(v, f"$.{key}", "string")
+    return text if default is None else F.coalesce(text, F.lit(default))
 
 
-def _has(m: Column, key: str) -> Column:
-    return F.map_contains_key(m, key)
+def _has(v: Column, key: str) -> Column:
+    return _part(v, key).isNotNull()
 
 
-def _get(m: Column, key: str, default: str | None = None) -> Column:
-    """The value as text, the default where the key is absent or null."""
-    v = F.try_element_at(m, F.lit(key))
-    return v if default is None else F.coalesce(v, F.lit(default))
+def _is_null(v: Column, key: str) -> Column:
+    return F.is_variant_null(_part(v, key))
+
+
+def _list(v: Column) -> Column:
+    """The elements of an array; null for any other value."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _is_null(m: Column, key: str) -> Column:
-    return _has(m, key) & _get(m, key).isNull()
+def _object(v: Column) -> Column:
+    """The entries of an object (by key); null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _is_object(v: Column) -> Column:
+    return _object(v).isNotNull()
 
 
 def _item(a, b, file, line, severity, message, rule_id, suggestion, bad=None) -> Column:
@@ -101,24 +112,21 @@ def _none() -> Column:
     return F.from_json(F.lit("[]"), f"array<{ITEM}>")
 
 
-def _bandit(rep: Column) -> Column:
+def _bandit(top: Column) -> Column:
     """Severity passthrough (default MEDIUM), ``text (CWE-id)``."""
-    top = _map(rep)
-    cwe = lambda m: F.when(_get(m, "issue_cwe").startswith("{"), F.when(
-        _has(_map(_get(m, "issue_cwe")), "id"), _get(_map(_get(m, "issue_cwe")), "id", "None")).otherwise(F.lit("N/A"))
-    ).otherwise(F.lit("N/A"))
-
     def one(m, i):
-        missing = F.lit(None).cast("string")
-        for key in ("issue_text", "line_number", "filename"):  # the first missing key is named
-            missing = F.when(~_has(m, key), F.lit(f"'{key}'")).otherwise(missing)
+        cwe = _part(m, "issue_cwe")
+        cwe = F.when(_is_object(cwe) & _has(cwe, "id"), _get(cwe, "id", "None")).otherwise(F.lit("N/A"))
+        missing = F.when(~_is_object(m), F.lit(STR_GET))
+        for key in ("filename", "line_number", "issue_text"):  # the first missing key is named
+            missing = missing.when(~_has(m, key), F.lit(f"'{key}'"))
         return _item(F.lit(0), i, _get(m, "filename"), _get(m, "line_number"), _get(m, "issue_severity", "MEDIUM"),
-                     F.concat(_get(m, "issue_text", "None"), F.lit(" (CWE-"), cwe(m), F.lit(")")),
+                     F.concat(_get(m, "issue_text", "None"), F.lit(" (CWE-"), cwe, F.lit(")")),
                      _get(m, "test_id"), F.lit(""), missing)
 
-    results = _maps(_get(top, "results"))
-    return (F.when(top.isNull(), _failed(LIST_GET)).when(~_has(top, "results"), _none())
-            .when(_get(top, "results").isNull(), _failed(NULL_ITERATE)).when(results.isNull(), _failed(STR_GET))
+    results = _list(_part(top, "results"))
+    return (F.when(~_is_object(top), _failed(LIST_GET)).when(~_has(top, "results"), _none())
+            .when(_is_null(top, "results"), _failed(NULL_ITERATE)).when(results.isNull(), _failed(STR_GET))
             .otherwise(F.transform(results, one)))
 
 
@@ -127,48 +135,48 @@ def ruff_severity(code: Column) -> Column:
             .when(code.startswith("E") | code.startswith("W"), F.lit("MEDIUM")).otherwise(F.lit("LOW")))
 
 
-def _ruff(rep: Column) -> Column:
+def _ruff(top: Column) -> Column:
     """E9/F8/F6 HIGH, other E/W MEDIUM, else LOW; ``[code] msg``."""
     def one(m, i):
         code = _get(m, "code", "")
-        bad = (F.when(_is_null(m, "code"), F.lit(NULL_STARTSWITH)).when(~_has(m, "filename"), F.lit("'filename'"))
-               .when(_is_null(m, "location"), F.lit(NULL_GET)))
-        return _item(F.lit(0), i, _get(m, "filename"), _get(_map(_get(m, "location")), "row"), ruff_severity(code),
-                     F.concat(F.lit("["), code, F.lit("] "), _get(m, "message", "")), code,
-                     _get(_map(_get(m, "fix")), "message"), bad)
+        bad = (F.when(~_is_object(m), F.lit(STR_GET)).when(_is_null(m, "code"), F.lit(NULL_STARTSWITH))
+               .when(~_has(m, "filename"), F.lit("'filename'")).when(_is_null(m, "location"), F.lit(NULL_GET)))
+        return _item(F.lit(0), i, _get(m, "filename"), _get(m, "location.row"), ruff_severity(code),
+                     F.concat(F.lit("["), code, F.lit("] "), _get(m, "message", "")), code, _get(m, "fix.message"), bad)
 
-    items = _maps(rep)
-    return F.when(rep == "{}", _none()).when(items.isNull(), _failed(STR_GET)).otherwise(F.transform(items, one))
+    items = _list(top)
+    return (F.when(F.size(_object(top)) == 0, _none()).when(items.isNull(), _failed(STR_GET))
+            .otherwise(F.transform(items, one)))
 
 
-def _radon(rep: Column) -> Column:
+def _radon(top: Column) -> Column:
     """Blocks with complexity >= 10; >= 20 HIGH else MEDIUM; rule ``CC<n>``."""
-    top = _map(rep)
-
     def block(path, i):
         def one(m, j):
             cx = F.coalesce(_get(m, "complexity").try_cast("bigint"), F.lit(0).cast("bigint"))
             text = cx.cast("string")
-            return F.when(cx >= COMPLEXITY_THRESHOLD, _item(
+            found = F.when(cx >= COMPLEXITY_THRESHOLD, _item(
                 i, j, path, _get(m, "lineno"), F.when(cx >= COMPLEXITY_HIGH, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
                 F.concat(F.lit("'"), _get(m, "name", "?"), F.lit("' has cyclomatic complexity "), text,
                          F.lit(" (rank "), _get(m, "rank", "?"), F.lit(")")),
                 F.concat(F.lit("CC"), text),
                 F.concat(F.lit("Break into smaller functions — complexity "), text,
                          F.lit(f" exceeds threshold {COMPLEXITY_THRESHOLD}"))))
+            return F.when(_is_object(m), found).otherwise(_failed(STR_GET)[0])
         return one
 
     def file(e, i):
-        value = e["value"]
-        blocks = _maps(value)
-        return (F.when(value.isNull(), _failed(NULL_ITERATE)).when(value.isin("{}", ""), _none())
+        blocks = _list(e["value"])
+        return (F.when(F.is_variant_null(e["value"]), _failed(NULL_ITERATE))
+                .when(F.try_variant_get(e["value"], "$", "string").isin("{}", ""), _none())
                 .when(blocks.isNull(), _failed(STR_GET))
                 .otherwise(F.array_compact(F.transform(blocks, block(e["key"], i)))))
 
-    return F.when(top.isNull(), _failed(LIST_ITEMS)).otherwise(F.flatten(F.transform(F.map_entries(top), file)))
+    files = _object(top)
+    return F.when(files.isNull(), _failed(LIST_ITEMS)).otherwise(F.flatten(F.transform(F.map_entries(files), file)))
 
 
-def _eslint(rep: Column) -> Column:
+def _eslint(top: Column) -> Column:
     """Severity >= 2 HIGH (missing -> 1) else MEDIUM; ``[rule] msg``; a
     missing ``ruleId`` reads ``unknown``, a null one ``None``."""
     def file(f, i):
@@ -177,61 +185,72 @@ def _eslint(rep: Column) -> Column:
             level = F.coalesce(_get(m, "severity").try_cast("bigint"), F.lit(1))
             return _item(i, j, _get(f, "filePath", ""), _get(m, "line"),
                          F.when(level >= 2, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-                         F.concat(F.lit("["), rule, F.lit("] "), _get(m, "message", "")), rule,
-                         _get(_map(_get(m, "fix")), "text"))
+                         F.concat(F.lit("["), rule, F.lit("] "), _get(m, "message", "")), rule, _get(m, "fix.text"),
+                         F.when(~_is_object(m), F.lit(STR_GET)))
 
-        messages = _maps(_get(f, "messages"))
-        return (F.when(~_has(f, "messages"), _none()).when(_get(f, "messages").isNull(), _failed(NULL_ITERATE))
+        messages = _list(_part(f, "messages"))
+        return (F.when(~_is_object(f), _failed(STR_GET)).when(~_has(f, "messages"), _none())
+                .when(_is_null(f, "messages"), _failed(NULL_ITERATE))
                 .when(messages.isNull(), _failed(STR_GET)).otherwise(F.transform(messages, one)))
 
-    files = _maps(rep)
-    return F.when(rep == "{}", _none()).when(files.isNull(), _failed(STR_GET)).otherwise(
-        F.flatten(F.transform(files, file)))
+    files = _list(top)
+    return (F.when(F.size(_object(top)) == 0, _none()).when(files.isNull(), _failed(STR_GET))
+            .otherwise(F.flatten(F.transform(files, file))))
 
 
-def _audit(rep: Column, chars: int | None = AUDIT_CHARS) -> Column:
+def _audit(top: Column, chars: int | None = AUDIT_CHARS) -> Column:
     """The root is an array of deps or an object with ``dependencies``."""
-    top = _map(rep)
-    text = F.when(rep.startswith("["), rep).otherwise(F.when(_has(top, "dependencies"), _get(top, "dependencies"))
-                                                      .otherwise(F.lit("[]")))
-
     def dep(d, i):
         def one(v, j):
-            fixes = F.coalesce(F.from_json(_get(v, "fix_versions"), "array<string>"), F.array().cast("array<string>"))
+            fixes = F.coalesce(F.try_variant_get(v, "$.fix_versions", "array<string>"),
+                               F.array().cast("array<string>"))
             desc = _get(v, "description", "")
-            bad = (F.when(_is_null(v, "description"), F.lit(NULL_SUBSCRIPT)).when(~_has(d, "name"), F.lit("'name'")))
+            bad = (F.when(~_is_object(v), F.lit(STR_GET)).when(_is_null(v, "description"), F.lit(NULL_SUBSCRIPT))
+                   .when(~_has(d, "name"), F.lit("'name'")))
             return _item(i, j, F.lit(AUDIT_FILE), F.lit(0), F.lit("HIGH"), F.concat(
                 _get(d, "name", "None"), F.lit("=="), _get(d, "version", "?"), F.lit(": "),
                 _get(v, "id", "Unknown CVE"), F.lit(" — "), desc if chars is None else F.substring(desc, 1, chars)),
                 _get(v, "id"), F.when(F.size(fixes) > 0, F.concat(F.lit("Upgrade to "), F.array_join(fixes, ", ")))
                 .otherwise(F.lit("No fix available yet")), bad)
 
-        vulns = _maps(_get(d, "vulns"))
-        return (F.when(~_has(d, "vulns"), _none()).when(_get(d, "vulns").isNull(), _failed(NULL_ITERATE))
+        vulns = _list(_part(d, "vulns"))
+        return (F.when(~_is_object(d), _failed(STR_GET)).when(~_has(d, "vulns"), _none())
+                .when(_is_null(d, "vulns"), _failed(NULL_ITERATE))
                 .when(vulns.isNull(), _failed(STR_GET)).otherwise(F.transform(vulns, one)))
 
-    deps = _maps(text)
-    return (F.when(text.isNull(), _failed(NULL_ITERATE)).when(deps.isNull(), _failed(STR_GET))
+    deps = F.when(_is_object(top), _list(_part(top, "dependencies"))).otherwise(_list(top))
+    return (F.when(_is_object(top) & ~_has(top, "dependencies"), _none())
+            .when(_is_null(top, "dependencies"), _failed(NULL_ITERATE)).when(deps.isNull(), _failed(STR_GET))
             .otherwise(F.flatten(F.transform(deps, dep))))
 
 
 READERS = {"bandit": _bandit, "ruff": _ruff, "radon": _radon, "eslint": _eslint, "pip-audit": _audit}
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator, so that no
+    filter or projection above can repeat the expression or move it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def read_reports(reports: DataFrame, tools: list[str] | None = None) -> DataFrame:
     """N1-N5 in one pass: per report the findings array and the error, if any.
 
-    A report that is not JSON, or lacks what its tool always writes, has an
-    error and no findings.  One ``CASE tool`` reads each report once.
+    A report is parsed once, to a VARIANT, and one ``CASE tool`` reads it.  One
+    that is not JSON, or lacks what its tool always writes, has an error and
+    no findings.
     """
-    rep = F.ltrim(F.col("report"))
+    r = reports if tools is None else reports.filter(F.col("tool").isin(tools))
+    text = F.ltrim(F.col("report"))
+    whole = F.when(text.startswith("[") | text.startswith("{"), F.try_parse_json(text))
     items = _none()
     for tool in reversed(tools or list(READERS)):
-        items = F.when(F.col("tool") == tool, READERS[tool](rep)).otherwise(items)
-    r = reports if tools is None else reports.filter(F.col("tool").isin(tools))
-    r = r.select(*KEYS, "tool", F.when(json_ok(rep), items).otherwise(_failed(INVALID_REPORT)).alias("items"))
+        items = F.when(F.col("tool") == tool, READERS[tool](F.col("json"))).otherwise(items)
+    items = F.when(F.col("json").isNotNull(), items).otherwise(_failed(INVALID_REPORT))
+    r = _once(r.select(*KEYS, "tool", "report"), whole, "json")
+    r = _once(r.select(*KEYS, "tool", "json"), items, "items")
     error = F.get(F.filter(F.transform("items", lambda x: x["bad"]), lambda e: e.isNotNull()), F.lit(0))
-    r = r.withColumn("error", error)
+    r = _once(r.drop("json"), error, "error")
     return r.withColumn("items", F.when(F.col("error").isNull(), F.col("items")).otherwise(_none()))
 
 

@@ -147,8 +147,8 @@ def diff_text(files: DataFrame, prs: DataFrame | None = None) -> DataFrame:
 
 
 QUERY_CHARS = 500
-#: No file takes fewer characters of a diff than its field names and punctuation.
-FILE_CHARS = sum(len(f) + 4 for f in DIFF_FIELDS)
+#: No file takes fewer characters of a diff than `{}` and a comma: null fields are left out of the text.
+FILE_CHARS = 3
 
 
 def query_text(files: DataFrame, prs: DataFrame | None = None, n: int | None = QUERY_CHARS) -> DataFrame:

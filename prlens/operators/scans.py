@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prlens.functions import py_strip
+from prlens.operators.components import components
+from prlens.session import written
 
 KEYS = ["repo_name", "pr_number"]
 
@@ -86,6 +88,34 @@ FUNC_MEDIUM = 30
 FUNC_HIGH = 50
 
 
+# Fixed values (ours): quoted tokens of at least 20 characters whose characters are spread too evenly
+# (bits a character) for a word or name; digests of known length and UUIDs are names.
+TOKEN_RX = r"""["']([A-Za-z0-9+/=_-]{20,})["']"""
+HEX_RX = r"^[0-9a-fA-F]+$"
+DIGEST_RX = (r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
+             r"|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
+MIN_BITS, MIN_HEX_BITS = 4.5, 3.0
+
+
+def shannon_entropy(text: Column) -> Column:
+    """Bits a character of a text, from the histogram of its characters (0 for an empty one)."""
+    n = F.char_length(text)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.char_length(F.replace(text, c, F.lit(""))))
+    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
+    return F.when(text == "", F.lit(0.0)).otherwise(F.log2(n) - total / n)
+
+
+def entropy_scan(lines: DataFrame) -> DataFrame:
+    """A1, for secrets of no known form: quoted tokens of added lines by their entropy."""
+    added = added_lines(lines).select(*KEYS, "file_pos", "filename", "line_no", F.posexplode(
+        F.regexp_extract_all("code", F.lit(TOKEN_RX), F.lit(1))).alias("token_pos", "token"))
+    added = added.filter(~F.col("token").rlike(DIGEST_RX)).withColumn("entropy", shannon_entropy(F.col("token")))
+    least = F.when(F.col("token").rlike(HEX_RX), MIN_HEX_BITS).otherwise(MIN_BITS)
+    return added.filter(F.col("entropy") >= least).select(
+        *KEYS, "file_pos", "filename", "line_no", "token_pos", F.length("token").alias("token_chars"),
+        F.round("entropy", 6).alias("entropy"))
+
+
 def rule_matches(text: F.Column, rules: list[Rule]) -> F.Column:
     """Array of the rules whose pattern matches (and whose ``unless`` does not)."""
     hits = []
@@ -251,74 +281,111 @@ def license_flags(docs: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return s.select(*keys, "line_no", F.col("rule_id").alias("license"), F.col("message").alias("license_class"))
 
 
-# Fixed values (ours): near-duplicate files -- 5-word shingles, Jaccard 0.8,
-# 12 bands of 3 MinHash functions (a pair at 0.8 shares a band with probability
-# 1 - (1 - 0.8 ** 3) ** 12, about 99.98 %).
+# Fixed values (ours): near duplicates share four fifths of their five-word shingles.
 NEAR_SHINGLE_WORDS = 5
 NEAR_THRESHOLD = (80, 100)
-BANDS, BAND_ROWS = 12, 3
-HASH_PRIME = (1 << 32) + 15
-
-
-def hash_functions(count: int = BANDS * BAND_ROWS) -> list[tuple[int, int]]:
-    """Multipliers and offsets below 2**30 (products with 32-bit hashes fit a long)."""
-    out, x = [], 12345
-    for _ in range(count):
-        pair = []
-        for _ in range(2):
-            x = (x * 1103515245 + 12345) % (1 << 31)
-            pair.append(x % ((1 << 30) - 1) + 1)
-        out.append((pair[0], pair[1]))
-    return out
 
 
 def shingle_hashes(code: DataFrame, content_col: str = "content", n: int = NEAR_SHINGLE_WORDS) -> DataFrame:
-    """(repo, path, h): the distinct word shingles of whole texts as 32-bit
-    numbers cut from their md5; a shorter text is one shingle."""
+    """(repo, path, h): the distinct word shingles of whole texts as 64-bit
+    hashes; a shorter text is one shingle."""
     from pyspark.ml.feature import NGram
 
     text = py_strip(F.coalesce(F.col(content_col), F.lit("")))
     words = code.select("repo_name", "path", F.split(text, r"\s+").alias("w")).filter(F.col("w")[0] != "")
     grams = NGram(n=n, inputCol="w", outputCol="g").transform(words)  # JVM-side n-grams
     shingles = F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(F.col("g"))
-    h = lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint")
-    return grams.select("repo_name", "path", F.explode(F.array_distinct(F.transform(shingles, h))).alias("h"))
-
-
-def near_duplicate_pairs(code: DataFrame, content_col: str = "content") -> DataFrame:
-    """A7 (near): each file against the first file (by path) of every MinHash
-    bucket it falls in, confirmed by the true Jaccard of the two shingle sets.
-
-    A bucket gives one candidate per member, never pairs among members;
-    signatures are minima of a partial + final aggregate; candidates meet the
-    sets in equi-joins on (repo, path, shingle)."""
-    sets = shingle_hashes(code, content_col)
-    minima = [F.min((F.col("h") * a + b) % HASH_PRIME).alias(f"m{i}") for i, (a, b) in enumerate(hash_functions())]
-    sig = sets.groupBy("repo_name", "path").agg(F.count(F.lit(1)).alias("n"), *minima)
-    keys = F.array(*[F.concat_ws("-", F.lit(b), *[F.col(f"m{b * BAND_ROWS + j}") for j in range(BAND_ROWS)])
-                     for b in range(BANDS)])
-    rows = sig.select("repo_name", "path", "n", F.explode(keys).alias("bucket"))
-    first = rows.groupBy("repo_name", "bucket").agg(
-        F.min(F.struct("path", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    cand = (rows.join(first, ["repo_name", "bucket"]).filter(F.col("path") != F.col("f.path"))
-            .select("repo_name", "path", "n", F.col("f.path").alias("first_path"), F.col("f.n").alias("n_first")).distinct())
-    mine = cand.join(sets, ["repo_name", "path"])
-    theirs = sets.select("repo_name", F.col("path").alias("first_path"), "h")
-    both = mine.join(theirs, ["repo_name", "first_path", "h"]).groupBy(
-        "repo_name", "path", "first_path", "n", "n_first").agg(F.count(F.lit(1)).alias("both"))
-    union = F.col("n") + F.col("n_first") - F.col("both")
+    return grams.select("repo_name", "path", F.explode(F.array_distinct(F.transform(shingles, lambda g: F.xxhash64(g)))).alias("h"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (repo, a, b) whose whole sets reach the threshold: two equi-joins that bring each file's
+    set as one array."""
     num, den = NEAR_THRESHOLD
-    return both.filter(den * F.col("both") >= num * union).select(
-        "repo_name", "path", "first_path", F.round(F.col("both") / union, 6).alias("similarity"))
+    one, two = (sets.select(F.col("repo_name").alias("_repo"), F.col("path").alias(c), F.col("hs").alias(f"h{c}"))
+                for c in ("a", "b"))
+    met = pairs.select("repo_name", "a", "b").distinct()
+    for side, c in ((one, "a"), (two, "b")):
+        met = met.join(side.hint("shuffle_merge"), (F.col("repo_name") == F.col("_repo")) & (met[c] == side[c])).drop(
+            "_repo", side[c])
+    both = F.size(F.array_intersect("ha", "hb"))
+    return met.filter(den * both >= num * (F.size("ha") + F.size("hb") - both)).select("repo_name", "a", "b")
 
 
-def near_duplicate_groups(code: DataFrame, content_col: str = "content") -> DataFrame:
-    """A7 (near): every group once: its first file and how many files it has."""
-    return near_duplicate_pairs(code, content_col).groupBy("repo_name", "first_path").agg(
-        (F.count(F.lit(1)) + 1).cast("bigint").alias("n_docs"))
+def _nodes(links: DataFrame) -> DataFrame:
+    """(repo, path, first) of every linked file: the smallest path it is linked with, directly or not."""
+    at = lambda c: F.struct("repo_name", F.col(c).alias("path"))
+    return components(links.select(at("a").alias("a"), at("b").alias("b"))).select(
+        "node.repo_name", "node.path", F.col("component.path").alias("first"))
 
 
 def near_duplicate_files(code: DataFrame, content_col: str = "content") -> DataFrame:
-    """A7 (near), per file: the first file it nearly repeats, and how closely."""
-    return near_duplicate_pairs(code, content_col).groupBy("repo_name", "path").agg(
-        F.min("first_path").alias("first_path"), F.min_by("similarity", "first_path").alias("similarity"))
+    """A7 (near): one row for each file of a repo: ``first_path``, the smallest path among
+    the files it is linked with, directly or through others (itself if none), and
+    ``n_docs``, how many files that group has.  Files are linked when their shingle sets
+    have a Jaccard similarity of 0.8 or more; every link is found, none is guessed.
+
+    1. Files with equal sets are one class (a fingerprint summed on the map side).
+    2. Shingles are ranked, rare first, within a file.  Two sets that reach the
+       threshold share a shingle among the first ninth of the smaller and the first fifth
+       of the larger: only these prefixes meet, in buckets of one shingle.
+    3. Each file is compared with the smallest of its buckets; confirmed links are closed
+       to groups.  A family of copies so costs one link for each member.
+    4. What a bucket then still holds of different groups is compared pair by pair, as far
+       as sizes and places allow a link at all, and the groups are closed for good.
+
+    Files without words are alone.  Null content counts as empty."""
+    num, den = NEAR_THRESHOLD
+    hashes = written(shingle_hashes(code, content_col), "shingles")
+    prints = [F.bit_xor(F.xxhash64("h", F.lit(i))).alias(f"p{i}") for i in range(3)]
+    files = hashes.groupBy("repo_name", "path").agg(F.count(F.lit(1)).alias("n"), *prints)
+    same = ["repo_name", "n", "p0", "p1", "p2"]
+    classes = written(files.join(files.groupBy(*same).agg(F.min("path").alias("rep")), same)
+                      .select("repo_name", "path", "n", "rep"), "classes")
+    reps = classes.filter("path = rep").select("repo_name", "path", "n")
+    sets = written(hashes.join(reps, ["repo_name", "path"]), "sets")
+    arrays = written(sets.groupBy("repo_name", "path").agg(F.collect_list("h").alias("hs")), "arrays")
+    common = sets.groupBy("repo_name", "h").agg(F.count(F.lit(1)).alias("c"))
+    place = Window.partitionBy("repo_name", "path").orderBy("c", "h")
+    ranked = sets.join(common, ["repo_name", "h"]).withColumn("pos", F.row_number().over(place))
+    kept = lambda least: F.col("n") - F.ceil(least) + 1
+    prefix = written(
+        ranked.filter((F.col("c") > 1) & (F.col("pos") <= kept(F.col("n") * num / den)))
+        .withColumn("index", F.col("pos") <= kept(F.col("n") * (2 * num) / (num + den))).drop("c"), "prefixes")
+
+    centre = prefix.groupBy("repo_name", "h").agg(F.min(F.struct("n", "path")).alias("m"))
+    star = written(
+        prefix.join(centre, ["repo_name", "h"]).filter((F.col("path") != F.col("m.path"))
+                                                       & (den * F.col("m.n") >= num * F.col("n")))
+        .select("repo_name", F.col("m.path").alias("a"), F.col("path").alias("b")).distinct(), "stars")
+    links = written(_verified(star, arrays), "near-links")
+
+    first = written(_nodes(links), "groups")
+    g = prefix.join(first, ["repo_name", "path"], "left").withColumn("first", F.coalesce("first", "path"))
+    mixed = g.groupBy("repo_name", "h").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo != hi")
+    g = written(g.join(mixed.select("repo_name", "h"), ["repo_name", "h"], "left_semi"), "mixed")
+    x, y = g.filter("index").alias("x"), g.alias("y")
+    # Overlap needed at least, and what is left of both sets after the shared shingle.
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * num / (num + den))
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + 1
+    met = x.join(y.hint("shuffle_merge"), (F.col("x.repo_name") == F.col("y.repo_name")) & (F.col("x.h") == F.col("y.h"))
+                 & (F.struct("x.n", "x.path") < F.struct("y.n", "y.path")) & (F.col("x.first") != F.col("y.first"))
+                 & (den * F.col("x.n") >= num * F.col("y.n")))
+    # A pair's first shared shingle decides by its place; later ones say nothing more.
+    pairs = (met.groupBy(F.col("x.repo_name").alias("repo_name"), F.col("x.path").alias("a"), F.col("y.path").alias("b"))
+             .agg(F.max(left - least).alias("room")).filter("room >= 0")
+             .join(star, ["repo_name", "a", "b"], "left_anti"))
+    more = _verified(pairs, arrays)
+    group = _nodes(links.unionByName(more))
+    firsts = classes.join(group.select("repo_name", F.col("path").alias("rep"), "first"), ["repo_name", "rep"], "left")
+    found = firsts.select("repo_name", "path", F.coalesce("first", "rep").alias("first_path"))
+    every = code.select("repo_name", "path").distinct().join(found, ["repo_name", "path"], "left")
+    every = written(every.withColumn("first_path", F.coalesce("first_path", "path")), "near-files")
+    sizes = every.groupBy("repo_name", "first_path").agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    return every.join(sizes, ["repo_name", "first_path"])
+
+
+def near_duplicate_groups(code: DataFrame, content_col: str = "content") -> DataFrame:
+    """A7 (near): every group of two files or more, once: its first file and how many files it has."""
+    return near_duplicate_files(code, content_col).groupBy("repo_name", "first_path").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_docs")).filter("n_docs > 1")

@@ -340,6 +340,22 @@ def q_inline_comments(spark, d):
 
 # ---- rule scans (A1-A7, A12) ----
 
+@register("entropy_scan", f"""WITH {LINES_SQL},
+tok AS (SELECT * EXCLUDE (ts), unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS token_pos FROM (
+          SELECT repo_name, pr_number, file_pos, filename, line_no, regexp_extract_all(code, {q(scans.TOKEN_RX)}, 1) AS ts
+          FROM pl WHERE side = 'added') a)
+SELECT repo_name, pr_number, CAST(file_pos AS BIGINT) AS file_pos, filename, CAST(line_no AS BIGINT) AS line_no,
+       CAST(token_pos AS BIGINT) AS token_pos, CAST(length(token) AS BIGINT) AS token_chars, round(bits, 6) AS entropy
+FROM (SELECT *, list_entropy(string_split(token, '')) AS bits FROM tok WHERE NOT regexp_matches(token, {q(scans.DIGEST_RX)})) t
+WHERE bits >= CASE WHEN regexp_matches(token, {q(scans.HEX_RX)}) THEN {scans.MIN_HEX_BITS} ELSE {scans.MIN_BITS} END
+""")
+def q_entropy_scan(spark, d):
+    """A1 by entropy."""
+    e = scans.entropy_scan(_lines(spark, d))
+    return e.select("repo_name", "pr_number", *[F.col(c).cast("bigint").alias(c) for c in ("file_pos",)], "filename",
+                    *[F.col(c).cast("bigint").alias(c) for c in ("line_no", "token_pos", "token_chars")], "entropy")
+
+
 SCAN_COLS = "repo_name, pr_number, filename, line_no"
 
 
@@ -443,37 +459,36 @@ def q_license_flags(spark, d):
 
 
 def _near_sql() -> str:
-    n, fns = scans.NEAR_SHINGLE_WORDS, scans.hash_functions()
-    minima = ", ".join(f"min((h * {a} + {b}) % {scans.HASH_PRIME}) AS m{i}" for i, (a, b) in enumerate(fns))
-    bands = ", ".join("concat_ws('-', '" + str(b) + "', " + ", ".join(
-        f"CAST(m{b * scans.BAND_ROWS + j} AS VARCHAR)" for j in range(scans.BAND_ROWS)) + ")" for b in range(scans.BANDS))
-    num, den = scans.NEAR_THRESHOLD
-    return f"""WITH w AS (
+    """Every pair of files of a repo by its whole shingle sets (as text), closed by recursion."""
+    n, (num, den) = scans.NEAR_SHINGLE_WORDS, scans.NEAR_THRESHOLD
+    return f"""WITH RECURSIVE w AS (
   SELECT repo_name, path, regexp_split_to_array(regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g'), '\\s+') AS w
   FROM fx_code_file),
 sh AS MATERIALIZED (
-  SELECT DISTINCT repo_name, path, CAST('0x' || substring(md5(array_to_string(w[p:p + least(len(w), {n}) - 1], ' ')), 1, 8) AS BIGINT) AS h
+  SELECT DISTINCT repo_name, path, array_to_string(w[p:p + least(len(w), {n}) - 1], ' ') AS g
   FROM (SELECT *, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS p FROM w WHERE w[1] <> '') t),
-sig AS (SELECT repo_name, path, count(*) AS n, {minima} FROM sh GROUP BY ALL),
-bk AS MATERIALIZED (SELECT repo_name, path, n, unnest([{bands}]) AS bucket FROM sig),
-fst AS (SELECT repo_name, bucket, min(path) AS first_path, arg_min(n, path) AS n_first FROM bk GROUP BY ALL HAVING count(*) > 1),
-cand AS (SELECT DISTINCT repo_name, path, n, first_path, n_first FROM bk JOIN fst USING (repo_name, bucket) WHERE path <> first_path),
-near AS (
-  SELECT c.repo_name, c.path, c.first_path, c.n + c.n_first - count(*) AS u, count(*) AS both_
-  FROM cand c JOIN sh a ON a.repo_name = c.repo_name AND a.path = c.path
-  JOIN sh b ON b.repo_name = c.repo_name AND b.path = c.first_path AND b.h = a.h
-  GROUP BY c.repo_name, c.path, c.first_path, c.n, c.n_first HAVING {den} * count(*) >= {num} * (c.n + c.n_first - count(*)))"""
+sz AS (SELECT repo_name, path, count(*) AS n FROM sh GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a.repo_name, a.path AS a, b.path AS b
+  FROM sh a JOIN sh b ON b.repo_name = a.repo_name AND b.g = a.g AND a.path <> b.path
+  JOIN sz sa ON sa.repo_name = a.repo_name AND sa.path = a.path
+  JOIN sz sb ON sb.repo_name = b.repo_name AND sb.path = b.path
+  GROUP BY a.repo_name, a.path, b.path, sa.n, sb.n HAVING {den} * count(*) >= {num} * (sa.n + sb.n - count(*))),
+reach(repo_name, path, other) AS (
+  SELECT repo_name, path, path FROM fx_code_file
+  UNION SELECT r.repo_name, r.path, l.b FROM reach r JOIN link l ON l.repo_name = r.repo_name AND l.a = r.other),
+near AS (SELECT repo_name, path, min(other) AS first_path, count(*) AS n_docs FROM reach GROUP BY ALL)"""
 
 
 @register("near_duplicate_groups", _near_sql() + """
-SELECT repo_name, first_path, count(*) + 1 AS n_docs FROM near GROUP BY ALL""")
+SELECT DISTINCT repo_name, first_path, n_docs FROM near WHERE n_docs > 1""")
 def q_near_duplicate_groups(spark, d):
-    """A7 near-duplicates: groups around a first file, confirmed by true Jaccard."""
+    """A7 near-duplicates: groups of files linked by their true Jaccard similarity."""
     return scans.near_duplicate_groups(fx.fx_code_file(spark, d))
 
 
 @register("near_duplicate_files", _near_sql() + """
-SELECT repo_name, path, min(first_path) AS first_path, round(arg_min(both_ / u, first_path), 6) AS similarity FROM near GROUP BY ALL""")
+SELECT repo_name, path, first_path, n_docs FROM near""")
 def q_near_duplicate_files(spark, d):
-    """A7 near-duplicates per file."""
+    """A7 near-duplicates: each file's group."""
     return scans.near_duplicate_files(fx.fx_code_file(spark, d))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 
 from prlens.sources.fixtures import (
-    AGENTS, PATCHES, REPORT_FILES, REPORTS, REVIEWS, RUFF_CODES, SCORES, TABLE, VERDICTS, WEBHOOK_SECRET, hmac_pads,
+    AGENTS, PATCHES, REPORT_FILES, REPORTS, REVIEWS, RUFF_CODES, SCORES, TABLE, VERDICTS, VERSION_ENDS, WEBHOOK_SECRET,
+    hmac_pads,
 )
 
 
@@ -90,8 +91,8 @@ VIEWS: dict[str, str] = {
     ),
     "fx_requirement": (
         "SELECT 'org/repo' || CAST(p_partkey % 20 AS STRING) AS repo_name, p_partkey AS line_no, replace(p_name, ' ', '-') || "
-        "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '>=1.' || CAST(p_size AS STRING) ELSE '==2.' || CAST(p_size AS STRING) || '.0' END "
-        "AS line FROM part"
+        "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '>=1.' || CAST(p_size AS STRING) ELSE '==2.' || CAST(p_size AS STRING) || "
+        f"{_list(VERSION_ENDS)}[p_partkey % {len(VERSION_ENDS)} + 1] END AS line FROM part"
     ),
     "fx_code_file": (
         "SELECT 'org/repo' || CAST(d.doc_id % 20 AS STRING) AS repo_name, 'src/doc_' || CAST(d.doc_id AS STRING) || '.py' AS path, "
@@ -182,6 +183,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE '):]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -12,22 +12,42 @@ from prlens.sources import fixtures as fx
 
 FIX_SQL = " OR ".join(f"contains(lower(message), '{w}')" for w in hs.FIX_WORDS)
 
-HOT_SQL = f"""hotp AS (
+#: Hotspots of paths at one fixed moment, and those of PR files at that moment.
+PATHS_SQL = f"""hotp AS (
   SELECT repo_name, path, CAST(count(*) AS BIGINT) AS total_commits,
          CAST(count(*) FILTER (WHERE {FIX_SQL}) AS BIGINT) AS fix_commits
   FROM fx_commit WHERE ts >= {SINCE_SQL} AND ts <= {AS_OF_SQL} GROUP BY ALL
+  HAVING count(*) >= 5 OR count(*) FILTER (WHERE {FIX_SQL}) >= 2)"""
+
+#: Hotspots of PR files when the PR was created.
+HOT_SQL = f"""hot AS (
+  SELECT f.repo_name, f.pr_number, f.file_pos, f.filename, CAST(count(*) AS BIGINT) AS total_commits,
+         CAST(count(*) FILTER (WHERE {FIX_SQL}) AS BIGINT) AS fix_commits,
+         CASE WHEN count(*) FILTER (WHERE {FIX_SQL}) >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS risk
+  FROM fx_pr_file f JOIN fx_pr p ON p.repo_name = f.repo_name AND p.pr_number = f.pr_number
+  JOIN fx_commit c ON c.repo_name = f.repo_name AND c.path = f.filename
+   AND c.ts <= p.created_at AND c.ts >= p.created_at - INTERVAL 90 DAY
+  WHERE f.file_pos <= 10 GROUP BY f.repo_name, f.pr_number, f.file_pos, f.filename
   HAVING count(*) >= 5 OR count(*) FILTER (WHERE {FIX_SQL}) >= 2),
-hot AS (
-  SELECT f.repo_name, f.pr_number, f.file_pos, f.filename, h.total_commits, h.fix_commits,
-         CASE WHEN h.fix_commits >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS risk
-  FROM fx_pr_file f JOIN hotp h ON h.repo_name = f.repo_name AND h.path = f.filename WHERE f.file_pos <= 10),
 hot_text AS (
   SELECT repo_name, pr_number, 'HOTSPOT FILES (frequently changed/fixed — review with extra scrutiny):' || chr(10) ||
          string_agg('  - ' || filename || ': ' || CAST(total_commits AS VARCHAR) || ' commits, ' || CAST(fix_commits AS VARCHAR)
                     || ' bug-fix commits in last 3 months (' || risk || ' risk)', chr(10) ORDER BY file_pos) AS hotspot_text
   FROM hot GROUP BY ALL)"""
 
-REVIEWERS_SQL = f"""recent AS (
+#: The newest 20 commits of each PR file when the PR was created; whatever the PR, for the queries "latest".
+SEEN_SQL = """recent AS (
+  SELECT f.repo_name, f.pr_number, f.file_pos, f.filename, c.author, row_number() OVER (
+           PARTITION BY f.repo_name, f.pr_number, f.file_pos ORDER BY c.ts DESC, c.sha DESC) AS commit_rank
+  FROM fx_pr_file f JOIN fx_pr p ON p.repo_name = f.repo_name AND p.pr_number = f.pr_number
+  JOIN fx_commit c ON c.repo_name = f.repo_name AND c.path = f.filename AND c.ts <= p.created_at
+  WHERE f.file_pos <= 10 QUALIFY commit_rank <= 20),
+tch AS (
+  SELECT r.repo_name, r.pr_number, r.file_pos, r.filename, r.commit_rank, r.author AS login
+  FROM recent r JOIN fx_pr p ON p.pr_number = r.pr_number AND p.repo_name = r.repo_name
+  WHERE r.author <> '' AND r.author IS DISTINCT FROM p.author),
+"""
+LATEST_SQL = """recent AS (
   SELECT repo_name, path, author, row_number() OVER (PARTITION BY repo_name, path ORDER BY ts DESC, sha DESC) AS commit_rank
   FROM fx_commit QUALIFY commit_rank <= 20),
 tch AS (
@@ -35,7 +55,9 @@ tch AS (
   FROM fx_pr_file f JOIN recent r ON r.repo_name = f.repo_name AND r.path = f.filename
   JOIN fx_pr p ON p.pr_number = f.pr_number AND p.repo_name = f.repo_name
   WHERE f.file_pos <= 10 AND r.author <> '' AND r.author IS DISTINCT FROM p.author),
-per AS (SELECT repo_name, pr_number, login, count(*) AS file_touches, min([file_pos, commit_rank]) AS first_seen
+"""
+
+REVIEWERS_TAIL = """per AS (SELECT repo_name, pr_number, login, count(*) AS file_touches, min([file_pos, commit_rank]) AS first_seen
         FROM tch GROUP BY ALL),
 kf AS (SELECT repo_name, pr_number, login, list(filename ORDER BY file_pos)[1:5] AS knows_files
        FROM (SELECT DISTINCT repo_name, pr_number, login, file_pos, filename FROM tch) d GROUP BY ALL),
@@ -43,6 +65,7 @@ rev AS (
   SELECT p.repo_name, p.pr_number, row_number() OVER (PARTITION BY p.repo_name, p.pr_number ORDER BY file_touches DESC, first_seen)
          AS rank, p.login, p.file_touches, k.knows_files
   FROM per p JOIN kf k USING (repo_name, pr_number, login) QUALIFY rank <= 3)"""
+REVIEWERS_SQL = SEEN_SQL + REVIEWERS_TAIL
 
 TAGS_SQL = """list_filter([
   CASE WHEN contains({t}, 'SQL') OR contains(lower({t}), 'injection') THEN 'sql_injection' END,
@@ -62,6 +85,14 @@ past AS (SELECT repo_name, list_sort(list_distinct(flatten(list(issue_types))))
            SELECT * FROM mem QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC, pr_number DESC) <= 10) t
          GROUP BY ALL)"""
 
+#: Past issues of each PR: the ten newest reviews stored before it was created.
+PAST_SQL = """past_at AS (
+  SELECT repo_name, pr_number, list_sort(list_distinct(flatten(list(issue_types)))) AS past_issues FROM (
+    SELECT p.repo_name, p.pr_number, m.issue_types FROM fx_pr p
+    JOIN mem m ON m.repo_name = p.repo_name AND m.created_at < p.created_at
+    QUALIFY row_number() OVER (PARTITION BY p.repo_name, p.pr_number ORDER BY m.created_at DESC, m.pr_number DESC) <= 10) t
+  GROUP BY ALL)"""
+
 
 def _i(c):
     return F.col(c).cast("bigint").alias(c)
@@ -71,17 +102,36 @@ def memory(spark, d):
     return mm.memory_rows(fx.fx_verdict(spark, d))
 
 
+HOT_COLS = ["total_commits", "fix_commits", "risk"]
+
+
+def hotspots(spark, d):
+    return hs.hotspots_at_creation(fx.fx_commit(spark, d), fx.fx_pr(spark, d), fx.fx_pr_file(spark, d))
+
+
 @register("hotspots", f"""
 WITH {HOT_SQL}
 SELECT repo_name, pr_number, CAST(file_pos AS BIGINT) AS file_pos, filename, total_commits, fix_commits, risk FROM hot
 """)
 def q_hotspots(spark, d):
+    """H1 when each PR was created."""
+    return hotspots(spark, d).select("repo_name", "pr_number", _i("file_pos"), "filename", *HOT_COLS)
+
+
+@register("hotspots_as_of", f"""
+WITH {PATHS_SQL}
+SELECT f.repo_name, f.pr_number, CAST(f.file_pos AS BIGINT) AS file_pos, f.filename, h.total_commits, h.fix_commits,
+       CASE WHEN h.fix_commits >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS risk
+FROM fx_pr_file f JOIN hotp h ON h.repo_name = f.repo_name AND h.path = f.filename WHERE f.file_pos <= 10
+""")
+def q_hotspots_as_of(spark, d):
+    """H1 with one fixed moment for all PRs."""
     h = hs.hotspots(fx.fx_commit(spark, d), AS_OF, fx.fx_pr_file(spark, d))
-    return h.select("repo_name", "pr_number", _i("file_pos"), "filename", "total_commits", "fix_commits", "risk")
+    return h.select("repo_name", "pr_number", _i("file_pos"), "filename", *HOT_COLS)
 
 
 @register("path_hotspots", f"""
-WITH {HOT_SQL}
+WITH {PATHS_SQL}
 SELECT repo_name, path, total_commits, fix_commits, CASE WHEN fix_commits >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM hotp
 """)
 def q_path_hotspots(spark, d):
@@ -90,11 +140,12 @@ def q_path_hotspots(spark, d):
 
 @register("hotspot_prompt", f"WITH {HOT_SQL}\nSELECT repo_name, pr_number, hotspot_text FROM hot_text")
 def q_hotspot_prompt(spark, d):
-    return hs.hotspot_prompt(hs.hotspots(fx.fx_commit(spark, d), AS_OF, fx.fx_pr_file(spark, d)))
+    return hs.hotspot_prompt(hotspots(spark, d))
 
 
-def reviewers(spark, d):
-    return hs.suggest_reviewers(fx.fx_pr(spark, d), fx.fx_pr_file(spark, d), fx.fx_commit(spark, d))
+def reviewers(spark, d, at_creation=True):
+    return hs.suggest_reviewers(fx.fx_pr(spark, d), fx.fx_pr_file(spark, d), fx.fx_commit(spark, d),
+                                at_creation=at_creation)
 
 
 @register("suggest_reviewers", f"""
@@ -103,7 +154,21 @@ SELECT repo_name, pr_number, CAST(rank AS BIGINT) AS rank, login, CAST(file_touc
        array_to_string(knows_files, ', ') AS knows_files FROM rev
 """)
 def q_suggest_reviewers(spark, d):
-    r = reviewers(spark, d)
+    """H3 when each PR was created."""
+    return _reviewer_rows(reviewers(spark, d))
+
+
+@register("suggest_reviewers_latest", f"""
+WITH {LATEST_SQL}{REVIEWERS_TAIL}
+SELECT repo_name, pr_number, CAST(rank AS BIGINT) AS rank, login, CAST(file_touches AS BIGINT) AS file_touches,
+       array_to_string(knows_files, ', ') AS knows_files FROM rev
+""")
+def q_suggest_reviewers_latest(spark, d):
+    """H3 from the newest commits there are, whatever the PR's age."""
+    return _reviewer_rows(reviewers(spark, d, at_creation=False))
+
+
+def _reviewer_rows(r):
     return r.select("repo_name", "pr_number", _i("rank"), "login", _i("file_touches"),
                     F.array_join("knows_files", ", ").alias("knows_files"))
 
@@ -145,6 +210,17 @@ def q_past_issues(spark, d):
     return p.select("repo_name", F.array_join("past_issues", ", ").alias("past_issues"))
 
 
+def past_at_creation(spark, d):
+    return mm.past_issues_at_creation(memory(spark, d), fx.fx_pr(spark, d))
+
+
+@register("past_issues_at_creation", f"""WITH {MEM_SQL}, {PAST_SQL}
+SELECT repo_name, pr_number, array_to_string(past_issues, ', ') AS past_issues FROM past_at WHERE len(past_issues) > 0""")
+def q_past_issues_at_creation(spark, d):
+    """M2 when each PR was created."""
+    return past_at_creation(spark, d).select("repo_name", "pr_number", F.array_join("past_issues", ", ").alias("past_issues"))
+
+
 @register("dashboard_totals", f"WITH {MEM_SQL}\nSELECT CAST(count(*) AS BIGINT) AS total_reviews FROM top100")
 def q_dashboard_totals(spark, d):
     return mm.dashboard_totals(memory(spark, d))
@@ -188,23 +264,22 @@ def q_issue_counts(spark, d):
     return mm.issue_counts(memory(spark, d))
 
 
-MEMCTX_TAIL = f"""{BREAKING_TAIL}, {HOT_SQL}, {MEM_SQL},
+MEMCTX_TAIL = f"""{BREAKING_TAIL}, {HOT_SQL}, {MEM_SQL}, {PAST_SQL},
 blist AS (SELECT repo_name, pr_number, 'BREAKING CHANGES DETECTED:' || chr(10) || string_agg('  - ' || message, chr(10)
           ORDER BY finding_pos) AS btext FROM breaking GROUP BY ALL),
 memctx AS (
   SELECT p.repo_name, p.pr_number, concat_ws(chr(10) || chr(10),
          CASE WHEN len(pa.past_issues) > 0 THEN 'Past issues in this repo: ' || array_to_string(pa.past_issues, ', ') END,
          CASE WHEN h.hotspot_text <> '' THEN h.hotspot_text END, b.btext) AS memory_context
-  FROM fx_pr p LEFT JOIN past pa ON pa.repo_name = p.repo_name
+  FROM fx_pr p LEFT JOIN past_at pa ON pa.repo_name = p.repo_name AND pa.pr_number = p.pr_number
   LEFT JOIN hot_text h ON h.repo_name = p.repo_name AND h.pr_number = p.pr_number
   LEFT JOIN blist b ON b.repo_name = p.repo_name AND b.pr_number = p.pr_number)"""
 MEMCTX_SQL = KEPT_LINES_SQL + MEMCTX_TAIL
 
 
 def memory_context(spark, d):
-    past = mm.past_issues(memory(spark, d))
-    hot = hs.hotspot_prompt(hs.hotspots(fx.fx_commit(spark, d), AS_OF, fx.fx_pr_file(spark, d)))
-    return mm.memory_context(fx.fx_pr(spark, d), past, hot, breaking(spark, d))
+    return mm.memory_context(fx.fx_pr(spark, d), past_at_creation(spark, d), hs.hotspot_prompt(hotspots(spark, d)),
+                             breaking(spark, d))
 
 
 @register("memory_context", f"WITH {MEMCTX_SQL}\nSELECT repo_name, pr_number, memory_context FROM memctx")
@@ -213,9 +288,10 @@ def q_memory_context(spark, d):
 
 
 @register("memory_context_manual", f"""
-WITH {MEM_SQL}
+WITH {MEM_SQL}, {PAST_SQL}
 SELECT p.repo_name, p.pr_number, CASE WHEN len(a.past_issues) > 0 THEN 'Past issues: ' || array_to_string(a.past_issues, ', ')
-       ELSE '' END AS memory_context FROM fx_pr p LEFT JOIN past a ON a.repo_name = p.repo_name""")
+       ELSE '' END AS memory_context
+FROM fx_pr p LEFT JOIN past_at a ON a.repo_name = p.repo_name AND a.pr_number = p.pr_number""")
 def q_memory_context_manual(spark, d):
     """M7, manual review: past issues only."""
-    return mm.manual_context(fx.fx_pr(spark, d), mm.past_issues(memory(spark, d)))
+    return mm.manual_context(fx.fx_pr(spark, d), past_at_creation(spark, d))

@@ -211,14 +211,3 @@ def test_query_text_equals_the_diff_prefix(spark):
         "additions bigint, deletions bigint")
     full = {r.pr_number: r.diff[:500] for r in rv.diff_text(files).collect()}
     assert {r.pr_number: r.query for r in rv.query_text(files).collect()} == full
-
-
-def test_near_duplicates_are_confirmed(spark):
-    base = " ".join(f"w{i}" for i in range(100))
-    near = base.replace("w50 ", "changed ")
-    far = base.replace(" w1", " v1").replace(" w3", " v3")
-    rows = [("r", p, t) for p, t in zip("abcdef", [base, near, far, base, "", None], strict=True)]
-    df = spark.createDataFrame(rows, "repo_name string, path string, content string")
-    got = sorted((r.path, r.first_path, r.similarity) for r in scans.near_duplicate_files(df).collect())
-    assert got == [("b", "a", round(91 / 101, 6)), ("d", "a", 1.0)]
-    assert [(r.first_path, r.n_docs) for r in scans.near_duplicate_groups(df).collect()] == [("a", 3)]
