@@ -9,6 +9,8 @@ order; of a map of files, the first by path).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,6 +235,15 @@ def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+@functools.cache
+def _items(application: str, tools: tuple[str, ...]) -> Column:
+    """The findings of the column ``json`` by ``tool``: a large expression, built once an application."""
+    items = _none()
+    for tool in reversed(tools):
+        items = F.when(F.col("tool") == tool, READERS[tool](F.col("json"))).otherwise(items)
+    return F.when(F.col("json").isNotNull(), items).otherwise(_failed(INVALID_REPORT))
+
+
 def read_reports(reports: DataFrame, tools: list[str] | None = None) -> DataFrame:
     """N1-N5 in one pass: per report the findings array and the error, if any.
 
@@ -243,10 +254,7 @@ def read_reports(reports: DataFrame, tools: list[str] | None = None) -> DataFram
     r = reports if tools is None else reports.filter(F.col("tool").isin(tools))
     text = F.ltrim(F.col("report"))
     whole = F.when(text.startswith("[") | text.startswith("{"), F.try_parse_json(text))
-    items = _none()
-    for tool in reversed(tools or list(READERS)):
-        items = F.when(F.col("tool") == tool, READERS[tool](F.col("json"))).otherwise(items)
-    items = F.when(F.col("json").isNotNull(), items).otherwise(_failed(INVALID_REPORT))
+    items = _items(reports.sparkSession.sparkContext.applicationId, tuple(tools or READERS))
     r = _once(r.select(*KEYS, "tool", "report"), whole, "json")
     r = _once(r.select(*KEYS, "tool", "json"), items, "items")
     error = F.get(F.filter(F.transform("items", lambda x: x["bad"]), lambda e: e.isNotNull()), F.lit(0))
