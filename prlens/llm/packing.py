@@ -11,8 +11,9 @@ into a few more patterns, so every piece has a place.
 
 Pieces are ranked within their class (rank inside the task that made it plus
 the counts of earlier tasks, so no class meets in one task), and rank plus the
-pattern table give sequence and place directly.  Only the window that adds up
-offsets inside a sequence moves the ids.
+pattern table give sequence and place directly.  The window that adds up offsets
+inside a sequence moves numbers only; the ids rest in the piece table and are
+joined by the piece's name where the caller wants them.
 
 Defined results: a null or empty text is a document of the end id alone;
 repeated rows are packed once for each row; an empty table gives no rows; other
@@ -29,7 +30,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from prlens.llm.common import documents, map_batches, stored, table
 from prlens.llm.registry import register
@@ -43,22 +43,26 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         encode, task = encoder(path).encode, TaskContext.get().partitionId()
         made = np.zeros(capacity // QUANTUM + 2, np.int64)
-        names = ["doc_id", "start", "length", "doc_tokens", "ids", "task", "class", "rank"]
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "number", "class", "rank"]
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+        end, number = end_id.to_bytes(2, "little"), 0
         for batch in batches:
-            rows = []
+            columns = [[] for _ in names]
+            add = [c.append for c in columns]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + end_id.to_bytes(2, "little")
+                ids = encode(text.as_py()) + end
                 total = len(ids) // 2
                 for at in range(0, total, capacity):
-                    piece = ids[2 * at:2 * (at + capacity)]
+                    piece = ids if total <= capacity else ids[2 * at:2 * (at + capacity)]
                     n = len(piece) // 2
                     c = 0 if n == capacity else -(-n // QUANTUM)
-                    rows.append((doc_id, at, n, total, piece, task, c, int(made[c])))
+                    crc = zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4"))
+                    for put, x in zip(add, (doc_id, at, n, total, crc, piece, task, number, c, int(made[c]))):
+                        put(x)
                     made[c] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    number += 1
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
     return run
 
 
@@ -152,11 +156,17 @@ class Plan:
         return sequence, order
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (binary, unsigned 16-bit little-endian), sequence_id, offset."""
-    pieces = stored(map_batches(documents(docs), _cut(path or default_path(), capacity, end_id),
-                                "doc_id long, start long, length long, doc_tokens long, ids binary, task int, "
-                                "class int, rank long"), "pieces")
+def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The pieces, at rest: ids (binary, unsigned 16-bit little-endian) and their CRC-32 as unsigned 32-bit
+    numbers, class and rank; (task, number) names a piece."""
+    return stored(map_batches(documents(docs), _cut(path or default_path(), capacity, end_id),
+                              "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary, "
+                              "task int, number long, class int, rank long"), "pieces")
+
+
+def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids_crc32, task, number, sequence_id, offset; the ids stay where they are."""
+    pieces = pieces.drop("ids")
     made = stored(pieces.groupBy("class", "task").count(), "histogram")
     totals = {r[0]: r[1] for r in made.groupBy("class").agg(F.sum("count")).collect()}
     plan = Plan(totals, capacity)
@@ -169,23 +179,24 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         sequence, order = plan.place(cls.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "place": order})
 
-    placed = (pieces.join(before, (pieces["class"] == before.c2) & (pieces.task == before.t2))
-              .withColumn("at", place("class", F.col("rank") + F.col("before"))))
+    at = (pieces.join(before, (pieces["class"] == before.c2) & (pieces.task == before.t2))
+          .withColumn("at", place("class", F.col("rank") + F.col("before"))))
     ahead = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.select("doc_id", "start", "length", "doc_tokens", "ids", "at.sequence_id", "at.place")
-            .withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
-            .select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"))
+    return (at.select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "task", "number", "at.sequence_id", "at.place")
+            .withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("place"))
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    return ids.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes())).astype("int64")
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids (binary, unsigned 16-bit little-endian), sequence_id, offset."""
+    pieces = pieces_of(docs, path, capacity, end_id)
+    ids = pieces.select(F.col("task").alias("t3"), F.col("number").alias("n3"), "ids")
+    return (placed(pieces, capacity).join(ids, (F.col("task") == F.col("t3")) & (F.col("number") == F.col("n3")))
+            .select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"))
 
 
 def packed_rows(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens",
-                             "sequence_id", "offset")
+    """A row for each piece, its ids by their checksum."""
+    return placed(pieces_of(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @register("op6_packing")
