@@ -24,7 +24,6 @@ their sequences; an empty table writes no file; other columns are ignored.
 from __future__ import annotations
 
 import os
-import pickle
 import struct
 import uuid
 import zlib
@@ -63,37 +62,48 @@ def record(doc_id: int | None, seq_no: int, ids: bytes, seq_len: int) -> bytes:
 TABLE_BYTES = 4 << 20
 
 
-def _bundle(rows: list[tuple]) -> bytes:
-    """Rows by column, compressed: ids do not repeat enough for smaller pieces."""
-    return zstandard.ZstdCompressor(6).compress(pickle.dumps(list(zip(*rows, strict=True))))
+def _bundle(ints: np.ndarray, ids: bytes) -> bytes:
+    """Numbers of sequences (a row for each kind, the last their bytes) and their ids end to
+    end, compressed: ids do not repeat enough for smaller pieces."""
+    head = np.array([ints.shape[1]], np.int64).tobytes()
+    return zstandard.ZstdCompressor(6).compress(head + ints.astype(np.int64).tobytes() + ids)
 
 
-def _rows(bundle: bytes) -> list[tuple]:
-    return list(zip(*pickle.loads(zstandard.ZstdDecompressor().decompress(bundle)), strict=True))
+def _opened(bundle: bytes, kinds: int) -> tuple[np.ndarray, memoryview]:
+    data = memoryview(zstandard.ZstdDecompressor().decompress(bundle))
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    return np.frombuffer(data[8:8 + 8 * kinds * n], np.int64).reshape(kinds, n), data[8 + 8 * kinds * n:]
 
 
 def _sequences(path: str, seq_len: int, end_id: int):
-    """Bundles of (doc_id, seq_no, ids); ``place`` is the first row's number inside the task."""
+    """Bundles of (doc_id, seq_no, bytes) and ids; ``place`` is the first row's number inside the task."""
+    width, end = 2 * seq_len, end_id.to_bytes(2, "little")
+
     def run(batches):
         encode, task, made = encoder(path).encode, TaskContext.get().partitionId(), 0
-        rows, size = [], 0
+        docs, parts, size = [], [], 0
 
         def out():
-            cols = {"task": pa.array([task], pa.int32()), "place": pa.array([made - len(rows)], pa.int64()),
-                    "n": pa.array([len(rows)], pa.int64()), "bundle": pa.array([_bundle(rows)], pa.binary())}
+            sizes = np.array([len(p) for p in parts], np.int64)
+            count = -(-sizes // width)
+            first = np.repeat(np.cumsum(count) - count, count)
+            number = np.arange(len(first)) - first
+            ints = np.stack([np.repeat(np.array(docs, np.int64), count), number,
+                             np.minimum(width, np.repeat(sizes, count) - number * width)])
+            cols = {"task": pa.array([task], pa.int32()), "place": pa.array([made], pa.int64()),
+                    "n": pa.array([len(first)], pa.int64()), "bundle": pa.array([_bundle(ints, b"".join(parts))], pa.binary())}
             return pa.RecordBatch.from_pydict(cols)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + end_id.to_bytes(2, "little")
-                for k, at in enumerate(range(0, len(ids), 2 * seq_len)):
-                    rows.append((doc_id, k, ids[at:at + 2 * seq_len]))
-                    made += 1
-                size += len(ids)
+                docs.append(NO_ID if doc_id is None else doc_id)
+                parts.append(encode(text.as_py()) + end)
+                size += len(parts[-1])
                 if size > TABLE_BYTES:
-                    yield out()
-                    rows, size = [], 0
-        if rows:
+                    yield (done := out())
+                    made += done.column("n")[0].as_py()
+                    docs, parts, size = [], [], 0
+        if parts:
             yield out()
     return run
 
@@ -107,13 +117,14 @@ BUNDLE_BYTES = 96 << 20
 
 
 def _deal(starts: np.ndarray, total: int, key: str, records: int):
-    """Sequences -> bundles of (slot, doc_id, seq_no, ids) by shard."""
+    """Sequences -> bundles of (slot, doc_id, seq_no, bytes) and ids by shard."""
     def run(batches):
         held: dict[int, list] = {}
         size = 0
 
         def out():
-            rows = [(shard, _bundle(rows)) for shard, rows in sorted(held.items())]
+            rows = [(shard, _bundle(np.concatenate([i for i, _ in parts], axis=1), b"".join(x for _, x in parts)))
+                    for shard, parts in sorted(held.items())]
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)],
@@ -122,10 +133,17 @@ def _deal(starts: np.ndarray, total: int, key: str, records: int):
         for batch in batches:
             for task, place, n, bundle in zip(*(batch.column(c).to_pylist() for c in ("task", "place", "n", "bundle")),
                                               strict=True):
-                slots = permute(starts[task] + place + np.arange(n), total, key).tolist()
-                for slot, row in zip(slots, _rows(bundle), strict=True):
-                    held.setdefault(slot // records, []).append((slot, *row))
-                    size += len(row[2])
+                ints, ids = _opened(bundle, 3)
+                slots = permute(starts[task] + place + np.arange(n), total, key)
+                ends = np.cumsum(ints[2])
+                order = np.argsort(slots // records, kind="stable")
+                shards = (slots // records)[order]
+                cuts = np.flatnonzero(np.diff(shards, prepend=-1)).tolist()
+                full = np.concatenate([slots[None, :], ints])[:, order]
+                spans = list(zip((ends - ints[2])[order].tolist(), ends[order].tolist(), strict=True))
+                for i, j in zip(cuts, [*cuts[1:], n], strict=True):
+                    held.setdefault(int(shards[i]), []).append((full[:, i:j], b"".join(ids[x:y] for x, y in spans[i:j])))
+                size += len(ids)
                 if size > BUNDLE_BYTES:
                     yield out()
                     size = 0
@@ -140,24 +158,28 @@ def _write(folder: str, seq_len: int):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
 
-        def write(shard, rows):
+        def write(shard, bundles):
+            parts = [_opened(b, 4) for b in bundles]
+            ints, ids = np.concatenate([i for i, _ in parts], axis=1), b"".join(x for _, x in parts)
+            ends = np.cumsum(ints[3]).tolist()
+            _, docs, numbers, sizes = ints.tolist()
             temp = f"{root}/.{uuid.uuid4().hex}"
             with fs.open_output_stream(temp) as out:
-                for _, doc_id, k, ids in sorted(rows, key=lambda r: r[0]):
-                    out.write(record(doc_id, k, ids, seq_len))
+                for i in np.argsort(ints[0]).tolist():
+                    out.write(record(docs[i], numbers[i], ids[ends[i] - sizes[i]:ends[i]], seq_len))
             fs.move(temp, _shard_path(root, shard))
-            return shard, len(rows)
+            return shard, len(docs)
 
-        at, rows, done = None, [], []
+        at, bundles, done = None, [], []
         for batch in batches:
             for shard, bundle in zip(*(batch.column(c).to_pylist() for c in ("shard", "bundle")), strict=True):
-                if shard != at and rows:
-                    done.append(write(at, rows))
-                    rows = []
+                if shard != at and bundles:
+                    done.append(write(at, bundles))
+                    bundles = []
                 at = shard
-                rows += _rows(bundle)
-        if rows:
-            done.append(write(at, rows))
+                bundles.append(bundle)
+        if bundles:
+            done.append(write(at, bundles))
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())],
             ["shard", "records"])
