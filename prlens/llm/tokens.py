@@ -1,22 +1,24 @@
-"""Token ids by a public tokenizer file, with a memo of words.
+"""Token ids by a public tokenizer file, with nothing remembered between texts.
 
 The word-level BPE file lower-cases, drops white space and never joins across
-it, so the ids of a text are those of its white-space chunks in order.  A chunk
-of plain characters is split by the file's own pattern and each piece is
-encoded by the library's BPE model; any other chunk goes through the whole
-tokenizer.  Both are remembered for the worker's life, up to MEMO_CHUNKS.
+it, so the ids of a text are those of its white-space chunks in order.  A text
+of plain characters is split by the file's own pattern and its pieces are merged
+by the fast BPE library, which merges bytes by rank.  The file marks a piece's
+last byte; here a line feed (white space, so in no piece) ends each piece, and
+the pairs (byte, line feed), which stand for the marked bytes, have the first
+ranks.  Every later rank is the file's merge of that place.  Both merge the
+lowest rank first, and a string is the result of one merge only, so the ids
+are the same.  Any other chunk goes through the file's own library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-#: Chunks remembered by a worker (about 200 bytes each); forgotten beyond.
-MEMO_CHUNKS = 400_000
-
 #: Path of the tokenizer file; the library finds it next to its own files.
 DEFAULT_FILE = "word_bpe_49k.json"
 
@@ -44,46 +46,56 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """chunk -> its ids as little-endian unsigned 16-bit numbers."""
+END = "\n"
+
+
+class Encoder:
+    """text -> its ids as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this file need more than 16 bits")
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u2").tobytes()
-            if len(self.pieces) >= MEMO_CHUNKS:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
-        if ODD(chunk):
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        else:
-            ids = b"".join(map(self._piece, PIECES.findall(chunk.lower())))
-        if len(self) >= MEMO_CHUNKS:
-            self.clear()
-        self[chunk] = ids
-        return ids
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        byte = {letter: bytes([b]) for b, letter in _byte_letters().items()}
+
+        def raw(token: str) -> bytes:
+            marked = token.endswith(suffix)
+            body = b"".join(map(byte.__getitem__, token.removesuffix(suffix) if marked else token))
+            return body + END.encode() if marked else body
+
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if len(set(merged)) != len(merged):
+            raise ValueError("a token of this file is made by two merges")
+        tokens = [letter + suffix for letter in byte] + merged
+        ranks = {raw(t): i for i, t in enumerate(tokens)}
+        alone = [x for x in byte.values() if x not in ranks]
+        ids = [vocab[t] for t in tokens] + [vocab[_byte_letters()[x[0]]] for x in alone]
+        ranks |= {x: len(tokens) + i for i, x in enumerate(alone)}
+        self.ids = np.array(ids, "<u2")
+        self.merge = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bytes:
+        pieces = PIECES.findall(text.lower())
+        if not pieces:
+            return b""
+        return self.ids[self.merge.encode_ordinary(END.join(pieces) + END)].tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if ODD(text):
-            if re.search("[\x1c-\x1f]", text):  # Python splits here, the file does not
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-            return b"".join(map(self.__getitem__, text.split()))
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        if not ODD(text):
+            return self._plain(text)
+        if re.search("[\x1c-\x1f]", text):  # Python splits here, the file does not
+            return self._whole(text)
+        return b"".join(self._whole(c) if ODD(c) else self._plain(c) for c in text.split())
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -52,11 +52,26 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(own.encode(t), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
-def test_token_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 10)
-    own = tokens.Encoder(tokens.default_path())
-    text = " ".join(f"word{i}" for i in range(100))
-    assert own.encode(text) == own.encode(text) and len(own) <= 10 and len(own.pieces) <= 10
+def test_tokens_of_many_words_equal_the_library():
+    """Random words of every length over letters, digits, marks and other scripts, one by one and in texts."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    path = tokens.default_path()
+    own, lib = tokens.Encoder(path), Tokenizer.from_file(path)
+    letters = "abcdefghijklmnopqrstuvwxyzeeeeaaattt" * 3 + "0123456789.,-_'!?\"éüñßøłčşāœ€²½" + "中字АБвгΣας"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    words += ["a" * n for n in range(1, 80)] + ["ab" * n for n in range(1, 40)] + ["the" * n for n in range(1, 30)]
+    texts = [" ".join(words[i:i + 50]) for i in range(0, len(words), 50)] + words[::7]
+    for t, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == want.ids, t
+
+
+def test_no_count_leaves_a_language_without_a_sample():
+    least = -(1 << 63)
+    for count in (1, 400, 401, 10**6, 4 * 10**8, 10**12):
+        share = (language_id._last_hash(400, count) - least) / 2.0 ** 64
+        assert math.isclose(share, min(1, 400 / count), rel_tol=1e-6), count
 
 
 # ---- 3
