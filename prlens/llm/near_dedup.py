@@ -42,8 +42,8 @@ from prlens.llm.words import space_words
 ROWS, MISS = 5, 1e-6
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_500_000
 
-#: Word hashes kept by a worker; forgotten and filled anew beyond.
-MEMO_WORDS = 1 << 20
+#: Word hashes kept by a worker (about 40 MB); forgotten and filled anew beyond.
+MEMO_WORDS = 1 << 18
 
 
 class _WordHashes(dict):
