@@ -122,6 +122,8 @@ class Scanner:
         self.known = vocabulary.get
         self.labels = [label for _, label in texts]
         self.sizes = [len(t) for t, _ in texts]
+        #: Words that a run needs to hold a phrase or a match.
+        self.shortest = min([MIN_MATCH, *self.sizes[:len(phrases)]])
         coded = [[vocabulary[w] for w in t] for t, _ in texts]
         self.machine = m = SuffixAutomaton(coded)
         own: dict[int, list[tuple[int, str]]] = {}
@@ -141,7 +143,7 @@ class Scanner:
         edge = np.flatnonzero(np.diff(ids != 0, prepend=False, append=False))
         base, matches, step = [], [], self.machine.step
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a < 3:
+            if b - a < self.shortest:
                 continue
             state = length = 0
             for at, w in enumerate(ids[a:b].tolist(), a):

@@ -264,3 +264,11 @@ def test_automaton_matching_statistics():
         assert length == best
         for t, end in m.ends[state].items() if length else ():
             assert tuple(seqs[t][end - length + 1:end + 1]) == tuple(text[i + 1 - length:i + 1])
+
+
+def test_phrases_of_one_or_two_words_are_found():
+    from prlens.llm.license_scan import Scanner
+
+    s = Scanner([("mit license", "mit"), ("wtfpl", "wtfpl")], [])
+    base, _, _ = s.scan(b"under the mit license text or wtfpl".split())
+    assert base == [(2, "mit"), (6, "wtfpl")]
