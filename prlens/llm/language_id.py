@@ -128,6 +128,11 @@ def _trigram_counts(batches):
                                               "bucket": pa.array(buckets, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
+def _last_hash(rows: int, count: int) -> int:
+    """The long up to which 64-bit hashes choose about ``rows`` of ``count`` rows."""
+    return min((1 << 63) - 1, (1 << 64) * rows // count - (1 << 63))
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Trigrams]:
     """(languages, trigram model) from rows (doc_id, text, lang)."""
     rows = labelled.filter(F.col("text").isNotNull()).withColumn("lang", main_code(F.col("lang"))).filter("lang != ''")
@@ -135,8 +140,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     names = sorted(r["lang"] for r in sizes)
     at = {name: i for i, name in enumerate(names)}
     cuts = labelled.sparkSession.createDataFrame(
-        [(r["lang"], int(1e6 * min(1, sample_rows / r["count"]))) for r in sizes], "lang string, cut long")
-    sample = (rows.join(F.broadcast(cuts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("cut"))
+        [(r["lang"], _last_hash(sample_rows, r["count"])) for r in sizes], "lang string, cut long")
+    # The whole hash decides, so that no number of rows leaves a language without a sample; rows with the
+    # same or no id are told apart by their texts.
+    sample = (rows.join(F.broadcast(cuts), "lang").filter(F.xxhash64("doc_id", "text") <= F.col("cut"))
               .select("lang", "text"))
     seen = (map_batches(sample, _trigram_counts, "lang string, bucket long, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
