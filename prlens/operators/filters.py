@@ -33,22 +33,18 @@ def ignore_filter(files: DataFrame, cfg: DataFrame, name_col: str = "filename")
 
     Globs are sorted once per repo, on the config side: those without a wildcard are
     looked up, a text before or after one ``*`` is compared, and all others become one
-    regex for the repo.  Only repos that have such a regex evaluate it, once for each
-    distinct name, on rows that come repo by repo, so that it is compiled once for
-    each repo and task.  Spark (AQE) broadcasts the config when it is small and falls
-    back to a shuffle join otherwise.
+    regex for the repo, tried only where nothing else hit.  A task compiles it
+    when the repo changes from one row to the next, not for each row and glob.
+    Spark (AQE) broadcasts the config when it is small and falls back to a shuffle
+    join otherwise.
     """
     c = cfg.select(F.col("repo_name").alias("_repo"), *[x.alias(n) for n, x in glob_sets(F.col("ignore")).items()])
     c = c.filter("size(_exact) + size(_starts) + size(_ends) > 0 OR _regex IS NOT NULL")
     name = F.col(name_col)
-    plain = (F.array_contains("_exact", name) | F.exists("_starts", name.startswith) | F.exists("_ends", name.endswith))
-    odd = c.filter("_regex IS NOT NULL").select("_repo", "_regex")
-    names = (files.select(F.col("repo_name").alias("_r"), name.alias("_name")).distinct()
-             .join(odd, F.col("_r") == F.col("_repo")).repartition("_r", "_name").sortWithinPartitions("_r")
-             .filter(F.regexp_like("_name", F.col("_regex"))).select("_r", "_name"))
-    j = files.join(c.drop("_regex"), F.col("repo_name") == F.col("_repo"), "left")
-    j = j.filter(~F.coalesce(plain, F.lit(False))).drop("_repo", "_exact", "_starts", "_ends")
-    return j.join(names, (F.col("repo_name") == F.col("_r")) & (F.col(name_col) == F.col("_name")), "left_anti")
+    hit = (F.array_contains("_exact", name) | F.exists("_starts", name.startswith) | F.exists("_ends", name.endswith)
+           | F.coalesce(F.regexp_like(name, F.col("_regex")), F.lit(False)))
+    j = files.join(c, F.col("repo_name") == F.col("_repo"), "left")
+    return j.filter(~F.coalesce(hit, F.lit(False))).drop("_repo", "_exact", "_starts", "_ends", "_regex")
 
 
 def glob_sets(globs: Column) -> dict[str, Column]:

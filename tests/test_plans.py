@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 QUERIES = {k: v for k, v in entry.queries().items() if k in catalog.QUERIES}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                 "FlatMapCoGroupsInPandas")
-PYTHON_ALLOWED = {"batch_infer", "similar_code", "retrieval_context", "build_prompts", "build_prompts_style"}
+PYTHON_ALLOWED = {"batch_infer", "similar_code", "similar_code_approx", "retrieval_context", "build_prompts", "build_prompts_style"}
 EAGER = {"stream_review_requests", "stream_issue_counts", "stream_pr_pipeline", "webhook_source"}
 
 
@@ -31,7 +31,7 @@ def test_python_only_where_declared(spark, name):
     assert not found or name in PYTHON_ALLOWED, f"{name} runs Python: {found}"
 
 
-@pytest.mark.parametrize("name", ["inline_comments", "suggest_reviewers", "past_issues", "repo_snapshot",
+@pytest.mark.parametrize("name", ["inline_comments", "suggest_reviewers_latest", "past_issues", "repo_snapshot",
                                   "similar_code", "hotspot_prompt"])
 def test_top_n_is_a_partial_group_limit(spark, name):
     p = plan(spark, name)
