@@ -67,3 +67,27 @@ def test_stream_equals_batch(spark):
     c = {r["type"]: r["count"] for r in streams.q_stream_issue_counts(spark, SF_SMALL).collect()}
     from prlens.plans import history
     assert c == {r["type"]: r["count"] for r in history.q_issue_counts(spark, SF_SMALL).collect()}
+
+
+def test_a_delivery_sent_again_gives_one_report(spark, tmp_path):
+    """The same delivery in one batch, in a second one, and after a restart from the checkpoint."""
+    from prlens.streaming import webhooks as wh
+
+    schema = "delivery_id long, action string, pr_number long, repo_name string"
+    src, sink = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def drop(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        wh.run_pr_report_stream(spark, stream, lambda b: b.select("repo_name", "pr_number"), sink)
+
+    drop([(1, "opened", 7, "r"), (1, "opened", 7, "r"), (2, "opened", 8, "r")])
+    drop([(1, "opened", 7, "r"), (3, "synchronize", 8, "r")])
+    run()
+    drop([(2, "opened", 8, "r")])
+    drop([(4, "opened", 9, "r")])
+    run()
+    got = wh.read_reports(spark, sink, spark.createDataFrame([], "repo_name string, pr_number long").schema)
+    assert sorted(r.pr_number for r in got.collect()) == [7, 8, 8, 9]
