@@ -1,76 +1,70 @@
-"""A three-file pull request in the shape of the reference's end-to-end test
-(our own code text): a modified service whose lookup function gained
-parameters, a new payment module, and a loosened requirements file."""
+"""A three-file pull request of a greenhouse controller: a humidity log whose
+mean gained parameters, a new valve module, and a loosened requirements file."""
 
-USER_SERVICE = "\n".join([
-    "@@ -1,5 +1,31 @@",
-    " import sqlite3",
-    "-def get_user(user_id):",
-    "-    conn = sqlite3.connect('app.db')",
-    "-    row = conn.execute('SELECT name FROM users WHERE id = ?', (user_id,)).fetchone()",
-    "-    return row",
+HUMIDITY = "\n".join([
+    "@@ -1,4 +1,27 @@",
+    " import math",
+    "-def mean_humidity(bed):",
+    "-    return sum(bed.readings) / len(bed.readings)",
     "-",
-    "+import hashlib",
-    '+DB_PASSWORD = "prod-secret-42"',
-    "+class UserService:",
-    "+    def get_user(self, user_id, include_orders=False, include_profile=True):",
-    '+        query = f"SELECT * FROM users WHERE id = {user_id}"',
-    "+        return self.db.execute(query).fetchone()",
-    "+    def search_users(self, term):",
-    '+        return f"<div>{term}</div>"',
-    "+    def hash_password(self, pw):",
-    "+        return hashlib.md5(pw.encode()).hexdigest()",
-    "+    def run(self, expr):",
-    "+        return eval(expr)",
-    "+    def orders(self, ids):",
-    "+        for i in ids:",
-    "+            self.db.execute('SELECT * FROM orders WHERE uid = ?', (i,))",
-    "+    def risky(self):",
+    "+import logging",
+    '+STATION_TOKEN = "greenhouse-relay-7f"',
+    "+class HumidityLog:",
+    "+    def mean_humidity(self, bed, since=None, unit='percent'):",
+    '+        sql = f"select * from humidity where bed = {bed}"',
+    "+        return self.store.execute(sql)",
+    "+    def badge(self, bed):",
+    '+        return f"<span>{bed}</span>"',
+    "+    def checksum(self, line):",
+    "+        return sha1(line)",
+    "+    def rule(self, text):",
+    "+        return eval(text)",
+    "+    def backfill(self, beds):",
+    "+        for bed in beds:",
+    "+            self.store.execute('insert into humidity values (?)', (bed,))",
+    "+    def close(self):",
     "+        try:",
-    "+            self.db.commit()",
+    "+            self.store.flush()",
     "+        except:",
-    "+            pass",
-    "+    def process_and_save(self, d):",
-    "+        tmp = d",
-    "+        # TODO clean this up",
-    "+        return tmp",
+    "+            return",
+    "+    def read_and_reset(self, x):",
+    "+        tmp = x",
+    "+        # FIXME round later",
 ])
 
-PAYMENT = "\n".join([
-    "@@ -0,0 +1,11 @@",
+VALVES = "\n".join([
+    "@@ -0,0 +1,7 @@",
     "+import requests",
-    '+API_KEY = "sk-live-abcdefghijklmnopqrstuvwx"',
-    "+cache = {}",
-    "+def charge(amount, card):",
-    '+    resp = requests.post("https://pay.example.com/charge", json={"a": amount})',
-    "+    return resp.json()",
-    "+def refund(charge_id):",
-    '+    r = requests.get("https://pay.example.com/refund/" + charge_id, timeout=5)',
-    "+    return r",
+    '+api_key = "valve-bus-9911"',
+    "+zone_cache = dict()",
+    "+def open_valve(zone, minutes):",
+    '+    return requests.put("https://valves.example.org/" + zone, json=minutes)',
+    "+def close_valve(zone):",
+    '+    return requests.delete("https://valves.example.org/" + zone, timeout=3)',
 ])
 
 REQUIREMENTS = "\n".join([
     "@@ -1,2 +1,8 @@",
-    "-flask==2.0.1",
-    "-requests==2.25.0",
-    "+flask",
-    "+requests>=2.20",
-    "+jinja2==2.11.2",
-    "+urllib3==1.24.1",
-    "+numpy",
-    "+pandas",
-    "+reqeusts==1.0",
-    "+pycrypto==2.6",
+    "-django==4.2",
+    "-boto3==1.28.0",
+    "+django",
+    "+boto3>=1.20",
+    "+jinja2==3.0.1",
+    "+urllib3==1.25",
+    "+setuptools",
+    "+pyyaml",
+    "+djnago==1.0",
+    "+nose==1.3.7",
 ])
 
 FILES = [
-    ("test/demo-repo", 1, 1, "app/user_service.py", 92, 5, USER_SERVICE),
-    ("test/demo-repo", 1, 2, "app/payment_handler.py", 52, 0, PAYMENT),
-    ("test/demo-repo", 1, 3, "requirements.txt", 8, 2, REQUIREMENTS),
+    ("farm/greenhouse", 1, 1, "beds/humidity.py", 61, 3, HUMIDITY),
+    ("farm/greenhouse", 1, 2, "beds/valves.py", 24, 0, VALVES),
+    ("farm/greenhouse", 1, 3, "requirements.txt", 8, 2, REQUIREMENTS),
 ]
 FILES_SCHEMA = ("repo_name string, pr_number bigint, file_pos int, filename string, additions bigint, "
                 "deletions bigint, patch string")
-PRS = [("test/demo-repo", 1, "alice")]
+PRS = [("farm/greenhouse", 1, "iris")]
 PRS_SCHEMA = "repo_name string, pr_number bigint, author string"
 
 
