@@ -6,7 +6,9 @@ own, so words cross the network once for each block and not once for each token.
 Word counts are a grouped sum over all dictionaries; they are joined back to
 the dictionaries, and each block turns its documents into streams of units.
 
-Words are dealt into buckets by a hash.  A unit is the end, one of the TOP_WORDS
+Words are dealt into buckets by a hash.  Blocks and the places of words in them
+are written once, bucketed by block and by word bucket, so that a pass over the
+corpus moves only the labels of each block's words.  A unit is the end, one of the TOP_WORDS
 most frequent words, or the band of all other words with the same number of
 binary digits in their count.  Units only give the start: exchange clustering of
 the unit bigrams of all training text moves each unit to the class that raises
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm.common import documents, map_batches, stored, table
+from prlens.llm.common import bucketed, documents, map_batches, stored, table
 from prlens.llm.registry import register
 from prlens.llm.words import space_words
 
@@ -103,7 +105,7 @@ def _places(rows: pd.DataFrame) -> pd.DataFrame:
     np.add.at(c, code, n)
     bucket, out = int(rows["bucket"].iloc[0]), []
     at, local = rows["block"].to_numpy(np.int64), rows["local"].to_numpy(np.int64)
-    order = np.argsort(at, kind="stable")
+    order = np.lexsort([local, at])
     for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
         out.append((bucket, int(at[part[0]]), local[part].astype("<u4").tobytes(), code[part].astype("<u4").tobytes(),
                     c[code[part]].tobytes(), None, None, None, None))
@@ -113,6 +115,16 @@ def _places(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "block", "local", "idx", "c", "top", "top_c", "top_idx", "end_idx"])
 
 
+def _by_block(places: pa.Table) -> pa.Table:
+    """All places of a block in one row, in the order of their buckets."""
+    places = places.sort_by("bucket")
+    joined = {k: places.column(k).to_pylist() for k in ("local", "idx", "c")}
+    return pa.table({
+        "block": places.column("block").slice(0, 1), "buckets": pa.array([places.column("bucket").to_pylist()], pa.list_(pa.int64())),
+        "n": pa.array([[len(x) // 4 for x in joined["local"]]], pa.list_(pa.int32())),
+        **{k: pa.array([b"".join(x)], pa.binary()) for k, x in joined.items()}})
+
+
 def _start(named: dict[tuple[int, int], int]):
     """First labels of each bucket's words: their units."""
     def run(batches):
@@ -140,32 +152,28 @@ def _relabel(cls: np.ndarray):
 
 
 def _deliver(places: pa.Table, state: pa.Table) -> pa.Table:
-    """The bucket's labels at each of its places."""
-    if not places.num_rows:
-        return places.append_column("labels", pa.array([], pa.binary()))
-    labels = np.frombuffer(state.column("labels")[0].as_py(), "<u2")
-    return places.append_column("labels", pa.array(
-        [labels[np.frombuffer(x, "<u4")].tobytes() for x in places.column("idx").to_pylist()], pa.binary()))
+    """The bucket's labels for each block that has words of it."""
+    labels = np.frombuffer(state.column("labels")[0].as_py(), "<u2") if state.num_rows else np.zeros(0, "<u2")
+    return pa.table({"block": places.column("block"), "bucket": places.column("bucket"), "labels": pa.array(
+        [labels[np.frombuffer(x, "<u4")].tobytes() for x in places.column("idx").to_pylist()], pa.binary())})
 
 
 class _Block:
     """One block with the labels of its dictionary."""
 
-    def __init__(self, blocks: pa.Table, places: pa.Table):
-        row = blocks.slice(0, 1).to_pylist()[0]
+    def __init__(self, blocks: pa.Table, labels: pa.Table):
+        row = blocks.to_pylist()[0]
         self.row, self.sizes = row, np.frombuffer(row["sizes"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["stream"]), "<u4")
-        self.local = [np.frombuffer(x, "<u4") for x in places.column("local").to_pylist()]
-        self.places = places
-        self.n_words = sum(map(len, self.local))
-        self.labels = self.spread("labels", "<u2")
-
-    def spread(self, name: str, kind) -> np.ndarray:
-        """A column of the places, by local word."""
-        out = np.zeros(self.n_words, kind)
-        for at, x in zip(self.local, self.places.column(name).to_pylist(), strict=True):
-            out[at] = np.frombuffer(x, kind)
+        self.local = np.frombuffer(row["local"], "<u4")
+        self.n_words = len(self.local)
+        self.labels = self.spread(np.frombuffer(b"".join(labels.sort_by("bucket").column("labels").to_pylist()), "<u2"))
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values in the order of the places, by local word."""
+        out = np.zeros(self.n_words, values.dtype)
+        out[self.local] = values
         return out
 
     def train(self) -> np.ndarray:
@@ -174,10 +182,10 @@ class _Block:
 
 def _pair_counts(n: int):
     """Counts of label pairs of a block's training text."""
-    def run(blocks: pa.Table, places: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, labels: pa.Table) -> pa.Table:
         sums = np.zeros(n * n, np.int64)
         if blocks.num_rows:
-            block = _Block(blocks, places)
+            block = _Block(blocks, labels)
             u = block.labels[block.train()].astype(np.int64)
             if len(u):  # each stream ends with the end, so the next one begins after it
                 sums += np.bincount(_before(u) * n + u, minlength=n * n)
@@ -193,11 +201,11 @@ def _sum_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _neighbours(blocks: pa.Table, places: pa.Table) -> pa.Table:
+def _neighbours(blocks: pa.Table, labels: pa.Table) -> pa.Table:
     """A block's (word, neighbour class) counts, packed for each bucket, and its class pairs (bucket -1)."""
     out = {"bucket": [], "keys": [], "counts": [], "grid": []}
     if blocks.num_rows:
-        block = _Block(blocks, places)
+        block = _Block(blocks, labels)
         t = block.train().astype(np.int64)
         if len(t):
             c = block.labels[t].astype(np.int64)
@@ -215,13 +223,13 @@ def _neighbours(blocks: pa.Table, places: pa.Table) -> pa.Table:
                 sums = sums[keys]
             else:
                 keys, sums = np.unique(keys, return_counts=True)
-            of, idx = np.zeros(block.n_words, np.int64), block.spread("idx", "<u4").astype(np.int64)
-            for k, at in enumerate(block.local):
-                of[at] = k
+            buckets = block.row["buckets"]
+            of = block.spread(np.repeat(np.arange(len(buckets)), block.row["n"]))
+            idx = block.spread(np.frombuffer(block.row["idx"], "<u4")).astype(np.int64)
             w = keys // CELLS
             order = np.argsort(of[w], kind="stable")
             keys, sums, part = (idx[w] * CELLS + keys % CELLS)[order], sums[order], of[w][order]
-            pack, buckets = zstandard.ZstdCompressor(1).compress, places.column("bucket").to_pylist()
+            pack = zstandard.ZstdCompressor(1).compress
             for x in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
                 if len(x):
                     k, n = _sum_keys(keys[x], sums[x])
@@ -296,14 +304,14 @@ def _move(grid: np.ndarray):
     return run
 
 
-def _documents(blocks: pa.Table, places: pa.Table) -> pa.Table:
+def _documents(blocks: pa.Table, labels: pa.Table) -> pa.Table:
     """Documents of a block as class streams, with the sums that need each word's count."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "units"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
     if not blocks.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names)
-    block = _Block(blocks, places)
-    count, stream, sizes = block.spread("c", np.int64), block.stream, block.sizes
+    block = _Block(blocks, labels)
+    count, stream, sizes = block.spread(np.frombuffer(block.row["c"], np.int64)), block.stream, block.sizes
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     units = block.labels.astype(np.uint8)[stream]
     cols = [[None if x == NO_ID else x for x in np.frombuffer(block.row["ids"], np.int64).tolist()], block.held, sizes,
@@ -422,19 +430,23 @@ class Corpus:
     """Blocks, and the places of each bucket's words in them."""
 
     def __init__(self, docs: DataFrame):
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
-        blocks = stored(map_batches(documents(docs).withColumn("held_out", out), _encode,
-                                    "block long, ids binary, held binary, sizes binary, stream binary, "
-                                    "words array<binary>, counts array<long>"), "blocks")
+        blocks = bucketed(map_batches(documents(docs).withColumn("held_out", out), _encode,
+                                      "block long, ids binary, held binary, sizes binary, stream binary, "
+                                      "words array<binary>, counts array<long>"), "blocks", "block", parts)
         n = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
         words = (blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w"))
                  .select("block", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
                  .withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(max(12, -(-n // BUCKET_PLACES))))))
-        self.blocks = blocks.select("block", "ids", "held", "sizes", "stream")
-        places = stored(words.groupBy("bucket").applyInPandas(
+        places = bucketed(words.groupBy("bucket").applyInPandas(
             _places, "bucket long, block long, local binary, idx binary, c binary, top array<binary>, "
-                     "top_c array<long>, top_idx array<long>, end_idx long"), "places")
+                     "top_c array<long>, top_idx array<long>, end_idx long"), "places", "bucket", parts)
         self.places, self.buckets = places.filter("block >= 0"), places.filter("block < 0")
+        at = bucketed(self.places.select("block", "bucket", "local", "idx", "c").groupBy("block").applyInArrow(
+            lambda x: _by_block(x), "block long, buckets array<long>, n array<int>, local binary, idx binary, c binary"),
+            "block-places", "block", parts)
+        self.blocks = blocks.drop("words", "counts").join(at.hint("merge"), "block")  # both by block: no exchange
 
     def start(self) -> DataFrame:
         """(bucket, labels): the units of all words."""
@@ -444,13 +456,12 @@ class Corpus:
         return stored(map_batches(self.buckets.select("bucket", "c", "end_idx"), _start(named),
                                   "bucket long, labels binary"), "labels")
 
-    def over(self, state: DataFrame, fn, schema: str, extra: str = "") -> DataFrame:
-        """fn(block, its places with their labels) for each block."""
-        kept = self.places.select("bucket", "block", "local", "idx", *extra.split())
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-        at = kept.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(
-            lambda a, b: _deliver(a, b), f"{fields}, labels binary")
-        return self.blocks.groupBy("block").cogroup(at.groupBy("block")).applyInArrow(lambda a, b: fn(a, b), schema)
+    def over(self, state: DataFrame, fn, schema: str, *extra: str) -> DataFrame:
+        """fn(block with the columns ``extra``, the labels of its words) for each block."""
+        labels = self.places.select("bucket", "block", "idx").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(
+            lambda a, b: _deliver(a, b), "block long, bucket long, labels binary")
+        blocks = self.blocks.select("block", "held", "sizes", "stream", "local", *extra)
+        return blocks.groupBy("block").cogroup(labels.groupBy("block")).applyInArrow(lambda a, b: fn(a, b), schema)
 
 
 def cluster(corpus: Corpus) -> tuple[DataFrame, int]:
@@ -464,8 +475,8 @@ def cluster(corpus: Corpus) -> tuple[DataFrame, int]:
         if k == ROUNDS:  # only to see whether the last round raised the likelihood
             grid = _grid(corpus.over(state, _pair_counts(CLASSES), "pair long, n long"), CLASSES)
         else:
-            stats = stored(corpus.over(state, _neighbours, "bucket long, keys binary, counts binary, grid array<long>"),
-                           "neighbours")
+            stats = stored(corpus.over(state, _neighbours, "bucket long, keys binary, counts binary, grid array<long>",
+                                       "buckets", "n", "idx"), "neighbours")
             grid = _grid(stats.filter("bucket < 0").select(F.posexplode("grid").alias("pair", "n")), CLASSES)
         if likelihood(grid) <= best:
             state = before
@@ -483,7 +494,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     corpus = Corpus(docs)
     state, unseen = cluster(corpus)
     streams = stored(corpus.over(state, _documents, "doc_id long, held_out boolean, n_tokens long, n_known long, "
-                                 "log_counts double, units binary", "c"), "classes")
+                                 "log_counts double, units binary", "ids", "c"), "classes")
     moves = _grid(map_batches(streams.select("held_out", "units"), _bigrams(CLASSES), "pair long, n long"), CLASSES)
     step = np.log10((moves + ADD) / (moves.sum(axis=1, keepdims=True) + ADD * CLASSES))
     tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)

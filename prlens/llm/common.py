@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prlens.session import apply_conf, checkpoint_dir
 from prlens.sources.tables import table
 
-__all__ = ["documents", "lower_az", "map_batches", "prepare", "stored", "table", "text_hash", "without"]
+__all__ = ["bucketed", "documents", "lower_az", "map_batches", "prepare", "stored", "table", "text_hash", "without"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +63,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """As ``stored``, in ``parts`` buckets of ``key``: grouping or joining by it
+    moves no row of the table.  The catalog does not keep the table."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    catalog_name = f"llm_{name.replace('-', '_')}_{run}"
+    (df.write.bucketBy(parts, key).option("compression", "zstd").option("path", f"{checkpoint_dir(spark)}/llm-{name}-{run}")
+     .format("parquet").saveAsTable(catalog_name))
+    out = spark.table(catalog_name)
+    spark.sql(f"DROP TABLE {catalog_name}")  # an external table: its files stay
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` of a generator over record batches."""
