@@ -12,7 +12,7 @@ from prlens.plans.findings import ALL_SQL, INLINE_SQL, _unified
 from prlens.plans.history import MEM_SQL, REVIEWER_TEXT_SQL, REVIEWERS_SQL
 from prlens.plans.intake import _size_sql
 from prlens.plans.registry import register
-from prlens.plans.report import COLS as REPORT_COLS, REPORT_SQL, risk_report
+from prlens.plans.report import COLS as REPORT_COLS, REPORT_SQL, pr_store, risk_report
 from prlens.plans.reviews import SCORE_SQL, full_comments
 from prlens.session import checkpoint_dir
 from prlens.sources import fixtures as fx
@@ -85,12 +85,14 @@ SELECT {', '.join(REPORT_COLS)} FROM risk
 WHERE EXISTS (SELECT 1 FROM requests r WHERE r.repo_name = risk.repo_name AND r.pr_number = risk.pr_number)""")
 def q_stream_pr_pipeline(spark, d):
     """Each micro-batch of review requests runs the whole risk report for
-    its PRs, every input cut to them first (idempotent per batch id)."""
+    its PRs and reads only their buckets of the tables (idempotent per batch id)."""
     deliveries = fx.signed_of(fx.webhook_body_of(_events_stream(spark, d)))
     requests = wh.review_requests(deliveries, WEBHOOK_SECRET)
 
+    store = pr_store(spark, d, f"{checkpoint_dir(spark)}/pr-store-{uuid.uuid4().hex}")
+
     def run(batch):
-        return risk_report(spark, d, batch.select("repo_name", "pr_number").distinct())
+        return risk_report(spark, d, store.reader(batch))
 
     schema = risk_report(spark, d).schema
     sink = f"{checkpoint_dir(spark)}/pr-reports-{uuid.uuid4().hex}"
