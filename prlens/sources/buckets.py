@@ -32,17 +32,22 @@ def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int =
     rows.write.partitionBy(BUCKET).mode("overwrite").parquet(path)
 
 
-def read_buckets(spark: SparkSession, path: str, schema, keys: Sequence[str], only: DataFrame | None = None,
-                 buckets: int = BUCKETS) -> DataFrame:
-    """The rows of a bucketed table (``schema``: its columns), whole or those whose
-    key is in ``only``.  At most ``buckets`` numbers reach the driver; no key gives no row,
-    and a key that is null matches nothing."""
+def wanted_buckets(only: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> list[int]:
+    """Buckets of the keys in ``only``: at most ``buckets`` numbers reach the driver."""
+    return sorted(r[0] for r in only.select(bucket_of(keys, buckets).alias("b")).distinct().collect())
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], only: DataFrame | None = None,
+                 wanted: list[int] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of a bucketed table (``schema``: its columns), whole or those whose key is in
+    ``only``.  No key gives no row, and a key that is null matches nothing.  ``wanted``: the
+    keys' buckets, where they are known."""
     table = spark.read.schema(StructType([*schema.fields, StructField(BUCKET, IntegerType())])).parquet(path)
     if only is None:
         return table.drop(BUCKET)
-    wanted = sorted(r[0] for r in only.select(bucket_of(keys, buckets).alias("b")).distinct().collect())
-    return table.filter(F.col(BUCKET).isin(wanted)).drop(BUCKET).join(
-        only.select(*keys).distinct(), list(keys), "left_semi").select(*[c for c in table.columns if c != BUCKET])
+    wanted = wanted_buckets(only, keys, buckets) if wanted is None else wanted
+    return (table.filter(F.col(BUCKET).isin(wanted)).drop(BUCKET)
+            .join(only.select(*keys).distinct(), list(keys), "left_semi").select(*schema.names))
 
 
 class PrStore:
@@ -62,17 +67,21 @@ class PrStore:
         self.schemas[name] = df.schema
         write_buckets(df, f"{self.path}/{name}", self._keys(name), self.buckets)
 
-    def get(self, name: str, only: DataFrame | None = None) -> DataFrame:
-        return read_buckets(self.spark, f"{self.path}/{name}", self.schemas[name], self._keys(name), only, self.buckets)
+    def get(self, name: str, only: DataFrame | None = None, wanted: list[int] | None = None) -> DataFrame:
+        return read_buckets(self.spark, f"{self.path}/{name}", self.schemas[name], self._keys(name), only, wanted,
+                            self.buckets)
 
     def reader(self, requests: DataFrame):
         """``read(name)`` for the PRs of a batch of requests.  The batch's keys and the
         paths its PRs touch are written once, and every table is cut by them."""
         prs = written(requests.select(*self.KEYS).distinct(), "batch-prs")
-        files = written(self.get("file", prs), "batch-files")
+        at = wanted_buckets(prs, self.KEYS, self.buckets)
+        files = written(self.get("file", prs, at), "batch-files")
         paths = files.select("repo_name", F.col("filename").alias("path")).distinct()
 
         def read(name: str) -> DataFrame:
-            return files if name == "file" else self.get(name, paths if name == "commit" else prs)
+            if name == "file":
+                return files
+            return self.get(name, paths) if name == "commit" else self.get(name, prs, at)
 
         return read
