@@ -164,5 +164,6 @@ def test_gaps(defs: DataFrame, lines: DataFrame) -> DataFrame:
     test_lines = lines.filter((F.col("side") == "added") & F.col("filename").rlike(TEST_PATH_RX))
     tokens = test_lines.select(*KEYS, F.explode(F.split("code", r"[^\p{L}\p{N}_]+")).alias("name")).filter(
         F.col("name") != "").distinct()
-    gaps = added.join(tokens, [*KEYS, "name"], "left_anti")
+    # Merged, never broadcast: the tokens of all test lines are many more bytes than the files they are read from.
+    gaps = added.join(tokens.hint("merge"), [*KEYS, "name"], "left_anti")
     return gaps.select(*KEYS, "file_pos", "filename", "line_no", "name")
