@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -33,10 +34,28 @@ def default_path() -> str:
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\\x09-\\x0d \x85\xa0"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+PIECES = re.compile(f"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+#: The same for texts of the first 256 characters: their classes fit a small table.
+SHORT_PIECES = re.compile(PIECES.pattern.replace("\u024f", "\xff"))
 
 #: Texts with other characters (or the file's special strings) are handled chunk by chunk.
-ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]|<\\|").search
+_ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]|<\\|").search
+
+
+def _short(text: str) -> bool:
+    """True when all characters are among the first 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def ODD(text: str) -> bool:
+    if _short(text):
+        return any(x in text for x in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|"))
+    return _ODD(text) is not None
 
 
 def _byte_letters() -> dict[int, str]:
@@ -82,10 +101,11 @@ class Encoder:
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bytes:
-        pieces = PIECES.findall(text.lower())
+        pieces = (SHORT_PIECES if _short(text) else PIECES).findall(text.lower())
         if not pieces:
             return b""
-        return self.ids[self.merge.encode_ordinary(END.join(pieces) + END)].tobytes()
+        places = array("I", self.merge.encode_ordinary(END.join(pieces) + END))
+        return self.ids[np.frombuffer(places, np.uintc)].tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
