@@ -92,3 +92,58 @@ def test_components(spark, nodes):
     want = {(i, 0) for i in range(nodes) if nodes > 1} | {(100, 100), (101, 100), (103, 103), (104, 103), (105, 103)}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_files_near_none_go_no_further(spark, monkeypatch):
+    """The shingles of files that have no near file are not moved, and no file of a pair is left out."""
+    rng = random.Random(5)
+    rows = []
+    for f in range(60):
+        base = words(rng, rng.randrange(3, 400))
+        rows += [("r", f"f{f:02d}-{i}", " ".join(edited(rng, base, share))) for i, share in enumerate([0, 0.01, 0.02, 0.04])]
+    lone = words(rng, 15)
+    rows += [("r", f"lone{i:03d}", " ".join(lone + words(rng, 300, 10**6))) for i in range(200)]
+    tables, written = {}, scans.written
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+    monkeypatch.setattr(scans, "written", kept)
+    want = truth(rows)
+    assert found(spark, rows) == want
+    stay = {r["path"] for r in tables["arrays"].select("path").collect()}
+    same = {r["path"]: r["rep"] for r in tables["classes"].collect()}
+    classes = {}
+    for r in want:
+        classes.setdefault(r[2], set()).add(same.get(r[1]))
+    assert {c for group in classes.values() if len(group) > 1 for c in group} <= stay
+    assert not any(path.startswith("lone") for path in stay)
+
+
+def test_rows_of_a_path_are_one_set(spark):
+    rng = random.Random(6)
+    t, u = words(rng, 100), words(rng, 100)
+    rows = [("r", "a", " ".join(t)), ("r", "a", " ".join(t)), ("r", "b", " ".join([*t[:-1], "x"])),
+            ("r", "c", " ".join(u[:60])), ("r", "c", " ".join(u[50:])), ("r", "d", " ".join(u)),
+            ("r", "e", " ".join(words(rng, 100))), ("r", "e", " ".join(words(rng, 100))),
+            ("r", "f", " ".join(words(rng, 96))), ("r", "f", None), (None, "a", " ".join(t)), ("r", None, " ".join(t))]
+    got = scans.near_duplicate_files(spark.createDataFrame(rows, SCHEMA).repartition(3)).select(
+        "repo_name", "path", "first_path", "n_docs").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("r", "a", "a", 2), ("r", "b", "a", 2), ("r", "c", "c", 2), ("r", "d", "c", 2), ("r", "e", "e", 1), ("r", "f", "f", 1)]
+
+
+def test_any_sizes_and_edits_against_brute_force(spark):
+    """Sets at every similarity about the threshold, with boilerplate in most of them."""
+    rng = random.Random(7)
+    boiler = words(rng, 30)
+    rows = []
+    for f in range(80):
+        base = boiler * (f % 2) + words(rng, rng.randrange(1, 160), 40 if f % 5 == 0 else 10_000)
+        for i in range(4):
+            text = list(base)
+            for _ in range(rng.randrange(0, 2 + len(base) // 25)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            cut = rng.randrange(0, 1 + len(text) // 6)
+            rows.append((f"r{f % 3}", f"f{f}-{i}", " ".join(text[cut:])))
+    assert found(spark, rows) == truth(rows)
